@@ -29,7 +29,7 @@ from .common import parts_for, table
 
 WINDOW, ANCHOR = 13, 5
 #: Text in one map batch and in one group of suffixes; suffixes that a group sorts at once.
-BATCH_CHARS, GROUP_CHARS, GROUP_SUFFIXES = 24_000_000, 3_000_000, 4_000_000
+BATCH_CHARS, GROUP_CHARS, GROUP_SUFFIXES = 8_000_000, 3_000_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 RUN = np.dtype([("doc", "<i8"), ("first", "<u4"), ("anchor", "<u4"), ("count", "u1")])
 
@@ -67,7 +67,7 @@ class WordHashes(dict):
     """Word to 64-bit hash; forgets when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -91,13 +91,13 @@ def by_doc(docs: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(d[0]), intervals(np.unique(a)).tobytes()
 
 
-def batch_runs(docs: list[tuple[int, list[bytes]]], hashes: WordHashes, n_groups: int) -> Iterator[tuple[int, int | None, bytes]]:
+def batch_runs(docs: list[tuple[int, np.ndarray]], n_groups: int) -> Iterator[tuple[int, int | None, bytes]]:
     """(group, None, runs of suffixes) for other batches to be compared with, and (group, document, intervals) of repeats found here."""
     docs = [(d, w) for d, w in docs if len(w) >= WINDOW]
     if not docs:
         return
     lengths = np.array([len(w) for _, w in docs])
-    flat = np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(w for _, w in docs)), np.uint64, int(lengths.sum()))
+    flat = np.concatenate([w for _, w in docs])
     firsts = np.cumsum(lengths) - lengths
     ids = np.array([d for d, _ in docs], dtype=np.int64)
     key = gram_hashes(flat, WINDOW)
@@ -217,13 +217,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
-                held.append((d, words_of(t)))
+                held.append((d, np.fromiter(map(hashes.__getitem__, words_of(t)), np.uint64)))
                 size += len(t)
                 if size >= batch_chars:
-                    if found := list(batch_runs(held, hashes, n_groups)):
+                    if found := list(batch_runs(held, n_groups)):
                         yield out(found)
                     held, size = [], 0
-        if found := list(batch_runs(held, hashes, n_groups)):
+        if found := list(batch_runs(held, n_groups)):
             yield out(found)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
