@@ -1 +1 @@
-
+"""Column functions and text scanners."""

@@ -1 +1 @@
-
+"""Relational operators over nodes, edges, imports and sources."""

@@ -2,5 +2,652 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import text as T
+from ..operators import audit, extract, graph, imports, provenance, search, validate
+from . import bindings as B
+from . import fixtures, review
+from .bindings import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def norm(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.normalized_relations(B.relations(spark, sf), B.depends(spark, sf))
+
+
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    return B.nodes(spark, sf).filter(B.KEPT)
+
+
+# --- matching -------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {B.MATCHING} SELECT pid, cid, confidence, rank FROM k WHERE rank <= 5")
+def q_match_topk(spark, sf):
+    return imports.candidates(*B.matching(spark, sf)).select("pid", "cid", "confidence", "rank")
+
+
+def _exact(spark, sf):
+    """Documents of every fifth source are accepted as the benchmark item of their number."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), F.lit("r").alias("repository"), F.col("source").alias("directory"), F.col("doc_id").alias("source_key"), F.col("lang").alias("latex_label"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("cid"), F.lit("r").alias("repository"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("directory"), F.col("item_id").alias("source_key"), F.when(F.col("item_id") % 9 == 0, "es").alias("label"))
+    return imports.exact_matches(d, b)
+
+
+_EXACT_SQL = "x AS (SELECT DISTINCT doc_id AS pid, item_id AS cid FROM documents JOIN benchmark ON source = 'src' || (item_id % 20) AND (doc_id = item_id OR (item_id % 9 = 0 AND lang = 'es')))"
+
+
+@query(f"WITH {B.MATCHING}, {_EXACT_SQL}, u AS (SELECT pid, cid, confidence, false AS exact FROM m WHERE (pid, cid) NOT IN (SELECT (pid, cid) FROM x) UNION ALL SELECT pid, cid, 1.0, true FROM x), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY confidence DESC, cid) AS rank FROM u) SELECT pid, cid, confidence, exact, rank FROM r WHERE rank <= 5")
+def q_match_exact_first(spark, sf):
+    return imports.candidates(*B.matching(spark, sf), exact=_exact(spark, sf)).select("pid", "cid", "confidence", "exact", "rank")
+
+
+_REASONS_SQL = """concat_ws('|', CASE WHEN arxiv THEN 'Same arXiv identifier (paper context only).' END, CASE WHEN t >= 0.4::DOUBLE THEN 'Title/statement token overlap ' || CAST(floor(t * 100 + 0.5) AS BIGINT) || '%.' END,
+CASE WHEN bo >= 0.35::DOUBLE THEN 'Curated exposition/source token overlap ' || CAST(floor(bo * 100 + 0.5) AS BIGINT) || '%.' END, CASE WHEN g >= 0.5::DOUBLE THEN 'Shared subject tags.' END, CASE WHEN same THEN 'Same proposed object type.' END)"""
+
+
+@query(f"WITH {B.MATCHING} SELECT pid, cid, {_REASONS_SQL} AS reasons FROM m")
+def q_candidate_reasons(spark, sf):
+    return imports.fuzzy_matches(*B.matching(spark, sf)).select("pid", "cid", F.array_join("reasons", "|").alias("reasons"))
+
+
+# --- imports --------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {B.IMPORTS} SELECT source_key, class, presentation_changed FROM diff")
+def q_import_diff(spark, sf):
+    return imports.compare(*B.imports(spark, sf), ["source_key"])
+
+
+@query(f"WITH {B.IMPORTS} SELECT source_key FROM diff WHERE presentation_changed")
+def q_presentation_changed(spark, sf):
+    return imports.compare(*B.imports(spark, sf), ["source_key"]).filter("presentation_changed").select("source_key")
+
+
+@query(f"WITH {B.IMPORTS}, {B.MATCHING} SELECT 'diff:' || class AS metric, count(*) AS value FROM diff GROUP BY class UNION ALL SELECT 'diff:presentationChanged', count(*) FROM diff WHERE presentation_changed UNION ALL SELECT 'environment:doc', count(*) FROM cur "
+       "UNION ALL SELECT 'objects', count(*) FROM cur UNION ALL SELECT 'objectsWithCandidates', count(DISTINCT pid) FROM k WHERE rank <= 5 UNION ALL SELECT 'candidatePairs', count(*) FROM k WHERE rank <= 5")
+def q_import_report(spark, sf):
+    old, new = B.imports(spark, sf)
+    return imports.report(imports.compare(old, new, ["source_key"]), new, imports.candidates(*B.matching(spark, sf)))
+
+
+@query(f"WITH {B.IMPORTS}, {B.MATCHING}, {_EXACT_SQL}, "
+       "u AS (SELECT pid, cid, confidence, false AS exact FROM m WHERE (pid, cid) NOT IN (SELECT (pid, cid) FROM x) UNION ALL SELECT pid, cid, 1.0, true FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY confidence DESC, cid) AS rank FROM u), "
+       "f AS (SELECT pid, bool_or(exact) AS ex FROM r WHERE rank <= 5 GROUP BY pid), l AS (SELECT user_id AS k, arg_max(event_type, (ts, event_id)) AS st FROM events GROUP BY user_id), "
+       "e AS (SELECT source, max(CASE WHEN doc_id % 97 = 13 THEN 1 ELSE 0 END) AS bad FROM documents WHERE source IN ('src1', 'src2') GROUP BY source) "
+       "SELECT c.doc_id AS source_key, CASE WHEN coalesce(e.bad, 0) = 1 OR c.doc_id % 41 = 0 THEN 'NEEDS REVIEW' WHEN l.k IS NOT NULL AND c.doc_id % 3 <> 0 THEN l.st WHEN l.k IS NOT NULL OR d.class = 'changed' OR c.doc_id % 53 = 0 THEN 'CHANGED' WHEN f.ex THEN 'MATCHED' WHEN f.pid IS NOT NULL THEN 'POSSIBLE DUPLICATE' WHEN c.lang = 'de' THEN 'NEEDS REVIEW' ELSE 'NEW' END AS review_state "
+       "FROM cur c LEFT JOIN l ON l.k = c.doc_id LEFT JOIN diff d ON d.source_key = c.doc_id LEFT JOIN f ON f.pid = c.doc_id LEFT JOIN e ON e.source = c.source")
+def q_review_states(spark, sf):
+    """Sources are papers; users' last events are decisions on the document of their number, every third one on an older text."""
+    old, new = B.imports(spark, sf)
+    keys = ["paper", "source_key"]
+    paper = table(spark, sf, "documents").select(F.col("doc_id").alias("source_key"), F.col("source").alias("paper"), "lang")
+    props = new.join(paper, "source_key").withColumns({"blocked": F.col("source_key") % 41 == 0, "warnings": F.when(F.col("lang") == "de", F.array(F.lit("w"))).otherwise(F.array().cast("array<string>"))})
+    last = imports.ledger_latest(B.decisions(spark, sf), ["user_id"], ["ts", "event_id"])
+    ledger = props.select(*keys, "content_hash").join(last, F.col("source_key") == F.col("user_id")).select(*keys, F.col("event_type").alias("state"), F.when(F.col("source_key") % 3 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+    diff = imports.compare(old, new, ["source_key"]).join(paper, "source_key").select(*keys, "class")
+    found = imports.candidates(*B.matching(spark, sf), exact=_exact(spark, sf)).select(F.col("pid").alias("source_key"), "exact").join(paper, "source_key")
+    told = paper.filter("paper IN ('src1', 'src2') AND source_key % 97 = 13").select("paper", F.lit("error").alias("severity"))
+    before = paper.filter("source_key % 53 = 0").select(*keys, F.lit("CHANGED").alias("review_state"))
+    return imports.review(props, keys, ledger, diff, found, told, before).select("source_key", "review_state")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id, event_type, ts, event_id FROM events) GROUP BY user_id".replace("max((ts, event_id)).event_id", "arg_max(event_id, (ts, event_id))"))
+def q_ledger_latest(spark, sf):
+    return imports.ledger_latest(B.decisions(spark, sf), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+# --- network --------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT id || ':' || type || ':' || target AS edge_id, id AS source, target, type, 'semantic' AS kind, note FROM rel WHERE target IN (SELECT id FROM nodes)")
+def q_edges_normalized(spark, sf):
+    return graph.semantic_edges(norm(spark, sf), B.nodes(spark, sf))
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT kind, type, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT target) AS targets FROM (SELECT id AS source, target, type, 'semantic' AS kind FROM rel WHERE target IN (SELECT id FROM nodes) UNION ALL SELECT id, target, 'about', 'structural' FROM about WHERE target IN (SELECT id FROM nodes)) GROUP BY kind, type")
+def q_edge_totals(spark, sf):
+    edges = graph.all_edges(norm(spark, sf), B.about(spark, sf), B.nodes(spark, sf))
+    return edges.groupBy("kind", "type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT id || ':' || type || ':' || target AS edge_id, id AS source, target, type, 'semantic' AS kind FROM rel WHERE target IN (SELECT id FROM nodes) UNION ALL SELECT id || ':about:' || target, id, target, 'about', 'structural' FROM about WHERE target IN (SELECT id FROM nodes)")
+def q_edges_all(spark, sf):
+    return graph.all_edges(norm(spark, sf), B.about(spark, sf), B.nodes(spark, sf)).drop("note")
+
+
+@query(f"WITH {B.NODES} SELECT id, type, title, '/atlas/node/' || id || '/' AS href FROM nodes")
+def q_graph_nodes(spark, sf):
+    return graph.graph_nodes(B.nodes(spark, sf), "/atlas/")
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT id, target, type FROM rel WHERE target NOT IN (SELECT id FROM nodes WHERE {B.KEPT})")
+def q_dangling_targets(spark, sf):
+    return graph.dangling(norm(spark, sf), kept(spark, sf))
+
+
+@query("SELECT 'L-' || l_orderkey || '-' || l_linenumber AS id, count(*) || ' records' AS detail, 'duplicate-id' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def q_duplicate_ids(spark, sf):
+    return validate.duplicate_ids(table(spark, sf, "lineitem").select(F.concat(F.lit("L-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id")))
+
+
+_SELF = "selves AS (SELECT 'ORD-' || o_orderkey AS id FROM orders WHERE o_orderkey % 1000 = 0)"
+
+
+def _with_selves(spark, sf):
+    own = table(spark, sf, "orders").filter("o_orderkey % 1000 = 0").select(B.key("ORD", "o_orderkey").alias("id"))
+    return norm(spark, sf).select("id", "target", "type").unionByName(own.select("id", F.col("id").alias("target"), F.lit("related-to").alias("type")))
+
+
+@query(f"WITH {_SELF} SELECT id, 'related-to' AS type FROM selves")
+def q_self_relations(spark, sf):
+    return _with_selves(spark, sf).filter("id = target").select("id", "type")
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS}, {_SELF}, k AS (SELECT * FROM nodes WHERE {B.KEPT} UNION ALL SELECT * FROM nodes WHERE type = 'region') "
+       "SELECT 'duplicate-id' AS rule, id, count(*) || ' records' AS detail FROM k GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown-target', id, type || ' ' || target FROM rel WHERE target NOT IN (SELECT id FROM k) UNION ALL SELECT 'self-relation', id, 'related-to' FROM selves "
+       "UNION ALL SELECT 'unknown-target', id, 'related-to ' || id FROM selves WHERE id NOT IN (SELECT id FROM k)")
+def q_violations(spark, sf):
+    k = kept(spark, sf)
+    return validate.network(k.unionByName(B.nodes(spark, sf).filter("type = 'region'")), _with_selves(spark, sf))
+
+
+@query(f"WITH {B.RELATIONS} SELECT target AS id, id AS source, type FROM rel")
+def q_incoming(spark, sf):
+    return graph.incoming(norm(spark, sf))
+
+
+_BUCKETS = f"WITH {B.RELATIONS}, bk AS (SELECT id, CASE WHEN type IN ('depends-on', 'uses') THEN 'dependencies' WHEN type IN ('implies', 'motivates') THEN 'consequences' ELSE 'related' END AS bucket, target AS other, type AS label FROM rel UNION ALL SELECT target, CASE type WHEN 'depends-on' THEN 'consequences' WHEN 'example-of' THEN 'examples' ELSE 'related' END, id, CASE type WHEN 'depends-on' THEN 'depends on this object' WHEN 'example-of' THEN type ELSE type || ' → this object' END FROM rel) "
+
+
+@query(_BUCKETS + "SELECT id, other, label FROM bk WHERE bucket = 'dependencies'")
+def q_dependencies(spark, sf):
+    return graph.buckets(norm(spark, sf)).filter("bucket = 'dependencies'").drop("bucket")
+
+
+@query(_BUCKETS + "SELECT id, other, label FROM bk WHERE bucket = 'consequences'")
+def q_consequences(spark, sf):
+    return graph.buckets(norm(spark, sf)).filter("bucket = 'consequences'").drop("bucket")
+
+
+@query(_BUCKETS + "SELECT id, other, label FROM bk WHERE bucket = 'examples'")
+def q_examples(spark, sf):
+    return graph.buckets(norm(spark, sf)).filter("bucket = 'examples'").drop("bucket")
+
+
+@query(_BUCKETS + "SELECT id, other, label FROM bk WHERE bucket = 'related'")
+def q_related(spark, sf):
+    return graph.buckets(norm(spark, sf)).filter("bucket = 'related'").drop("bucket")
+
+
+_EDGES = f"{B.NODES}, {B.RELATIONS}, edges AS (SELECT id AS source, target, type FROM rel WHERE target IN (SELECT id FROM nodes) UNION ALL SELECT id, target, 'about' FROM about WHERE target IN (SELECT id FROM nodes))"
+
+
+def _edges(spark, sf):
+    return graph.all_edges(norm(spark, sf), B.about(spark, sf), B.nodes(spark, sf)).select("source", "target", "type")
+
+
+@query(f"WITH {_EDGES}, n AS (SELECT 'NATION-3' AS id UNION SELECT target FROM edges WHERE source = 'NATION-3' UNION SELECT source FROM edges WHERE target = 'NATION-3') SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)")
+def q_local_neighborhood(spark, sf):
+    return graph.neighbourhood(_edges(spark, sf), "NATION-3")
+
+
+@query(f"WITH {_EDGES} SELECT id, count(DISTINCT other) AS neighbours FROM (SELECT source AS id, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY id")
+def q_neighbor_counts(spark, sf):
+    return graph.neighbour_counts(_edges(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT source AS id, target AS other, type, 'out' AS direction FROM edges WHERE source = 'NATION-3' UNION ALL SELECT target, source, type, 'in' FROM edges WHERE target = 'NATION-3'")
+def q_panel_relations(spark, sf):
+    return graph.touching(_edges(spark, sf), "NATION-3")
+
+
+@query(f"WITH RECURSIVE {B.RELATIONS}, c AS (SELECT id, target AS ancestor, 1 AS depth FROM depends UNION SELECT c.id, d.target, c.depth + 1 FROM c JOIN depends d ON d.id = c.ancestor WHERE c.depth < 20) SELECT id, ancestor, min(depth) AS depth FROM c GROUP BY id, ancestor")
+def q_dependency_closure(spark, sf):
+    return graph.closure(B.depends(spark, sf), "id", "target")
+
+
+@query(f"WITH RECURSIVE {B.CHAINS}, c AS (SELECT source, target, 1 AS depth FROM chains UNION ALL SELECT c.source, d.target, c.depth + 1 FROM c JOIN chains d ON d.source = c.target) SELECT source AS id, count(*) AS ancestors, max(depth) AS deepest FROM c GROUP BY source")
+def q_thread_depth(spark, sf):
+    return graph.closure(B.chains(spark, sf)).groupBy("id").agg(F.count("*").alias("ancestors"), F.max("depth").alias("deepest"))
+
+
+@query("SELECT DISTINCT 'C' || conv_id || '-' || turn AS id FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(turn) > 0))")
+def q_cycle_members(spark, sf):
+    """The first conversation with an answer is closed into a circle."""
+    ends = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).filter("last > 0").orderBy("conv_id").limit(1)
+    name = lambda t: F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    return graph.cycle_members(B.chains(spark, sf).unionByName(ends.select(name(F.lit(0)).alias("source"), name(F.col("last")).alias("target"))))
+
+
+@query("SELECT DISTINCT id, member FROM (SELECT 'REGION-' || n_regionkey AS id, 'CUST-' || c_custkey AS member FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'REGION-' || n_regionkey, 'SUPP-' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+def q_contained_objects(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("string").alias("source_key"))
+    papers = table(spark, sf, "region").select(B.key("REGION", "r_regionkey").alias("id"), F.col("r_regionkey").cast("string").alias("source_key"))
+    members = table(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("k")).select(B.key("SUPP", "s_suppkey").alias("id"), "source_key")
+    return graph.contained(papers, norm(spark, sf), members)
+
+
+@query("SELECT 'DOC-' || d.doc_id AS id, 'CLAIM-' || l.doc_id AS claim, toxic FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT 'LANG-' || d.lang, 'CLAIM-' || l.doc_id, toxic FROM labels l JOIN documents d USING (doc_id)")
+def q_about_claims(spark, sf):
+    claims = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return claims.select(F.explode(F.array(B.key("DOC", "doc_id"), F.concat(F.lit("LANG-"), "lang"))).alias("id"), B.key("CLAIM", "doc_id").alias("claim"), "toxic")
+
+
+# --- search, facets, views ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {B.ORDERS} SELECT id FROM ords WHERE standing = 'O' AND contains(lower(id || ' ' || editorial), '3-medium')")
+def q_graph_filter(spark, sf):
+    o = B.orders(spark, sf).withColumns({"type": F.lit("order"), "shortTitle": F.lit(""), "summary": F.lit(""), "tags": F.array().cast("array<string>")})
+    return search.graph_filter(o, "  3-MEDIUM ", standing="O", type="order").select("id")
+
+
+@query(f"WITH {B.ORDERS} SELECT id FROM ords WHERE editorial = '1-URGENT' AND publication = '1996' AND contains(lower(id || ' ' || editorial), '7')")
+def q_index_filter(spark, sf):
+    o = B.orders(spark, sf).withColumns({"summary": F.lit(""), "tags": F.array().cast("array<string>")})
+    return search.index_filter(o, "7", editorial="1-URGENT", publication="1996").select("id")
+
+
+_BUCKET_DIM = (("Urgent", ("1-URGENT", "2-HIGH")), ("Usual", ("3-MEDIUM",)), ("Late", ("4-NOT SPECIFIED", "5-LOW")), ("Unheard of", ("9-NONE",)))
+
+
+@query(f"WITH {B.ORDERS}, d(pos, section, value) AS (VALUES (0, 'Urgent', '1-URGENT'), (0, 'Urgent', '2-HIGH'), (1, 'Usual', '3-MEDIUM'), (2, 'Late', '4-NOT SPECIFIED'), (2, 'Late', '5-LOW'), (3, 'Unheard of', '9-NONE')) "
+       "SELECT section, pos, count(id) AS total, count(CASE WHEN standing = 'F' THEN 1 END) AS visible, count(CASE WHEN standing = 'F' THEN 1 END) = 0 AS hidden FROM d LEFT JOIN ords ON editorial = value GROUP BY section, pos")
+def q_facet_counts(spark, sf):
+    o = B.orders(spark, sf)
+    return search.bucket_counts(o, o.filter(search.facets(claimStanding="F")), "editorialState", _BUCKET_DIM)
+
+
+@query(f"WITH {B.ORDERS} SELECT standing, editorial, publication, count(*) AS n FROM ords GROUP BY CUBE (standing, editorial, publication)")
+def q_status_cube(spark, sf):
+    o = B.orders(spark, sf).select(F.col("claimStanding").alias("standing"), F.col("editorialState").alias("editorial"), F.col("publicationStatus").alias("publication"))
+    return search.status_cube(o, "standing", "editorial", "publication")
+
+
+@query(f"WITH {B.ORDERS}, {B.RELATIONS} SELECT publication AS stage, id, editorial AS label, coalesce((SELECT string_agg(DISTINCT s_name, '|' ORDER BY s_name) FROM rel JOIN supplier ON target = 'SUPP-' || s_suppkey WHERE rel.id = ords.id AND rel.type = 'motivates'), '') AS motivates FROM ords WHERE standing = 'P'")
+def q_timeline_stages(spark, sf):
+    nodes = B.orders(spark, sf).select("id", F.col("editorialState").alias("label"), F.when(F.col("claimStanding") == "P", F.col("publicationStatus")).alias("stage"))
+    suppliers = table(spark, sf, "supplier").select(B.key("SUPP", "s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit(None).cast("string").alias("stage"))
+    return graph.timeline(nodes.unionByName(suppliers), norm(spark, sf)).withColumn("motivates", F.array_join("motivates", "|"))
+
+
+@query(f"WITH {_EDGES}, v AS (SELECT 'ORD-' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'PART-' || p_partkey FROM part WHERE p_size > 25 UNION ALL SELECT 'SUPP-' || s_suppkey FROM supplier WHERE s_acctbal > 0) SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)")
+def q_visible_edges(spark, sf):
+    pick = lambda name, cond, prefix, k: table(spark, sf, name).filter(cond).select(B.key(prefix, k).alias("id"))
+    visible = pick("orders", "o_orderstatus = 'F'", "ORD", "o_orderkey").unionByName(pick("part", "p_size > 25", "PART", "p_partkey")).unionByName(pick("supplier", "s_acctbal > 0", "SUPP", "s_suppkey"))
+    return graph.induced(_edges(spark, sf), visible)
+
+
+@query("WITH m AS (SELECT n_regionkey AS g, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n, dense_rank() OVER (ORDER BY n_regionkey) - 1 AS s FROM nation), "
+       "a AS (SELECT *, CAST(i AS DOUBLE) / n * (2 * pi()) - pi() / 2 AS a, greatest(200.0::DOUBLE, least(250.0::DOUBLE, n * 13.0::DOUBLE)) AS r FROM m) SELECT id, floor((260 + (s % 3) * 550 + cos(a) * r) * 1e6 + 0.5) / 1e6 AS x, floor((300 + floor(s / 3) * 570 + sin(a) * r * 0.85::DOUBLE) * 1e6 + 0.5) / 1e6 AS y FROM a")
+def q_layout_ring(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("g0"), F.col("n_nationkey").alias("id"))
+    return graph.ring(n, "g0", "id").select("id", T.round_half_up(F.col("x"), 6).alias("x"), T.round_half_up(F.col("y"), 6).alias("y"))
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS}, e AS (SELECT id, target FROM rel UNION ALL SELECT id, target FROM about), n AS (SELECT DISTINCT id FROM (SELECT target AS id FROM e WHERE e.id = 'REGION-2' UNION ALL SELECT id FROM e WHERE target = 'REGION-2' UNION ALL SELECT 'REGION-2') WHERE id LIKE 'NATION-%' OR id = 'REGION-2'), "
+       "o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS c FROM n WHERE id <> 'REGION-2') SELECT id, floor((260 + 215 * cos(CAST(i AS DOUBLE) / c * (2 * pi()))) * 1e6 + 0.5) / 1e6 AS x, floor((210 + 165 * sin(CAST(i AS DOUBLE) / c * (2 * pi()))) * 1e6 + 0.5) / 1e6 AS y FROM o UNION ALL SELECT 'REGION-2', 260, 210")
+def q_layout_compact(spark, sf):
+    at = graph.touching(_edges(spark, sf), "REGION-2").filter("other LIKE 'NATION-%'").select(F.col("other").alias("id")).unionByName(spark.createDataFrame([("REGION-2",)], "id string")).distinct()
+    return graph.compact_ring(at, "REGION-2").select("id", T.round_half_up(F.col("x"), 6).alias("x"), T.round_half_up(F.col("y"), 6).alias("y"))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------------------------
+
+_SEG = "replace(replace(replace(replace(replace(url_encode({}), '%7E', '~'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')"
+
+
+def _sql_path(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, '/'), lambda s: {_SEG.format('s')}), '/')"
+
+
+@query(f"WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, page_id % 3 AS s FROM pages) SELECT page_id, 'https://host.example/org/repo/blob/' || repeat('a', 40) || '/' || {_sql_path('path')} || CASE s WHEN 0 THEN '' WHEN 1 THEN '#L1' ELSE '#L2-L' || (page_id + 2) END AS pinned, 'https://host.example/org/repo/blob/feature%2Fx/' || {_sql_path('path')} AS current, 'https://host.example/org/repo/commits/feature%2Fx/' || {_sql_path('path')} AS history FROM p")
+def q_source_links(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 3).alias("s"))
+    links = T.source_links(F.lit("https://host.example"), F.lit("org/repo"), F.lit("feature/x"), F.lit("a" * 40), F.col("path"), F.col("s"), F.when(F.col("s") == 2, F.col("page_id") + 2))
+    return p.select("page_id", *(c.alias(n) for n, c in links.items()))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM pages")
+def q_escape_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(T.escape_html(F.col("html")), 256).alias("escaped"))
+
+
+_LINKS = r"""a AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\b(?:href|src)="[^"#]+"')) AS a FROM pages), b AS (SELECT page_id, regexp_extract(a, '^(href|src)', 1) AS attr, regexp_extract(a, '"([^"#]+)"', 1) AS raw FROM a),
+l AS (SELECT *, url_decode(regexp_extract(raw, '^[^?]*', 0)) AS target FROM b WHERE NOT regexp_matches(raw, '^(https?:|mailto:|data:|tel:)')), f AS (SELECT * FROM l WHERE target <> '')"""
+
+
+@query(f"WITH {_LINKS}, k AS (SELECT DISTINCT regexp_extract(target, '^/(.*)$', 1) AS path FROM f WHERE page_id % 2 = 0) SELECT page_id, attr, raw, 'broken' AS problem FROM f WHERE regexp_extract(target, '^/(.*)$', 1) NOT IN (SELECT path FROM k)")
+def q_link_audit(spark, sf):
+    """Paths that pages with even numbers link to count as known; the others' links are checked against them."""
+    found = audit.links(table(spark, sf, "pages"), "page_id", "html")
+    known = found.filter("page_id % 2 = 0").select(audit.resolve(F.col("target"), F.lit(""), "/").alias("path"))
+    return audit.link_errors(found, "page_id", "/", known)
+
+
+@query(f"WITH {_LINKS} SELECT page_id, attr, raw, 'missing base path' AS problem FROM f WHERE NOT starts_with(target, '/th')")
+def q_missing_base(spark, sf):
+    found = audit.links(table(spark, sf, "pages"), "page_id", "html")
+    return audit.link_errors(found, "page_id", "/th", found.select(F.substring("target", 4, 1000).alias("path"))).filter("problem = 'missing base path'")
+
+
+@query("SELECT count(*) AS pages, count(CASE WHEN contains(url, '/node/') THEN 1 END) AS node_pages, count(CASE WHEN contains(html, 'class=\"katex\"') THEN 1 END) AS math_pages, count(CASE WHEN contains(html, 'katex-error') THEN 1 END) AS render_errors, count(CASE WHEN contains(url, '/node/') THEN 1 END) >= 25 AS enough_nodes, count(CASE WHEN contains(html, 'class=\"katex\"') THEN 1 END) >= 10 AS enough_math FROM pages")
+def q_page_counters(spark, sf):
+    return audit.counters(table(spark, sf, "pages"), "url", "html")
+
+
+@query("SELECT r AS path FROM (VALUES ('index.html'), ('graph/index.html'), ('index/index.html'), ('timeline/index.html'), ('imports/index.html'), ('404.html')) v(r) WHERE r NOT IN (SELECT lower(r_name) || '.html' FROM region UNION ALL SELECT '404.html')")
+def q_missing_routes(spark, sf):
+    known = table(spark, sf, "region").select(F.concat(F.lower("r_name"), F.lit(".html")).alias("path")).unionByName(spark.createDataFrame([("404.html",)], "path string"))
+    return audit.missing_routes(known)
+
+
+@query("SELECT p_partkey, 'Pp-x-1-' || upper(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))[1:55] || '-' || upper(sha256('label:' || p_name)[1:6]) AS slug FROM part")
+def q_slug_ids(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.suggested_id(F.lit("p x.1"), F.concat(F.lit("label:"), "p_name")).alias("slug"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM documents")
+def q_content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.content_hash(T.line_feeds(F.col("text"))).alias("content_hash"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents")
+def q_collapsed_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.collapse(F.col("text")), 256).alias("h"))
+
+
+_KEYS = "k AS (SELECT doc_id, 'unlabeled:' || lang || ':' || sha256(text)[1:16] AS base FROM documents), r AS (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY base) AS n FROM k)"
+
+
+@query(f"WITH {_KEYS} SELECT doc_id, CASE WHEN nth = 1 THEN base ELSE base || ':duplicate:' || doc_id END AS source_key, n > 1 AS blocked, nth FROM r")
+def q_identity_keys(spark, sf):
+    base = F.concat(F.lit("unlabeled:"), "lang", F.lit(":"), F.left(F.sha2("text", 256), F.lit(16)))
+    w = Window.partitionBy("base")
+    k = table(spark, sf, "documents").select("doc_id", base.alias("base")).withColumns({"nth": F.row_number().over(w.orderBy("doc_id")), "n": F.count("*").over(w)})
+    return k.select("doc_id", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit(":duplicate:"), F.col("doc_id").cast("string"))).alias("source_key"), (F.col("n") > 1).alias("blocked"), "nth")
+
+
+@query("WITH l AS (SELECT lang AS paper, n_chars AS label, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT doc_id, lang AS paper, n_chars + 1 AS label FROM documents) SELECT doc_id, CASE WHEN n IS NULL THEN 'Unresolved' WHEN n > 1 THEN 'Ambiguous' ELSE 'resolved' END AS problem FROM r LEFT JOIN l USING (paper, label)")
+def q_duplicate_labels(spark, sf):
+    """A document's length is its label, and it refers to the next length in its language."""
+    d = table(spark, sf, "documents")
+    counts = extract.label_counts(d.select(F.col("lang").alias("paper"), F.col("n_chars").alias("label")))
+    refs = d.select("doc_id", F.col("lang").alias("paper"), (F.col("n_chars") + 1).alias("label"))
+    return refs.join(counts, ["paper", "label"], "left").select("doc_id", F.when(F.col("n").isNull(), "Unresolved").when(F.col("n") > 1, "Ambiguous").otherwise("resolved").alias("problem"))
+
+
+@query("WITH cited AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 10) SELECT p_partkey AS key, p_partkey IN (SELECT k FROM cited) AS used, false AS missing FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT k, true, true FROM cited WHERE k % 9 = 0 OR k NOT IN (SELECT p_partkey FROM part)")
+def q_unused_and_missing_citations(spark, sf):
+    cited = table(spark, sf, "lineitem").filter("l_quantity < 10").select(F.lit("p").alias("paper"), F.col("l_partkey").alias("key")).distinct()
+    entries = table(spark, sf, "part").filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("key"))
+    used = entries.join(cited.select("key", F.lit(True).alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(False)).alias("used"), F.lit(False).alias("missing"))
+    return used.unionByName(cited.select("key").join(entries, "key", "left_anti").select("key", F.lit(True).alias("used"), F.lit(True).alias("missing")))
+
+
+@query("WITH c AS (SELECT DISTINCT conv_id, turn, role FROM conversations), s AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS section_turn FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)) "
+       "SELECT conv_id, turn, role, section, section_turn, section || '.' || sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, section ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS number FROM s")
+def q_section_counters(spark, sf):
+    """Users' turns open sections; the others are counted within theirs."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("role") == "user"
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role").distinct().withColumns({"section": F.sum(F.when(opens, 1).otherwise(0)).over(w), "section_turn": F.last(F.when(opens, F.col("turn")), ignorenulls=True).over(w)})
+    within = Window.partitionBy("conv_id", "section").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("number", F.concat(F.col("section").cast("string"), F.lit("."), F.sum(F.when(opens, 0).otherwise(1)).over(within).cast("string")))
+
+
+_SPANS = "s AS (SELECT l_orderkey AS k, l_linenumber * 10 + l_partkey % 17 AS first, l_linenumber * 10 + l_partkey % 17 + l_suppkey % 9 AS last FROM lineitem)"
+
+
+@query(f"WITH {_SPANS}, r AS (SELECT *, max(last) OVER (PARTITION BY k ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR first > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM r) SELECT k, min(first) AS first, max(last) AS last FROM i GROUP BY k, island")
+def q_span_merge(spark, sf):
+    first = F.col("l_linenumber") * 10 + F.col("l_partkey") % 17
+    return provenance.merge_spans(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), first.alias("first"), (first + F.col("l_suppkey") % 9).alias("last")), ["k"])
+
+
+@query("WITH d AS (SELECT doc_id, text, substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 40) AS sel FROM documents), e AS (SELECT *, strpos(text, sel) AS at FROM d), l AS (SELECT doc_id, len(string_split(substr(text, 1, at - 1), chr(10))) - 1 AS lo, greatest(len(string_split(sel, chr(10))) - CASE WHEN ends_with(sel, chr(10)) THEN 1 ELSE 0 END, 1) AS n FROM e WHERE at > 0) SELECT doc_id, 10 + lo AS start_line, 10 + lo + n - 1 AS end_line FROM l")
+def q_selection_lines(spark, sf):
+    sel = F.substring(F.col("text"), 1 + F.floor(F.length("text") / 2).cast("int"), F.lit(40))
+    d = table(spark, sf, "documents").select("doc_id", "text", sel.alias("sel")).withColumn("lo", T.first_line(F.col("text"), F.col("sel"))).filter("lo IS NOT NULL")
+    return d.select("doc_id", (10 + F.col("lo")).alias("start_line"), (10 + F.col("lo") + T.line_count(F.col("sel")) - 1).alias("end_line"))
+
+
+# --- provenance -----------------------------------------------------------------------------------------------------------------------
+
+
+def _fragments(spark, sf):
+    """Labelled documents pin the first 40 characters of the previous import's text, and the next 20 as context."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").filter("length(text) > 60")
+    none = F.lit(None).cast("string")
+    pin = lambda a, n, *more: F.struct(F.col("source").alias("file"), F.lit(1).alias("startLine"), (F.lit(0) + T.line_count(F.substring("text", a, n))).cast("int").alias("endLine"), F.substring("text", a, n).alias("selectedText"), F.sha2(F.substring("text", a, n), 256).alias("contentHash"), *more)
+    return d.select(
+        B.key("FRAG", "doc_id").alias("id"), F.lit("source-fragment").alias("kind"), "doc_id", "toxic", "quality", F.struct(F.lit("o/r").alias("repository"), F.lit("main").alias("branch"), F.lit("c").alias("commit"), F.col("source").alias("file"), F.lit("p").alias("paperDirectory")).alias("source"),
+        F.struct(F.col("doc_id").cast("string").alias("latexLabel"), F.col("lang").alias("environment"), none.alias("printedNumber")).alias("container"), F.array(pin(1, 40)).alias("assertionSelections"), F.array(pin(41, 20, F.lit("scope").alias("role"))).alias("contextSelections"),
+        F.struct(F.col("doc_id").cast("string").alias("sourceKey"), F.col("lang").alias("title"), none.alias("paperTitle"), none.alias("section"), F.lit("s").alias("statementScope")).alias("context"),
+    )
+
+
+def _objects(spark, sf):
+    """The current import: some texts lost their first or their fiftieth letter, some documents are gone, some sources are renamed."""
+    d = table(spark, sf, "documents").filter("doc_id % 10 <> 0")
+    now = F.when(F.col("doc_id") % 7 == 0, F.expr("substring(text, 2)")).when(F.col("doc_id") % 11 == 0, F.concat(F.left("text", F.lit(49)), F.expr("substring(text, 51)"))).otherwise(F.col("text"))
+    none = F.lit(None).cast("string")
+    return d.select(
+        F.lit("p").alias("paperDirectory"), F.lit("o/r").alias("repository"), F.lit("main").alias("branch"), F.lit("c").alias("commit"), none.alias("paperTitle"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("sourceKey"), F.col("doc_id").cast("string").alias("latexLabel"), F.col("lang").alias("environment"),
+        none.alias("printedNumber"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source")).alias("sourceFile"), F.lit(1).alias("startLine"), now.alias("statement"), none.alias("section"),
+    )
+
+
+_FRESH = r"""
+d AS (SELECT l.doc_id, toxic, quality, source, text, CASE WHEN doc_id % 7 = 0 THEN substr(text, 2) WHEN doc_id % 11 = 0 THEN substr(text, 1, 49) || substr(text, 51) ELSE text END AS now FROM labels l JOIN documents USING (doc_id) WHERE length(text) > 60),
+nl AS (SELECT *, strpos(now, substr(text, 1, 40)) AS a, strpos(now, substr(text, 41, 20)) AS c FROM d),
+x AS (SELECT *, CASE WHEN a > 0 THEN len(string_split(substr(now, 1, a - 1), chr(10))) - 1 END AS al, CASE WHEN c > 0 THEN len(string_split(substr(now, 1, c - 1), chr(10))) - 1 END AS cl FROM nl),
+f AS (SELECT doc_id, toxic, quality, doc_id % 10 = 0 AS missing, a = 0 AS asserted, c = 0 AS context, doc_id % 5 = 0 OR coalesce(al, 0) <> 0 OR coalesce(cl, 0) <> 0 AS moved FROM x),
+s AS (SELECT *, CASE WHEN missing THEN 'source-missing' WHEN asserted THEN 'assertion-changed' WHEN context THEN 'context-changed' WHEN moved THEN 'locator-changed' ELSE 'current' END AS state, CASE WHEN missing OR moved THEN 'changed' ELSE 'current' END AS ls, CASE WHEN missing OR asserted THEN 'changed' ELSE 'current' END AS ast, CASE WHEN missing OR context THEN 'changed' ELSE 'current' END AS cs FROM f)"""
+
+
+@query(f"WITH {_FRESH} SELECT 'FRAG-' || doc_id AS id, state, ls AS locator_state, ast AS assertion_state, cs AS context_state, CASE WHEN missing THEN 'source environment is missing from the imported paper' ELSE concat_ws('|', CASE WHEN moved THEN 'source locator or presentation metadata changed' END, CASE WHEN asserted THEN 'assertion selection changed' END, CASE WHEN context THEN 'context selection changed' END) END AS reasons FROM s")
+def q_fragment_freshness(spark, sf):
+    f = provenance.inspect(provenance.snapshots(_fragments(spark, sf), _objects(spark, sf)))
+    return f.select("id", "state", F.col("locatorState").alias("locator_state"), F.col("assertionState").alias("assertion_state"), F.col("contextState").alias("context_state"), F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(f"WITH {_FRESH} SELECT 'ATT-' || doc_id AS id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 AND ast = 'current' AND cs = 'current' THEN 'accepted' ELSE 'needs-review' END AS semantic_review, CASE ls WHEN 'changed' THEN 'moved / renumbered' ELSE ls END AS locator FROM s")
+def q_attestation_status(spark, sf):
+    fragments = _fragments(spark, sf)
+    said = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("needs-review")
+    att = fragments.select(B.key("ATT", "doc_id").alias("id"), F.col("id").alias("fragment"), F.struct(said.alias("state")).alias("review"))
+    done = provenance.evaluate(att, provenance.inspect(provenance.snapshots(fragments, _objects(spark, sf))))
+    return done.select("id", F.col("semanticReview").alias("semantic_review"), provenance.state_label(F.col("locatorState")).alias("locator"))
+
+
+# --- rules and migration --------------------------------------------------------------------------------------------------------------
+
+_TYPES = "CASE o_orderkey % 4 WHEN 0 THEN 'theorem' WHEN 1 THEN 'concept' WHEN 2 THEN 'claim' ELSE 'paper' END"
+
+
+def _typed_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    kind = F.element_at(F.array(F.lit("theorem"), F.lit("concept"), F.lit("claim"), F.lit("paper")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select(B.key("ORD", "o_orderkey").alias("id"), kind.alias("type"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(f"SELECT 'claim-standing' AS rule, 'ORD-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'Claim-like records require claimStanding' ELSE 'Non-claim records must omit claimStanding' END AS detail FROM orders WHERE (o_orderkey % 4 IN (0, 2)) <> (o_orderstatus <> 'F')")
+def q_claim_standing_rule(spark, sf):
+    o = _typed_orders(spark, sf).withColumn("claimStanding", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")))
+    return validate.claim_standing(o)
+
+
+@query(f"WITH t AS (SELECT o_orderkey, {_TYPES} AS type, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'in-progress' ELSE 'open' END AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'background' WHEN o_orderpriority = '2-HIGH' THEN 'research-direction' ELSE 'source-backed' END AS provenance, CASE WHEN o_orderkey % 5 = 0 THEN '2606.18238' END AS arxiv FROM orders) "
+       "SELECT 'ORD-' || o_orderkey AS id, CASE WHEN type IN ('theorem', 'claim') THEN CASE status WHEN 'published' THEN 'source-claimed' WHEN 'in-progress' THEN 'conjectural' ELSE status END END AS standing, CASE WHEN status IN ('in-progress', 'open') THEN 'draft' WHEN provenance = 'background' THEN 'reviewed' WHEN provenance = 'research-direction' THEN 'draft' ELSE 'curated' END AS editorial, CASE WHEN status = 'published' THEN 'published' WHEN arxiv IS NOT NULL THEN 'preprint' ELSE 'unpublished' END AS publication, 'P1' AS projects FROM t")
+def q_legacy_migration(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "in-progress").otherwise("open")
+    prov = F.when(F.col("o_orderpriority") == "1-URGENT", "background").when(F.col("o_orderpriority") == "2-HIGH", "research-direction").otherwise("source-backed")
+    o = _typed_orders(spark, sf).withColumns({"status": status, "provenance": prov, "arxiv": F.when(F.col("o_orderkey") % 5 == 0, "2606.18238"), "project": F.lit("P1")})
+    return review.migrate(o).select("id", F.col("claimStanding").alias("standing"), F.col("editorialState").alias("editorial"), F.col("publicationStatus").alias("publication"), F.array_join("projects", ",").alias("projects"))
+
+
+_MEMBERS = "m AS (SELECT 'ORD-' || l_orderkey AS id, list('P-' || l_suppkey ORDER BY l_suppkey) AS ps FROM lineitem GROUP BY l_orderkey), g AS (SELECT 'P-' || s_suppkey AS k FROM supplier WHERE s_suppkey % 10 <> 0)"
+
+
+@query(f"WITH {_MEMBERS} SELECT 'duplicate-project' AS rule, id, 'duplicate project membership' AS detail FROM m WHERE len(list_distinct(ps)) < len(ps) UNION ALL SELECT 'unknown-project', id, k FROM (SELECT DISTINCT id, unnest(ps) AS k FROM m) WHERE k NOT IN (SELECT k FROM g) UNION ALL SELECT 'empty-projects', 'ORD-' || o_orderkey, 'at least one project is required' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def q_project_membership(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy(B.key("ORD", "l_orderkey").alias("id")).agg(F.collect_list(B.key("P", "l_suppkey")).alias("projects"))
+    members = table(spark, sf, "orders").select(B.key("ORD", "o_orderkey").alias("id")).join(lines, "id", "left")
+    registry = table(spark, sf, "supplier").filter("s_suppkey % 10 <> 0").select(B.key("P", "s_suppkey").alias("key"))
+    return validate.membership(members.join(lines.select("id"), "id", "left_semi").unionByName(members.join(lines.select("id"), "id", "left_anti")), registry)
+
+
+@query("SELECT 'ORD-' || o_orderkey AS id, (SELECT string_agg(s_name, ' · ' ORDER BY pos) FROM (SELECT s_name, l_linenumber * 1000000 + l_suppkey AS pos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey)) AS titles FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def q_project_titles(spark, sf):
+    member = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("pos"))
+    named = member.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    return named.groupBy(B.key("ORD", "l_orderkey").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s_name"))), lambda x: x["s_name"]), " · ").alias("titles"))
+
+
+@query("SELECT 'P-' || s_suppkey AS id, 'unknown-anchor' AS rule, 'CUST-' || (s_suppkey * 20) AS detail FROM supplier WHERE 'CUST-' || (s_suppkey * 20) NOT IN (SELECT 'CUST-' || c_custkey FROM customer)")
+def q_unknown_anchors(spark, sf):
+    registry = table(spark, sf, "supplier").select(B.key("P", "s_suppkey").alias("key"), F.concat(F.lit("CUST-"), (F.col("s_suppkey") * 20).cast("string")).alias("anchor"))
+    return validate.anchors(registry, B.nodes(spark, sf))
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT 'unknown-about' AS rule, id, target AS detail FROM about WHERE target NOT IN (SELECT id FROM nodes)")
+def q_unknown_about(spark, sf):
+    return validate.unknown_about(B.about(spark, sf), B.nodes(spark, sf))
+
+
+@query("SELECT o_orderkey, CAST(day(o_orderdate) AS VARCHAR) || ' ' || monthname(o_orderdate) || ' ' || year(o_orderdate) AS shown FROM orders")
+def q_long_dates(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.long_date(F.col("o_orderdate")).alias("shown"))
+
+
+@query("SELECT p_partkey, replace(lower(p_type), '-', ' ') AS label, CASE p_brand WHEN 'Brand#11' THEN 'Proved' WHEN 'Brand#12' THEN 'Open problem' END AS standing, CASE WHEN length(CAST(p_size AS VARCHAR)) >= 2 THEN CAST(p_size AS VARCHAR) ELSE '0' || p_size END AS ordinal, CASE WHEN length(p_name) >= 19 THEN p_name ELSE rpad(p_name, 19, ' ') END || '|' AS padded FROM part")
+def q_labels_and_padding(spark, sf):
+    standing = T.lookup(T.lookup(F.col("p_brand"), {"Brand#11": "proved", "Brand#12": "open"}), {k: v[0] for k, v in S.STANDINGS.items()})
+    return table(spark, sf, "part").select("p_partkey", T.type_label(F.lower("p_type")).alias("label"), standing.alias("standing"), T.pad_start(F.col("p_size").cast("string"), 2, "0").alias("ordinal"), F.concat(T.pad_end(F.col("p_name"), 19), F.lit("|")).alias("padded"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url END AS safe, regexp_replace('2606.' || (10000 + page_id) || 'v2', 'v\\d+$', '') AS arxiv, CASE WHEN page_id % 2 = 0 THEN '2606.' || (10000 + page_id) END AS directory FROM pages")
+def q_urls_and_arxiv(spark, sf):
+    n = F.concat(F.lit("2606."), (10000 + F.col("page_id")).cast("string"))
+    return table(spark, sf, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe"), T.arxiv_base(F.concat(n, F.lit("v2"))).alias("arxiv"), T.directory_arxiv(F.when(F.col("page_id") % 2 == 0, n).otherwise("x")).alias("directory"))
+
+
+@query("SELECT s_suppkey, concat_ws(', ', CASE WHEN s_suppkey % 2 = 0 THEN 'A, B; C' END, s_name, CASE WHEN s_suppkey % 3 = 0 THEN '2020' END, 'J') AS line, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, concat_ws(' ', 'lemma', CAST(s_suppkey AS VARCHAR))) AS title FROM supplier")
+def q_bibliography_lines(spark, sf):
+    s = table(spark, sf, "supplier").withColumns({"author": F.when(F.col("s_suppkey") % 2 == 0, "A, B and C"), "none": F.lit(None).cast("string"), "k": F.col("s_suppkey").cast("string")})
+    return s.select("s_suppkey", T.bibliography_line(T.bib_authors(F.col("author"), F.col("none")), F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, "2020"), F.lit("J")).alias("line"), T.title_or(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")), F.lit("lemma"), F.col("none"), F.col("k"), F.lit("x")).alias("title"))
+
+
+@query("SELECT c_custkey, 'ACCEPTED' AS state, 'C' || c_nationkey AS commit12 FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'REJECTED', 'new' FROM customer WHERE c_custkey % 3 = 0")
+def q_network_replace(spark, sf):
+    """A third of the ledger is replaced by new decisions."""
+    old = table(spark, sf, "customer").select("c_custkey", F.lit("ACCEPTED").alias("state"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("commit12"))
+    return review.replaced(old, old.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("REJECTED").alias("state"), F.lit("new").alias("commit12")), "c_custkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'd1/k1:new,d2/k2:old' ELSE 'd1/k1:old,d2/k2:old,d3/k3:new' END AS sources FROM part")
+def q_source_upsert(spark, sf):
+    src = lambda d, k, h: F.struct(F.lit("r").alias("repository"), F.lit(d).alias("paperDirectory"), F.lit(k).alias("sourceKey"), F.lit(h).alias("contentHash"))
+    new = F.when(F.col("p_partkey") % 2 == 0, src("d1", "k1", "new")).otherwise(src("d3", "k3", "new"))
+    done = review.upsert_source(F.array(src("d1", "k1", "old"), src("d2", "k2", "old")), new)
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(done, lambda s: F.concat(s["paperDirectory"], F.lit("/"), s["sourceKey"], F.lit(":"), s["contentHash"])), ",").alias("sources"))
+
+
+@query(f"WITH {B.NODES} SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'refuse' WHEN o_orderkey % 5 = 1 THEN 'update' WHEN o_orderkey % 5 = 2 THEN 'create' WHEN o_orderkey % 5 = 3 THEN 'refuse' ELSE 'refuse' END AS action, CASE o_orderkey % 5 WHEN 1 THEN 'CUST-' || o_custkey WHEN 2 THEN 'NEW-' || o_orderkey END AS node_id FROM orders")
+def q_accept_plan(spark, sf):
+    """By turns: a blocked proposal, a match, a new node, a source of another node, nothing chosen."""
+    o = table(spark, sf, "orders").withColumns({"m": F.col("o_orderkey") % 5, "paper": F.lit("p"), "source_key": F.col("o_orderkey")})
+    text = lambda cond, x: F.when(cond, x)
+    props = o.select("paper", "source_key", F.lit("h").alias("content_hash"), (F.col("m") == 0).alias("blocked"), F.lit(False).alias("has_error"))
+    sources = o.filter("m = 3").select(F.lit("SUPP-1").alias("node_id"), "paper", "source_key")
+    choice = o.select("paper", "source_key", text(F.col("m").isin(0, 1, 3), B.key("CUST", "o_custkey")).alias("match"), text(F.col("m") == 2, B.key("NEW", "o_orderkey")).alias("new_id"), F.when(F.col("m") == 2, F.array(F.lit("P"))).alias("projects"))
+    ledger = spark.createDataFrame([], "paper string, source_key bigint, state string, node_id string")
+    return review.accept_plan(props, sources, ledger, B.nodes(spark, sf), choice).select(F.col("source_key").alias("o_orderkey"), "action", "node_id")
+
+
+@query(f"WITH {B.NODES}, {B.RELATIONS} SELECT 'ORD-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Choose a supported type and supply a note.' WHEN o_orderkey % 4 = 1 THEN 'unknown target CUST-0x' WHEN o_orderkey % 4 = 2 THEN 'Relation already exists.' END AS problem FROM orders")
+def q_relate_plan(spark, sf):
+    m = F.col("o_orderkey") % 4
+    wanted = table(spark, sf, "orders").select(B.key("ORD", "o_orderkey").alias("id"), F.when(m == 1, "CUST-0x").when(m == 2, B.key("CUST", "o_custkey")).otherwise("REGION-1").alias("target"), F.when(m == 0, "likes").when(m == 2, "depends-on").otherwise("uses").alias("type"), F.lit("because").alias("note"))
+    return review.relate_plan(wanted, B.nodes(spark, sf), norm(spark, sf)).select("id", "problem")
+
+
+@query("SELECT event_type AS source_key, count(*) || ' NEW' AS line FROM events GROUP BY event_type")
+def q_status_lines(spark, sf):
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.select(F.col("event_type").alias("source_key"), F.concat_ws(" ", F.col("n").cast("string"), F.lit("NEW")).alias("line"))
+
+
+# --- papers: literal bundles, as the driver's texts hold no TeX -------------------------------------------------------------------------
+
+
+def _scanned(spark):
+    return extract.scan_papers(fixtures.bundles(spark))
+
+
+@query()
+def q_latex_objects(spark, sf):
+    return extract.proposals(_scanned(spark))
+
+
+@query()
+def q_latex_sections(spark, sf):
+    return extract.rows_of(_scanned(spark), "section")
+
+
+@query()
+def q_latex_references(spark, sf):
+    s = _scanned(spark)
+    labels = extract.rows_of(s, "label")
+    objects = extract.identified(extract.rows_of(s, "object"), labels)
+    return extract.resolved_references(objects, extract.label_catalog(labels, objects))
+
+
+@query()
+def q_latex_labels(spark, sf):
+    s = _scanned(spark)
+    labels = extract.rows_of(s, "label")
+    return extract.label_catalog(labels, extract.identified(extract.rows_of(s, "object"), labels))
+
+
+@query()
+def q_latex_diagnostics(spark, sf):
+    return extract.diagnostics(_scanned(spark))
+
+
+@query()
+def q_bibtex_entries(spark, sf):
+    s = _scanned(spark)
+    return extract.used_citations(extract.rows_of(s, "citation"), extract.rows_of(s, "paper")).drop("fields")
+
+
+@query()
+def q_latex_preview_segments(spark, sf):
+    from ..functions.tex import preview_column
+
+    return fixtures.bundles(spark).select("paper", "path", F.posexplode(preview_column("text")).alias("pos", "s")).select("paper", "path", "pos", "s.*")
+
+
+@query()
+def q_latex_commands(spark, sf):
+    return fixtures.bundles(spark).select(F.concat_ws("/", "paper", "path").alias("id"), "text").mapInPandas(extract.commands_of, "id string, pos int, name string, start int, end int")
