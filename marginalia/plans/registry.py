@@ -424,7 +424,7 @@ def q_span_merge(spark, sf):
     return provenance.merge_spans(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), first.alias("first"), (first + F.col("l_suppkey") % 9).alias("last")), ["k"])
 
 
-@query("WITH d AS (SELECT doc_id, text, substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 40) AS sel FROM documents), e AS (SELECT *, strpos(text, sel) AS at FROM d), l AS (SELECT doc_id, len(string_split(substr(text, 1, at - 1), chr(10))) - 1 AS lo, greatest(len(string_split(sel, chr(10))) - CASE WHEN ends_with(sel, chr(10)) THEN 1 ELSE 0 END, 1) AS n FROM e WHERE at > 0) SELECT doc_id, 10 + lo AS start_line, 10 + lo + n - 1 AS end_line FROM l")
+@query("WITH d AS (SELECT doc_id, text, substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 40) AS sel FROM documents), e AS (SELECT *, strpos(text, sel) AS found FROM d), l AS (SELECT doc_id, len(string_split(substr(text, 1, found - 1), chr(10))) - 1 AS lo, greatest(len(string_split(sel, chr(10))) - CASE WHEN ends_with(sel, chr(10)) THEN 1 ELSE 0 END, 1) AS n FROM e WHERE found > 0) SELECT doc_id, 10 + lo AS start_line, 10 + lo + n - 1 AS end_line FROM l")
 def q_selection_lines(spark, sf):
     sel = F.substring(F.col("text"), 1 + F.floor(F.length("text") / 2).cast("int"), F.lit(40))
     d = table(spark, sf, "documents").select("doc_id", "text", sel.alias("sel")).withColumn("lo", T.first_line(F.col("text"), F.col("sel"))).filter("lo IS NOT NULL")
