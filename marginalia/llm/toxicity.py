@@ -150,17 +150,15 @@ def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, bins: in
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots and their calibrated probabilities, rising."""
-    order = np.lexsort((label, score))
-    pools: list[list[float]] = []
-    for s, y in zip(score[order], label[order], strict=True):
-        if pools and pools[-1][3] == s:  # ties share a value
-            pools[-1][0] += y
-            pools[-1][1] += 1
-        else:
-            pools.append([float(y), 1.0, float(s), float(s)])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            y2, n2, _, hi = pools.pop()
-            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], hi]
+    values, at = np.unique(score, return_inverse=True)  # ties share a value
+    n, y = np.bincount(at, minlength=len(values)), np.bincount(at, label, minlength=len(values))
+    pools: list[tuple[float, float, float, float]] = []  # sum of labels, rows, least and greatest score
+    for v, own, total in zip(values, y, n, strict=True):
+        pool = (float(own), float(total), float(v), float(v))
+        while pools and pools[-1][0] * pool[1] > pool[0] * pools[-1][1]:
+            last = pools.pop()
+            pool = (last[0] + pool[0], last[1] + pool[1], last[2], pool[3])
+        pools.append(pool)
     xs = np.array([v for p in pools for v in (p[2], p[3])])
     ys = np.array([p[0] / p[1] for p in pools for _ in (0, 1)])
     return xs, ys
