@@ -181,6 +181,7 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
     """a, b: links between representatives (fp, rep) whose fingerprints are within the radius, a forest for each shard."""
     n_parts = parts_for(classes.count() * len(blocks_of), shard_entries)
     bits = 64 * n_words
+    assert len(blocks_of) <= 64 and max(map(len, blocks_of)) <= 26
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +192,10 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
             fp = np.frombuffer(raw, ">u8").astype("<u8").reshape(-1, n_words)
             bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(rep), -1), axis=1)
             assert bit.shape[1] == bits
-            keys = np.concatenate([(bit[:, b].astype(np.uint64) @ (np.uint64(1) << np.arange(len(b), dtype=np.uint64))) | (np.uint64(k) << np.uint64(48)) for k, b in enumerate(blocks_of)])
+            # the block's number in the upper six bits, its value in the lower 26
+            keys = np.concatenate([(bit[:, b].astype(np.uint32) @ (np.uint32(1) << np.arange(len(b), dtype=np.uint32))) | np.uint32(k << 26) for k, b in enumerate(blocks_of)])
             row = np.tile(np.arange(len(rep)), len(blocks_of))
-            part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_parts)
+            part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_parts)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             parts, blobs = [], []
@@ -207,9 +209,9 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 n = struct.unpack_from("<I", blob)[0]
-                keys.append(np.frombuffer(blob, "<u8", n, 4))
-                reps.append(np.frombuffer(blob, "<i8", n, 4 + 8 * n))
-                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 16 * n).reshape(n, n_words))
+                keys.append(np.frombuffer(blob, "<u4", n, 4))
+                reps.append(np.frombuffer(blob, "<i8", n, 4 + 4 * n))
+                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 12 * n).reshape(n, n_words))
         if not keys:
             return
         key, rep, fp = np.concatenate(keys), np.concatenate(reps), np.concatenate(fps)
@@ -249,9 +251,9 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
 
 
-#: For similarity 0.8 on five-word shingles: 128 bits, of which two texts of that similarity differ in about 19. Bands of sampled bits route
-#: to shards, as disjoint blocks would hardly select at this distance.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 2, 20, (32, 16)
+#: For similarity 0.8 on five-word shingles: 256 bits, of which two texts of that similarity differ in 39 +- 6; at 0.85, in 33. Bands of
+#: sampled bits route to shards, as disjoint blocks would hardly select at this distance; a pair at 0.85 shares one with probability 0.99.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 4, 44, (32, 14)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
