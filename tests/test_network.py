@@ -94,7 +94,7 @@ def test_papers(spark):
 
 def test_reimport(spark):
     one = extract.proposals(extract.scan_papers(fixtures.bundles(spark).filter("paper = '2701.00001'")))
-    edited = fixtures.bundles(spark).filter("paper = '2701.00001'").withColumn("text", F.replace("text", F.lit("year = 2020"), F.lit("year = 2021"))).withColumn("text", F.replace("text", F.lit("A shape is a thing."), F.lit("A shape is a thing. % note")))
+    edited = fixtures.bundles(spark).filter("paper = '2701.00001'").withColumn("text", F.replace("text", F.lit("year = 2020"), F.lit("year = 2021"))).withColumn("text", F.replace("text", F.lit("A shape is a thing."), F.lit("A shape is a thing. % note\n")))
     two = extract.proposals(extract.scan_papers(edited))
     diff = {r.source_key: r["class"] for r in imports.compare(one, two, ["paper", "source_key"]).collect()}
     assert diff["label:thm:main"] == "changed" and diff["label:lem:flat"] == "unchanged"
