@@ -162,3 +162,13 @@ def bib_authors(author: Column, editor: Column) -> Column:
 
 def bibliography_line(authors: Column, title: Column, year: Column, journal: Column) -> Column:
     return F.concat_ws(", ", F.when(F.size(authors) > 0, F.array_join(authors, "; ")), title, year, journal)
+
+
+def canonical_url(origin: Column, path: Column) -> Column:
+    return F.concat(F.regexp_replace(origin, r"/+\z", ""), F.lit("/"), F.regexp_replace(path, r"^/+", ""))
+
+
+def content_path(file: Column, marker: str = "src/content/") -> Column:
+    """What follows the content folder in a file's path, backslashes as slashes; null outside it."""
+    parts = F.split(F.replace(file, F.lit("\\"), F.lit("/")), marker)
+    return F.get(parts, 1)

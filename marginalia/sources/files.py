@@ -75,3 +75,22 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, multilin
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(path)
+
+
+def guarded(root: str, file: str) -> str:
+    """The path of a file below a local folder; links that lead outside are errors."""
+    import os
+
+    base, path = os.path.realpath(root), os.path.realpath(os.path.join(root, file))
+    if path != base and not path.startswith(base + os.sep):
+        raise ValueError(f"Local source symlink escapes paper directory: {file}")
+    return path
+
+
+def read_pages(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), html of every built page."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(root, wholetext=True)
+    name = root.rstrip("/").split("/")[-1]
+    return pages.select(F.element_at(F.split(F.col("_metadata.file_path"), f"/{name}/"), -1).alias("path"), F.col("value").alias("html"))
