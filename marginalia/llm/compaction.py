@@ -24,6 +24,7 @@ from .common import fresh_dir, table
 
 TARGET_BYTES, ARRIVAL_ROWS, FAN_IN = 128 << 20, 2_000, 4
 LEAST_BYTES = 64 << 10
+BROADCAST_SHARDS = 100_000
 
 
 @dataclass(frozen=True, order=True)
@@ -61,6 +62,11 @@ def plan(shards: list[Shard], target: int = TARGET_BYTES, fan_in: int = FAN_IN)
     return [b for b in bins if len(b) > 1]
 
 
+def bounded(shards: DataFrame, n: int) -> DataFrame:
+    """Broadcasts short rows about shards up to a number of them; beyond, they are joined by a shuffle."""
+    return F.broadcast(shards) if n <= BROADCAST_SHARDS else shards
+
+
 class Store:
     """A versioned set of Parquet shards under one root that Spark's file systems reach."""
 
@@ -134,7 +140,7 @@ class Store:
             of = [(s.path.rsplit("/", 1)[-1], k) for k, own in enumerate(bins) for s in own]
             paths = [s.path for own in bins for s in own]
             # one short row for each merged file; file names are unique, as every job's names bear its id
-            names = F.broadcast(self.spark.createDataFrame(of, "_name string, _bin int"))
+            names = bounded(self.spark.createDataFrame(of, "_name string, _bin int"), len(of))
             rows = self.spark.read.parquet(*paths)
             columns = rows.columns
             rows = rows.withColumn("_name", F.col("_metadata.file_name")).join(names, "_name")
@@ -173,7 +179,7 @@ def shard_documents(docs: DataFrame, root: str, arrivals: int = 1, target: int =
     if rows is None:
         return docs.limit(0).withColumns({"_shard": F.lit(""), "_shard_bytes": F.lit(0).cast("long"), "_version": F.lit(0).cast("long")})
     about = [(s.path.rsplit("/", 1)[-1], s.bytes, s.version) for s in store.shards(version)]
-    known = F.broadcast(spark.createDataFrame(about, "_name string, _shard_bytes long, _version long"))
+    known = bounded(spark.createDataFrame(about, "_name string, _shard_bytes long, _version long"), len(about))
     return rows.withColumn("_name", F.element_at(F.split("_shard", "/"), -1)).join(known, "_name").drop("_shard").withColumnRenamed("_name", "_shard")
 
 
