@@ -161,9 +161,8 @@ def compact_ring(members: DataFrame, centre: str, id: str = "id") -> DataFrame:
     from pyspark.sql import Window
 
     rest = members.filter(F.col(id) != centre).withColumn("i", F.row_number().over(Window.orderBy(id)) - 1)
-    n = rest.agg(F.count("*").alias("n"))
     angle = F.col("i") / F.col("n") * (2 * F.pi())
-    around = rest.crossJoin(F.broadcast(n)).select(*members.columns, (260 + 215 * F.cos(angle)).alias("x"), (210 + 165 * F.sin(angle)).alias("y"))
+    around = rest.withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).select(*members.columns, (260 + 215 * F.cos(angle)).alias("x"), (210 + 165 * F.sin(angle)).alias("y"))
     return around.unionByName(members.filter(F.col(id) == centre).withColumns({"x": F.lit(260.0), "y": F.lit(210.0)}))
 
 
