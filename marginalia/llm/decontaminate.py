@@ -7,7 +7,7 @@ item always stands for the same value of the document. So a question with new nu
 shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as they fit anything.
 
 The item side is small but grows with the benchmark: it is broadcast only while its counted windows are within BROADCAST_WINDOWS, and
-joined by a shuffle otherwise.
+joined by a shuffle otherwise; so are the slots to compare.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WINDOW, LEAST, LITERALS = 5, 0.8, 3
 BROADCAST_WINDOWS = 200_000
@@ -71,14 +71,18 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         bench = F.broadcast(bench)
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     windows = texts.select("doc_id", template(F.col("_text")).alias("_t")).select("doc_id", F.posexplode(window_hashes("_t")).alias("p", "h"))
-    hits = windows.join(bench, "h")
+    # few rows are left from here on: they are written once, and what follows reads no text but that of documents with slots to compare
+    hits = cut(windows.join(bench, "h"))
     held = hits.groupBy("doc_id", "item_id", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("containment"))
     held = held.filter(F.col("containment") >= least)
     # slots of the held items, by the diagonal on which document and item run alongside
     slots = hits.filter(F.size("slots") > 0).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal"), "p", F.explode("slots").alias("slot"))
     slots = slots.select("doc_id", "item_id", "diagonal", (F.col("p") + F.col("slot.j")).alias("at"), F.col("slot.value").alias("theirs")).distinct()
-    slots = slots.join(held.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    filled = slots.join(texts.select("doc_id", values(F.col("_text")).alias("_v")), "doc_id").withColumn("ours", F.get("_v", F.col("at")))
+    slots = cut(slots.join(held.select("doc_id", "item_id"), ["doc_id", "item_id"]))
+    wanted = slots.select("doc_id").distinct()
+    if slots.count() <= BROADCAST_WINDOWS:
+        wanted, slots = F.broadcast(wanted), F.broadcast(slots)
+    filled = texts.join(wanted, "doc_id", "left_semi").select("doc_id", values(F.col("_text")).alias("_v")).join(slots, "doc_id").withColumn("ours", F.get("_v", F.col("at")))
     kinds = filled.groupBy("doc_id", "item_id", "diagonal", "theirs").agg((F.min("ours") == F.max("ours")).cast("int").alias("same"))
     lines = kinds.groupBy("doc_id", "item_id", "diagonal").agg(F.avg("same").alias("share"))
     agreed = lines.groupBy(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")).agg(F.max("share").alias("consistency"))
