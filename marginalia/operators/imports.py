@@ -52,8 +52,11 @@ def fuzzy_matches(proposals: DataFrame, curated: DataFrame) -> DataFrame:
     proposals: pid, words, ptype, is_paper, parxiv; curated: cid, title_words, body_words, tag_words, ctype, is_paper, carxiv.
     A pair counts only with the same arXiv number or a title overlap of 0.4, which takes a shared word of the title. So instead of
     comparing all with all, words of titles are joined with words of proposals (counting shared words), and arXiv numbers with each other;
-    body and tag overlaps are computed only for the pairs that survive.
+    body and tag overlaps are computed only for the pairs that survive. Words are compared by 64-bit hashes, which Spark intersects and
+    joins in generated code.
     """
+    hashed = lambda df, *names: df.withColumns({n: F.transform(n, lambda w: F.xxhash64(w)) for n in names})
+    proposals, curated = hashed(proposals, "words"), hashed(curated, "title_words", "body_words", "tag_words")
     small = curated.select("cid", "title_words", "ctype", "is_paper", "carxiv")
     tokens = small.select("cid", "is_paper", F.size("title_words").alias("tn"), F.explode("title_words").alias("w"))
     if curated.count() <= BROADCAST_RECORDS:
