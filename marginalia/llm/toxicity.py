@@ -74,18 +74,21 @@ class Lexicon:
         return found
 
 
-def learn_lexicon(rows: list[tuple[set[str], int]]) -> Lexicon:
-    """Words and beginnings that toxic documents hold far more often than others."""
-    toxic, other = Counter(), Counter()
-    n_toxic = n_other = 0
-    for marks, label in rows:
-        if label:
-            toxic.update(marks)
-            n_toxic += 1
-        else:
-            other.update(marks)
-            n_other += 1
-    found = {m: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((other[m] + 0.5) / (n_other + 1))) for m, c in toxic.items() if c >= LEAST_DOCS}
+def marked(text: str) -> set[str]:
+    return {m for w in set(words_of(text)) for m in marks_of(plain(w))}
+
+
+def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
+    """Words and beginnings that toxic documents hold far more often than others.
+
+    Toxic documents are counted first; of the others, only what may enter the lexicon is counted, so memory follows the former.
+    """
+    toxic = Counter(m for t, y in zip(texts, labels, strict=True) if y for m in marked(t))
+    toxic = {m: c for m, c in toxic.items() if c >= LEAST_DOCS}
+    other = Counter(m for t, y in zip(texts, labels, strict=True) if not y for m in marked(t) if m in toxic)
+    n_toxic = sum(map(bool, labels))
+    n_other = len(labels) - n_toxic
+    found = {m: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((other[m] + 0.5) / (n_other + 1))) for m, c in toxic.items()}
     best = sorted((m for m, x in found.items() if x >= LEAST_ODDS), key=lambda m: (-found[m], m))[:MAX_LEXICON]
     return Lexicon({m: found[m] for m in best})
 
@@ -204,7 +207,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     part = np.arange(n) % 5
     split = n >= 200 and all(0 < y[part == k].sum() < (part == k).sum() for k in range(5))
     lex, tree, cal = (part < 2, (part == 2) | (part == 3), part == 4) if split else (np.ones(n, bool),) * 3
-    lexicon = learn_lexicon([({m for w in set(words_of(texts[i])) for m in marks_of(plain(w))}, int(y[i])) for i in np.flatnonzero(lex)])
+    rows = np.flatnonzero(lex)
+    lexicon = learn_lexicon([texts[i] for i in rows], [int(y[i]) for i in rows])
     x = np.array([features(t, lexicon) for t in texts]).reshape(n, len(NAMES))
     edges = np.array([np.quantile(x[tree, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower") if tree.any() else np.zeros(BINS - 1) for f in range(len(NAMES))])
     mean = np.clip(y[tree].mean() if tree.any() else 0.0, 1e-3, 1 - 1e-3)
