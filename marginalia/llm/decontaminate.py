@@ -103,7 +103,9 @@ def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no benchmark item, with the columns of docs."""
-    found = matches(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_d")).distinct()
+    found = cut(matches(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_d")).distinct())
+    if found.count() <= BROADCAST_WINDOWS:  # whole documents needn't be shuffled then
+        found = F.broadcast(found)
     return docs.join(found, docs[id_col] == found["_d"], "left_anti")
 
 
