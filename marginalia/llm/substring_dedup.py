@@ -32,6 +32,7 @@ WINDOW, ANCHOR = 13, 5
 BATCH_CHARS, GROUP_CHARS, GROUP_SUFFIXES = 8_000_000, 3_000_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 RUN = np.dtype([("doc", "<i8"), ("first", "<u4"), ("anchor", "<u4"), ("count", "u1")])
+RUN_MOST = 255
 
 
 def words_of(text: str) -> list[bytes]:
@@ -123,9 +124,12 @@ def batch_runs(docs: list[tuple[int, np.ndarray]], n_groups: int) -> Iterator[tu
     new = np.ones(len(key), dtype=bool)
     new[1:] = (np.diff(owner) != 0) | (np.diff(pos) != 1) | (anchor[1:] != anchor[:-1])
     begin = np.flatnonzero(new)
+    # mostly 9 suffixes share an anchor, but in text with a period of 9 words or less every suffix does: such runs are cut to fit the count
+    new |= (np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))) % RUN_MOST == 0
+    begin = np.flatnonzero(new)
     runs = np.empty(len(begin), dtype=RUN)
     runs["doc"], runs["first"], runs["anchor"] = doc[begin], pos[begin], (anchor[begin] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    runs["count"] = np.diff(np.append(begin, len(key)))  # a run shares one anchor, so it holds 9 suffixes at most
+    runs["count"] = np.diff(np.append(begin, len(key)))
     group = (mixed(anchor[begin]) % np.uint64(n_groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.diff(group[order])) + 1

@@ -286,6 +286,17 @@ def test_substring_dedup(spark, corpus, sizes):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("windows", [255, 256, 300, 511])
+@pytest.mark.parametrize("period", [1, 4, 9])
+def test_periodic_text_across_batches(spark, windows, period):
+    line = [f"ha{i}" for i in range(period)]
+    again = " ".join((line * (windows + 12))[: windows + 12])
+    rows = [(1, f"own start here {again}"), (2, f"{again} other end there")]
+    want = {i: (n, gone) for i, n, gone, _ in brute_substrings(rows)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs(spark, rows), batch_chars=1).collect()}
+    assert got == want and got[2][1] == windows + 12
+
+
 def test_groups_split_alike():
     rng = np.random.default_rng(0)
     blobs = []
