@@ -47,7 +47,11 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 def fingerprint(words: list[bytes], k: int = SHINGLE, n_words: int = 1) -> bytes:
     """n_words * 64 bits, big-endian; a bit is set if it is in over half the hashes. No words: zero."""
-    h = shingle_hashes(words, k)
+    return votes(shingle_hashes(words, k), n_words)
+
+
+def votes(h: np.ndarray, n_words: int) -> bytes:
+    """The fingerprint of hashes."""
     out = []
     for j in range(n_words):
         if j:  # further words come from remixed hashes
@@ -177,8 +181,23 @@ def bucket_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links.kept
 
 
-def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np.ndarray], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """a, b: links between representatives (fp, rep) whose fingerprints are within the radius, a forest for each shard."""
+def cross_pairs(points: np.ndarray, parts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of points of different parts within the radius."""
+    if (parts == parts[0]).all():
+        return
+    step = max(1, 2_000_000 // len(points))
+    for at in range(0, len(points), step):
+        own = slice(at, at + step)
+        i, j = np.nonzero((parts[own, None] != parts[None, at:]) & (distance(points[own, None, :], points[None, at:, :]) <= radius))
+        up = i < j
+        yield i[up] + at, j[up] + at
+
+
+def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np.ndarray], shard_entries: int = SHARD_ENTRIES, every: bool = False) -> DataFrame:
+    """a, b: links between representatives (fp, rep) whose fingerprints are within the radius, a forest for each shard.
+
+    every: all links between representatives whose column root differs, in place of a forest.
+    """
     n_parts = parts_for(classes.count() * len(blocks_of), shard_entries)
     bits = 64 * n_words
     assert len(blocks_of) <= 64 and max(map(len, blocks_of)) <= 26
@@ -189,6 +208,7 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
                 continue
             raw = b"".join(batch.column(0).to_pylist())
             rep = batch.column(1).to_numpy(zero_copy_only=False).astype("<i8")
+            root = batch.column(2).to_numpy(zero_copy_only=False).astype("<i8") if every else rep[:0]
             fp = np.frombuffer(raw, ">u8").astype("<u8").reshape(-1, n_words)
             bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(rep), -1), axis=1)
             assert bit.shape[1] == bits
@@ -201,23 +221,31 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
             parts, blobs = [], []
             for own in np.split(order, cuts):
                 parts.append(int(part[own[0]]))
-                blobs.append(struct.pack("<I", len(own)) + keys[own].tobytes() + rep[row[own]].tobytes() + fp[row[own]].tobytes())
+                blobs.append(struct.pack("<I", len(own)) + keys[own].tobytes() + rep[row[own]].tobytes() + fp[row[own]].tobytes() + (root[row[own]].tobytes() if every else b""))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, reps, fps = [], [], []
+        keys, reps, fps, roots = [], [], [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 n = struct.unpack_from("<I", blob)[0]
                 keys.append(np.frombuffer(blob, "<u4", n, 4))
                 reps.append(np.frombuffer(blob, "<i8", n, 4 + 4 * n))
                 fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 12 * n).reshape(n, n_words))
+                roots.append(np.frombuffer(blob, "<i8", n if every else 0, 4 + (12 + 8 * n_words) * n if every else 0))
         if not keys:
             return
         key, rep, fp = np.concatenate(keys), np.concatenate(reps), np.concatenate(fps)
         order = np.lexsort((rep, key))
         key, rep, fp = key[order], rep[order], fp[order]
         edges = np.flatnonzero(np.diff(key, prepend=~key[:1], append=~key[-1:]))
+        if every:
+            root = np.concatenate(roots)[order]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for i, j in cross_pairs(fp[lo:hi], root[lo:hi], radius) if hi - lo > 1 else ():
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[lo + i], pa.int64()), pa.array(rep[lo + j], pa.int64())], ["a", "b"])
+            return
         found: list[tuple[int, int]] = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if hi - lo > 1:
@@ -226,7 +254,7 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
             i, j = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64())], ["a", "b"])
 
-    moved = classes.select("fp", "rep").mapInArrow(deal, "part long, blob binary").repartition(n_parts, "part")
+    moved = classes.select("fp", "rep", *(["root"] if every else [])).mapInArrow(deal, "part long, blob binary").repartition(n_parts, "part")
     return moved.mapInArrow(search, "a long, b long")
 
 
@@ -251,9 +279,89 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
 
 
-#: For similarity 0.8 on five-word shingles: 256 bits, of which two texts of that similarity differ in 39 +- 6; at 0.85, in 33. Bands of
-#: sampled bits route to shards, as disjoint blocks would hardly select at this distance; a pair at 0.85 shares one with probability 0.99.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 4, 44, (32, 14)
+#: For similarity 0.8 on five-word shingles: 256 bits; two texts of that similarity differ in 39 +- 6 bits, and
+#: in 48 +- 6 if one has four shingles and the other five. Candidates are within NEAR_DISTANCE and share one of the bands of sampled bits,
+#: as disjoint blocks would hardly select at this distance: 0.997 of pairs at 0.8. The exact similarity decides each.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 4, 64, (64, 13)
+#: Links within this distance on the first of the bands are mostly true; they join most of a group before all other pairs are looked at.
+FIRST_DISTANCE, FIRST_BANDS = 39, 16
+#: Representatives whose texts are read again without a shuffle.
+BROADCAST_NODES = 200_000
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text or ""), NEAR_SHINGLE))
+
+
+def near_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, rep of rows (doc_id, text): rep is a hash of the text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            reps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(words_of(t.as_py() or ""), NEAR_SHINGLE, NEAR_WORDS) for t in batch.column(1)], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "fp", "rep"])
+
+    return docs.mapInArrow(run, "doc_id long, fp binary, rep long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of representatives whose sets of shingles have a Jaccard similarity of 0.8 or more. docs: rep, doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = cut(pairs.select(F.col("a").alias("_end")).unionAll(pairs.select("b")).distinct())
+    if ends.count() <= BROADCAST_NODES:
+        ends = F.broadcast(ends)
+    sets = cut(docs.join(ends, docs["rep"] == ends["_end"], "left_semi").select("rep", "text").mapInArrow(run, "node long, shingles array<long>"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_s"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_t"))
+    both = F.size(F.array_intersect("_s", "_t"))
+    return pairs.join(left, "a").join(right, "b").filter(5 * both >= 4 * (F.size("_s") + F.size("_t") - both)).select("a", "b")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+    Texts of equal sets are one class. A forest of close candidates is verified first; then all candidates between what is still apart
+    are, so that a link which fails hides no other. The second step's pairs can grow with the square of a family of texts whose
+    similarities lie below 0.8, but near it.
+    """
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    prints = cut(near_prints(rows))
+    classes = cut(prints.groupBy("rep").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+    keys = classes.select(F.col("rep"), F.col("least").alias("_id"))
+    # a repeated id may bring other texts; their own hash says which
+    texts = rows.join(keys, rows["doc_id"] == keys["_id"]).select("rep", "doc_id", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_own = [xxhash.xxh64_intdigest(shingle_set(t.as_py()).tobytes(), SEED) == r % 2**64 for r, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+            yield batch.filter(pa.array(is_own, pa.bool_()))
+
+    bits_of = bands(64 * NEAR_WORDS, *NEAR_BANDS)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("_e")).unionAll(pairs.select("b")).distinct()
+        near = texts.join(ends, texts["rep"] == ends["_e"], "left_semi").mapInArrow(own, "rep long, doc_id long, text string").dropDuplicates(["rep"])
+        return cut(verified(pairs, near))
+
+    first = check(near_links(classes, NEAR_WORDS, FIRST_DISTANCE, bits_of[:FIRST_BANDS]))
+    roots = components(first)
+    named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
+    second = check(near_links(named, NEAR_WORDS, NEAR_DISTANCE, bits_of, every=True))
+    roots = components(first.unionAll(second))
+    named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", "least", F.coalesce("root", "rep").alias("root")))
+    least = named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    named = named.join(least, named["root"] == least["_root"]).select(F.col("rep").alias("_rep"), "component_id")
+    return prints.join(named, prints["rep"] == named["_rep"]).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,6 +370,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without words are not near copies of each other and all stay, as do rows without an id. Rows that repeat the smallest id stay.
     """
     worded = docs.filter(F.col(id_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    named = group(worded, id_col, text_col, shingle=NEAR_SHINGLE, max_distance=NEAR_DISTANCE, n_words=NEAR_WORDS, sampled=NEAR_BANDS)
+    named = near_groups(worded, id_col, text_col)
     gone = named.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

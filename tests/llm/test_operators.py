@@ -450,6 +450,20 @@ def test_near_copies_recall(spark):
     assert simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+def tail_changed(i, changed):
+    """A text of 100 distinct five-word shingles and a copy whose last words are new: similarity (100 - changed) / (100 + changed)."""
+    t = [f"w{i}x{k}" for k in range(104)]
+    return " ".join(t), " ".join(t[: 104 - changed] + [f"n{i}x{k}" for k in range(changed)])
+
+
+@pytest.mark.parametrize(("changed", "near"), [(11, True), (12, False), (14, False), (18, False)])
+def test_near_copies_by_exact_similarity(spark, changed, near):
+    """Similarity 0.802 goes; 0.786, 0.754 and 0.695 stay, whatever the fingerprints say."""
+    rows = [(i + 1000 * k, t) for i in range(100) for k, t in enumerate(tail_changed(i, changed))]
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    assert gone <= {i for i, _ in rows if i >= 1000} and len(gone) >= 97 if near else not gone
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------------------------
 
 
