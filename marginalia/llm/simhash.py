@@ -279,7 +279,7 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
 
 
-#: For similarity 0.8 on five-word shingles: 256 bits; two texts of that similarity differ in 39 +- 6 bits, and
+#: For similarity 0.8 on five-word shingles: 256 bits, voted by distinct shingles; two texts of that similarity differ in 39 +- 6 bits, and
 #: in 48 +- 6 if one has four shingles and the other five. Candidates are within NEAR_DISTANCE and share one of the bands of sampled bits,
 #: as disjoint blocks would hardly select at this distance: 0.997 of pairs at 0.8. The exact similarity decides each.
 NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 4, 64, (64, 13)
@@ -300,7 +300,7 @@ def near_prints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             reps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(words_of(t.as_py() or ""), NEAR_SHINGLE, NEAR_WORDS) for t in batch.column(1)], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(s, NEAR_WORDS) for s in sets], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "fp", "rep"])
 
     return docs.mapInArrow(run, "doc_id long, fp binary, rep long")
 

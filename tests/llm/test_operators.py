@@ -464,6 +464,15 @@ def test_near_copies_by_exact_similarity(spark, changed, near):
     assert gone <= {i for i, _ in rows if i >= 1000} and len(gone) >= 97 if near else not gone
 
 
+def test_near_copies_with_repeated_lines(spark):
+    line = " ".join(f"line{k}" for k in range(12))
+    own = [" ".join(f"o{i}x{k}" for k in range(60)) for i in range(12)]
+    rows = [(i, f"{t} {' '.join([line] * 20)}") for i, t in enumerate(own)]  # different texts that share a repeated line
+    rows += [(100 + i, f"{own[i]} {line}") for i in range(6)]  # copies in which it stands once
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    assert gone == {100 + i for i in range(6)}
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------------------------
 
 
