@@ -6,6 +6,9 @@ it has `least` or more of the item's windows and the values that fill the placeh
 item always stands for the same value of the document. So a question with new numbers and names is caught, and a text that merely
 shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as they fit anything.
 
+A capitalised word that begins a sentence, line, quote or bracket may be a name or not, so windows are taken under a second template as well,
+in which it is one: an item's window is held if either form is.
+
 The item side is small but grows with the benchmark: it is broadcast only while its counted windows are within BROADCAST_WINDOWS, and
 joined by a shuffle otherwise; so are the slots to compare.
 """
@@ -26,10 +29,14 @@ UNITS = "kg|mg|g|t|km|cm|mm|m|mi|ft|in|l|ml|s|ms|min|h|hours?|minutes?|seconds?|
 SPACE = " \\t\\n\\x0B\\f\\r"
 
 
-def template(text: Column) -> Column:
+#: What comes before a name: inside a sentence; anywhere, that is the start of the text, white space, a quote or a bracket.
+INSIDE, ANYWHERE = r"(?<=[\p{Ll}\p{Nd},;:] )", r"""(?<![^\s"'`\u00ab\u00bb\u2018-\u201f(\[{<*_#])"""
+
+
+def template(text: Column, before: str = INSIDE) -> Column:
     """The template of a text, its words as an array; empty for null."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", "")
-    c = F.regexp_replace(c, r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{L}*", NAME)
+    c = F.regexp_replace(c, rf"{before}\p{{Lu}}\p{{L}}*", NAME)
     c = F.regexp_replace(c, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     c = F.regexp_replace(c, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}{NUMBER}])", UNIT)
     return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}{SPACE}]")
@@ -44,36 +51,70 @@ def words(text: Column, drop: str) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, drop, "")), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def window_hashes(tokens: str) -> Column:
-    """Hash of every five consecutive words of the array column; of all words if they are fewer."""
+def window_hashes(tokens: str, size: int = WINDOW) -> Column:
+    """Hash of every `size` (five) consecutive words of the array column; of all words if they are fewer."""
     t = F.col(tokens)
     n = F.size(t)
-    many = F.greatest(n - (WINDOW - 1), F.least(n, F.lit(1)))
-    return F.transform(F.slice(t, F.lit(1), many), lambda w, i: F.xxhash64(w, *(F.get(t, i + j) for j in range(1, WINDOW))))
+    many = F.greatest(n - (size - 1), F.least(n, F.lit(1)))
+    return F.transform(F.slice(t, F.lit(1), many), lambda w, i: F.xxhash64(w, *(F.get(t, i + j) for j in range(1, size))))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, q, h, slots (offset and value of each placeholder in the window), n: distinct windows of the item."""
-    rows = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template(F.col(text_col)).alias("_t"), values(F.col(text_col)).alias("_v"))
-    rows = rows.withColumn("_h", window_hashes("_t")).select("item_id", "_t", "_v", F.posexplode("_h").alias("q", "h"))
-    rows = rows.withColumn("_w", F.slice("_t", F.col("q") + 1, F.lit(WINDOW)))
-    literal = F.filter("_w", lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]+$"))
-    rows = rows.filter(F.size(literal) >= F.least(F.lit(LITERALS), F.size("_w")))
-    marked = F.filter(F.transform("_w", lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{UNIT}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))), lambda x: x["j"].isNotNull())
-    rows = rows.select("item_id", "q", "h", marked.alias("slots"))
-    return rows.join(rows.groupBy("item_id").agg(F.countDistinct("h").alias("n")), "item_id")
+    """item_id, q, w, h, slots (offset and value of each placeholder in the window), n, size, exact.
+
+    w stands for a window, n of which are distinct; h is its hash under one of the templates or, where exact, of what stands in the text.
+    """
+    text = F.col(text_col)
+    rows = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template(text).alias("_t"), template(text, ANYWHERE).alias("_a"), values(text).alias("_v"))
+    rows = rows.withColumns({f"_h{k}": window_hashes(k) for k in ("_t", "_a", "_v")})
+    rows = rows.select("item_id", "_t", "_a", "_v", "_h_a", "_h_v", F.posexplode("_h_t").alias("q", "w"))
+
+    def form(tokens: str) -> tuple[Column, Column]:
+        """Whether a window has enough literal words, and its slots."""
+        window = F.slice(tokens, F.col("q") + 1, F.lit(WINDOW))
+        literal = F.filter(window, lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]+$"))
+        marked = F.filter(F.transform(window, lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{UNIT}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))), lambda x: x["j"].isNotNull())
+        return F.size(literal) >= F.least(F.lit(LITERALS), F.size(window)), marked
+
+    (plain, slots), (plain_a, slots_a) = form("_t"), form("_a")
+    size = F.least(F.lit(WINDOW), F.size("_t")).alias("size")
+    h_a, h_v = F.get("_h_a", F.col("q")), F.get("_h_v", F.col("q"))
+    rows = rows.select("item_id", "q", "w", size, plain.alias("_plain"), slots.alias("_slots"), (plain_a & (h_a != F.col("w"))).alias("_other"), slots_a.alias("_slots_a"), h_a.alias("_h_a"), h_v.alias("_h_v"))
+    # an item with windows that count is sought by those alone, as before new numbers its other windows would not be held
+    known = rows.groupBy("item_id").agg(F.max("_plain").alias("_any"), F.countDistinct(F.when(F.col("_plain"), F.col("w"))).alias("_n"), F.countDistinct("_h_v").alias("_n_v"))
+    rows = rows.join(known, "item_id")
+    named = lambda h, slots, w="w", n="_n", exact=False: [F.col(h).alias("h"), F.col(slots).alias("slots") if slots else F.slice("_slots", 1, 0).alias("slots"), F.col(w).alias("w"), F.col(n).alias("n"), F.lit(exact).alias("exact"), "item_id", "q", "size"]
+    return (
+        rows.filter("_plain").select(named("w", "_slots"))
+        .unionByName(rows.filter("_plain and _other").select(named("_h_a", "_slots_a")))
+    )
+
+
+def document_windows(texts: DataFrame, sizes: list[int], exact: bool) -> DataFrame:
+    """doc_id, p, h: windows of the sizes under both templates and, where exact, of what stands in the text."""
+    text = F.col("_text")
+    rows = texts.select("doc_id", template(text).alias("_t"), template(text, ANYWHERE).alias("_a"), *([values(text).alias("_v")] if exact else []))
+    forms = []
+    for size in sizes:
+        plain = window_hashes("_t", size)
+        forms.append(plain)
+        for other in ["_a", *(["_v"] if exact else [])]:  # where it differs
+            forms.append(F.zip_with(plain, window_hashes(other, size), lambda a, b: F.when(a != b, b)))
+    rows = rows.select("doc_id", F.explode(F.array(*forms)).alias("_h"))
+    return rows.select("doc_id", F.posexplode("_h").alias("p", "h")).filter("h is not null")
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, containment of each item that a document holds."""
-    bench = item_windows(items, item_id, item_text)
+    bench = cut(item_windows(items, item_id, item_text))
+    sizes, exact = [WINDOW], False
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    windows = texts.select("doc_id", template(F.col("_text")).alias("_t")).select("doc_id", F.posexplode(window_hashes("_t")).alias("p", "h"))
+    windows = document_windows(texts, sizes, exact)
     # few rows are left from here on: they are written once, and what follows reads no text but that of documents with slots to compare
     hits = cut(windows.join(bench, "h"))
-    held = hits.groupBy("doc_id", "item_id", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("containment"))
+    held = hits.groupBy("doc_id", "item_id", "w").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("containment"))
     held = held.filter(F.col("containment") >= least)
     # slots of the held items, by the diagonal on which document and item run alongside
     slots = hits.filter(F.size("slots") > 0).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal"), "p", F.explode("slots").alias("slot"))

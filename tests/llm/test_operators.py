@@ -528,6 +528,15 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.flag(docs(spark, rows), items.limit(0)).collect())
 
 
+def test_names_that_begin_sentences(spark):
+    tom = "Tom has 12 apples. He buys 8 more at the market. Sara gives him 5 apples. How many apples does Tom have now?"
+    alice = "Alice bought 12 apples for 3 dollars today."
+    items = spark.createDataFrame([(1, tom), (2, alice)], "item_id long, text string")
+    rows = [(1, tom.replace("Tom", "Ben").replace("Sara", "Lena")), (2, alice.replace("Alice", "Bob")), (3, "See:\n\n(" + alice.replace("Alice", "Bob")), (4, tom.lower()), (5, "Tom has 12 apples. He sells them at the market and buys 5 pears for Sara, who likes pears more than apples.")]
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.flag(docs(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [2], 4: [1], 5: []}
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     bench = [(i, prose(rng, 30)) for i in range(12)]
