@@ -7,7 +7,8 @@ item always stands for the same value of the document. So a question with new nu
 shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as they fit anything.
 
 A capitalised word that begins a sentence, line, quote or bracket may be a name or not, so windows are taken under a second template as well,
-in which it is one: an item's window is held if either form is.
+in which it is one: an item's window is held if either form is. An item without a window of three literal words is sought by what stands in
+its text, numbers and names included. An item under five words is sought in windows of its own length.
 
 The item side is small but grows with the benchmark: it is broadcast only while its counted windows are within BROADCAST_WINDOWS, and
 joined by a shuffle otherwise; so are the slots to compare.
@@ -87,6 +88,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (
         rows.filter("_plain").select(named("w", "_slots"))
         .unionByName(rows.filter("_plain and _other").select(named("_h_a", "_slots_a")))
+        .unionByName(rows.filter("not _any").select(named("_h_v", None, "_h_v", "_n_v", True)))
     )
 
 
@@ -107,7 +109,8 @@ def document_windows(texts: DataFrame, sizes: list[int], exact: bool) -> DataFra
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, item_id, containment of each item that a document holds."""
     bench = cut(item_windows(items, item_id, item_text))
-    sizes, exact = [WINDOW], False
+    sizes = sorted({WINDOW} | {r["size"] for r in bench.select("size").distinct().collect()})
+    exact = bool(bench.filter("exact").head(1))
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
@@ -134,8 +137,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, contaminated, items (sorted ids), containment (the greatest, 0 if none) for every row.
 
-    A row without an id or text is never contaminated. Rows that repeat an id are judged together. An item without an id doesn't count, nor
-    does one that has no window with three literal words (or, under three words, all of them literal). Either table may be empty.
+    A row without an id or text is never contaminated. Rows that repeat an id are judged together. An item without an id or words
+    doesn't count. Either table may be empty.
     """
     found = matches(docs, items, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("containment").alias("containment"))
     rows = docs.select(F.col(id_col).alias("doc_id")).join(found, F.col("doc_id") == F.col("_d"), "left")

@@ -537,6 +537,13 @@ def test_names_that_begin_sentences(spark):
     assert got == {1: [1], 2: [2], 3: [2], 4: [1], 5: []}
 
 
+def test_verbatim_items_of_few_literals(spark):
+    items = spark.createDataFrame([(1, "What is 12 + 35?"), (2, "2 3 5 7 11 13 17 19"), (3, "cities Paris London Rome Berlin Madrid"), (4, "Define entropy briefly"), (5, "1 2 3")], "item_id long, text string")
+    rows = [(1, "We ask: what is 12 + 35? It is 47."), (2, "They go on 2 3 5 7 11 13 17 19 and so on"), (3, "the cities Paris London Rome Berlin Madrid are large"), (4, "Please define entropy briefly, with a formula."), (5, "We ask: what is 13 + 35? It is 48."), (6, "4 6 8 9 10 12 14 15 16"), (7, "1 2 3"), (8, "the cities Oslo Bern Riga Wien Turin are large")]
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.flag(docs(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [5], 8: []}
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     bench = [(i, prose(rng, 30)) for i in range(12)]
