@@ -23,9 +23,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with no column of df, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out to all cores where fewer partitions hold any, as with a table of one row group; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    held = rows.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return rows.repartition(cores) if 0 < held < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. A local session may name none (tests, bench) and gets a temporary one; a cluster must."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
@@ -42,6 +63,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts_for(amount: float, each: float, least: int = 8, most: int = 200_000) -> int:
+def parts_for(amount: float, each: float, least: int = 8) -> int:
     """How many partitions keep `each` units or less in one."""
-    return int(min(most, max(least, math.ceil(amount / each))))
+    return int(max(least, math.ceil(amount / each)))

@@ -1,55 +1,82 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, names (capitalised words inside a sentence) and units become typed placeholders, case and punctuation go, and what is left is split
-into words: the template. Windows of five template words are hash-joined between documents and benchmark items. A document holds an item if
-it has `least` or more of the item's windows and the values that fill the placeholders are consistent: within one alignment, a value of the
-item always stands for the same value of the document. So a question with new numbers and names is caught, and a text that merely
-shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as they fit anything.
-
-A capitalised word that begins a sentence, line, quote or bracket may be a name or not, so windows are taken under a second template as well,
-in which it is one: an item's window is held if either form is. An item without a window of three literal words is sought by what stands in
-its text, numbers and names included. An item under five words is sought in windows of its own length.
+Numbers, names (capitalised words) and units become typed placeholders, case and punctuation go, and what is left is split into words: the
+template. Windows of five template words are hash-joined between documents and benchmark items, and the words of what was joined are
+compared. A document holds an item if it has `least` or more of the item's windows and the values that fill the placeholders are consistent:
+within one alignment, a value of the item always stands for the same value of the document. So a question with new numbers and names is
+caught, and a text that merely shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as
+they fit anything.
+
+Whether a capitalised word is a name can't be told where a sentence, line, quote or bracket begins, nor where case was changed, so a text
+has three templates: names are (1) capitalised words inside sentences, (2) those at beginnings too, (3) none. An item's window is held if
+any of its forms is. An item without a window of three literal words is sought by what stands in its text, numbers and names included. An
+item under five words is sought in windows of its own length. In scripts without spaces every character is a word.
 
 The item side is small but grows with the benchmark: it is broadcast only while its counted windows are within BROADCAST_WINDOWS, and
-joined by a shuffle otherwise; so are the slots to compare.
+joined by a shuffle otherwise; so are the documents and slots to compare.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, spread, table, unused
 
 WINDOW, LEAST, LITERALS = 5, 0.8, 3
 BROADCAST_WINDOWS = 200_000
-#: Private-use characters as placeholders of number, name and unit.
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: Private-use characters as placeholders of number, name and unit, and as the mark of a capitalised word where one must begin.
+NUMBER, NAME, UNIT, FIRST = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units of measure that may follow a number.
 UNITS = "kg|mg|g|t|km|cm|mm|m|mi|ft|in|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|kmh|mph|w|kw|v|a|hz|usd|eur|euros?|dollars?|cents?|pounds?|percent"
 SPACE = " \\t\\n\\x0B\\f\\r"
+#: Scripts without spaces: Thai and Lao, kana, Han.
+DENSE = r"฀-໿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{2fa1f}"
+#: Where a capitalised word begins: at the start, or after white space, a quote or a bracket. Inside a sentence, this stands before it.
+BEGIN, INSIDE = r"""(?=\p{Lu})(?<![^\s"'`«»‘-‟(\[{<*_#])""", r"(?<=[\p{Ll}\p{Nd},;:] )"
+
+
+def cleared(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{FIRST}]+", "")
 
 
-#: What comes before a name: inside a sentence; anywhere, that is the start of the text, white space, a quote or a bracket.
-INSIDE, ANYWHERE = r"(?<=[\p{Ll}\p{Nd},;:] )", r"""(?<![^\s"'`\u00ab\u00bb\u2018-\u201f(\[{<*_#])"""
+def words(text: Column, drop: str) -> Column:
+    spaced = F.regexp_replace(F.regexp_replace(text, drop, ""), f"([{DENSE}])", " $1 ")
+    return F.filter(F.split(F.lower(spaced), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def template(text: Column, before: str = INSIDE) -> Column:
-    """The template of a text, its words as an array; empty for null."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", "")
-    c = F.regexp_replace(c, rf"{before}\p{{Lu}}\p{{L}}*", NAME)
+def marked(text: Column) -> Column:
+    """The words of a text with placeholders for numbers and units; capitalised words are marked by NAME inside sentences, by FIRST elsewhere."""
+    c = F.regexp_replace(cleared(text), BEGIN, FIRST)
+    c = F.regexp_replace(c, INSIDE + FIRST, NAME)
     c = F.regexp_replace(c, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     c = F.regexp_replace(c, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}{NUMBER}])", UNIT)
-    return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}{SPACE}]")
+    return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{FIRST}{SPACE}]+")
+
+
+def form(tokens: str | Column, names: str) -> Column:
+    """One of the templates: words that begin with one of the marks `names` become a name, and all other marks go."""
+    plain = lambda w: F.translate(w, NAME + FIRST, "")
+    if not names:
+        return F.transform(tokens, plain)
+    return F.transform(tokens, lambda w: F.when(F.substring(w, 1, 1).isin(*names), F.lit(NAME)).otherwise(plain(w)))
 
 
 def values(text: Column) -> Column:
-    """What stands in the text at each word of its template."""
-    return words(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", ""), rf"[^\p{{L}}\p{{M}}0-9{SPACE}]")
+    """What stands in the text at each word of its templates."""
+    return words(cleared(text), rf"[^\p{{L}}\p{{M}}0-9{SPACE}]+")
 
 
-def words(text: Column, drop: str) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(text, drop, "")), f"[{SPACE}]+"), lambda w: w != "")
+#: The templates by what they take for names.
+FORMS = {"_t": NAME, "_a": NAME + FIRST, "_l": ""}
+
+
+def formed(rows: DataFrame, text: Column, exact: bool) -> DataFrame:
+    """Adds the three templates and, where exact, the values."""
+    rows = rows.withColumn("_m", marked(text))
+    return rows.withColumns({k: form("_m", names) for k, names in FORMS.items()} | ({"_v": values(text)} if exact else {})).drop("_m")
 
 
 def window_hashes(tokens: str, size: int = WINDOW) -> Column:
@@ -61,96 +88,112 @@ def window_hashes(tokens: str, size: int = WINDOW) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, q, w, h, slots (offset and value of each placeholder in the window), n, size, exact.
+    """item_id, q, w, h, words, slots (offset and value of each placeholder in the window), n, size, exact.
 
-    w stands for a window, n of which are distinct; h is its hash under one of the templates or, where exact, of what stands in the text.
+    w stands for a window, n of which are distinct; h is the hash of its words under one of the templates or, where exact, of what stands
+    in the text.
     """
-    text = F.col(text_col)
-    rows = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template(text).alias("_t"), template(text, ANYWHERE).alias("_a"), values(text).alias("_v"))
-    rows = rows.withColumns({f"_h{k}": window_hashes(k) for k in ("_t", "_a", "_v")})
-    rows = rows.select("item_id", "_t", "_a", "_v", "_h_a", "_h_v", F.posexplode("_h_t").alias("q", "w"))
-
-    def form(tokens: str) -> tuple[Column, Column]:
-        """Whether a window has enough literal words, and its slots."""
-        window = F.slice(tokens, F.col("q") + 1, F.lit(WINDOW))
-        literal = F.filter(window, lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]+$"))
-        marked = F.filter(F.transform(window, lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{UNIT}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))), lambda x: x["j"].isNotNull())
-        return F.size(literal) >= F.least(F.lit(LITERALS), F.size(window)), marked
-
-    (plain, slots), (plain_a, slots_a) = form("_t"), form("_a")
-    size = F.least(F.lit(WINDOW), F.size("_t")).alias("size")
-    h_a, h_v = F.get("_h_a", F.col("q")), F.get("_h_v", F.col("q"))
-    rows = rows.select("item_id", "q", "w", size, plain.alias("_plain"), slots.alias("_slots"), (plain_a & (h_a != F.col("w"))).alias("_other"), slots_a.alias("_slots_a"), h_a.alias("_h_a"), h_v.alias("_h_v"))
+    rows = spread(items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_text")))
+    rows = formed(rows, F.col("_text"), True)
+    rows = rows.withColumns({f"_h{k}": window_hashes(k) for k in (*FORMS, "_v")})
+    rows = rows.select("item_id", *FORMS, "_v", "_h_a", "_h_l", "_h_v", F.posexplode("_h_t").alias("q", "w"))
+    sliced = lambda k: F.slice(k, F.col("q") + 1, F.lit(WINDOW))
+
+    def kind(k: str) -> list[Column]:
+        """Hash and words of a window under a template, whether they count, and the slots."""
+        literal = F.filter(sliced(k), lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]+$"))
+        slot = lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{UNIT}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))
+        slots = F.filter(F.transform(sliced(k), slot), lambda x: x["j"].isNotNull())
+        h = F.col("w") if k == "_t" else F.get(f"_h{k}", F.col("q"))
+        return [h.alias(f"h{k}"), sliced(k).alias(f"words{k}"), (F.size(literal) >= F.least(F.lit(LITERALS), F.size(sliced(k)))).alias(f"counts{k}"), slots.alias(f"slots{k}")]
+
+    rows = rows.select("item_id", "q", "w", F.least(F.lit(WINDOW), F.size("_t")).alias("size"), *(c for k in FORMS for c in kind(k)), F.get("_h_v", F.col("q")).alias("h_v"), sliced("_v").alias("words_v"))
+    rows = cut(rows)
     # an item with windows that count is sought by those alone, as before new numbers its other windows would not be held
-    known = rows.groupBy("item_id").agg(F.max("_plain").alias("_any"), F.countDistinct(F.when(F.col("_plain"), F.col("w"))).alias("_n"), F.countDistinct("_h_v").alias("_n_v"))
+    known = rows.groupBy("item_id").agg(F.max("counts_t").alias("_any"), F.countDistinct(F.when(F.col("counts_t"), F.col("w"))).alias("_n"), F.countDistinct("h_v").alias("_n_v"))
     rows = rows.join(known, "item_id")
-    named = lambda h, slots, w="w", n="_n", exact=False: [F.col(h).alias("h"), F.col(slots).alias("slots") if slots else F.slice("_slots", 1, 0).alias("slots"), F.col(w).alias("w"), F.col(n).alias("n"), F.lit(exact).alias("exact"), "item_id", "q", "size"]
-    return (
-        rows.filter("_plain").select(named("w", "_slots"))
-        .unionByName(rows.filter("_plain and _other").select(named("_h_a", "_slots_a")))
-        .unionByName(rows.filter("not _any").select(named("_h_v", None, "_h_v", "_n_v", True)))
-    )
+    common = ["item_id", "q", "size"]
+    parts = [
+        rows.filter(f"counts_t and counts{k}").select(F.col(f"h{k}").alias("h"), F.col(f"words{k}").alias("words"), F.col(f"slots{k}").alias("slots"), "w", F.col("_n").alias("n"), F.lit(False).alias("exact"), *common)
+        for k in FORMS
+    ]
+    parts.append(rows.filter("not _any").select(F.col("h_v").alias("h"), F.col("words_v").alias("words"), F.slice("slots_t", 1, 0).alias("slots"), F.col("h_v").alias("w"), F.col("_n_v").alias("n"), F.lit(True).alias("exact"), *common))
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["item_id", "q", "h"])
 
 
 def document_windows(texts: DataFrame, sizes: list[int], exact: bool) -> DataFrame:
-    """doc_id, p, h: windows of the sizes under both templates and, where exact, of what stands in the text."""
-    text = F.col("_text")
-    rows = texts.select("doc_id", template(text).alias("_t"), template(text, ANYWHERE).alias("_a"), *([values(text).alias("_v")] if exact else []))
+    """doc_id, tag, p, h: windows of the sizes under the templates and, where exact, of what stands in the text."""
+    rows = formed(texts, F.col("_text"), exact)
     forms = []
     for size in sizes:
         plain = window_hashes("_t", size)
         forms.append(plain)
-        for other in ["_a", *(["_v"] if exact else [])]:  # where it differs
+        for other in ["_a", "_l", *(["_v"] if exact else [])]:  # where it differs
             forms.append(F.zip_with(plain, window_hashes(other, size), lambda a, b: F.when(a != b, b)))
-    rows = rows.select("doc_id", F.explode(F.array(*forms)).alias("_h"))
-    return rows.select("doc_id", F.posexplode("_h").alias("p", "h")).filter("h is not null")
+    rows = rows.select("doc_id", "tag", F.explode(F.array(*forms)).alias("_h"))
+    return rows.select("doc_id", "tag", F.posexplode("_h").alias("p", "h")).filter("h is not null")
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Broadcast up to a counted number of rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_WINDOWS else rows
+
+
+KEY = ["doc_id", "tag"]
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, containment of each item that a document holds."""
+    """doc_id, tag, item_id, containment, held: items of which a document has windows, and whether it holds them.
+
+    tag is XXH64 of the text, so that texts of one id are told apart.
+    """
     bench = cut(item_windows(items, item_id, item_text))
     sizes = sorted({WINDOW} | {r["size"] for r in bench.select("size").distinct().collect()})
     exact = bool(bench.filter("exact").head(1))
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
-    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    windows = document_windows(texts, sizes, exact)
-    # few rows are left from here on: they are written once, and what follows reads no text but that of documents with slots to compare
-    hits = cut(windows.join(bench, "h"))
-    held = hits.groupBy("doc_id", "item_id", "w").agg(F.first("n").alias("n")).groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("containment"))
-    held = held.filter(F.col("containment") >= least)
-    # slots of the held items, by the diagonal on which document and item run alongside
-    slots = hits.filter(F.size("slots") > 0).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal"), "p", F.explode("slots").alias("slot"))
-    slots = slots.select("doc_id", "item_id", "diagonal", (F.col("p") + F.col("slot.j")).alias("at"), F.col("slot.value").alias("theirs")).distinct()
-    slots = cut(slots.join(held.select("doc_id", "item_id"), ["doc_id", "item_id"]))
-    wanted = slots.select("doc_id").distinct()
-    if slots.count() <= BROADCAST_WINDOWS:
-        wanted, slots = F.broadcast(wanted), F.broadcast(slots)
-    filled = texts.join(wanted, "doc_id", "left_semi").select("doc_id", values(F.col("_text")).alias("_v")).join(slots, "doc_id").withColumn("ours", F.get("_v", F.col("at")))
-    kinds = filled.groupBy("doc_id", "item_id", "diagonal", "theirs").agg((F.min("ours") == F.max("ours")).cast("int").alias("same"))
-    lines = kinds.groupBy("doc_id", "item_id", "diagonal").agg(F.avg("same").alias("share"))
-    agreed = lines.groupBy(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")).agg(F.max("share").alias("consistency"))
-    both = held.join(agreed, (F.col("doc_id") == F.col("_d")) & (F.col("item_id") == F.col("_i")), "left")
-    return both.filter(F.coalesce(F.col("consistency"), F.lit(1.0)) >= least).select("doc_id", "item_id", "containment")
+    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("_text"))
+    windows = document_windows(spread(texts), sizes, exact)
+    # few rows are left from here on: they are written once, and what follows reads no text but that of documents that may hold an item
+    hits = cut(windows.join(bounded(bench.select("h", "item_id", "q", "w", "n")), "h"))
+    shares = lambda found: found.groupBy(*KEY, "item_id", "w").agg(F.first("n").alias("n")).groupBy(*KEY, "item_id").agg((F.count("*") / F.first("n")).alias("containment"))
+    seen = shares(hits)
+    likely = cut(hits.join(bounded(cut(seen.filter(F.col("containment") >= least).select(*KEY, "item_id"))), [*KEY, "item_id"], "left_semi"))
+    wanted, likely = likely.select(*KEY).distinct(), bounded(likely)
+    # words and slots are compared in the texts themselves
+    read = formed(texts.join(bounded(cut(wanted)), KEY, "left_semi"), F.col("_text"), True).drop("_text")
+    places = likely.join(bounded(bench.select("h", "item_id", "q", "words", "slots")), ["h", "item_id", "q"])
+    same = lambda k: F.slice(k, F.col("p") + 1, F.greatest(F.size("words"), F.lit(1))) == F.col("words")
+    checked = cut(read.join(places, KEY).filter(same("_t") | same("_a") | same("_l") | same("_v")).select(*KEY, "item_id", "w", "n", "p", "q", F.transform("slots", lambda s: F.struct((F.col("p") + s["j"]).alias("at"), s["value"].alias("theirs"), F.get("_v", F.col("p") + s["j"]).alias("ours"))).alias("slots")))
+    held = shares(checked).filter(F.col("containment") >= least).select(*KEY, "item_id")
+    # slots by the diagonal on which document and item run alongside
+    slots = checked.select(*KEY, "item_id", (F.col("p") - F.col("q")).alias("diagonal"), F.explode("slots").alias("s")).select(*KEY, "item_id", "diagonal", "s.*").distinct()
+    kinds = slots.groupBy(*KEY, "item_id", "diagonal", "theirs").agg((F.min("ours") == F.max("ours")).cast("int").alias("same"))
+    lines = kinds.groupBy(*KEY, "item_id", "diagonal").agg(F.avg("same").alias("share"))
+    agreed = lines.groupBy(*KEY, "item_id").agg(F.max("share").alias("consistency"))
+    held = held.join(agreed, [*KEY, "item_id"], "left").filter(F.coalesce("consistency", F.lit(1.0)) >= least).select(*KEY, "item_id", F.lit(True).alias("held"))
+    return seen.join(held, [*KEY, "item_id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
 def flag(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, contaminated, items (sorted ids), containment (the greatest, 0 if none) for every row.
+    """doc_id, contaminated, items (sorted ids), containment (the greatest of these, 0 if none), partial (the greatest share of any item's
+    windows, held or not) for every row.
 
-    A row without an id or text is never contaminated. Rows that repeat an id are judged together. An item without an id or words
-    doesn't count. Either table may be empty.
+    A row without an id or text is never contaminated. Rows that repeat an id are judged each by its own text, repeated rows alike. An item
+    without an id or words doesn't count; items of equal text are all named. Either table may be empty. Other columns are not read.
     """
-    found = matches(docs, items, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("containment").alias("containment"))
-    rows = docs.select(F.col(id_col).alias("doc_id")).join(found, F.col("doc_id") == F.col("_d"), "left")
-    return rows.select("doc_id", F.col("_d").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
+    found = matches(docs, items, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_g"))
+    found = found.agg(F.sort_array(F.collect_set(F.when(F.col("held"), F.col("item_id")))).alias("items"), F.max(F.when(F.col("held"), F.col("containment"))).alias("containment"), F.max("containment").alias("partial"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tag"))
+    rows = rows.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_g")), "left")
+    none = F.array().cast(found.schema["items"].dataType)
+    return rows.select("doc_id", (F.coalesce(F.size("items"), F.lit(0)) > 0).alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.coalesce("partial", F.lit(0.0)).alias("partial"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with the columns of docs."""
-    found = cut(matches(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_d")).distinct())
-    if found.count() <= BROADCAST_WINDOWS:  # whole documents needn't be shuffled then
-        found = F.broadcast(found)
-    return docs.join(found, docs[id_col] == found["_d"], "left_anti")
+    """The rows of docs that hold no benchmark item, all their columns untouched, whatever their names; rows as `flag` has them."""
+    gone_id, gone_tag = unused(docs, "gone_id", "gone_tag")
+    found = cut(matches(docs, items, id_col, text_col, **options).filter("held").select(F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag)).distinct())
+    found = bounded(found)  # whole documents needn't be shuffled then
+    return docs.join(found, (docs[id_col] == found[gone_id]) & (F.xxhash64(docs[text_col]) == found[gone_tag]), "left_anti")
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 One Arrow pass over whole texts finds three base kinds of secrets by pattern. The method adds the parts of a credential that are weak on
 their own: identifiers (`id`), high-entropy strings (`key`) and endpoints (`endpoint`). Parts are intervals; a part and its complement are
-linked if the gap between them is at most `scope` characters and no blank line stands between, which a merge over the intervals sorted by
-start decides. Weak parts are reported only where an identifier and a secret, or a secret and an endpoint, co-occur that way.
+linked if the gap between them is at most `scope` characters and no blank line stands between. Within a text this is an interval join: the
+parts of a role are sorted by their ends and by their starts, and a binary search finds the nearest before and behind, which decide for all
+others; so a text of n parts takes n log n steps. Weak parts are reported only where an identifier and a secret, or a secret and an endpoint, co-occur that way.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread, table
 
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -64,16 +65,17 @@ ROLE = {"access": "who", "id": "who", "assign": "what", "hex": "what", "key": "w
 COMPLETES = {"who": ("what",), "what": ("who", "where"), "where": ("what",)}
 
 
-def near(spans: list[Span], starts: list[int], longest: int, at: Span, scope: int, breaks: list[int]) -> bool:
-    """Whether one of the spans, sorted by start, lies within scope of `at`, doesn't overlap it, and shares its paragraph."""
-    lo = bisect.bisect_left(starts, at[0] - scope - longest)
-    for s in spans[lo:]:
-        if s[0] > at[1] + scope:
-            return False
-        gap_lo, gap_hi = (s[1], at[0]) if s[0] < at[0] else (at[1], s[0])
-        if 0 <= gap_hi - gap_lo <= scope and bisect.bisect_left(breaks, gap_lo) == bisect.bisect_left(breaks, gap_hi):
-            return True
-    return False
+class Parts:
+    """The intervals of one role. Of those before a position the nearest is the one that ends last, of those behind the one that starts first."""
+
+    def __init__(self, spans: list[Span]):
+        self.ends, self.starts = sorted(s[1] for s in spans), sorted(s[0] for s in spans)
+
+    def near(self, at: Span, scope: int, breaks: list[int]) -> bool:
+        """Whether an interval lies within scope of `at`, doesn't overlap it, and shares its paragraph. A farther one fits only if the nearest does."""
+        before, behind = bisect.bisect_right(self.ends, at[0]), bisect.bisect_left(self.starts, at[1])
+        gaps = ([(self.ends[before - 1], at[0])] if before else []) + ([(at[1], self.starts[behind])] if behind < len(self.starts) else [])
+        return any(hi - lo <= scope and bisect.bisect_left(breaks, lo) == bisect.bisect_left(breaks, hi) for lo, hi in gaps)
 
 
 def link(base: list[Span], weak: list[Span], text: str, scope: int = SCOPE) -> list[Span]:
@@ -82,10 +84,10 @@ def link(base: list[Span], weak: list[Span], text: str, scope: int = SCOPE) -> l
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
     by_role: dict[str, list[Span]] = {"who": [], "what": [], "where": []}
-    for s in sorted({*base, *weak}):
+    for s in {*base, *weak}:
         by_role[ROLE[s[2]]].append(s)
-    index = {r: (spans, [s[0] for s in spans], max((s[1] - s[0] for s in spans), default=0)) for r, spans in by_role.items()}
-    return [s for s in weak if any(near(*index[r], s, scope, breaks) for r in COMPLETES[ROLE[s[2]]])]
+    parts = {r: Parts(spans) for r, spans in by_role.items()}
+    return [s for s in weak if any(parts[r].near(s, scope, breaks) for r in COMPLETES[ROLE[s[2]]])]
 
 
 def order(spans: list[Span]) -> list[Span]:
@@ -121,7 +123,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(run, SCHEMA)
 
 
 def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features: densities of two lexicons (a fixed list of insults, and words and word beginnings that the labelled rows show to be toxic),
 lexicon hits near a second person, shares of capitals and punctuation, obfuscated words, and length. Scoring is one pass in Arrow batches
-without a shuffle. Training collects at most `max_labelled` rows of features, the only thing that is bounded; which rows is decided by a
-hash of the id, so it is the same on every run.
+without a shuffle. Training takes at most `max_labelled` rows, the only thing that is bounded; which rows is decided by a hash of the id, so
+it is the same on every run. Their texts stay on the executors, which count the words and compute the features.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, spread, table
 
 #: The most labelled rows that training takes.
 MAX_LABELLED = 10_000
@@ -27,7 +27,8 @@ MAX_LABELLED = 10_000
 STEMS = (4, 5, 6)
 #: A word or beginning enters the lexicon from so many toxic documents on, at this log-odds.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
-MAX_LEXICON = 4_000
+#: Labelled rows from which on lexicon, trees and calibration learn from rows of their own.
+SPLIT_FROM = 200
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 NEAR = 6
 #: Insults, and second-person words of the languages at hand.
@@ -78,19 +79,23 @@ def marked(text: str) -> set[str]:
     return {m for w in set(words_of(text)) for m in marks_of(plain(w))}
 
 
-def learn_lexicon(texts: list[str], labels: list[int]) -> Lexicon:
-    """Words and beginnings that toxic documents hold far more often than others.
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """Words and beginnings that toxic documents of rows (y, text) hold far more often than others.
 
-    Toxic documents are counted first; of the others, only what may enter the lexicon is counted, so memory follows the former.
+    Counted by mark over all executors; what comes to the driver are the marks that enter the lexicon.
     """
-    toxic = Counter(m for t, y in zip(texts, labels, strict=True) if y for m in marked(t))
-    toxic = {m: c for m, c in toxic.items() if c >= LEAST_DOCS}
-    other = Counter(m for t, y in zip(texts, labels, strict=True) if not y for m in marked(t) if m in toxic)
-    n_toxic = sum(map(bool, labels))
-    n_other = len(labels) - n_toxic
-    found = {m: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((other[m] + 0.5) / (n_other + 1))) for m, c in toxic.items()}
-    best = sorted((m for m, x in found.items() if x >= LEAST_ODDS), key=lambda m: (-found[m], m))[:MAX_LEXICON]
-    return Lexicon({m: found[m] for m in best})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = sorted(marked(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["mark", "y"])
+
+    n_toxic, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    counts = rows.select("y", "text").mapInArrow(run, "mark string, y int").groupBy("mark").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("all") - F.col("toxic") + 0.5) / (n - n_toxic + 1))
+    best = counts.filter(F.col("toxic") >= LEAST_DOCS).select("mark", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
+    return Lexicon({r["mark"]: r["odds"] for r in best.collect()})
 
 
 def features(text: str, lexicon: Lexicon, insults: frozenset[str] = frozenset(INSULTS)) -> list[float]:
@@ -123,7 +128,7 @@ def features(text: str, lexicon: Lexicon, insults: frozenset[str] = frozenset(IN
     marks = text.count("!") + text.count("?")
     signs = sum(map(text.count, ".,;:!?*#$%&\"'"))
     digits = sum(map(text.count, "0123456789"))
-    return [n_insults / n, float(n_insults > 0), len(hit_at) / n, float(bool(hit_at)), total / n, strongest, near / n, n_second / n, capitals / chars, shouted / n, signs / chars, marks / chars, mixed / n, digits / chars, float(np.log1p(len(words))), min(len(hit_at), 20) / 20]
+    return [n_insults / n, float(n_insults > 0), len(hit_at) / n, float(bool(hit_at)), total / n, strongest, near / n, n_second / n, capitals / chars, shouted / n, signs / chars, marks / chars, mixed / n, digits / chars, float(np.log1p(len(words))), float(np.log1p(len(hit_at)))]
 
 
 def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, bins: int = BINS) -> list[tuple[int, int, float]]:
@@ -200,20 +205,14 @@ class Model:
         return np.clip(0.998 * p + 0.002 / (1 + np.exp(-np.clip(m, -30, 30))), 0.0, 1.0)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Two fifths of the rows give the lexicon, two fifths the trees, one fifth the calibration; with few rows, all give all."""
-    y = np.asarray(labels, dtype=float)
-    n = len(y)
-    part = np.arange(n) % 5
-    split = n >= 200 and all(0 < y[part == k].sum() < (part == k).sum() for k in range(5))
-    lex, tree, cal = (part < 2, (part == 2) | (part == 3), part == 4) if split else (np.ones(n, bool),) * 3
-    rows = np.flatnonzero(lex)
-    lexicon = learn_lexicon([texts[i] for i in rows], [int(y[i]) for i in rows])
-    x = np.array([features(t, lexicon) for t in texts]).reshape(n, len(NAMES))
+def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, part: np.ndarray) -> Model:
+    """Trees from the rows of parts 2 and 3 and calibration from those of part 4, unless a part lacks one of the labels: then all rows give both."""
+    split = all(0 < y[part == k].sum() < (part == k).sum() for k in range(2, 5))
+    tree, cal = ((part == 2) | (part == 3), part == 4) if split else (np.ones(len(y), bool),) * 2
     edges = np.array([np.quantile(x[tree, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower") if tree.any() else np.zeros(BINS - 1) for f in range(len(NAMES))])
     mean = np.clip(y[tree].mean() if tree.any() else 0.0, 1e-3, 1 - 1e-3)
     model = Model(lexicon, edges, [], float(np.log(mean / (1 - mean))), (np.empty(0), np.empty(0)))
-    if not n:
+    if not len(y):
         return model
     b, m = model.binned(x[tree]), np.full(int(tree.sum()), model.base)
     for _ in range(TREES):
@@ -226,48 +225,65 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
+def feature_rows(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    return np.array([features(t.as_py() or "", lexicon) for t in texts]).reshape(len(texts), len(NAMES))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """A model from the labelled rows that aren't held out, max_labelled of them at most: those of the smallest hash of the id.
 
-    Rows without an id, a label, or a text teach nothing; an id with several labels counts by the largest. Without any row, the model
-    scores every text alike.
+    Rows without an id, a label, or a text teach nothing; an id with several labels counts by the largest, one with several texts by the
+    least. Without any row, the model scores every text alike. Two fifths of the rows, by a hash of the id, give the lexicon, two fifths
+    the trees, one fifth the calibration; under SPLIT_FROM rows, all give all. Texts stay on the executors: the driver gets the
+    lexicon, and a label and a row of numbers for each of the labelled rows.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    known = known.select("_id", (F.col("_y") > 0).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    rows = texts.join(F.broadcast(known), "_id").groupBy("_id", "y").agg(F.min("_text").alias("text"))
+    rows = cut(spread(rows.select("_id", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(5)).cast("int").alias("part"), "y", "text")))
+    lexicon = learn_lexicon(rows.filter("part < 2") if rows.count() >= SPLIT_FROM else rows)
 
-    rows = texts.join(F.broadcast(known), "_id").select("_id", F.col("_y").cast("int").alias("_y"), "_text")
-    seen: dict[int, tuple[str, int]] = {}
-    for r in rows.collect():
-        old = seen.get(r["_id"])
-        if old is None or r["_text"] < old[0]:
-            seen[r["_id"]] = (r["_text"], r["_y"])
-    order = sorted(seen)
-    return fit([seen[i][0] for i in order], [int(seen[i][1] > 0) for i in order])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = feature_rows(batch.column(3), lexicon)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], ["_id", "part", "y", "x"])
 
+    kind = rows.schema["_id"].dataType.simpleString()
+    found = sorted(rows.mapInArrow(run, f"_id {kind}, part int, y int, x array<double>").collect())
+    part = np.array([r["part"] if len(found) >= SPLIT_FROM else 0 for r in found], dtype=np.int64)
+    return fit(lexicon, np.array([r["x"] for r in found]).reshape(len(found), len(NAMES)), np.array([r["y"] for r in found], dtype=float), part)
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, score and predicted of every row; a null text counts as empty.
 
-    keep: pass the columns of docs through and add score and predicted, in whose place columns of these names go.
-    """
-    docs = docs.drop("score", "predicted") if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    text_at = docs.columns.index(text_col if keep else "text")
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score and predicted of every row; a null text counts as empty, a null id stays null. Other columns are not read."""
+    docs = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                x = np.array([features(t.as_py() or "", model.lexicon) for t in part.column(text_at)]).reshape(part.num_rows, len(NAMES))
-                s = model.score(x)
-                kept = list(part.columns) if keep else [part.column(0)]
-                names = part.schema.names if keep else ["doc_id"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
-
-    base = docs.schema if keep else docs.select("doc_id").schema
-    return docs.mapInArrow(run, T.StructType([*base.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+                s = shared.value.score(feature_rows(part.column(1), shared.value.lexicon))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score under `least`, all their columns untouched, whatever their names; a null text counts as empty."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                s = shared.value.score(feature_rows(part.column(at), shared.value.lexicon))
+                yield part.filter(pa.array(s < least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,23 @@
 """WARC archives as a PySpark data source: `spark.read.format("warc")` and `df.write.format("warc")`.
 
 Writing: each task writes gzip-member-per-record files under names of its own; the commit on the driver lists them, with the byte offsets
-of some records, in a manifest that is renamed into place. What failed or doubled attempts leave is not in the manifest and isn't read.
+of some records, in a manifest of its own that is renamed into place. Appending adds a manifest; overwriting adds one that names those it
+replaces. What failed or doubled attempts leave is in no manifest and isn't read. Each member says in its header how long it is, compressed
+and not (the "sl" field of the WARC standard's annex on gzip).
 
 Reading: partitions are byte ranges of the files that begin at records. Predicates on warc_type, target_uri, record_id and payload_digest
-are pushed down and decided on a record's headers alone; the payload of a record that they drop, and every payload under the option
-`payload=false`, is skipped and never decoded. The option `verify=true` recomputes the digest of each payload that is read.
+are pushed down and decided on a record's headers alone: these are inflated first, and the rest of a record that they drop, or of every
+record under the option `payload=false`, is skipped by its length, neither inflated nor, where it is long, read. Members without a length,
+as other writers make them, are inflated to find their end. The option `verify=true` recomputes the digest of each payload that is read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,8 +35,12 @@ SCHEMA = "record_id string, warc_type string, target_uri string, payload_digest
 PUSHED = ("warc_type", "target_uri", "record_id", "payload_digest")
 #: Compressed bytes in one file, and in one partition of a reader.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 16 << 20
+#: Bytes that are inflated at a time.
+PIECE = 4096
 LEAST_REVISIT = 100
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
+#: Head of a member: ten fixed bytes, length of the extra field, its name and size, and the two lengths.
+HEAD = struct.Struct("<10sH2sHII")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed value: the archive holds no crawl times; one date serves all records.
 DATE = "2000-01-01T00:00:00Z"
@@ -63,8 +72,13 @@ def record(row: dict) -> bytes:
 
 
 def member(data: bytes, level: int = 1) -> bytes:
-    z = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    """A gzip member whose extra field holds its own length and that of the data."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    total = HEAD.size + len(body) + 8
+    if max(total, len(data)) >= 1 << 32:  # beyond what the field can hold
+        return gzip.compress(data, level, mtime=0)
+    return HEAD.pack(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", 12, b"sl", 8, total, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
 @dataclass
@@ -72,10 +86,23 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int, list[int]]]
 
 
+def manifests(path: str) -> dict[str, dict]:
+    """The manifests of an archive that no other replaces, by name."""
+    fs, root = opened(path)
+    found = {}
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST) and info.base_name.endswith(".json"):
+            with fs.open_input_stream(info.path, compression=None) as f:
+                found[info.base_name] = json.loads(f.read())
+    replaced = {name for m in found.values() for name in m["replaces"]}
+    return {name: m for name, m in sorted(found.items()) if name not in replaced}
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path, self.size = options["path"].rstrip("/"), int(options.get("file_bytes", FILE_BYTES))
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.overwrite = overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
@@ -104,10 +131,10 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m for f in m.files)
-        tmp = f"{root}/{MANIFEST}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(tmp, compression=None) as out:
-            out.write(json.dumps(files).encode())
-        fs.move(tmp, f"{root}/{MANIFEST}")
+        name = uuid.uuid4().hex
+        with fs.open_output_stream(f"{root}/_{name}.tmp", compression=None) as out:
+            out.write(json.dumps({"files": files, "replaces": sorted(manifests(self.path)) if self.overwrite else []}).encode())
+        fs.move(f"{root}/_{name}.tmp", f"{root}/{MANIFEST}{name}.json")
 
     def abort(self, messages: list) -> None:
         fs, root = opened(self.path)
@@ -130,6 +157,27 @@ def heads(raw: bytes) -> tuple[dict[str, str], int]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
 
 
+class Source:
+    """A range of a file, read in blocks; what is skipped beyond the block at hand isn't read."""
+
+    def __init__(self, file: pa.NativeFile, lo: int, end: int, block: int = 1 << 20):
+        self.file, self.at, self.end, self.block = file, lo, end, block
+        self.lo, self.held = lo, b""
+
+    def peek(self, n: int) -> bytes:
+        off = self.at - self.lo
+        if not 0 <= off <= len(self.held) - n:
+            self.file.seek(self.at)
+            self.lo, off = self.at, 0
+            self.held = self.file.read(max(0, min(max(n, self.block), self.end - self.at)))
+        return self.held[off : off + n]
+
+    def take(self, n: int) -> bytes:
+        got = self.peek(min(n, self.end - self.at))
+        self.at += len(got)
+        return got
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
@@ -147,9 +195,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = opened(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())
+        """One for each stretch of a file between two marks; the manifests are all that is read."""
+        files = [f for m in manifests(self.path).values() for f in m["files"]]
         return [Range(name, lo, hi) for name, size, marks in files for lo, hi in zip(marks, [*marks[1:], size], strict=True)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -173,31 +220,35 @@ class WarcReader(DataSourceReader):
     def records(self, part: Range) -> Iterator[tuple]:
         fs, root = opened(self.path)
         with fs.open_input_file(f"{root}/{part.file}") as f:
-            f.seek(part.lo)
-            left, buffer = part.hi - part.lo, b""
-            while left or buffer:
-                z, raw, head, body = zlib.decompressobj(31), bytearray(), None, 0
-                keep = True
-                while not z.eof:
-                    if not buffer:
-                        buffer = f.read(min(left, 1 << 20))
-                        left -= len(buffer)
-                        if not buffer:
-                            raise ValueError(f"{part.file} ends within a record")
-                    # headers first: a little is inflated until they are whole, the rest only if the payload is wanted
-                    got = z.decompress(buffer, 1024 if head is None else 0)
-                    buffer = z.unconsumed_tail if not z.eof else z.unused_data
-                    if keep:
-                        raw += got
-                    if head is None and (b"\r\n\r\n" in raw or z.eof):
-                        head, body = heads(bytes(raw))
-                        keep = self.fits(head)
-                        if keep and not (self.payload or self.verify):
-                            keep = b"\r\n\r\n" not in raw[body:]
-                    elif keep and head is not None and not (self.payload or self.verify):
-                        keep = b"\r\n\r\n" not in raw[body:]
-                if self.fits(head):
+            source = Source(f, part.lo, part.hi)
+            while source.at < source.end:
+                yield from self.record(source)
+
+    def record(self, source: Source) -> Iterator[tuple]:
+        """The record that begins here, if it fits; moves to the next one."""
+        first = source.peek(HEAD.size)
+        length = HEAD.unpack(first)[4] if len(first) == HEAD.size and first[3] == 4 and first[10:16] == b"\x0c\0sl\x08\0" else None
+        z, raw, head, body, begin = zlib.decompressobj(31), bytearray(), None, 0, source.at
+        while not z.eof:
+            data = source.take(PIECE)
+            if not data:
+                raise ValueError("a range ends within a record")
+            while data and not z.eof:
+                # headers first: a little is inflated until they are whole, the rest only if the payload is wanted
+                raw += z.decompress(data, PIECE if head is None else 0)
+                data = z.unconsumed_tail
+                if head is None and b"\r\n\r\n" in raw:
+                    head, body = heads(bytes(raw))
+                    if length and not self.fits(head):
+                        source.at = begin + length
+                        return
+                if length and head and not (self.payload or self.verify) and b"\r\n\r\n" in raw[body:]:
+                    source.at = begin + length
                     yield self.row(head, bytes(raw), body)
+                    return
+        source.at -= len(z.unused_data)
+        if self.fits(head):
+            yield self.row(head, bytes(raw), body)
 
     def fits(self, head: dict[str, str]) -> bool:
         own = self.meta(head)
@@ -232,7 +283,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -260,9 +311,10 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
 
 
-def write(records: DataFrame, path: str, **options: str) -> None:
+def write(records: DataFrame, path: str, mode: str = "append", **options: str) -> None:
+    """Adds records to the archive at path; mode "overwrite" puts them in the place of all others."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").options(**options).save(path)
+    records.write.format("warc").mode(mode).options(**options).save(path)
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels, with odd rows everywhere."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -145,10 +146,65 @@ def test_toxicity_learns(spark):
     model = toxicity.train(docs(spark, rows + ODD[:1]), table)
     got = toxicity.score(docs(spark, rows + ODD), model).collect()
     assert len(got) == len(rows) + len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
-    held = [(r.predicted, r.doc_id % 6 == 0) for r in got[: len(rows)] if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    got = toxicity.score(docs(spark, rows), model).collect()
+    held = [(r.predicted, r.doc_id % 6 == 0) for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(p == y for p, y in held) / len(held) > 0.97
-    kept = toxicity.score(docs(spark, rows), model, keep=True)
-    assert kept.columns == [c for c in DOCS.replace(" long", "").replace(" string", "").replace(" boolean", "").replace(" double", "").split(", ") if c != "score"] + ["score", "predicted"]
+    wanted = {r.doc_id for r in got if not r.predicted}
+    table = docs(spark, rows).withColumns({"score": F.lit(0.123), "predicted": F.lit(9), "part": F.lit("p")})
+    kept = toxicity.keep_clean(table, model).collect()
+    assert {r.doc_id for r in kept} == wanted
+    texts = dict(rows)
+    assert all((r.score, r.predicted, r.part, r.keep_id, r.text) == (0.123, 9, "p", 7, texts[r.doc_id]) for r in kept)
+
+
+def test_toxicity_with_repeated_ids(spark):
+    """An id with several texts teaches by the least of them, with several labels by the largest; repeated rows count once."""
+    rows = [(i, "calm words here" if i % 2 else "you idiot moron") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(300)] + [(0, 0)], "doc_id long, toxic int")
+    once = toxicity.train(docs(spark, rows), labels)
+    again = toxicity.train(docs(spark, rows + rows + [(i, "zzz " + t) for i, t in rows]), labels)
+    assert once.lexicon == again.lexicon and once.trees == again.trees
+
+
+def test_features_by_hand():
+    lexicon = toxicity.Lexicon({"grulak": 3.0, "grul-": 2.5})
+    x = dict(zip(toxicity.NAMES, toxicity.features("You GRULAK, id1ot! Grulest 42.", lexicon), strict=True))
+    assert x["insult_density"] == 1 / 5 and x["insult_any"] == 1 and x["second_density"] == 1 / 5
+    assert x["learnt_density"] == 2 / 5 and x["learnt_any"] == 1 and x["strongest"] == 3.0 and abs(x["learnt_strength"] - 5.5 / 5) < 1e-12
+    assert x["near_second"] == 2 / 5 and x["capitals"] == 8 / 30 and x["shouted"] == 1 / 5 and x["marks"] == 1 / 30 and x["punctuation"] == 3 / 30
+    assert x["obfuscated"] == 1 / 5 and x["digits"] == 3 / 30 and x["hits"] == np.log1p(2) and x["log_words"] == np.log1p(5)
+    assert not any(toxicity.features("", lexicon))
+
+
+def brute_split(x, g, h):
+    """The best split of one node over all features and bins."""
+    best = (1e-6, -1, 0)
+    for f in range(x.shape[1]):
+        for b in range(toxicity.BINS - 1):
+            left = x[:, f] <= b
+            if h[left].sum() >= 0.5 and h[~left].sum() >= 0.5:
+                gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, (gain, f, b))
+    return best
+
+
+def test_trees_against_all_splits():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, toxicity.BINS, (300, 4))
+    y = ((x[:, 1] > 12) ^ (x[:, 3] > 20)).astype(float)
+    g, h = y - 0.5, np.full(300, 0.25)
+    tree = toxicity.grow(x, g, h, 2)
+    rows = {0: np.arange(300)}
+    for k in range(3):
+        own = rows[k]
+        gain, f, b = brute_split(x[own], g[own], h[own])
+        assert tree[k][:2] == (f, b) and abs(tree[k][2] - g[own].sum() / (h[own].sum() + 1)) < 1e-12
+        left = x[own, f] <= b
+        rows[2 * k + 1], rows[2 * k + 2] = own[left], own[~left]
+    edges = np.tile(np.arange(toxicity.BINS - 1), (4, 1))
+    model = toxicity.Model(toxicity.Lexicon(), edges, [tree], 0.25, (np.empty(0), np.empty(0)), depth=2)
+    want = [0.25 + toxicity.RATE * next(tree[k][2] for k in range(3, 7) if i in set(rows[k].tolist())) for i in range(300)]
+    assert np.allclose(model.margin(x.astype(float)), want)
 
 
 def test_toxicity_without_labels(spark):
@@ -169,20 +225,42 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("parts", [1, 40])
-def test_exact_dedup(spark, corpus, parts):
+@pytest.mark.parametrize("parts", [1, 2, 40])
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup(spark, corpus, parts, keep):
+    rows = corpus + [(1000 + i, "a third of all rows share this text") for i in range(len(corpus) // 2)]
     groups = defaultdict(list)
-    for i, t in corpus:
+    for i, t in rows:
         groups[lower(t)].append(i)
     want = Counter()
-    for i, t in corpus:
+    for i, t in rows:
         g = groups[lower(t)]
-        keep = max((x for x in g if x is not None), default=None)
-        want[i, keep, len(g), keep == i, hashlib.sha256(lower(t).encode()).hexdigest()] += 1
-    got = exact_dedup.mark_duplicates(docs(spark, corpus).repartition(parts))
+        best = (max if keep == "max" else min)((x for x in g if x is not None), default=None)
+        want[i, best, len(g), best == i, hashlib.sha256(lower(t).encode()).hexdigest()] += 1
+    table = docs(spark, rows).repartition(parts)
+    got = exact_dedup.mark_duplicates(table, keep=keep, fan_in=4)
     assert Counter(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
-    assert exact_dedup.mark_duplicates(empty(spark)).count() == 0
-    assert exact_dedup.deduplicate(docs(spark, corpus)).columns == docs(spark, []).columns
+    left = Counter(tuple(r) for r in exact_dedup.deduplicate(table, keep=keep).collect())
+    staying = Counter({k: n for k, n in Counter(tuple(r) for r in table.collect()).items() if (k[0], True) in {(w[0], w[3]) for w in want if w[4] == hashlib.sha256(lower(k[1]).encode()).hexdigest()}})
+    assert left == staying
+
+
+def test_exact_dedup_of_odd_tables(spark, monkeypatch):
+    """Columns of the results' names keep their values; an id with two texts stays with one and goes with the other."""
+    assert exact_dedup.mark_duplicates(empty(spark)).count() == 0 and exact_dedup.deduplicate(empty(spark)).count() == 0
+    rows = [(1, "A", 7, False, "x", "y", 3), (2, "a", 8, False, "x", "y", 4), (1, "b", 9, False, "x", "y", 5), (None, "B", 9, True, "x", "y", 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, keep_id long, kept boolean, _digest string, DIGEST string, gone_id long")
+    for bound in (200_000, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", bound)
+        left = exact_dedup.deduplicate(table)
+        assert left.columns == table.columns and {tuple(r) for r in left.collect()} == {rows[1], rows[2]}
+
+
+def test_runs_are_sorted_and_merged(spark, corpus):
+    """The plan of the merge: every aggregation is one pass over sorted records; one exchange a round."""
+    runs = exact_dedup.runs_of(docs(spark, corpus).repartition(40))
+    plan = exact_dedup.merge_runs(runs, fan_in=4)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 3 and plan.count("Sort [") >= 4
 
 
 # --- secrets --------------------------------------------------------------------------------------------------------------------------
@@ -236,6 +314,20 @@ def test_linking_against_all_pairs():
         assert secrets.link(base, weak, text, 60) == want
 
 
+def test_linking_takes_linear_time():
+    import time
+
+    def took(n):
+        text = "user=bob\nZx9QweRty12UiOp34AsDf56Gh " * n
+        began = time.perf_counter()
+        base, linked = secrets.scan_text(text)
+        assert not base and len(linked) == 2 * n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 8 * took(4_000)
+
+
 # --- host reputation ------------------------------------------------------------------------------------------------------------------
 
 
@@ -260,6 +352,32 @@ def test_reputation_shrinks(spark):
     assert got["good.site0.org"][1] < got["new.site0.org"][1] < got["bad.site0.org"][1]
 
 
+def test_sites_and_levels(spark):
+    cases = {
+        "a.b.example.co.uk": ("a.b.example.co.uk", "example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "uk"), "user:pw@www.example.com:8080": ("www.example.com", "example.com", "com"),
+        "192.0.2.7:80": ("192.0.2.7", "192.0.2.7", "(ip)"), "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]", "(ip)"), "example.org.": ("example.org", "example.org", "org"), "": ("", "", ""), "localhost": ("localhost", "localhost", "localhost"),
+    }
+    rows = spark.createDataFrame([(h,) for h in cases], "host string").select("host", host_reputation.site(F.col("host")).alias("site"))
+    got = {r.host: (r.site, r.domain, r.suffix) for r in rows.select("host", "site", *(c.alias(n) for c, n in zip(host_reputation.levels(F.col("site")), ("domain", "suffix"), strict=True))).collect()}
+    assert got == cases
+
+
+def test_posterior_bound_against_samples(spark):
+    shapes = [(2.0, 11.0), (0.3, 1.7), (0.01, 1.99), (20.0, 100.0), (300.0, 1500.0), (30.0, 3.0), (1.99, 0.01), (5000.0, 40000.0)]
+    rng = np.random.default_rng(0)
+    for r in host_reputation.with_doubt(spark.createDataFrame(shapes, "a double, b double")).collect():
+        assert abs(r.doubt - (rng.beta(r.a, r.b, 400_000) <= host_reputation.MAX_BAD).mean()) < 0.004
+
+
+def test_hot_sites_are_joined_apart(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 3 else i}.org/") for i in range(90)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, True) for i in range(30)], "page_id long, bad boolean")
+    want = sorted(map(tuple, host_reputation.judge(pages, outcomes).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(host_reputation, "BROADCAST_SITES", 0)
+    monkeypatch.setattr(host_reputation, "HOT_PAGES", 20)
+    assert sorted(map(tuple, host_reputation.judge(pages, outcomes).collect()), key=lambda r: r[0]) == want and len(want) == 90
+
+
 # --- substring dedup ------------------------------------------------------------------------------------------------------------------
 
 
@@ -317,26 +435,61 @@ def test_kept_text(spark):
 
 
 def test_compaction_round_trip(spark, corpus, tmp_path):
-    table = docs(spark, corpus).repartition(6)
+    table = docs(spark, corpus).withColumns({"shard": F.lit("own"), "_bin": F.lit(3)}).repartition(6)
     back = compaction.shard_documents(table, f"file://{tmp_path}/a", arrivals=2, target=60_000, arrival_rows=10)
     assert Counter(tuple(r) for r in back.select(*table.columns).collect()) == Counter(tuple(r) for r in table.collect())
-    store = compaction.Store(spark, f"file://{tmp_path}/a")
+    assert back.columns == [*table.columns, "shard_", "shard_bytes", "shard_version"]
+    store = compaction.Store(spark, f"file://{tmp_path}/a", 60_000)
     shards = store.shards()
     assert not compaction.plan(shards, 60_000) and len(shards) < 12
     assert compaction.shard_documents(empty(spark), f"file://{tmp_path}/b").count() == 0
 
 
 def test_versions(spark, tmp_path):
-    store = compaction.Store(spark, f"file://{tmp_path}")
+    store = compaction.Store(spark, f"file://{tmp_path}", 1 << 20)
     rows = spark.range(100).withColumn("text", F.lit("x"))
     for _ in range(5):
         store.append(rows.repartition(2))
     before, n = store.newest(), store.read().count()
-    store.compact(target=1 << 20)
+    store.compact()
     assert store.read().count() == n == 500 and store.read(before).count() == 500
     with pytest.raises(RuntimeError):
         store.commit([], before)
-    assert store.vacuum() > 0 and store.read().count() == 500 and store.versions() == [store.newest()]
+    store.append(rows)
+    newest = store.newest()
+    assert store.vacuum(2) > 0 and store.versions() == [newest - 1, newest]
+    assert store.read().count() == 600 and store.read(newest - 1).count() == 500
+
+
+def test_later_arrivals_meet_older_tiers(spark, tmp_path):
+    """A byte is rewritten once a tier; lists of finished shards are neither read nor written again."""
+    store = compaction.Store(spark, f"file://{tmp_path}", 400_000, 4)
+    rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    merges = 0
+    for k in range(8):
+        store.append(rows.filter(f"id % 8 = {k}").repartition(2))
+        was = store.newest()
+        merges += store.compact() > was
+    assert merges >= 2 and store.read().select("id").distinct().count() == store.read().count() == 4000
+    full = [x for x in store.lists() if x.tier == compaction.FULL]
+    store.append(rows.limit(10))
+    assert full == [x for x in store.lists() if x.tier == compaction.FULL]
+
+
+def test_one_of_several_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = compaction.Store(spark, f"file://{tmp_path}")
+
+    def commit(_):
+        try:
+            return store.commit([], 0)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [x for x in pool.map(commit, range(6)) if x]
+    assert won == [1] and store.versions() == [1] and store.lists() == []
 
 
 def test_plan_fills_bins():
@@ -344,6 +497,11 @@ def test_plan_fills_bins():
     bins = compaction.plan(shards, 10_000_000)
     assert all(sum(s.bytes for s in b) <= 10_000_000 for b in bins) and sum(len(b) for b in bins) == 100 and len(bins) == 10
     assert compaction.plan(shards[:3], 10_000_000) == []
+    rng = random.Random(1)
+    mixed = [compaction.Shard(f"q{i}", rng.randint(1, 60), 1) for i in range(500)]
+    bins = compaction.packed(mixed, 100)
+    used = [sum(s.bytes for s in b) for b in bins]
+    assert max(used) <= 100 and sum(len(b) for b in bins) == 500 and sum(used) / 100 / len(bins) > 0.97
 
 
 # --- simhash --------------------------------------------------------------------------------------------------------------------------
@@ -495,10 +653,54 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, path).count() == pages(spark).count()
     assert warc.read(spark, path).filter("warc_type = 'revisit'").count() == 3
     assert warc.read(spark, path, payload="false").filter("payload IS NOT NULL").count() == 0
+    n = pages(spark).count()
+    again = warc.records_of(pages(spark).limit(3))
+    warc.write(again, path)
+    assert warc.read(spark, path).count() == n + 3
+    warc.write(again, path, "overwrite")
+    warc.write(again, path)
+    assert warc.read(spark, path).count() == 6
     warc.write(warc.records_of(pages(spark).limit(0)), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_skipped_payloads_are_not_read(tmp_path):
+    """Members say how long they are; a record that doesn't fit, or whose payload nobody wants, is passed over."""
+    rng = random.Random(2)
+    rows = [{"record_id": f"r{i}", "warc_type": "response", "target_uri": "u", "payload_digest": None, "payload_length": None, "refers_to": None, "payload": rng.randbytes(300_000)} for i in range(20)]
+    data = b"".join(map(lambda r: warc.member(warc.record(r)), rows))
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    assert b"".join(map(warc.record, rows)) == gzip.decompress(data)  # any gzip reader takes it
+
+    def read(**options):
+        reader = warc.WarcReader({"path": f"file://{tmp_path}", **options})
+        taken, take = [0], warc.Source.take
+
+        def counted(self, n):
+            got = take(self, n)
+            taken[0] += len(got)
+            return got
+
+        return reader, taken, counted
+
+    from pyspark.sql.datasource import EqualTo
+
+    for options, wanted, most in (({}, None, len(data) + 20 * 4096), ({"payload": "false"}, None, 20 * 4096), ({}, "r7", 320_000 + 20 * 4096)):
+        reader, taken, counted = read(**options)
+        if wanted:
+            list(reader.pushFilters([EqualTo(("record_id",), wanted)]))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc.Source, "take", counted)
+            got = list(reader.records(warc.Range("x.warc.gz", 0, len(data))))
+        assert [r[0] for r in got] == ([wanted] if wanted else [f"r{i}" for i in range(20)]) and taken[0] <= most
+        if "payload" not in options:
+            assert all(r[6] == rows[int(r[0][1:])]["payload"] for r in got)
+    plain = b"".join(gzip.compress(warc.record(r), 1) for r in rows[:3])
+    (tmp_path / "x.warc.gz").write_bytes(plain)
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    assert [r[6] for r in reader.records(warc.Range("x.warc.gz", 0, len(plain)))] == [r["payload"] for r in rows[:3]]
+
+
 def test_warc_pushdown():
     reader = warc.WarcReader({"path": "/none"})
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
@@ -517,9 +719,9 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(1, ITEM), (2, "short one here now please"), (3, None), (None, ITEM), (4, "2 3 4 5 6 7")], "item_id long, text string").withColumn("contaminated", F.lit(1))
     again = ITEM.replace("12", "40").replace("30", "7").replace("Maria", "Pedro")
     torn = ITEM.replace("12 pens", "40 pens").replace("Maria buys", "Pedro buys")
-    rows = [(10, f"x y z. {ITEM} And more."), (11, ITEM.lower()), (12, f"Before. {again}"), (13, torn), (14, "A shop sells 12 pens and nothing else of note today in all."), (15, "they said: short one here now, please!"), (16, "9 8 7 6 5 4 3"), *ODD]
+    rows = [(10, f"x y z. {ITEM} And more."), (11, ITEM.lower()), (17, ITEM.upper()), (18, again.replace(". ", ".\n").replace("A shop", "One shop")), (12, f"Before. {again}"), (13, torn), (14, "A shop sells 12 pens and nothing else of note today in all."), (15, "they said: short one here now, please!"), (16, "9 8 7 6 5 4 3"), *ODD]
     got = {r.doc_id: r["items"] for r in decontaminate.flag(docs(spark, rows), items).collect()}
-    assert (got[10], got[12], got[14], got[15], got[16]) == ([1], [1], [], [2], [])
+    assert (got[10], got[11], got[17], got[12], got[14], got[15], got[16]) == ([1], [1], [1], [1], [], [2], [])
     assert got[13] == []  # one value of the item stands for two of the document
     assert all(got[i] == [] for i, _ in ODD)
     left = decontaminate.remove_contaminated(docs(spark, rows), items)
