@@ -397,13 +397,25 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"batch_chars": 2_000, "group_chars": 5_000}])
+@pytest.mark.parametrize("sizes", [{}, {"batch_chars": 2_000, "group_chars": 5_000}, {"batch_chars": 2_000, "group_chars": 20_000, "group_suffixes": 300}])
 def test_substring_dedup(spark, corpus, sizes):
+    """Groups held as a whole, many small ones, and ones that outgrow memory so that prefixes are extended."""
     got = substring_dedup.remove_repeats(docs(spark, corpus).repartition(5), **sizes)
     assert Counter(tuple(r) for r in got.collect()) == brute_substrings(corpus)
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch):
+    """A text of a repeated id keeps its words where only another text of that id has repeats."""
+    rng = random.Random(9)
+    a, b = prose(rng, 20), prose(rng, 20)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, f"{b} {a}"), (None, a), (2, None)]
+    for bound in (200_000, 0):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", bound)
+        got = substring_dedup.remove_repeats(docs(spark, rows).repartition(3))
+        assert Counter(tuple(r) for r in got.collect()) == brute_substrings(rows)
+
+
 @pytest.mark.parametrize("windows", [255, 256, 300, 511])
 @pytest.mark.parametrize("period", [1, 4, 9])
 def test_periodic_text_across_batches(spark, windows, period):
@@ -415,20 +427,88 @@ def test_periodic_text_across_batches(spark, windows, period):
     assert got == want and got[2][1] == windows + 12
 
 
-def test_groups_split_alike():
-    rng = np.random.default_rng(0)
+def test_words_decide_and_not_hashes(monkeypatch):
+    """Even if all words had one hash, only equal words would be repeats."""
+    monkeypatch.setattr(substring_dedup.xxhash, "xxh64_intdigest", lambda *a: 7)
+    rng = random.Random(4)
+    split = [(d, 0, [b"%d" % rng.randrange(2) for _ in range(60)]) for d in range(6)]
+    first = {}
+    for d, _, w in split:
+        for p in range(48):
+            first.setdefault(tuple(w[p : p + 13]), d)
+    want = {(d, p) for d, _, w in split for p in range(48) if first[tuple(w[p : p + 13])] < d}
+    blobs, got = [], set()
+
+    def add(found):
+        got.update((d, int(a) + i) for d, _, b in found for a, n in np.frombuffer(b, "<u4").reshape(-1, 2) for i in range(n))
+
+    for lo in (0, 3):
+        out = list(substring_dedup.batch_runs(split[lo : lo + 3], 1))
+        blobs += [b for _, d, _, b in out if d is None]
+        add((d, t, b) for _, d, t, b in out if d is not None)
+    rows = sorted((x for b in blobs for x in substring_dedup.extended(b)), key=lambda x: (x[0], x[1]))
+    settled = set(got)
+    add(substring_dedup.subtree(blobs))
+    assert got == want and len(want) > 0
+    again = {(d, p) for batch in substring_dedup.leaves(iter([substring_dedup.batch_of(rows, "k long, d long, t long, p long, w binary")])) for d, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) for p in [int(np.frombuffer(b, "<u4")[0])]}
+    assert again | settled == want
+
+
+def test_one_anchor_everywhere_in_bounded_memory():
+    """A group that outgrows memory is passed on suffix by suffix: never more than the limit is held."""
+    line = [b"a%d" % i for i in range(5)]
+    rng = random.Random(3)
     blobs = []
-    for d in range(4):
-        out = list(substring_dedup.batch_runs([(d, rng.integers(0, 3, 3000).astype(np.uint64))], 1))
-        blobs += [b for _, doc, b in out if doc is None]
-    whole, split = substring_dedup.repeats(blobs), substring_dedup.repeats(blobs, most=500)
-    assert sorted(zip(*map(list, whole), strict=True)) == sorted(zip(*map(list, split), strict=True))
+    for d in range(400):
+        w = [b"%d" % rng.randrange(10**6) for _ in range(8)]
+        blobs += [b for _, doc, _, b in substring_dedup.batch_runs([(d, 0, w + line + w)], 1) if doc is None]
+    moved = substring_dedup.batch_of([(0, None, 0, b) for b in blobs], substring_dedup.MOVED)
+    most, out = 0, 0
+    held = substring_dedup.subtree
+
+    def watched(blobs):
+        raise AssertionError("a group beyond the limit was held")
+
+    substring_dedup.subtree = watched
+    try:
+        for batch in substring_dedup.trees(100)(iter([moved])):
+            most, out = max(most, batch.num_rows), out + batch.num_rows
+    finally:
+        substring_dedup.subtree = held
+    assert out == sum(map(substring_dedup.suffixes_in, blobs)) and most < 250
+
+
+def brute_maximal(texts, least):
+    """Repeats that can't be extended to either side without losing an occurrence."""
+    split = [(d, t.split()) for d, t in texts]
+    at = defaultdict(list)
+    for d, w in split:
+        for p in range(len(w)):
+            for q in range(p + least, len(w) + 1):
+                at[tuple(w[p:q])].append((d, p))
+    words = dict(split)
+    out = {}
+    for x, where in at.items():
+        left = {words[d][p - 1] if p else (d,) for d, p in where}
+        right = {words[d][p + len(x)] if p + len(x) < len(words[d]) else (d,) for d, p in where}
+        if len(where) > 1 and len(left) > 1 and len(right) > 1:
+            out[x] = sorted(where)
+    return out
+
+
+def test_maximal_repeats_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(30):
+        shared = [rng.choice("abc") for _ in range(12)]
+        texts = [(d, " ".join([rng.choice("abcd") for _ in range(rng.randrange(6))] + shared[rng.randrange(4) :] + [rng.choice("abcd") for _ in range(rng.randrange(6))])) for d in range(5)]
+        got = {tuple(w.decode() for w in x): where for x, where in substring_dedup.maximal_repeats(texts, 3)}
+        assert got == brute_maximal(texts, 3) and got
 
 
 def test_kept_text(spark):
     w = " ".join(f"w{i}" for i in range(13))
-    got = {r.doc_id: r.kept for r in substring_dedup.remove_repeats(docs(spark, [(1, w), (2, f"a {w} b")]), with_text=True).collect()}
-    assert got == {1: w, 2: "a b"}
+    got = {r.doc_id: (r.kept, r.removed) for r in substring_dedup.remove_repeats(docs(spark, [(1, w), (2, f"a {w} b")]), with_text=True).collect()}
+    assert got == {1: (w, []), 2: ("a b", [[1, 13]])}
 
 
 # --- compaction -----------------------------------------------------------------------------------------------------------------------
