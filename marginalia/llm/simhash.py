@@ -1,33 +1,46 @@
 """SimHash near-deduplication with vantage-point trees.
 
-Fingerprints are taken in one Arrow pass. Equal ones become a class with one representative. Classes are dealt to shards by blocks of their
-bits: with one block more than the greatest distance, two fingerprints within it agree on some block, so that shard holds both. (Shards
-that are Hamming balls around vantage points alone would overlap in most of their members: unrelated fingerprints lie 32 +- 4 bits from any
-point. So the blocks do the coarse routing, and the trees the search inside.) A shard holds each fingerprint at the block that overlaps it,
-and a vantage-point tree there finds the exact pairs: points are split by their Hamming distance from a vantage point, and a query skips
-each branch whose range of distances is out of reach by the triangle inequality, or whose points it is already linked with. Only a spanning
-forest of the links leaves a shard, so a group of near copies costs its size and not its square.
+Fingerprints are taken in one Arrow pass. Equal ones become a class with one representative. The classes are dealt to shards, each of which
+is searched by a vantage-point tree: points are split by their Hamming distance from a vantage point, and a query skips each branch whose
+range of distances is out of reach by the triangle inequality, or whose points it is already linked with. Only a spanning forest of the links
+leaves a shard, so a group of near copies costs its size and not its square.
+
+Shards are made by vantage points too: what is too large for one is split by the distance d from one of its members into those with d <= e
+and those with d > e - radius. The two overlap at the boundary just so far that any two points within the radius are together in one of them,
+so no link is lost. But unrelated fingerprints of 64 bits lie 32 +- 4 bits from any point, so that a radius of 4 puts two fifths of them on
+both sides: splitting a large table by vantage points alone would copy it hundreds of times over. So beyond WHOLE classes, blocks of bits do
+the coarse routing: cut into m blocks, two fingerprints within the radius r agree on m - r of them at least, and there is a bucket for what
+each choice of m - r blocks holds. m grows with the table so that a bucket has BUCKET classes on average: 5 buckets a class up to 7 million
+classes, 15 up to 2.7 thousand million. Buckets that are larger, as texts aren't random, are split by vantage points. All of this is exact.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, table
+from .common import cut, parts_for, spread, table, unused
 from .components import components
 
 SEED, SHINGLE, MAX_DISTANCE = 42, 4, 4
 LEAF = 48
-#: Entries (a fingerprint in a block) that one shard partition holds.
+#: Classes that are split by vantage points alone, classes in a bucket on average beyond that, and points from which on a bucket is split.
+WHOLE, BUCKET, SHARD_POINTS = 16_384, 1_024, 4_096
+#: A split must leave no side more than this share of the points; what can't be split so (near copies of each other) stays one shard.
+SPLIT_SHARE = 0.8
+#: Entries (a fingerprint in a bucket) that one shard partition holds.
 SHARD_ENTRIES = 60_000
+#: Rows about buckets, texts or copies that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -64,20 +77,31 @@ def votes(h: np.ndarray, n_words: int) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, n_words: int = 1) -> DataFrame:
-    """doc_id, fp (binary) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (64 bits as a signed number) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(words_of(t.as_py() or ""), shingle, n_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            raw = b"".join(fingerprint(words_of(t.as_py() or ""), shingle) for t in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, fp binary")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(bits: int, distance: int) -> list[np.ndarray]:
-    """Bit positions of distance + 1 disjoint blocks: fingerprints within the distance agree on one."""
-    return np.array_split(np.arange(bits), distance + 1)
+def n_blocks(classes: int, radius: int, whole: int = WHOLE, bucket: int = BUCKET) -> int:
+    """Into how many blocks fingerprints are cut for so many classes; radius blocks mean a bucket for all."""
+    m = radius
+    while m < 64 and classes > (whole if m == radius else bucket * 2 ** (64 * (m - radius) / m)):
+        m += 1
+    return m
+
+
+def masks(m: int, radius: int) -> list[int]:
+    """The bits of each choice of m - radius of m blocks, as signed 64-bit numbers. Points within the radius agree on one of them."""
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(64), m)]
+    chosen = [sum(x) for x in combinations(blocks, m - radius)]
+    assert len(chosen) == comb(m, radius)
+    return [x - (1 << 64) if x >> 63 else x for x in chosen]
 
 
 def bands(bits: int, n: int, each: int) -> list[np.ndarray]:
@@ -123,6 +147,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray):
         self.points = points
+        self.visited = self.skipped = 0  # branches that some query entered, and that none did
         self.order = np.arange(len(points))
         self.nodes: list[tuple] = []  # (lo, hi, vantage, (child, least, most) twice) or (lo, hi)
         self.root = self.build(0, len(points))
@@ -154,7 +179,9 @@ class Tree:
             if (parts == parts[0]).all():
                 asks = asks[links.part[asks] != parts[0]]
             if not len(asks):
+                self.skipped += 1
                 continue
+            self.visited += 1
             if rest:
                 v, *children = rest
                 d = distance(self.points[asks], self.points[v])
@@ -173,14 +200,82 @@ class Tree:
 def bucket_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the points."""
     links = Links(len(points))
-    if len(points) <= LEAF:
-        i, j = np.nonzero(np.triu(distance(points[:, None, :], points[None, :, :]) <= radius, 1))
-        links.add(i, j)
-    else:
-        Tree(points).join(radius, links)
+    Tree(points).join(radius, links)
     return links.kept
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """Broadcast up to a counted number of rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def buckets(classes: DataFrame, m: int, radius: int) -> DataFrame:
+    """bucket, fp, rep: each class (fp, rep) in a bucket for every choice of m - radius blocks. Choices may meet in a bucket; that costs, but loses, nothing."""
+    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))) for k, mask in enumerate(masks(m, radius))]
+    return classes.select(F.explode(F.array(*keys)).alias("bucket"), "fp", "rep")
+
+
+def vantage_shards(entries: DataFrame, radius: int, most: int = SHARD_POINTS, share: float = SPLIT_SHARE) -> DataFrame:
+    """bucket, fp, rep: buckets of more than `most` points split by distance from a vantage point, again and again, overlapping at the boundary.
+
+    Per round, what is known of a bucket is a row for each distance, 65 at most; only oversized buckets are moved again.
+    """
+    done, todo, turn = [], entries, 0
+    while True:
+        turn += 1
+        large = cut(todo.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("vantage")).filter(F.col("n") > most))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, todo])
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
+        at = todo.join(bounded(large), "bucket").groupBy("bucket", "n", "vantage", d.alias("d")).agg(F.count("*").alias("points"))
+        by = Window.partitionBy("bucket").orderBy("d")
+        near = F.sum("points").over(by.rangeBetween(Window.unboundedPreceding, 0))
+        far = F.col("n") - F.coalesce(F.sum("points").over(by.rangeBetween(Window.unboundedPreceding, -radius)), F.lit(0))
+        edges = at.select("bucket", "n", "vantage", F.col("d").alias("edge"), F.greatest(near, far).alias("larger"))
+        edges = edges.groupBy("bucket", "vantage", "n").agg(F.min_by("edge", "larger").alias("edge"), F.min("larger").alias("larger")).filter(F.col("larger") <= share * F.col("n"))
+        edges = bounded(cut(edges.select("bucket", "vantage", "edge")))
+        done.append(todo.join(edges.select("bucket"), "bucket", "left_anti"))
+        sides = F.array(F.when(d <= F.col("edge"), F.xxhash64("bucket", F.lit(turn), F.lit("near"))), F.when(d > F.col("edge") - radius, F.xxhash64("bucket", F.lit(turn), F.lit("far"))))
+        todo = cut(todo.join(edges, "bucket").select(F.explode(sides).alias("bucket"), "fp", "rep").filter("bucket is not null"))
+
+
+def shard_links(shards: DataFrame, radius: int, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """a, b: links between representatives whose fingerprints are within the radius, a forest for each shard (bucket, fp, rep)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            fp, rep = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0), np.empty(0))
+            if len(fp) > 1 and (pairs := bucket_links(fp.view(np.uint64).reshape(-1, 1), radius)):
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            lows, highs = np.append(0, edges), np.append(edges, len(bucket))
+            wide = np.flatnonzero((highs - lows > 1) | (lows == 0) | (highs == len(bucket)))  # the rest are points alone in their bucket
+            for lo, hi in zip(lows[wide].tolist(), highs[wide].tolist(), strict=True):
+                if bucket[lo] != at:
+                    yield from found()
+                    at, held = bucket[lo], []
+                held.append((fp[lo:hi], rep[lo:hi]))
+        yield from found()
+
+    n_parts = parts_for(shards.count(), shard_entries)
+    return shards.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
+
+
+def exact_links(classes: DataFrame, radius: int, *, whole: int = WHOLE, bucket: int = BUCKET, shard_points: int = SHARD_POINTS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """a, b: links between the representatives of classes (fp, rep) within the radius; all are joined that any chain of links joins."""
+    m = n_blocks(classes.count(), radius, whole, bucket)
+    entries = buckets(classes, m, radius) if m > radius else classes.select(F.lit(0).cast("long").alias("bucket"), "fp", "rep")
+    return shard_links(vantage_shards(entries, radius, shard_points), radius, shard_entries)
+
+
 def cross_pairs(points: np.ndarray, parts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of points of different parts within the radius."""
     if (parts == parts[0]).all():
@@ -193,14 +288,15 @@ def cross_pairs(points: np.ndarray, parts: np.ndarray, radius: int) -> Iterator[
         yield i[up] + at, j[up] + at
 
 
-def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np.ndarray], shard_entries: int = SHARD_ENTRIES, every: bool = False) -> DataFrame:
-    """a, b: links between representatives (fp, rep) whose fingerprints are within the radius, a forest for each shard.
+def band_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np.ndarray], shard_entries: int = SHARD_ENTRIES, every: bool = False) -> DataFrame:
+    """a, b: links between representatives (fp, rep) whose fingerprints are within the radius and agree on one of the blocks, a forest for each
+    bucket of such. The blocks may be samples of bits, for distances too large for exact ones.
 
     every: all links between representatives whose column root differs, in place of a forest.
     """
     n_parts = parts_for(classes.count() * len(blocks_of), shard_entries)
     bits = 64 * n_words
-    assert len(blocks_of) <= 64 and max(map(len, blocks_of)) <= 26
+    assert max(map(len, blocks_of)) <= 48 and len(blocks_of) < 1 << 16
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +308,10 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
             fp = np.frombuffer(raw, ">u8").astype("<u8").reshape(-1, n_words)
             bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(rep), -1), axis=1)
             assert bit.shape[1] == bits
-            # the block's number in the upper six bits, its value in the lower 26
-            keys = np.concatenate([(bit[:, b].astype(np.uint32) @ (np.uint32(1) << np.arange(len(b), dtype=np.uint32))) | np.uint32(k << 26) for k, b in enumerate(blocks_of)])
+            # the block's number in the upper 16 bits, its value in the lower 48
+            keys = np.concatenate([(bit[:, b].astype(np.uint64) @ (np.uint64(1) << np.arange(len(b), dtype=np.uint64))) | np.uint64(k << 48) for k, b in enumerate(blocks_of)])
             row = np.tile(np.arange(len(rep)), len(blocks_of))
-            part = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_parts)
+            part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_parts)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order])) + 1
             parts, blobs = [], []
@@ -229,10 +325,10 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 n = struct.unpack_from("<I", blob)[0]
-                keys.append(np.frombuffer(blob, "<u4", n, 4))
-                reps.append(np.frombuffer(blob, "<i8", n, 4 + 4 * n))
-                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 12 * n).reshape(n, n_words))
-                roots.append(np.frombuffer(blob, "<i8", n if every else 0, 4 + (12 + 8 * n_words) * n if every else 0))
+                keys.append(np.frombuffer(blob, "<u8", n, 4))
+                reps.append(np.frombuffer(blob, "<i8", n, 4 + 8 * n))
+                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 16 * n).reshape(n, n_words))
+                roots.append(np.frombuffer(blob, "<i8", n if every else 0, 4 + (16 + 8 * n_words) * n if every else 0))
         if not keys:
             return
         key, rep, fp = np.concatenate(keys), np.concatenate(reps), np.concatenate(fps)
@@ -258,21 +354,19 @@ def near_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
     return moved.mapInArrow(search, "a long, b long")
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, n_words: int = 1, sampled: tuple[int, int] | None = None, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, **sizes: int) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every row.
 
     Rows whose fingerprints differ in max_distance bits or fewer are linked; component_id is the smallest id reachable, itself included.
     Null and empty texts have the fingerprint zero, which links like any other. A row without an id bears no links and has the id of its
-    class, if the class has one. Repeated rows give a row each; an empty table gives none.
-    n_words: length of a fingerprint in 64-bit words. sampled: (number, bits) of sampled bands in place of the exact blocks, for distances
-    at which blocks would hardly select; pairs at the greatest distance may then be missed (see tests for the recall).
+    class, if the class has one. Repeated rows give a row each; an empty table gives none. Other columns are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, n_words))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    bits_of = bands(64 * n_words, *sampled) if sampled else blocks(64 * n_words, max_distance)
-    roots = components(near_links(classes.filter("rep is not null"), n_words, max_distance, bits_of, shard_entries))
+    roots = components(exact_links(classes.filter("rep is not null"), max_distance, **sizes))
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,31 +376,42 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For similarity 0.8 on five-word shingles: 256 bits, voted by distinct shingles; two texts of that similarity differ in 39 +- 6 bits, and
 #: in 48 +- 6 if one has four shingles and the other five. Candidates are within NEAR_DISTANCE and share one of the bands of sampled bits,
 #: as disjoint blocks would hardly select at this distance: 0.997 of pairs at 0.8. The exact similarity decides each.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_BANDS = 5, 4, 64, (64, 13)
-#: Links within this distance on the first of the bands are mostly true; they join most of a group before all other pairs are looked at.
-FIRST_DISTANCE, FIRST_BANDS = 39, 16
-#: Representatives whose texts are read again without a shuffle.
-BROADCAST_NODES = 200_000
+NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE = 5, 4, 64
+#: Bits of a band at least, and classes that share a band's value at random at most; from the number of classes follow the bits of a band,
+#: and from these the number of bands that keeps the recall.
+LEAST_BITS, BAND_CLASSES, LEAST_BANDS = 13, 64, 64
+#: Links within this distance on the first quarter of the bands are mostly true; they join most of a group before all other pairs are looked at.
+FIRST_DISTANCE = 39
+
+
+def band_shape(classes: int) -> tuple[int, int]:
+    """How many bands of how many bits so many classes need: 64 of 13 up to half a million."""
+    bits = max(LEAST_BITS, ceil(log2(max(1, classes) / BAND_CLASSES)))
+    agree = 1 - FIRST_DISTANCE / (64 * NEAR_WORDS)  # a bit of two texts at 0.8
+    return ceil(LEAST_BANDS * log(1 - agree**LEAST_BITS) / log(1 - agree**bits)), bits
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text or ""), NEAR_SHINGLE))
 
 
-def near_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, rep of rows (doc_id, text): rep is a hash of the text's set of shingles."""
+def near_prints(rows: DataFrame) -> DataFrame:
+    """doc_id, tag, fp, rep of rows (doc_id, tag, text): rep is a hash of the text's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
             reps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(s, NEAR_WORDS) for s in sets], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([votes(s, NEAR_WORDS) for s in sets], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "tag", "fp", "rep"])
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, rep long")
+    return spread(rows).mapInArrow(run, "doc_id long, tag long, fp binary, rep long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of representatives whose sets of shingles have a Jaccard similarity of 0.8 or more. docs: rep, doc_id, text."""
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of representatives whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    rows: doc_id, tag, text. classes: rep, least (the doc_id and tag of a row that has its text). Texts of few representatives aren't shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,60 +421,48 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = cut(pairs.select(F.col("a").alias("_end")).unionAll(pairs.select("b")).distinct())
-    if ends.count() <= BROADCAST_NODES:
-        ends = F.broadcast(ends)
-    sets = cut(docs.join(ends, docs["rep"] == ends["_end"], "left_semi").select("rep", "text").mapInArrow(run, "node long, shingles array<long>"))
+    ends = pairs.select(F.col("a").alias("_end")).unionAll(pairs.select("b")).distinct()
+    ends = cut(classes.join(ends, classes["rep"] == ends["_end"], "left_semi").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.tag").alias("_tag")))
+    texts = rows.join(bounded(ends), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("rep", "text")
+    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_t"))
     both = F.size(F.array_intersect("_s", "_t"))
-    return pairs.join(left, "a").join(right, "b").filter(5 * both >= 4 * (F.size("_s") + F.size("_t") - both)).select("a", "b")
+    return cut(pairs.join(left, "a").join(right, "b").filter(5 * both >= 4 * (F.size("_s") + F.size("_t") - both)).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of every row: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+    """doc_id, tag (XXH64 of the text), component_id of every row: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are linked.
 
     Texts of equal sets are one class. A forest of close candidates is verified first; then all candidates between what is still apart
     are, so that a link which fails hides no other. The second step's pairs can grow with the square of a family of texts whose
     similarities lie below 0.8, but near it.
     """
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     prints = cut(near_prints(rows))
-    classes = cut(prints.groupBy("rep").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    keys = classes.select(F.col("rep"), F.col("least").alias("_id"))
-    # a repeated id may bring other texts; their own hash says which
-    texts = rows.join(keys, rows["doc_id"] == keys["_id"]).select("rep", "doc_id", "text")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            is_own = [xxhash.xxh64_intdigest(shingle_set(t.as_py()).tobytes(), SEED) == r % 2**64 for r, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
-            yield batch.filter(pa.array(is_own, pa.bool_()))
-
-    bits_of = bands(64 * NEAR_WORDS, *NEAR_BANDS)
-
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("_e")).unionAll(pairs.select("b")).distinct()
-        near = texts.join(ends, texts["rep"] == ends["_e"], "left_semi").mapInArrow(own, "rep long, doc_id long, text string").dropDuplicates(["rep"])
-        return cut(verified(pairs, near))
-
-    first = check(near_links(classes, NEAR_WORDS, FIRST_DISTANCE, bits_of[:FIRST_BANDS]))
+    classes = cut(prints.groupBy("rep").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "tag")).alias("least")))
+    bits_of = bands(64 * NEAR_WORDS, *band_shape(classes.count()))
+    first = verified(band_links(classes, NEAR_WORDS, FIRST_DISTANCE, bits_of[: ceil(len(bits_of) / 4)]), rows, classes)
     roots = components(first)
     named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", "fp", F.coalesce("root", "rep").alias("root")))
-    second = check(near_links(named, NEAR_WORDS, NEAR_DISTANCE, bits_of, every=True))
+    second = verified(band_links(named, NEAR_WORDS, NEAR_DISTANCE, bits_of, every=True), rows, classes)
     roots = components(first.unionAll(second))
-    named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", "least", F.coalesce("root", "rep").alias("root")))
+    named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", F.col("least.doc_id").alias("least"), F.coalesce("root", "rep").alias("root")))
     least = named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     named = named.join(least, named["root"] == least["_root"]).select(F.col("rep").alias("_rep"), "component_id")
-    return prints.join(named, prints["rep"] == named["_rep"]).select("doc_id", "component_id")
+    return prints.join(named, prints["rep"] == named["_rep"]).select("doc_id", "tag", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, that with the smallest id, with the columns of docs.
+    """One row of each group of near copies, that with the smallest id, all its columns untouched, whatever their names.
 
-    Texts without words are not near copies of each other and all stay, as do rows without an id. Rows that repeat the smallest id stay.
+    Texts without words are not near copies of each other and all stay, as do rows without an id. Of rows that bear one id, each is judged by
+    its own text; those that repeat the smallest id of their group all stay. Only the ids and hashes of what goes meet the documents; up to
+    BROADCAST_ROWS of them, no text is shuffled for it.
     """
     worded = docs.filter(F.col(id_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    named = near_groups(worded, id_col, text_col)
-    gone = named.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone_id, gone_tag = unused(docs, "gone_id", "gone_tag")
+    gone = near_groups(worded, id_col, text_col).filter("component_id <> doc_id")
+    gone = bounded(cut(gone.select(F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag)).distinct()))
+    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (F.xxhash64(docs[text_col]) == gone[gone_tag]), "left_anti")

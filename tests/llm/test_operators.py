@@ -643,7 +643,10 @@ def test_trees_give_all_links(size):
             x = up[x]
         return x
 
+    links, tree = simhash.Links(len(points)), simhash.Tree(arr)
+    tree.join(4, links)
     kept = simhash.bucket_links(arr, 4)
+    assert kept == links.kept and (size < simhash.LEAF or tree.visited > 1)
     assert len(kept) < len(points)
     for i, j in kept:
         assert (points[i] ^ points[j]).bit_count() <= 4
@@ -652,15 +655,72 @@ def test_trees_give_all_links(size):
     assert len({find(i) for i in up}) == len(set(want.values())) and all(find(i) == find(want[i]) for i in want)
 
 
-def test_shards_lose_no_link(spark):
+SHAPES = [{}, {"shard_points": 60}, {"whole": 10, "bucket": 40}, {"whole": 10, "bucket": 2, "shard_points": 20, "shard_entries": 200}]
+
+
+@pytest.mark.parametrize("sizes", SHAPES)
+def test_shards_lose_no_link(spark, sizes):
+    """One tree; vantage shards that overlap at the boundary; buckets by blocks; both. The links join what all pairs within the radius join."""
     rng = random.Random(9)
-    seeds = [rng.getrandbits(64) for _ in range(60)]
-    points = {i: flip(rng, rng.choice(seeds), rng.randint(0, 5)) for i in range(500)}
-    classes = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")), k) for v, k in {v: k for k, v in points.items()}.items()], "fp binary, rep long")
-    links = simhash.near_links(classes, 1, 4, simhash.blocks(64, 4), shard_entries=200)
+    seeds = [rng.getrandbits(64) for _ in range(150)]
+    points = {i: flip(rng, rng.choice(seeds), rng.randint(0, 5)) for i in range(600)}
+    distinct = {v: k for k, v in points.items()}
+    classes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, k) for v, k in distinct.items()], "fp long, rep long")
+    links = simhash.exact_links(classes, 4, **sizes)
+    for r in links.collect():
+        assert (points[r.a] ^ points[r.b]).bit_count() <= 4
     roots = {r.node: r.root for r in components.components(links).collect()}
-    reps = {r.rep: int.from_bytes(r.fp, "big") for r in classes.collect()}
-    assert {k: roots.get(k, k) for k in reps} == brute_roots(reps, 4)
+    want = brute_roots({k: v for v, k in distinct.items()}, 4)
+    assert {k: roots.get(k, k) for k in want} == want and len(set(want.values())) < len(want)
+
+
+def test_vantage_shards_hold_every_close_pair(spark):
+    rng = random.Random(2)
+    points = sorted({flip(rng, rng.getrandbits(64), 0) for _ in range(300)})
+    points += [flip(rng, x, rng.randint(1, 4)) for x in points[:150]]
+    rows = [(0, x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(points)]
+    shards = simhash.vantage_shards(spark.createDataFrame(rows, "bucket long, fp long, rep long"), 4, most=100)
+    at, size = defaultdict(set), Counter()
+    for r in shards.collect():
+        at[r.rep].add(r.bucket)
+        size[r.bucket] += 1
+    assert set(at) == set(range(len(points))) and max(size.values()) <= 130 and len(size) > 4
+    assert any(len(x) > 1 for x in at.values())  # the boundary is in both
+    for i, a in enumerate(points):
+        for j in range(i):
+            assert (a ^ points[j]).bit_count() > 4 or at[i] & at[j]
+
+
+@pytest.mark.parametrize("m", [5, 6, 7, 8])
+def test_blocks_meet_within_the_radius(m):
+    rng = random.Random(m)
+    masks = [x % (1 << 64) for x in simhash.masks(m, 4)]
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = flip(rng, a, rng.randint(0, 4))
+        assert any(a & x == b & x for x in masks)
+
+
+def test_blocks_grow_with_the_table():
+    assert [simhash.n_blocks(n, 4) for n in (0, 927, 16_384, 16_385, 7_000_000, 10_000_000, 10**9, 10**10, 10**11)] == [4, 4, 4, 5, 5, 6, 6, 7, 7]
+    assert simhash.band_shape(200_000) == simhash.band_shape(10) == (64, 13)
+    agree = 1 - simhash.FIRST_DISTANCE / 256
+    for n in (10**7, 10**9):
+        bands, bits = simhash.band_shape(n)
+        assert n / 2**bits <= simhash.BAND_CLASSES and (1 - agree**bits) ** bands <= (1 - agree**13) ** 64 * 1.000001
+
+
+def test_trees_are_searched_on_a_table(spark):
+    """Over the fingerprints of a whole table, branches are entered and skipped; brute force over all pairs gives the same classes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    points = np.array(sorted(r.fp for r in simhash.fingerprints(rows).select("fp").distinct().collect())).view(np.uint64).reshape(-1, 1)
+    tree, links = simhash.Tree(points), simhash.Links(len(points))
+    tree.join(4, links)
+    assert len(points) > 500 and tree.visited > 10
+    close = np.argwhere(np.triu(np.bitwise_count(points ^ points.T) <= 4, 1))
+    every = simhash.Links(len(points))
+    every.add(close[:, 0], close[:, 1])
+    assert (links.part == every.part).all() and len(close) >= len(links.kept)
 
 
 def test_components(spark):
@@ -682,7 +742,9 @@ def test_near_copies_recall(spark):
                 t[at] = "changed"
             rows.append((1000 + i, " ".join(t)))
             copies.add(1000 + i)
-    left = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows + ODD)).collect()}
+    kept = simhash.drop_near_copies(docs(spark, rows + ODD))
+    left = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs(spark, []).columns and all(tuple(r)[2:] == ("en", 7, False, 8, True, 0.5) for r in kept.collect())
     gone = {i for i, _ in rows} - left
     assert gone <= copies and len(gone) >= 0.9 * len(copies) and {i for i, _ in ODD} <= left
     assert simhash.drop_near_copies(empty(spark)).count() == 0
@@ -702,6 +764,16 @@ def test_near_copies_by_exact_similarity(spark, changed, near):
     assert gone <= {i for i, _ in rows if i >= 1000} and len(gone) >= 97 if near else not gone
 
 
+def test_near_copies_of_repeated_ids(spark, monkeypatch):
+    """Of an id with two texts, only the text that is a near copy goes."""
+    a, b = tail_changed(1, 3)
+    rows = [(1, a), (2, b), (2, "quite another text"), (2, "quite another text"), (3, None), (None, a)]
+    for bound in (200_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+        left = simhash.drop_near_copies(docs(spark, rows).withColumn("gone_id", F.lit(2))).collect()
+        assert Counter((r.doc_id, r.text) for r in left) == Counter(x for x in rows if x != (2, b))
+
+
 def test_near_copies_with_repeated_lines(spark):
     line = " ".join(f"line{k}" for k in range(12))
     own = [" ".join(f"o{i}x{k}" for k in range(60)) for i in range(12)]
