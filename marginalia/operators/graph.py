@@ -108,33 +108,71 @@ def contained(papers: DataFrame, relations: DataFrame, members: DataFrame) -> Da
     return by_relation.unionByName(by_source).filter("id <> member").distinct()
 
 
-def closure(edges: DataFrame, source: str = "source", target: str = "target", most: int = 1_000) -> DataFrame:
-    """id, ancestor, depth: everything each node reaches, at its least depth. Semi-naive: each round joins only the new pairs.
+def highlighted(edges: DataFrame, centre: str) -> DataFrame:
+    """What selecting a node lights up: kind node, the closed neighbourhood, and kind edge, the edges at the node. Columns kind, id."""
+    at = touching(edges, centre)
+    around = at.select(F.explode(F.array("id", "other")).alias("id")).unionByName(edges.sparkSession.createDataFrame([(centre,)], "id string")).distinct()
+    own = edges.filter((F.col("source") == centre) | (F.col("target") == centre)).select(edge_id(F.col("source"), F.col("type"), F.col("target")).alias("id"))
+    return around.select(F.lit("node").alias("kind"), "id").unionByName(own.select(F.lit("edge").alias("kind"), "id"))
 
-    Ends when a round finds nothing new, so circles are no harm. Each round is cut off from its lineage in the checkpoint folder.
+
+def group_tone(first_group: Column, groups: list[str], tones: int = 3) -> Column:
+    """The tone of a node by its first group's place among the groups, over and over; -1 without a known group."""
+    at = F.array_position(F.array(*map(F.lit, groups)), first_group) - 1 if groups else F.lit(-1)
+    return F.when(F.coalesce(at, F.lit(-1)) < 0, F.lit(-1)).otherwise(at % tones).cast("int")
+
+
+def closure(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """id, ancestor, depth: everything each node reaches, at its least depth, however deep.
+
+    What is known up to depth h is doubled: pairs exactly h apart go on by all that is known, which gives all pairs up to 2h, as a shortest
+    path has a node h steps from its start. So the rounds grow with the logarithm of the depth. Circles are no harm. Each round's pairs,
+    no more than the result has, are cut off from their lineage in the checkpoint folder.
     """
-    step = edges.select(F.col(source).alias("id"), F.col(target).alias("next")).distinct()
-    found = new = _cut(step.select("id", F.col("next").alias("ancestor"), F.lit(1).alias("depth")))
-    for depth in range(2, most + 1):
-        longer = new.join(step.select(F.col("id").alias("ancestor"), "next"), "ancestor").select("id", F.col("next").alias("ancestor")).distinct()
-        new = _cut(longer.join(found, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+    pairs = edges.select(F.col(source).alias("id"), F.col(target).alias("ancestor")).filter("id IS NOT NULL AND ancestor IS NOT NULL")
+    found = _cut(pairs.distinct().withColumn("depth", F.lit(1)))
+    depth = 1
+    while True:
+        on = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        far = found.filter(F.col("depth") == depth).join(on, "ancestor").groupBy("id", F.col("next").alias("ancestor")).agg((F.min("more") + depth).alias("depth"))
+        new = _cut(far.join(found, ["id", "ancestor"], "left_anti"))
         if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found
+            return found
+        found, depth = _cut(found.unionByName(new.select(*found.columns))), 2 * depth
 
 
 def cycle_members(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Nodes that no peeling removes: rounds drop edges whose source nothing leads to or whose target leads nowhere, until none is left to drop."""
+    """Nodes that no peeling removes: what is left when nodes that nothing leads to, or that lead nowhere, go until there is none.
+
+    Each round peels once and also takes nodes with one way in and one way out from the chains that they are in, no two neighbours at once, so
+    that a chain's length falls by a constant share: the rounds grow with its logarithm. A node so taken stays just if its two neighbours do.
+    """
     left = _cut(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
-    n = left.count()
+    n, taken, turn = left.count(), [], 0
     while n:
+        turn += 1
         kept = left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
         kept = _cut(kept.join(kept.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        ways = kept.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("ways"), F.first("u").alias("before"))
+        ways = ways.join(kept.groupBy(F.col("u").alias("x")).agg(F.count("*").alias("out"), F.first("v").alias("after")), "x").filter("ways = 1 AND out = 1 AND before <> x")
+        # of neighbours in a chain, the one whose hash of this round is least
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
+        inner = ways.select("x")
+        near = lambda c: ways.join(inner.select(F.col("x").alias(c)), c, "left_semi").filter(rank(c) < rank("x")).select("x")
+        chosen = _cut(ways.join(near("before").unionByName(near("after")).distinct(), "x", "left_anti").select("x", "before", "after"))
+        if not chosen.isEmpty():
+            taken.append(chosen)
+            gone = chosen.select("x")
+            rest = kept.join(gone.withColumnRenamed("x", "u"), "u", "left_anti").join(gone.withColumnRenamed("x", "v"), "v", "left_anti").select("u", "v")
+            kept = _cut(rest.unionByName(chosen.select(F.col("before").alias("u"), F.col("after").alias("v"))).distinct())
         left, before, n = kept, n, kept.count()
-        if n == before:
+        if n == before and chosen.isEmpty():
             break
-    return left.select(F.col("u").alias("id")).distinct()
+    stay = left.select(F.col("u").alias("id")).distinct()
+    for chosen in reversed(taken):
+        own = chosen.join(stay.withColumnRenamed("id", "before"), "before", "left_semi").join(stay.withColumnRenamed("id", "after"), "after", "left_semi")
+        stay = _cut(stay.unionByName(own.select(F.col("x").alias("id"))))
+    return stay
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -143,26 +181,40 @@ def _cut(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-def ring(members: DataFrame, group: str, id: str) -> DataFrame:
-    """x, y of each member on its group's ring, the groups three in a row."""
+def ring(members: DataFrame, group: str, id: str, groups: list[str] | None = None) -> DataFrame:
+    """x, y of each member on its group's ring, the groups three in a row; a node with several groups is placed by its first.
+
+    group: a column, or an array column, whose first element counts. groups: their order; by default they are sorted, and their names,
+    which a view lists one by one, come to the driver.
+    """
     from pyspark.sql import Window
 
+    if members.schema[group].dataType.typeName() == "array":
+        members = members.withColumn(group, F.get(group, F.lit(0)))
+    if groups is None:
+        groups = [r[0] for r in members.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
     w = Window.partitionBy(group)
     at = members.withColumns({"i": F.row_number().over(w.orderBy(id)) - 1, "n": F.count("*").over(w)})
-    slot = at.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)  # a row for each group: few
-    at = at.join(F.broadcast(slot), group)
+    at = at.withColumn("g", F.array_position(F.array(*map(F.lit, groups)), F.col(group)) - 1).filter("g >= 0") if groups else at.withColumn("g", F.lit(0)).limit(0)
     angle = F.col("i") / F.col("n") * (2 * F.pi()) - F.pi() / 2
     r = F.greatest(F.lit(200.0), F.least(F.lit(250.0), F.col("n") * 13.0))
     return at.withColumns({"x": 260 + F.pmod("g", F.lit(3)) * 550 + F.cos(angle) * r, "y": 300 + F.floor(F.col("g") / 3) * 570 + F.sin(angle) * r * 0.85}).drop("i", "n", "g")
 
 
-def compact_ring(members: DataFrame, centre: str, id: str = "id") -> DataFrame:
-    """x, y of a neighbourhood: the centre in the middle, the others around it. For the few nodes of one view."""
+#: Nodes that a compact view draws at most; a ring of more can't be read, and would be numbered in one task.
+MOST_DRAWN = 10_000
+
+
+def compact_ring(members: DataFrame, centre: str, id: str = "id", most: int = MOST_DRAWN) -> DataFrame:
+    """x, y of a neighbourhood: the centre in the middle, the others around it in order. More than `most` members are refused, not cut."""
     from pyspark.sql import Window
 
+    n = members.filter(F.col(id) != centre).count()
+    if n > most:
+        raise ValueError(f"{centre} has {n} neighbours; a compact view draws {most} at most")
     rest = members.filter(F.col(id) != centre).withColumn("i", F.row_number().over(Window.orderBy(id)) - 1)
-    angle = F.col("i") / F.col("n") * (2 * F.pi())
-    around = rest.withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1)))).select(*members.columns, (260 + 215 * F.cos(angle)).alias("x"), (210 + 165 * F.sin(angle)).alias("y"))
+    angle = F.col("i") / F.lit(max(n, 1)) * (2 * F.pi())
+    around = rest.select(*members.columns, (260 + 215 * F.cos(angle)).alias("x"), (210 + 165 * F.sin(angle)).alias("y"))
     return around.unionByName(members.filter(F.col(id) == centre).withColumns({"x": F.lit(260.0), "y": F.lit(210.0)}))
 
 

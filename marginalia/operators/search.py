@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import parse_qs, urlsplit
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def index_filter(nodes: DataFrame, query: str = "", standing: str = "", editoria
     return nodes.filter(facets(claimStanding=standing, editorialState=editorial, projects__member=project, publicationStatus=publication) & matches(query, where))
 
 
+def view_state(address: str, projects: list[str], nodes: DataFrame | None = None) -> dict[str, str]:
+    """What an address asks of a view, as far as it is valid: a project that exists, and a node that does. Anything else in it is ignored."""
+    asked = {k: v[0] for k, v in parse_qs(urlsplit(address).query).items()}
+    state = {"project": asked["project"]} if asked.get("project") in projects else {}
+    if "node" in asked and (nodes is None or not nodes.filter(F.col("id") == asked["node"]).isEmpty()):
+        state["node"] = asked["node"]
+    return state
+
+
 def bucket_counts(nodes: DataFrame, shown: DataFrame, column: str, sections: tuple = S.INDEX_SECTIONS) -> DataFrame:
     """section, total, visible of the index's sections in order; empty ones have zeros and hidden = true."""
     spark = nodes.sparkSession

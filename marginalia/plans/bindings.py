@@ -144,3 +144,31 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORDERS = "ords AS (SELECT 'ORD-' || o_orderkey AS id, o_orderstatus AS standing, o_orderpriority AS editorial, CAST(year(o_orderdate) AS VARCHAR) AS publication, 'P-' || o_custkey AS project, o_orderkey, o_totalprice FROM orders)"
+
+
+def papers(spark: SparkSession, sf: str) -> DataFrame:
+    """paper, path, text: a paper in TeX for each document, with its whole text, and a bibliography. By its number, the second section is
+    unnumbered (even ones) and the lemma has no label (multiples of three)."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    n, lit = F.col("doc_id").cast("string"), F.lit
+    plain = F.regexp_replace(F.coalesce("text", lit("")), "[^a-z]+", " ")
+    lines = (
+        (lit(r"\newtheorem{thm}{Theorem}[section]"),), (lit(r"\newtheorem{lem}[thm]{Lemma}"),), (lit(r"\newcommand{\half}{0.5}"),), (lit(r"\title{Paper "), n, lit("}")), (lit(r"\begin{document}"),),
+        (lit(r"\section{First}\label{sec:"), n, lit("}")), (lit(r"\begin{thm}[About "), n, lit(r"]\label{thm:"), n, lit("}")), (plain, lit(" $x_{"), n, lit(r"}$ \cite{K1,N"), n, lit(r"} \ref{lem:"), n, lit("} % aside")), (lit(r"\end{thm}"),),
+        (lit(r"\begin{proof} By \ref{sec:"), n, lit(r"} and \eqref{gone}. \end{proof}"),), (F.when(F.col("doc_id") % 2 == 0, r"\section*{Second}").otherwise(r"\section{Second}"),),
+        (lit(r"\begin{lem}"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(lit(r"\label{lem:"), n, lit("}")))), (F.col("n_chars").cast("string"), lit(r" \emph{items} \[ y \]")), (lit(r"\end{lem}"),), (lit(r"\bibliography{refs}"),), (lit(r"\end{document}"),),
+    )
+    main = F.concat_ws("\n", *(F.concat(*parts) for parts in lines))
+    refs = F.concat(lit("@article{K1, title={On {"), n, lit("}}, author={A, Ada and Bo B}, year={2001}}\n@book{Spare, title = \"Other\", year = 1999}\n"))
+    file = lambda path, text: F.struct(lit(path).alias("path"), text.alias("text"))
+    return d.select(F.concat(lit("D"), n).alias("paper"), F.explode(F.array(file("main.tex", main), file("refs.bib", refs))).alias("f")).select("paper", "f.*")
+
+
+#: The same papers in SQL: n, the number as text; plain, its letters; main, the text of its TeX file; labelled, whether the lemma has a label.
+PAPERS = r"""
+d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, 'D' || doc_id AS paper, 'papers/D' || doc_id || '/main.tex' AS file, CAST(n_chars AS VARCHAR) || ' \emph{items} \[ y \]' AS items,
+  doc_id % 3 <> 0 AS labelled, doc_id % 2 <> 0 AS numbered, regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g') || ' $x_{' || doc_id || '}$ \cite{K1,N' || doc_id || '} \ref{lem:' || doc_id || '} % aside' AS body FROM documents),
+t AS (SELECT *, concat_ws(chr(10), '\newtheorem{thm}{Theorem}[section]', '\newtheorem{lem}[thm]{Lemma}', '\newcommand{\half}{0.5}', '\title{Paper ' || n || '}', '\begin{document}', '\section{First}\label{sec:' || n || '}', '\begin{thm}[About ' || n || ']\label{thm:' || n || '}', body, '\end{thm}',
+  '\begin{proof} By \ref{sec:' || n || '} and \eqref{gone}. \end{proof}', CASE WHEN numbered THEN '\section{Second}' ELSE '\section*{Second}' END, '\begin{lem}' || CASE WHEN labelled THEN '\label{lem:' || n || '}' ELSE '' END, items, '\end{lem}', '\bibliography{refs}', '\end{document}') AS main,
+  CASE WHEN labelled THEN 'label:lem:' || n ELSE 'unlabeled:lemma:' || substr(sha256(items), 1, 16) END AS lemma,
+  '@article{K1, title={On {' || n || '}}, author={A, Ada and Bo B}, year={2001}}' AS article, '@book{Spare, title = "Other", year = 1999}' AS book FROM d)"""

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import tex
 from ..functions import text as T
 from ..operators import audit, extract, graph, imports, provenance, search, validate
+from ..sources.files import cut, spread
 from . import bindings as B
-from . import fixtures, review
+from . import review
 from .bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,12 +499,12 @@ def q_claim_standing_rule(spark, sf):
     return validate.claim_standing(o)
 
 
-@query(f"WITH t AS (SELECT o_orderkey, {_TYPES} AS type, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'in-progress' ELSE 'open' END AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'background' WHEN o_orderpriority = '2-HIGH' THEN 'research-direction' ELSE 'source-backed' END AS provenance, CASE WHEN o_orderkey % 5 = 0 THEN '2606.18238' END AS arxiv FROM orders) "
+@query(f"WITH t AS (SELECT o_orderkey, {_TYPES} AS type, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'in-progress' ELSE 'open' END AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'background' WHEN o_orderpriority = '2-HIGH' THEN 'research-direction' ELSE 'source-backed' END AS provenance, CASE WHEN o_orderkey % 5 = 0 THEN '2701.00001' END AS arxiv FROM orders) "
        "SELECT 'ORD-' || o_orderkey AS id, CASE WHEN type IN ('theorem', 'claim') THEN CASE status WHEN 'published' THEN 'source-claimed' WHEN 'in-progress' THEN 'conjectural' ELSE status END END AS standing, CASE WHEN status IN ('in-progress', 'open') THEN 'draft' WHEN provenance = 'background' THEN 'reviewed' WHEN provenance = 'research-direction' THEN 'draft' ELSE 'curated' END AS editorial, CASE WHEN status = 'published' THEN 'published' WHEN arxiv IS NOT NULL THEN 'preprint' ELSE 'unpublished' END AS publication, 'P1' AS projects FROM t")
 def q_legacy_migration(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "in-progress").otherwise("open")
     prov = F.when(F.col("o_orderpriority") == "1-URGENT", "background").when(F.col("o_orderpriority") == "2-HIGH", "research-direction").otherwise("source-backed")
-    o = _typed_orders(spark, sf).withColumns({"status": status, "provenance": prov, "arxiv": F.when(F.col("o_orderkey") % 5 == 0, "2606.18238"), "project": F.lit("P1")})
+    o = _typed_orders(spark, sf).withColumns({"status": status, "provenance": prov, "arxiv": F.when(F.col("o_orderkey") % 5 == 0, "2701.00001"), "project": F.lit("P1")})
     return review.migrate(o).select("id", F.col("claimStanding").alias("standing"), F.col("editorialState").alias("editorial"), F.col("publicationStatus").alias("publication"), F.array_join("projects", ",").alias("projects"))
 
 
@@ -546,9 +548,9 @@ def q_labels_and_padding(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.type_label(F.lower("p_type")).alias("label"), standing.alias("standing"), T.pad_start(F.col("p_size").cast("string"), 2, "0").alias("ordinal"), F.concat(T.pad_end(F.col("p_name"), 19), F.lit("|")).alias("padded"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url END AS safe, regexp_replace('2606.' || (10000 + page_id) || 'v2', 'v\\d+$', '') AS arxiv, CASE WHEN page_id % 2 = 0 THEN '2606.' || (10000 + page_id) END AS directory FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url END AS safe, regexp_replace('2701.' || (10000 + page_id) || 'v2', 'v\\d+$', '') AS arxiv, CASE WHEN page_id % 2 = 0 THEN '2701.' || (10000 + page_id) END AS directory FROM pages")
 def q_urls_and_arxiv(spark, sf):
-    n = F.concat(F.lit("2606."), (10000 + F.col("page_id")).cast("string"))
+    n = F.concat(F.lit("2701."), (10000 + F.col("page_id")).cast("string"))
     return table(spark, sf, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe"), T.arxiv_base(F.concat(n, F.lit("v2"))).alias("arxiv"), T.directory_arxiv(F.when(F.col("page_id") % 2 == 0, n).otherwise("x")).alias("directory"))
 
 
@@ -598,56 +600,81 @@ def q_status_lines(spark, sf):
     return e.select(F.col("event_type").alias("source_key"), F.concat_ws(" ", F.col("n").cast("string"), F.lit("NEW")).alias("line"))
 
 
-# --- papers: literal bundles, as the driver's texts hold no TeX -------------------------------------------------------------------------
+# --- papers: a bundle in TeX for each document ------------------------------------------------------------------------------------------
 
 
-def _scanned(spark):
-    return extract.scan_papers(fixtures.bundles(spark))
+def _scanned(spark, sf):
+    return cut(extract.scan_papers(B.papers(spark, sf)))
 
 
-@query()
+def _joined(name: str, sign: str) -> Column:
+    return F.array_join(name, sign).alias(name)
+
+
+@query(f"WITH {B.PAPERS} " + r"""
+SELECT paper, 'paper' AS source_key, 'paper' AS environment, NULL AS latex_label, NULL AS printed_number, 'Paper ' || n AS title, '' AS statement, NULL AS proof, NULL AS section, file AS source_file, 1 AS start_line, 16 AS end_line, 'K1,N' || n AS citations, 'paper' AS proposed_type,
+  'P' || paper || '-PAPER' AS suggested_id, false AS blocked, '' AS warnings FROM t
+UNION ALL SELECT paper, 'label:thm:' || n, 'theorem', 'thm:' || n, '1.1', 'About ' || n, '\label{thm:' || n || '}' || chr(10) || body, 'By \ref{sec:' || n || '} and \eqref{gone}.', 'First', file, 7, 9, 'K1,N' || n, 'theorem',
+  'P' || paper || '-THM-' || n || '-' || upper(substr(sha256('label:thm:' || n), 1, 6)), false, CASE WHEN labelled THEN '' ELSE 'Unresolved source reference: lem:' || n || '|' END || 'Unresolved source reference: gone' FROM t
+UNION ALL SELECT paper, lemma, 'lemma', CASE WHEN labelled THEN 'lem:' || n END, CASE WHEN numbered THEN '2.1' ELSE '1.2' END, NULL, CASE WHEN labelled THEN '\label{lem:' || n || '}' || chr(10) ELSE '' END || items, NULL, 'Second', file, 12, 14, '', 'lemma',
+  'P' || paper || '-' || CASE WHEN labelled THEN 'LEM-' || n ELSE upper(replace(lemma, ':', '-')) END || '-' || upper(substr(sha256(lemma), 1, 6)), false, CASE WHEN labelled THEN '' ELSE 'No stable LaTeX label: identity falls back to normalized source text.' END FROM t""")
 def q_latex_objects(spark, sf):
-    return extract.proposals(_scanned(spark))
+    rows = extract.proposals(_scanned(spark, sf))
+    columns = ["paper", "source_key", "environment", "latex_label", "printed_number", "title", "statement", "proof", "section", "source_file", "start_line", "end_line", "proposed_type", "suggested_id", "blocked"]
+    return rows.select(*columns, _joined("citations", ","), _joined("warnings", "|"))
 
 
-@query()
+@query(f"WITH {B.PAPERS} SELECT paper, 0 AS pos, 'section' AS level, 'First' AS title, '1' AS number, 'sec:' || n AS labels, file AS source_file, 6 AS start_line FROM t UNION ALL SELECT paper, 1, 'section', 'Second', CASE WHEN numbered THEN '2' END, '', file, 11 FROM t")
 def q_latex_sections(spark, sf):
-    return extract.rows_of(_scanned(spark), "section")
+    return extract.rows_of(_scanned(spark, sf), "section").withColumn("labels", _joined("labels", ","))
 
 
-@query()
+@query(f"WITH {B.PAPERS} SELECT paper, 'label:thm:' || n AS source_key, 0 AS pos, 'lem:' || n AS label, 'ref' AS command, 'statement' AS context, CASE WHEN labelled THEN 'lemma' END AS target_kind, CASE WHEN labelled THEN lemma END AS target_key, CASE WHEN NOT labelled THEN 'Unresolved' END AS problem FROM t "
+       "UNION ALL SELECT paper, 'label:thm:' || n, 1, 'sec:' || n, 'ref', 'proof', 'section', NULL, NULL FROM t UNION ALL SELECT paper, 'label:thm:' || n, 2, 'gone', 'eqref', 'proof', NULL, NULL, 'Unresolved' FROM t")
 def q_latex_references(spark, sf):
-    s = _scanned(spark)
+    s = _scanned(spark, sf)
     labels = extract.rows_of(s, "label")
     objects = extract.identified(extract.rows_of(s, "object"), labels)
     return extract.resolved_references(objects, extract.label_catalog(labels, objects))
 
 
-@query()
+@query(f"WITH {B.PAPERS} SELECT paper, 'sec:' || n AS label, 'section' AS kind, NULL AS source_key, file, 6 AS line, 1 AS n FROM t UNION ALL SELECT paper, 'thm:' || n, 'theorem', 'label:thm:' || n, file, 7, 1 FROM t UNION ALL SELECT paper, 'lem:' || n, 'lemma', lemma, file, 12, 1 FROM t WHERE labelled")
 def q_latex_labels(spark, sf):
-    s = _scanned(spark)
+    s = _scanned(spark, sf)
     labels = extract.rows_of(s, "label")
     return extract.label_catalog(labels, extract.identified(extract.rows_of(s, "object"), labels))
 
 
-@query()
+@query(f"WITH {B.PAPERS} SELECT paper, 'warning' AS severity, NULL AS file, NULL AS line, 'Citation key has no bibliography entry: N' || n AS message FROM t")
 def q_latex_diagnostics(spark, sf):
-    return extract.diagnostics(_scanned(spark))
+    return extract.diagnostics(_scanned(spark, sf))
 
 
-@query()
+@query(f"WITH {B.PAPERS} SELECT paper, 0 AS pos, 'K1' AS key, 'article' AS entry_type, 'A, Ada;Bo B' AS authors, 'On {{' || n || '}}' AS title, '2001' AS year, article AS raw, replace(file, 'main.tex', 'refs.bib') AS source_file, true AS used FROM t "
+       "UNION ALL SELECT paper, 1, 'Spare', 'book', '', 'Other', '1999', book, replace(file, 'main.tex', 'refs.bib'), false FROM t")
 def q_bibtex_entries(spark, sf):
-    s = _scanned(spark)
-    return extract.used_citations(extract.rows_of(s, "citation"), extract.rows_of(s, "paper")).drop("fields")
+    s = _scanned(spark, sf)
+    rows = extract.used_citations(extract.rows_of(s, "citation"), extract.rows_of(s, "paper"))
+    return rows.select("paper", "pos", "key", "entry_type", _joined("authors", ";"), "title", "year", "raw", "source_file", "used")
 
 
-@query()
+@query(f"WITH {B.PAPERS}, " + r"""p AS (SELECT paper, article, book, regexp_replace(replace(replace(main, '% aside', '       '), '\emph{items}', 'items'), '\\label\{[^}]*\}', '', 'g') AS p FROM t)
+SELECT paper, 'main.tex' AS path, 0 AS pos, 'text' AS kind, split_part(p, '$', 1) AS value FROM p UNION ALL SELECT paper, 'main.tex', 1, 'math', split_part(p, '$', 2) FROM p UNION ALL SELECT paper, 'main.tex', 2, 'text', split_part(split_part(p, '$', 3), '\[', 1) FROM p
+UNION ALL SELECT paper, 'main.tex', 3, 'display', ' y ' FROM p UNION ALL SELECT paper, 'main.tex', 4, 'text', split_part(p, '\]', 2) FROM p UNION ALL SELECT paper, 'refs.bib', 0, 'text', article || chr(10) || book || chr(10) FROM p""")
 def q_latex_preview_segments(spark, sf):
-    from ..functions.tex import preview_column
+    rows = spread(B.papers(spark, sf))
+    return rows.select("paper", "path", F.posexplode(tex.preview_column("text")).alias("pos", "s")).select("paper", "path", "pos", "s.*")
+
 
-    return fixtures.bundles(spark).select("paper", "path", F.posexplode(preview_column("text")).alias("pos", "s")).select("paper", "path", "pos", "s.*")
+#: Where each command of a paper stands: what begins there, and the command's name.
+_COMMANDS = (
+    r"\newtheorem{thm} \newtheorem{lem} \newcommand \title \begin{document} \section{First} \label{sec \begin{thm} \label{thm \cite \ref{lem \end{thm} \begin{proof} \ref{sec \eqref \end{proof} "
+    r"\section{Second} \section*{Second} \begin{lem} \label{lem \emph \[ \] \end{lem} \bibliography \end{document}"
+).split()
 
 
-@query()
+@query(f"WITH {B.PAPERS}, c(mark, name) AS (VALUES " + ", ".join("('{}', '{}')".format(m, m[1:].split("{")[0]) for m in _COMMANDS) + "), "
+       "f AS (SELECT paper || '/main.tex' AS id, name, strpos(main, mark) - 1 AS start FROM t, c WHERE strpos(main, mark) > 0) SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS pos, name, start, start + 1 + length(name) AS end FROM f")
 def q_latex_commands(spark, sf):
-    return fixtures.bundles(spark).select(F.concat_ws("/", "paper", "path").alias("id"), "text").mapInPandas(extract.commands_of, "id string, pos int, name string, start int, end int")
+    rows = spread(B.papers(spark, sf)).select(F.concat_ws("/", "paper", "path").alias("id"), "text")
+    return rows.mapInPandas(extract.commands_of, "id string, pos int, name string, start int, end int")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas as S
-from ..functions.bundle import MAX_CHARS, safe_segment
-from .files import children, read_json, shared_dir, write_json
+from ..functions.bundle import MAX_CHARS, expand_inputs, safe_segment
+from .files import atomic_write, children, exists, read_json, read_text, write_json
 
 REPORT = "metric string, value long"
 
@@ -95,14 +96,12 @@ def staged(spark: SparkSession, root: str, name: str = "proposals") -> DataFrame
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """paper, source_key and the decision, from review files (root/<paper>/review.json); no file means no decisions."""
-    out = None
-    for paper in children(spark, root):
-        doc = read_json(spark, f"{root}/{paper}/review.json", S.LEDGER)
-        rows = doc.select(F.lit(paper).alias("paper"), F.explode("decisions").alias("source_key", "d")).select("paper", "source_key", "d.*")
-        out = rows if out is None else out.unionByName(rows)
-    empty = spark.createDataFrame([], "paper string, source_key string, state string, contentHash string, nodeId string, commit string, reviewedAt string, note string")
-    return empty if out is None else out
+    """paper, source_key and the decision, from review files (root/<paper>/review.json), in one scan; no file means no decisions."""
+    if not any(exists(spark, f"{root}/{paper}/review.json") for paper in children(spark, root)):
+        return spark.createDataFrame([], "paper string, source_key string, state string, contentHash string, nodeId string, commit string, reviewedAt string, note string")
+    docs = spark.read.schema(S.LEDGER).option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/review.json")
+    paper = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return docs.select(F.url_decode(paper).alias("paper"), F.explode("decisions").alias("source_key", "d")).select("paper", "source_key", "d.*")
 
 
 def write_decision(spark: SparkSession, root: str, paper: str, source_key: str, decision: dict) -> None:
@@ -114,8 +113,76 @@ def write_decision(spark: SparkSession, root: str, paper: str, source_key: str,
     write_json(spark, path, {"formatVersion": 1, "decisions": decisions | {source_key: decision}})
 
 
-def catalog_of(spark: SparkSession, listing: str, commit: str, cache: str | None = None) -> DataFrame:
-    """paper, commit of a listing (JSON); the listing of a commit is kept, so that offline runs can use it."""
-    names = discover(json.loads(listing))
-    write_json(spark, f"{cache or shared_dir(spark)}/catalog-{commit}.json", {"commit": commit, "directories": names})
-    return spark.createDataFrame([(n, commit) for n in names], "paper string, commit string")
+class Online:
+    """A repository of papers behind two requests, the commit of a branch and the folders of a commit, and one for each file.
+
+    transport: address to (status, headers, body); the network is its business, as are time limits. What was read of a commit is kept below
+    `cache`, by commit and path, and never asked for again; `offline`, nothing is asked for at all.
+    """
+
+    def __init__(self, spark: SparkSession, transport: Callable[[str], tuple[int, dict[str, str], bytes]], cache: str, branch: str = "main", offline: bool = False):
+        self.spark, self.transport, self.cache, self.branch, self.offline = spark, transport, cache.rstrip("/"), branch, offline
+
+    def request(self, address: str, most: int = MAX_CHARS) -> bytes:
+        """The body of an address. Refused: any status but 2xx, and bodies over the cap, by what the header says or by what comes."""
+        status, headers, body = self.transport(address)
+        if not 200 <= status < 300:
+            raise OSError(f"{address} answered {status}")
+        told = {k.lower(): v for k, v in headers.items()}.get("content-length", "0")
+        if len(body) > most or told.isdigit() and int(told) > most:
+            raise ValueError(f"{address} exceeds {most} bytes")
+        return body
+
+    def catalog(self) -> tuple[str, list[str]]:
+        """The commit that the branch stands for, and the paper folders in it; offline, those that were kept last for the branch."""
+        kept = f"{self.cache}/branches/{safe_segment(self.branch)}.json"
+        if self.offline:
+            text = read_text(self.spark, kept)
+            if text is None:
+                raise FileNotFoundError(f"no catalog of {self.branch} is kept for offline use")
+            found = json.loads(text)
+        else:
+            commit = json.loads(self.request(f"commits/{self.branch}"))["sha"]
+            if not re.fullmatch("[0-9a-f]{40}", commit):
+                raise ValueError(f"not a commit: {commit}")
+            found = {"commit": commit, "directories": discover(json.loads(self.request(f"contents/?ref={commit}")))}
+            write_json(self.spark, kept, found)
+        return found["commit"], found["directories"]
+
+    def file(self, commit: str, path: str) -> str:
+        """The text of a file at a commit: from what is kept, else by a request, after which it is kept."""
+        kept = f"{self.cache}/files/{commit}/{path}"
+        text = read_text(self.spark, kept)
+        if text is None:
+            if self.offline:
+                raise FileNotFoundError(f"{path} at {commit} is not kept for offline use")
+            text = self.request(f"raw/{commit}/{path}").decode("utf-8")
+            atomic_write(self.spark, kept, text)
+        return text
+
+    def bundle(self, paper: str, entrypoint: str = "main.tex") -> DataFrame:
+        """paper, commit, path, text, sha256, bytes of the files that a paper's entrypoint leads to, by path. The paper must be in the catalog."""
+        commit, directories = self.catalog()
+        if paper not in directories:
+            raise ValueError(f"{paper} is not among the papers at {commit}")
+        texts = Reached(lambda path: self.file(commit, f"{safe_segment(paper)}/{path}"))
+        expand_inputs(texts, entrypoint)
+        rows = [(paper, commit, path, text, hashlib.sha256(text.encode()).hexdigest(), len(text.encode())) for path, text in sorted(texts.items())]
+        write_json(self.spark, f"{self.cache}/bundles/{commit}/{paper}.json", {"commit": commit, "paper": paper, "files": [{"path": r[2], "sha256": r[4], "bytes": r[5]} for r in rows]})
+        return self.spark.createDataFrame(rows, "paper string, commit string, path string, text string, sha256 string, bytes long")
+
+
+class Reached(dict):
+    """Files by path, fetched when they are first looked for; what can't be had isn't in it."""
+
+    def __init__(self, fetch: Callable[[str], str]):
+        super().__init__()
+        self.fetch, self.missing = fetch, set()
+
+    def __contains__(self, path: object) -> bool:
+        if not super().__contains__(path) and path not in self.missing:
+            try:
+                self[path] = self.fetch(str(path))
+            except (OSError, ValueError):
+                self.missing.add(path)
+        return super().__contains__(path)

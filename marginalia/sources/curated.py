@@ -17,88 +17,12 @@ from .files import read_json
 FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if text in ("", "null", "~"):
-        return None
-    if text[0] == '"' and text[-1] == '"' and len(text) > 1:
-        return json.loads(text)
-    if text[0] == "'" and text[-1] == "'" and len(text) > 1:
-        return text[1:-1].replace("''", "'")
-    if text[0] == "[" and text[-1] == "]":
-        return [_scalar(x) for x in _split(text[1:-1])]
-    if text[0] == "{" and text[-1] == "}":
-        return {k.strip().strip("\"'"): _scalar(v) for k, _, v in (x.partition(":") for x in _split(text[1:-1]))}
-    return int(text) if text.lstrip("-").isdigit() and text.lstrip("-")[0] != "0" or text == "0" else {"true": True, "false": False}.get(text, text)
-
-
-def _split(text: str) -> list[str]:
-    """Pieces of a flow collection at commas outside quotes and nested collections."""
-    out, depth, quote, at = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        elif c == "," and not depth:
-            out.append(text[at:i])
-            at = i + 1
-    return [x for x in [*out, text[at:]] if x.strip()]
-
-
-def _block(lines: list[tuple[int, str]], indent: int):
-    """The value that the lines at an indent give; takes them off the list. Mappings, sequences, and folded or literal strings."""
-    if lines[0][1].startswith("- ") or lines[0][1] == "-":
-        out = []
-        while lines and lines[0][0] == indent and (lines[0][1].startswith("- ") or lines[0][1] == "-"):
-            rest = lines.pop(0)[1][1:]
-            inner = indent + 1 + len(rest) - len(rest.lstrip())
-            if ":" in rest and not rest.strip().startswith(("{", "[", '"', "'")) and (rest.rstrip().endswith(":") or ": " in rest):
-                lines.insert(0, (inner, rest.strip()))
-                out.append(_block(lines, inner))
-            elif rest.strip():
-                out.append(_scalar(_more(rest.strip(), lines, indent)))
-            else:
-                out.append(_block(lines, lines[0][0]) if lines and lines[0][0] > indent else None)
-        return out
-    value = {}
-    while lines and lines[0][0] == indent:
-        key, colon, rest = lines.pop(0)[1].partition(":")
-        if not colon:
-            raise ValueError(f"not a mapping: {key}")
-        rest = rest.strip()
-        if rest in (">", ">-", "|", "|-"):
-            part = []
-            while lines and lines[0][0] > indent:
-                part.append(lines.pop(0)[1])
-            text = (" " if rest[0] == ">" else "\n").join(part)
-            value[key.strip().strip("\"'")] = text + ("" if rest.endswith("-") else "\n")
-        elif rest:
-            value[key.strip().strip("\"'")] = _scalar(_more(rest, lines, indent))
-        else:
-            nested = lines and (lines[0][0] > indent or lines[0][0] == indent and lines[0][1].startswith("-"))
-            value[key.strip().strip("\"'")] = _block(lines, lines[0][0]) if nested else None
-    return value
-
-
-def _more(text: str, lines: list[tuple[int, str]], indent: int) -> str:
-    """A plain value that goes on in deeper lines."""
-    while lines and lines[0][0] > indent:
-        text += " " + lines.pop(0)[1]
-    return text
-
-
 def metadata_of(block: str) -> dict:
-    """The mapping that a metadata block gives; the full YAML library reads it where it is installed."""
+    """The mapping that a metadata block gives, as YAML; anything but a mapping counts as none."""
     try:
         import yaml
-    except ImportError:
-        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in block.splitlines() if x.strip() and not x.lstrip().startswith("#")]
-        return _block(lines, lines[0][0]) if lines else {}
+    except ImportError as error:
+        raise ImportError("curated records need PyYAML for their metadata") from error
     found = yaml.safe_load(block)
     return found if isinstance(found, dict) else {}
 

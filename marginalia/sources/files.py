@@ -7,12 +7,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The session's checkpoint folder, which driver and executors share. A local session may name none and gets a temporary one; a cluster must."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
@@ -25,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out to all cores where fewer partitions hold any, as with a table of one row group; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    held = rows.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return rows.repartition(cores) if 0 < held < cores else rows
+
+
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
@@ -41,6 +51,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -52,18 +67,34 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def atomic_write(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small document under another name and renames it into place."""
+def _whole(spark: SparkSession, path: str, text: str):
+    """A document under a name of its own beside the path: the file system, the name, the path."""
     fs, to = _fs(spark, path)
     fs.mkdirs(to.getParent())
     tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp)
+    out = fs.create(tmp, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    if not fs.rename(tmp, to):
-        raise OSError(f"{path} could not be written")
+    return fs, tmp, to
+
+
+def atomic_write(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small document under another name and puts it in the place of what is there, in one step: a reader finds the old one or the new."""
+    fs, tmp, to = _whole(spark, path, text)
+    jvm, gateway = spark._jvm, spark._sc._gateway
+    if fs.getUri().getScheme() == "file":
+        at = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), gateway.new_array(jvm.java.lang.String, 0))
+        how = gateway.new_array(jvm.java.nio.file.CopyOption, 2)
+        how[0], how[1] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE, jvm.java.nio.file.StandardCopyOption.REPLACE_EXISTING
+        jvm.java.nio.file.Files.move(at(tmp), at(to), how)
+        crc = spark._jvm.org.apache.hadoop.fs.Path(tmp.getParent(), f".{tmp.getName()}.crc")
+        fs.getRawFileSystem().delete(crc, False)
+        fs.getRawFileSystem().delete(spark._jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{to.getName()}.crc"), False)  # of the old one
+        return
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(tmp, to, how)
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
@@ -89,8 +120,6 @@ def guarded(root: str, file: str) -> str:
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), html of every built page."""
-    from pyspark.sql import functions as F
-
     pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(root, wholetext=True)
     name = root.rstrip("/").split("/")[-1]
     return pages.select(F.element_at(F.split(F.col("_metadata.file_path"), f"/{name}/"), -1).alias("path"), F.col("value").alias("html"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.files import children, remove
+
 
 def read_decisions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -22,25 +24,42 @@ def windowed(decisions: DataFrame, time: str, width: str, late: str, *keys: str)
     return decisions.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def upsert_to(path: str, keys: list[str]):
+#: Folders by a hash of the key, into which the kept decisions are dealt.
+BUCKETS = 64
+
+
+def upsert_to(path: str, keys: list[str], buckets: int = BUCKETS):
     """For foreachBatch: puts each batch's rows in the place of older ones, in versions that appear whole.
 
-    A batch that is run again writes the same version again.
+    Rows are dealt to buckets by a hash of the key, each with a version of its own: path/bucket=<b>/v<epoch>. A batch rewrites the buckets
+    that its keys are in and no other, and removes their versions before the last but one. A batch that is run again writes the
+    same versions again.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        from ..sources.files import children
-
         spark = batch.sparkSession
-        older = [v for v in children(spark, path) if v.startswith("v") and int(v[1:]) < epoch]
-        rows = batch
-        if older:
-            rows = spark.read.parquet(f"{path}/{older[-1]}").join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/v{epoch:010d}")
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
+        for b in touched:
+            at = f"{path}/bucket={b}"
+            own = rows.filter(F.col("_bucket") == b).drop("_bucket")
+            older = [v for v in children(spark, at) if v.startswith("v") and int(v[1:]) < epoch]
+            if older:
+                own = spark.read.parquet(f"{at}/{older[-1]}").join(own.select(*keys), keys, "left_anti").unionByName(own)
+            own.write.mode("overwrite").parquet(f"{at}/v{epoch:010d}")
+            for v in older[:-1]:
+                remove(spark, f"{at}/{v}")
+        rows.unpersist()
 
     return write
 
 
+def kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """The decisions that stay: the newest version of each bucket. None if there is no bucket."""
+    newest = [f"{path}/{b}/{children(spark, f'{path}/{b}')[-1]}" for b in children(spark, path) if b.startswith("bucket=")]
+    return spark.read.parquet(*newest) if newest else None
+
+
 def run(decisions: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Starts the upsert of a stream into versions below path."""
     query = latest(decisions, keys, order).writeStream.outputMode("update").foreachBatch(upsert_to(path, keys)).option("checkpointLocation", checkpoint)

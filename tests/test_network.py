@@ -1,13 +1,15 @@
 """Relations, validation, import states, provenance, review plans and sources on small cases."""
 
 import hashlib
+import json
+import random
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marginalia import schemas as S
-from marginalia.operators import extract, graph, imports, provenance, validate
+from marginalia.operators import extract, graph, imports, provenance, search, validate
 from marginalia.plans import fixtures, review
 from marginalia.sources import bundles, curated, files
 
@@ -45,6 +47,49 @@ def test_closure_on_a_circle(spark):
     assert {(x.id, x.ancestor): x.depth for x in graph.closure(e).collect()} == {("a", "b"): 1, ("b", "a"): 1, ("b", "c"): 1, ("a", "a"): 2, ("a", "c"): 2, ("b", "b"): 2}
 
 
+def test_closure_of_a_long_chain(spark):
+    """Every depth is found, with a shorter way where there is one."""
+    links = [(i, i + 1) for i in range(40)] + [(0, 20), (50, 50), (60, None)]
+    got = {(x.id, x.ancestor): x.depth for x in graph.closure(spark.createDataFrame(links, "source long, target long")).collect()}
+    want = {(a, b): min(b - a, (b - 20 + 1) if a == 0 and b >= 20 else 99) for a in range(41) for b in range(a + 1, 41)} | {(50, 50): 1}
+    assert got == want
+
+
+def peeled(links):
+    """What is left when nodes without a way in or out go, one by one."""
+    left = {x for x in links if None not in x}
+    while True:
+        kept = {(u, v) for u, v in left if any(b == u for _, b in left) and any(a == v for a, _ in left)}
+        if kept == left:
+            return {u for u, _ in left}
+        left = kept
+
+
+def test_cycle_members_against_peeling(spark):
+    rng = random.Random(7)
+    graphs = [[(i, (i + 1) % 30) for i in range(30)], [(i, i + 1) for i in range(60)], [(0, 1), (1, 0), *((i, i + 1) for i in range(1, 12)), (12, 13), (13, 12), (20, 0), (13, 21)], [(1, 1), (1, 2), (None, 1)], [(0, 1), (1, 2), (2, 0), (0, 2)]]
+    graphs += [[(rng.randrange(12), rng.randrange(12)) for _ in range(14)] for _ in range(4)]
+    for links in graphs:
+        got = [r.id for r in graph.cycle_members(spark.createDataFrame(links, "source long, target long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == peeled(links)
+
+
+def test_views(spark):
+    edges = spark.createDataFrame([("a", "b", "uses"), ("c", "a", "implies"), ("b", "c", "uses")], "source string, target string, type string")
+    assert {(r.kind, r.id) for r in graph.highlighted(edges, "a").collect()} == {("node", "a"), ("node", "b"), ("node", "c"), ("edge", "a:uses:b"), ("edge", "c:implies:a")}
+    assert [tuple(r) for r in graph.highlighted(edges, "z").collect()] == [("node", "z")]
+    tones = spark.createDataFrame([("P0",), ("P2",), ("P3",), ("X",), (None,)], "p string").select(graph.group_tone(F.col("p"), ["P0", "P1", "P2", "P3"])).collect()
+    assert [r[0] for r in tones] == [0, 2, 0, -1, -1]
+    members = spark.createDataFrame([("n1", ["Q", "P"]), ("n2", ["P"]), ("n3", []), ("n4", ["P", "Q"])], "id string, projects array<string>")
+    at = {r.id: (round(r.x), round(r.y)) for r in graph.ring(members, "projects", "id", ["P", "Q"]).collect()}
+    assert at == {"n2": (260, 130), "n4": (260, 470), "n1": (810, 130)}  # by the first membership, in the order of the groups
+    with pytest.raises(ValueError, match="2 neighbours"):
+        graph.compact_ring(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "a", most=1)
+    nodes = spark.createDataFrame([("a b",)], "id string")
+    assert search.view_state("https://x/graph/?project=P&node=a%20b&type=z", ["P"], nodes) == {"project": "P", "node": "a b"}
+    assert search.view_state("/?project=Q&node=c", ["P"], nodes) == {} and search.view_state("/?node=c", []) == {"node": "c"}
+
+
 def test_schema_and_claim_rules(spark):
     ok = dict(id="A-1", title="t", shortTitle="t", type="claim", claimStanding="open", editorialState="draft", publicationStatus="draft", summary="s", projects=["P"], verification=Row(method="human", note="n"), provenance="background")
     empty = {f.name: None for f in S.NODE.fields}
@@ -148,8 +193,12 @@ def test_curated_round_trip(spark, tmp_path):
     assert r.body == "\nProse  stays.\r\n"
     out = curated.serialize(curated.read_curated(spark, str(tmp_path))).first().text
     assert out.endswith("\n---\n\nProse  stays.\r\n")
-    block = curated._block([(len(x) - len(x.lstrip()), x.strip()) for x in meta.splitlines()], 0)
-    assert block == curated.metadata_of(meta)
+
+
+def test_metadata_is_yaml():
+    block = "a: >-\n  folded\n  lines\nb: |\n  kept\n  lines\n'c d': \"x: y # z\" # a remark\ne: &base {f: 1}\ng: *base\nh: [1, 'two, three']\n"
+    assert curated.metadata_of(block) == {"a": "folded lines", "b": "kept\nlines\n", "c d": "x: y # z", "e": {"f": 1}, "g": {"f": 1}, "h": [1, "two, three"]}
+    assert curated.metadata_of("- a\n- b") == {}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -177,6 +226,48 @@ def test_sources_and_sinks(spark, tmp_path):
     assert bundles.discover([{"type": "dir", "name": "b"}, {"type": "file", "name": "c"}, {"type": "dir", "name": "a"}]) == ["a", "b"]
 
 
+def test_atomic_write_replaces_in_one_step(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/a.json"
+    for text in ("old", "new and longer", "ü"):
+        files.atomic_write(spark, path, text)
+        assert files.read_text(spark, path) == text
+    assert [p.name for p in (tmp_path / "deep").iterdir()] == ["a.json"]
+
+
+def test_online_bundles(spark, tmp_path):
+    """Requests are counted: what a commit holds is asked for once; nothing is asked for offline; caps and refusals."""
+    commit, asked = "a" * 40, []
+    pages = {"commits/main": {"sha": commit}, f"contents/?ref={commit}": [{"type": "dir", "name": "p1"}, {"type": "file", "name": "x"}]}
+    texts = {"main.tex": "\\input{parts/a}\\bibliography{refs}", "parts/a.tex": "A", "refs.bib": "@book{k, title={T}}", "unused.tex": "no"}
+
+    def transport(address):
+        asked.append(address)
+        if address in pages:
+            return 200, {}, json.dumps(pages[address]).encode()
+        name = address.removeprefix(f"raw/{commit}/p1/")
+        return (200, {"Content-Length": "99999999"}, b"x") if name == "big.tex" else (200, {}, texts[name].encode()) if name in texts else (404, {}, b"")
+
+    cache = f"file://{tmp_path}/cache"
+    online = bundles.Online(spark, transport, cache)
+    rows = online.bundle("p1").collect()
+    assert [(r.path, r.text) for r in rows] == [(k, texts[k]) for k in ("main.tex", "parts/a.tex", "refs.bib")] and len(asked) == 5
+    assert all(r.commit == commit and r.bytes == len(r.text) and r.sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+    online.bundle("p1")
+    assert len(asked) == 7  # the branch and the listing again, no file
+    offline = bundles.Online(spark, None, cache, offline=True)
+    assert offline.bundle("p1").count() == 3
+    with pytest.raises(ValueError, match="not among"):
+        online.bundle("p2")
+    with pytest.raises(FileNotFoundError):
+        bundles.Online(spark, None, f"file://{tmp_path}/none", offline=True).catalog()
+    with pytest.raises(ValueError, match="exceeds"):
+        online.request(f"raw/{commit}/p1/big.tex")
+    with pytest.raises(OSError, match="404"):
+        online.request("nothing")
+    texts["main.tex"] = "\\input{gone}"
+    assert [r.path for r in bundles.Online(spark, transport, f"file://{tmp_path}/other").bundle("p1").collect()] == ["main.tex"]
+
+
 def test_reject_needs_a_note(spark):
     props = spark.createDataFrame([("p", "k", "h")], "paper string, source_key string, content_hash string")
     choice = spark.createDataFrame([("p", "k", " "), ("p", "k", "no"), ("p", "x", "no")], "paper string, source_key string, note string")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import imports
+from marginalia.sources.files import children
 from marginalia.streaming import ledger
 
 
@@ -12,9 +13,20 @@ def test_stream_agrees_with_batch(spark, sf, tmp_path):
     stream = ledger.read_decisions(spark, src, "user_id long, ts timestamp, event_id long, event_type string")
     query = ledger.run(stream, ["user_id"], ["ts", "event_id"], f"file://{tmp_path}/out", f"file://{tmp_path}/check")
     query.awaitTermination()
-    from marginalia.sources.files import children
-
-    newest = children(spark, f"file://{tmp_path}/out")[-1]
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/{newest}").select("user_id", "event_type", "event_id").collect()}
+    got = {tuple(r) for r in ledger.kept(spark, f"file://{tmp_path}/out").select("user_id", "event_type", "event_id").collect()}
     want = {tuple(r) for r in imports.ledger_latest(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "event_id").collect()}
     assert got == want
+
+
+def test_batches_rewrite_only_their_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    assert ledger.kept(spark, path) is None
+    write = ledger.upsert_to(path, ["k"], 4)
+    batch = lambda rows: spark.createDataFrame(rows, "k long, state string")
+    write(batch([(i, "old") for i in range(20)]), 0)
+    for epoch in (1, 2, 3, 3):  # the last batch comes twice
+        write(batch([(5, f"new{epoch}")]), epoch)
+    got = {r.k: r.state for r in ledger.kept(spark, path).collect()}
+    assert got == {i: "new3" if i == 5 else "old" for i in range(20)}
+    versions = {b: children(spark, f"{path}/{b}") for b in children(spark, path)}
+    assert len(versions) == 4 and sorted(map(len, versions.values())) == [1, 1, 1, 2]
