@@ -1,7 +1,7 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
 A suffix is the sequence of a document's words from some word on; of interest are those with 13 words or more. Suffixes are split into
-groups by a prefix of variable length: up to and with the anchor, the five words of least hash within the suffix's first 13. Suffixes whose
+groups by a prefix of variable length: up to and with the anchor, the four words of least hash within the suffix's first 13. Suffixes whose
 first 13 words agree have the same anchor and so meet in one group, and consecutive suffixes of a document mostly share theirs, so that a
 run of them travels as one piece of text. Within a group, suffixes are sorted by their words, neighbours are compared word by word, and the
 maximal intervals of neighbours that share 13 words or more are the deep internal nodes of the group's suffix tree. A suffix below a node is
@@ -23,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for, spread, table
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, ANCHOR = 13, 4
 #: Text in one map batch, in one group of suffixes on average, and in one partition of groups; suffixes that are held and sorted at once.
 BATCH_CHARS, GROUP_CHARS, PART_CHARS, GROUP_SUFFIXES = 8_000_000, 3_000_000, 192_000_000, 2_000_000
 #: Of zstd, by which what moves takes two fifths of its size.
-LEVEL = 6
+LEVEL = 3
 #: Partitions of groups, if there are as many groups; more for large tables.
 PARTS = 512
 #: Ids with several texts that are broadcast.
@@ -72,23 +73,18 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-class Vocabulary(dict):
-    """Numbers words in the order in which they come."""
+def split(text: bytes) -> pa.Array:
+    """The words of a text in which single spaces part them."""
+    return pc.split_pattern(pa.array([text], pa.large_binary()), pattern=" ").flatten() if text else pa.array([], pa.large_binary())
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
 
-
-def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+def numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Each word's rank among the distinct ones, and these in order."""
-    seen = Vocabulary()
-    ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-    names = list(seen)
-    order = sorted(range(len(names)), key=names.__getitem__)
-    rank = np.empty(len(names), dtype=np.int64)
-    rank[order] = np.arange(len(names))
-    return rank[ids], [names[i] for i in order]
+    coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
 
 
 def packed(flat: np.ndarray, starts: np.ndarray, names: int, depth: int = WINDOW) -> list[np.ndarray]:
@@ -135,15 +131,15 @@ def maximal_repeats(texts: list[tuple[int, str]], least: int = WINDOW) -> list[t
     They are the internal nodes of depth `least` on of the suffix tree whose suffixes don't all follow the same word: the intervals of the
     suffix order whose LCPs are all as great, ended by smaller ones on both sides.
     """
-    split = [(d, words_of(t)) for d, t in texts]
-    flat, names = numbered([w for _, ws in split for w in ws])
-    lengths = np.array([len(ws) for _, ws in split], dtype=np.int64)
+    docs = [(d, words_of(t)) for d, t in texts]
+    flat, names = numbered(pa.array([w for _, ws in docs for w in ws], pa.large_binary()))
+    lengths = np.array([len(ws) for _, ws in docs], dtype=np.int64)
     firsts = np.cumsum(lengths) - lengths
     ends = np.repeat(firsts + lengths, lengths)
     at = np.arange(len(flat))
     starts = at[ends - at >= least]
     order = starts[np.array(sorted(range(len(starts)), key=lambda i: flat[starts[i] : ends[starts[i]]].tolist()), dtype=np.int64)] if len(starts) else starts
-    owner = np.repeat(np.arange(len(split)), lengths)
+    owner = np.repeat(np.arange(len(docs)), lengths)
     lcp = [0, *common_words(flat, ends, order[:-1], order[1:]).tolist(), 0]
     before = {int(p): (int(flat[p - 1]) if p != firsts[owner[p]] else -1 - int(owner[p])) for p in order}
     found, open_ = [], []  # open nodes: depth, first suffix
@@ -154,7 +150,7 @@ def maximal_repeats(texts: list[tuple[int, str]], least: int = WINDOW) -> list[t
             below = order[first:i].tolist()
             if len({before[p] for p in below}) > 1:
                 p = below[0]
-                found.append((tuple(names[w] for w in flat[p : p + depth]), sorted((split[owner[q]][0], int(q - firsts[owner[q]])) for q in below)))
+                found.append((tuple(names[w].as_py() for w in flat[p : p + depth].tolist()), sorted((docs[owner[q]][0], int(q - firsts[owner[q]])) for q in below)))
         if lcp[i] >= least and (not open_ or open_[-1][0] < lcp[i]):
             open_.append((lcp[i], first))
     return found
@@ -186,25 +182,28 @@ def by_doc(docs: np.ndarray, tags: np.ndarray, at: np.ndarray) -> Iterator[tuple
             yield int(d[0]), int(t[0]), intervals(np.unique(a)).tobytes()
 
 
-def batch_runs(docs: list[tuple[int, int, list[bytes]]], n_groups: int) -> Iterator[tuple[int, int | None, int, bytes]]:
+def batch_runs(docs: list[tuple[int, int, int, bytes]], n_groups: int) -> Iterator[tuple[int, int | None, int, bytes]]:
     """(group, None, 0, runs of suffixes) for other batches to be compared with, and (group, document, tag, intervals) of repeats found here.
 
-    docs: (document, tag, words).
+    docs: (document, tag, number of words, the words with single spaces between them).
     """
-    docs = [x for x in docs if len(x[2]) >= WINDOW]
+    docs = [x for x in docs if x[2] >= WINDOW]
     if not docs:
         return
-    words = list(itertools.chain.from_iterable(x[2] for x in docs))
-    seen = Vocabulary()
-    flat = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))[flat]
-    lengths = np.array([len(x[2]) for x in docs])
+    text = b" ".join(x[3] for x in docs)
+    words = split(text)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    ends = ends[1:] - ends[0] + np.arange(len(words))  # of each word in the text
+    coded = words.dictionary_encode()
+    names, flat = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names.to_pylist()), np.uint64, len(names))[flat]
+    lengths = np.array([x[2] for x in docs])
     firsts = np.cumsum(lengths) - lengths
     anchor = sliding_min(gram_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
     inside = np.ones(len(flat) - WINDOW + 1, dtype=bool)  # windows that cross from one document to the next don't count
     for k in range(1, WINDOW):
-        ends = firsts[1:] - k
-        inside[ends[(ends >= 0) & (ends < len(inside))]] = False
+        across = firsts[1:] - k
+        inside[across[(across >= 0) & (across < len(inside))]] = False
     at = np.flatnonzero(inside)
     owner = np.repeat(np.arange(len(docs)), lengths)[at]
     ids, tags = (np.array([x[i] for x in docs], dtype=np.int64) for i in (0, 1))
@@ -216,7 +215,7 @@ def batch_runs(docs: list[tuple[int, int, list[bytes]]], n_groups: int) -> Itera
     new = np.diff(key[order], prepend=~key[order[:1]]) != 0
     same = np.flatnonzero(~new)
     if any((flat[at[order[same]] + j] != flat[at[order[same - 1]] + j]).any() for j in range(WINDOW)):
-        order, node = suffix_order(flat, at, doc, len(seen))
+        order, node = suffix_order(flat, at, doc, len(names))
     else:
         node = np.flatnonzero(new)
     repeat = repeats(doc, order, node)
@@ -233,11 +232,11 @@ def batch_runs(docs: list[tuple[int, int, list[bytes]]], n_groups: int) -> Itera
     runs["count"] = np.diff(np.append(begin, len(at)))
     group = (mixed(anchor[begin]) % np.uint64(n_groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    lo = at[begin]
-    hi = lo + runs["count"] + WINDOW - 1
+    lo = np.where(at[begin] > 0, ends[at[begin] - 1] + 1, 0)
+    hi = ends[at[begin] + runs["count"] + WINDOW - 2]
     for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
         if len(part):
-            pieces = [b" ".join(words[a:b]) for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
+            pieces = [text[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
             yield int(group[part[0]]), None, 0, pack(runs[part], pieces)
 
 
@@ -251,8 +250,8 @@ def suffixes_in(blob: bytes) -> int:
     return HEAD.unpack_from(blob)[1]
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The runs of a blob, and the words of all of them: count + 12 for each."""
+def unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The runs of a blob, and the words of all of them, count + 12 for each, with single spaces between them."""
     n, _, size = HEAD.unpack_from(blob)
     raw = pa.decompress(pa.py_buffer(blob)[HEAD.size :], size, codec="zstd", asbytes=True)
     runs, at = np.empty(n, dtype=RUN), 0
@@ -260,7 +259,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
         wide = RUN[f].itemsize
         runs[f] = np.frombuffer(raw, np.uint8, wide * n, at).reshape(wide, n).T.copy().view(RUN[f]).ravel()
         at += wide * n
-    return runs, raw[at:].split()
+    return runs, raw[at:]
 
 
 def laid_out(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +275,7 @@ def subtree(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """(document, tag, intervals) of the repeats of one group, from its suffixes in order."""
     parts = [unpack(b) for b in blobs]
     runs = np.concatenate([r for r, _ in parts])
-    flat, names = numbered(list(itertools.chain.from_iterable(w for _, w in parts)))
+    flat, names = numbered(split(b" ".join(w for _, w in parts)))
     run, pos, start = laid_out(runs)
     doc, tag = runs["doc"][run], runs["tag"][run]
     hit = repeats(doc, *suffix_order(flat, start, doc, len(names)))
@@ -285,7 +284,8 @@ def subtree(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
 
 def extended(blob: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(hash of the prefix, document, tag, position, prefix): each suffix by itself under a prefix of 13 words."""
-    runs, words = unpack(blob)
+    runs, text = unpack(blob)
+    words = text.split()
     run, pos, start = laid_out(runs)
     for r, p, s in zip(run.tolist(), pos.tolist(), start.tolist(), strict=True):
         prefix = b" ".join(words[s : s + WINDOW])
@@ -320,7 +320,8 @@ def scan(n_groups: int, batch_chars: int):
         for batch in batches:
             for d, g, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
-                held.append((d, g, words_of(text)))
+                words = words_of(text)
+                held.append((d, g, len(words), b" ".join(words)))
                 size += len(text)
                 if size >= batch_chars:
                     found = list(batch_runs(held, n_groups))

@@ -443,7 +443,7 @@ def test_words_decide_and_not_hashes(monkeypatch):
         got.update((d, int(a) + i) for d, _, b in found for a, n in np.frombuffer(b, "<u4").reshape(-1, 2) for i in range(n))
 
     for lo in (0, 3):
-        out = list(substring_dedup.batch_runs(split[lo : lo + 3], 1))
+        out = list(substring_dedup.batch_runs([(d, t, len(w), b" ".join(w)) for d, t, w in split[lo : lo + 3]], 1))
         blobs += [b for _, d, _, b in out if d is None]
         add((d, t, b) for _, d, t, b in out if d is not None)
     rows = sorted((x for b in blobs for x in substring_dedup.extended(b)), key=lambda x: (x[0], x[1]))
@@ -461,7 +461,7 @@ def test_one_anchor_everywhere_in_bounded_memory():
     blobs = []
     for d in range(400):
         w = [b"%d" % rng.randrange(10**6) for _ in range(8)]
-        blobs += [b for _, doc, _, b in substring_dedup.batch_runs([(d, 0, w + line + w)], 1) if doc is None]
+        blobs += [b for _, doc, _, b in substring_dedup.batch_runs([(d, 0, 21, b" ".join(w + line + w))], 1) if doc is None]
     moved = substring_dedup.batch_of([(0, None, 0, b) for b in blobs], substring_dedup.MOVED)
     most, out = 0, 0
     held = substring_dedup.subtree
