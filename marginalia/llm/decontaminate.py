@@ -1,16 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, names (capitalised words) and units become typed placeholders, case and punctuation go, and what is left is split into words: the
+Numbers, names and units become typed placeholders, case and punctuation go, and what is left is split into words: the
 template. Windows of five template words are hash-joined between documents and benchmark items, and the words of what was joined are
 compared. A document holds an item if it has `least` or more of the item's windows and the values that fill the placeholders are consistent:
 within one alignment, a value of the item always stands for the same value of the document. So a question with new numbers and names is
 caught, and a text that merely shares a frame with inconsistent values is not. Windows with fewer than three literal words don't count, as
 they fit anything.
 
-Whether a capitalised word is a name can't be told where a sentence, line, quote or bracket begins, nor where case was changed, so a text
-has three templates: names are (1) capitalised words inside sentences, (2) those at beginnings too, (3) none. An item's window is held if
-any of its forms is. An item without a window of three literal words is sought by what stands in its text, numbers and names included. An
-item under five words is sought in windows of its own length. In scripts without spaces every character is a word.
+Whether a capitalised word is a name can't be told where a sentence or line begins, nor where case was changed, so a text has two templates:
+in one every capitalised word is a name, in the other none is. An item's window is held if either form is; those with too few literal words
+in the first don't count. An item without a window that counts is sought by what stands in its text, numbers and names included. An item
+under five words is sought in windows of its own length. In scripts without spaces every character is a word.
 
 The item side is small but grows with the benchmark: it is broadcast only while its counted windows are within BROADCAST_WINDOWS, and
 joined by a shuffle otherwise; so are the documents and slots to compare.
@@ -27,61 +27,67 @@ from .common import cut, spread, table, unused
 
 WINDOW, LEAST, LITERALS = 5, 0.8, 3
 BROADCAST_WINDOWS = 200_000
-#: Private-use characters as placeholders of number, name and unit, and as the mark of a capitalised word where one must begin.
-NUMBER, NAME, UNIT, FIRST = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Private-use characters as placeholders of number, unit and name, and as the mark of a capitalised word.
+NUMBER, UNIT, NAME, CAPITAL = "\ue000", "\ue001", "\ue002", "\ue003"
 #: Units of measure that may follow a number.
 UNITS = "kg|mg|g|t|km|cm|mm|m|mi|ft|in|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|kmh|mph|w|kw|v|a|hz|usd|eur|euros?|dollars?|cents?|pounds?|percent"
 SPACE = " \\t\\n\\x0B\\f\\r"
 #: Scripts without spaces: Thai and Lao, kana, Han.
-DENSE = r"฀-໿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{2fa1f}"
-#: Where a capitalised word begins: at the start, or after white space, a quote or a bracket. Inside a sentence, this stands before it.
-BEGIN, INSIDE = r"""(?=\p{Lu})(?<![^\s"'`«»‘-‟(\[{<*_#])""", r"(?<=[\p{Ll}\p{Nd},;:] )"
+DENSE = r"\u0e00-\u0eff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{2fa1f}"
+#: Where a capitalised word begins: at the start or after white space, quotes and brackets at its head aside.
+BEGIN = r"""(?=\p{Lu})(?<=(?:^|\s)["'`\u00ab\u00bb\u2018-\u201f(\[{<*_#]{0,3})"""
 
 
-def cleared(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{FIRST}]+", "")
+def spaced(text: Column) -> Column:
+    """The text without private-use characters of ours, and with spaces around what is a word by itself; ASCII has neither."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, f"[{NUMBER}-{CAPITAL}]|([{DENSE}])", " $1 "))
 
 
 def words(text: Column, drop: str) -> Column:
-    spaced = F.regexp_replace(F.regexp_replace(text, drop, ""), f"([{DENSE}])", " $1 ")
-    return F.filter(F.split(F.lower(spaced), f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, drop, "")), f"[{SPACE}]+"), "")
 
 
 def marked(text: Column) -> Column:
-    """The words of a text with placeholders for numbers and units; capitalised words are marked by NAME inside sentences, by FIRST elsewhere."""
-    c = F.regexp_replace(cleared(text), BEGIN, FIRST)
-    c = F.regexp_replace(c, INSIDE + FIRST, NAME)
+    """The words of a text with placeholders for numbers and units, those that begin with a capital with CAPITAL before them."""
+    c = F.regexp_replace(spaced(text), BEGIN, CAPITAL)
     c = F.regexp_replace(c, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    c = F.regexp_replace(c, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}{NUMBER}])", UNIT)
-    return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{FIRST}{SPACE}]+")
+    c = F.regexp_replace(c, rf"(?i){NUMBER}( ?)(?:{UNITS})(?![\p{{L}}{NUMBER}])", f"{NUMBER}$1{UNIT}")
+    return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{CAPITAL}{SPACE}]+")
 
 
-def form(tokens: str | Column, names: str) -> Column:
-    """One of the templates: words that begin with one of the marks `names` become a name, and all other marks go."""
-    plain = lambda w: F.translate(w, NAME + FIRST, "")
-    if not names:
-        return F.transform(tokens, plain)
-    return F.transform(tokens, lambda w: F.when(F.substring(w, 1, 1).isin(*names), F.lit(NAME)).otherwise(plain(w)))
+def form(tokens: str | Column, names: bool) -> Column:
+    """One of the templates: capitalised words are names, or literal words like all others. The mark is above what most words begin with."""
+    kept = (lambda w: F.lit(NAME)) if names else (lambda w: F.substr(w, F.lit(2)))
+    return F.transform(tokens, lambda w: F.when(w < CAPITAL, w).when(F.startswith(w, F.lit(CAPITAL)), kept(w)).otherwise(w))
 
 
 def values(text: Column) -> Column:
     """What stands in the text at each word of its templates."""
-    return words(cleared(text), rf"[^\p{{L}}\p{{M}}0-9{SPACE}]+")
+    return words(spaced(text), rf"[^\p{{L}}\p{{M}}0-9{SPACE}]+")
 
 
-#: The templates by what they take for names.
-FORMS = {"_t": NAME, "_a": NAME + FIRST, "_l": ""}
+#: The templates, and whether capitalised words are names in them.
+FORMS = {"_t": True, "_l": False}
 
 
-def formed(rows: DataFrame, text: Column, exact: bool) -> DataFrame:
-    """Adds the three templates and, where exact, the values."""
+def formed(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds the two templates and the values."""
     rows = rows.withColumn("_m", marked(text))
-    return rows.withColumns({k: form("_m", names) for k, names in FORMS.items()} | ({"_v": values(text)} if exact else {})).drop("_m")
+    return rows.withColumns({k: form("_m", names) for k, names in FORMS.items()} | {"_v": values(text)}).drop("_m")
 
 
-def window_hashes(tokens: str, size: int = WINDOW) -> Column:
-    """Hash of every `size` (five) consecutive words of the array column; of all words if they are fewer."""
-    t = F.col(tokens)
+def word_hashes(tokens: str | Column, names: bool | None = None) -> Column:
+    """XXH64 of each word; of marked words under a template, what `form` makes of them."""
+    if names is None:
+        return F.transform(tokens, lambda w: F.xxhash64(w))
+    kept = (lambda w: F.xxhash64(F.lit(NAME))) if names else (lambda w: F.xxhash64(F.substr(w, F.lit(2))))
+    return F.transform(tokens, lambda w: F.when(w < CAPITAL, F.xxhash64(w)).when(F.startswith(w, F.lit(CAPITAL)), kept(w)).otherwise(F.xxhash64(w)))
+
+
+def window_hashes(hashes: str, size: int = WINDOW) -> Column:
+    """Hash of the hashes of every `size` (five) consecutive words; of all words if they are fewer."""
+    t = F.col(hashes)
     n = F.size(t)
     many = F.greatest(n - (size - 1), F.least(n, F.lit(1)))
     return F.transform(F.slice(t, F.lit(1), many), lambda w, i: F.xxhash64(w, *(F.get(t, i + j) for j in range(1, size))))
@@ -94,15 +100,16 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     in the text.
     """
     rows = spread(items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_text")))
-    rows = formed(rows, F.col("_text"), True)
-    rows = rows.withColumns({f"_h{k}": window_hashes(k) for k in (*FORMS, "_v")})
-    rows = rows.select("item_id", *FORMS, "_v", "_h_a", "_h_l", "_h_v", F.posexplode("_h_t").alias("q", "w"))
+    rows = formed(rows, F.col("_text"))
+    rows = rows.withColumns({f"_w{k}": word_hashes(k) for k in (*FORMS, "_v")})
+    rows = rows.withColumns({f"_h{k}": window_hashes(f"_w{k}") for k in (*FORMS, "_v")})
+    rows = rows.select("item_id", *FORMS, "_v", "_h_l", "_h_v", F.posexplode("_h_t").alias("q", "w"))
     sliced = lambda k: F.slice(k, F.col("q") + 1, F.lit(WINDOW))
 
     def kind(k: str) -> list[Column]:
         """Hash and words of a window under a template, whether they count, and the slots."""
-        literal = F.filter(sliced(k), lambda w: ~w.rlike(f"^[{NUMBER}-{UNIT}]+$"))
-        slot = lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{UNIT}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))
+        literal = F.filter(sliced(k), lambda w: ~w.rlike(f"^[{NUMBER}-{NAME}]+$"))
+        slot = lambda w, j: F.struct(F.when(w.rlike(f"[{NUMBER}-{NAME}]"), j).alias("j"), F.get(F.col("_v"), F.col("q") + j).alias("value"))
         slots = F.filter(F.transform(sliced(k), slot), lambda x: x["j"].isNotNull())
         h = F.col("w") if k == "_t" else F.get(f"_h{k}", F.col("q"))
         return [h.alias(f"h{k}"), sliced(k).alias(f"words{k}"), (F.size(literal) >= F.least(F.lit(LITERALS), F.size(sliced(k)))).alias(f"counts{k}"), slots.alias(f"slots{k}")]
@@ -123,12 +130,13 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def document_windows(texts: DataFrame, sizes: list[int], exact: bool) -> DataFrame:
     """doc_id, tag, p, h: windows of the sizes under the templates and, where exact, of what stands in the text."""
-    rows = formed(texts, F.col("_text"), exact)
+    rows = texts.withColumn("_m", marked(F.col("_text")))
+    rows = rows.withColumns({k: word_hashes("_m", names) for k, names in FORMS.items()} | ({"_v": word_hashes(values(F.col("_text")))} if exact else {}))
     forms = []
     for size in sizes:
         plain = window_hashes("_t", size)
         forms.append(plain)
-        for other in ["_a", "_l", *(["_v"] if exact else [])]:  # where it differs
+        for other in ["_l", *(["_v"] if exact else [])]:  # where it differs
             forms.append(F.zip_with(plain, window_hashes(other, size), lambda a, b: F.when(a != b, b)))
     rows = rows.select("doc_id", "tag", F.explode(F.array(*forms)).alias("_h"))
     return rows.select("doc_id", "tag", F.posexplode("_h").alias("p", "h")).filter("h is not null")
@@ -159,10 +167,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     likely = cut(hits.join(bounded(cut(seen.filter(F.col("containment") >= least).select(*KEY, "item_id"))), [*KEY, "item_id"], "left_semi"))
     wanted, likely = likely.select(*KEY).distinct(), bounded(likely)
     # words and slots are compared in the texts themselves
-    read = formed(texts.join(bounded(cut(wanted)), KEY, "left_semi"), F.col("_text"), True).drop("_text")
+    read = formed(texts.join(bounded(cut(wanted)), KEY, "left_semi"), F.col("_text")).drop("_text")
     places = likely.join(bounded(bench.select("h", "item_id", "q", "words", "slots")), ["h", "item_id", "q"])
     same = lambda k: F.slice(k, F.col("p") + 1, F.greatest(F.size("words"), F.lit(1))) == F.col("words")
-    checked = cut(read.join(places, KEY).filter(same("_t") | same("_a") | same("_l") | same("_v")).select(*KEY, "item_id", "w", "n", "p", "q", F.transform("slots", lambda s: F.struct((F.col("p") + s["j"]).alias("at"), s["value"].alias("theirs"), F.get("_v", F.col("p") + s["j"]).alias("ours"))).alias("slots")))
+    checked = cut(read.join(places, KEY).filter(same("_t") | same("_l") | same("_v")).select(*KEY, "item_id", "w", "n", "p", "q", F.transform("slots", lambda s: F.struct((F.col("p") + s["j"]).alias("at"), s["value"].alias("theirs"), F.get("_v", F.col("p") + s["j"]).alias("ours"))).alias("slots")))
     held = shares(checked).filter(F.col("containment") >= least).select(*KEY, "item_id")
     # slots by the diagonal on which document and item run alongside
     slots = checked.select(*KEY, "item_id", (F.col("p") - F.col("q")).alias("diagonal"), F.explode("slots").alias("s")).select(*KEY, "item_id", "diagonal", "s.*").distinct()
