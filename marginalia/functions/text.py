@@ -89,6 +89,11 @@ def site_url(base: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(base, r"/\z", ""), F.lit("/"), F.regexp_replace(path, r"^/", ""))
 
 
+def anchor(key: Column) -> Column:
+    """The name by which a review page's proposal is linked to."""
+    return F.concat(F.lit("proposal-"), encode_segment(key))
+
+
 def node_url(base: Column, id: Column) -> Column:
     return site_url(base, F.concat(F.lit("node/"), id, F.lit("/")))
 

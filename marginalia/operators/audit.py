@@ -24,7 +24,7 @@ def links(pages: DataFrame, id: str, html: str) -> DataFrame:
 
 def resolve(target: Column, page_dir: Column, base: str) -> Column:
     """Path below the site's root: absolute targets lose the base, relative ones go on from the page's folder."""
-    joined = F.when(target.startswith("/"), F.substring(target, len(base) + 1, 1_000_000)).otherwise(F.concat_ws("/", F.when(page_dir != "", page_dir), target))
+    joined = F.when(target.startswith("/"), F.substr(target, F.lit(len(base) + 1))).otherwise(F.concat_ws("/", F.when(page_dir != "", page_dir), target))
     parts = F.filter(F.split(joined, "/"), lambda p: (p != "") & (p != "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
     return F.array_join(folded, "/")

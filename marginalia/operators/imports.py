@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import arxiv_base, overlap, round_half_up
+from ..sources.files import cut, spread
 
 PRESENTATION = ("title", "printed_number", "section", "subsection", "source_file", "start_line")
 TOP = 5
@@ -18,6 +19,8 @@ W_ARXIV_PAPER, W_ARXIV, W_TITLE, W_BODY, W_TAGS, W_TYPE = 0.8, 0.16, 0.45, 0.22,
 LEAST_SCORE, LEAST_TITLE, SHOW_BODY, SHOW_TAGS, MOST = 0.46, 0.4, 0.35, 0.5, 0.94
 #: Curated records up to this number are broadcast; beyond, the tokens are joined by a shuffle.
 BROADCAST_RECORDS = 20_000
+#: Parts of the proposals by which a word's join is dealt out beyond that.
+SALTS = 16
 
 
 def compare(previous: DataFrame, current: DataFrame, keys: list[str], presentation: tuple[str, ...] = PRESENTATION) -> DataFrame:
@@ -46,28 +49,62 @@ def reasons(arxiv: Column, t: Column, b: Column, g: Column, same_type: Column) -
     return F.array_compact(said)
 
 
+def title_pairs(asked: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """pid, cid of pairs that may have a title overlap of LEAST_TITLE.
+
+    Of a title of n words, so many must be shared that one of the n - need + 1 rarest is; only these are joined with the proposals' words, so
+    that words of many titles make no pairs. A proposal with fewer words than the title is joined on all. Where the titles are too many to
+    broadcast, the words are dealt out by SALTS parts of the proposals too, so that a word in a third of them isn't one task's.
+    """
+    tokens = known.select("cid", "is_paper", F.size("title_words").alias("tn"), F.explode("title_words").alias("w"))
+    frequent = tokens.groupBy("w").agg(F.count("*").alias("titles"))
+    rank = F.row_number().over(Window.partitionBy("cid", "is_paper").orderBy("titles", "w"))
+    need = F.ceil(F.col("tn") * LEAST_TITLE - 1e-9)
+    tokens = tokens.join(frequent, "w").withColumn("rare", rank <= F.col("tn") - need + 1).drop("titles")
+    words = asked.select("pid", "is_paper", F.size("words").alias("pn"), F.explode("words").alias("w"))
+    on = ["w", "is_paper"]
+    if few:
+        tokens = F.broadcast(tokens)
+    else:
+        tokens, words, on = tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), words.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")), [*on, "part"]
+    return words.join(tokens, on).filter(F.col("rare") | (F.col("pn") < F.col("tn"))).select("pid", "cid").distinct()
+
+
+def number_pairs(asked: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """pid, cid of pairs with the same arXiv number whose shared words can make up the rest of the score, counted by joins on number and word."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.size(f"{k}_words").alias("n"), F.col(f"{k}_words").alias("words")) for k in ("title", "body", "tag")))
+    own = known.filter("carxiv IS NOT NULL").select("cid", "is_paper", "ctype", arxiv_base(F.col("carxiv")).alias("number"), F.explode(kinds).alias("k"))
+    own = own.select("cid", "is_paper", "ctype", "number", "k.kind", "k.n", F.explode("k.words").alias("w"))
+    words = asked.filter("parxiv IS NOT NULL").select("pid", "is_paper", "ptype", F.col("parxiv").alias("number"), F.size("words").alias("pn"), F.explode("words").alias("w"))
+    shared = words.join(F.broadcast(own) if few else own, ["number", "is_paper", "w"]).groupBy("pid", "cid", "is_paper", "ptype", "ctype", "pn", "kind", "n").agg(F.count("*").alias("both"))
+    weight = F.when(F.col("kind") == "title", W_TITLE).when(F.col("kind") == "body", W_BODY).otherwise(W_TAGS)
+    sums = shared.groupBy("pid", "cid", "is_paper", "ptype", "ctype").agg(F.sum(weight * F.col("both") / F.greatest(F.lit(1), F.least("n", "pn"))).alias("sum"))
+    whole = F.when(F.col("is_paper"), W_ARXIV_PAPER).otherwise(W_ARXIV) + F.col("sum") + F.when(F.coalesce(F.col("ptype") == F.col("ctype"), F.lit(False)), W_TYPE).otherwise(0.0)
+    enough = sums.filter(whole >= LEAST_SCORE - 1e-9).select("pid", "cid")
+    # papers score enough by the number alone
+    papers = asked.filter("is_paper AND parxiv IS NOT NULL").select("pid", F.col("parxiv").alias("number"))
+    alike = papers.join(known.filter("is_paper AND carxiv IS NOT NULL").select("cid", arxiv_base(F.col("carxiv")).alias("number")), "number").select("pid", "cid")
+    return enough.unionByName(alike)
+
+
 def fuzzy_matches(proposals: DataFrame, curated: DataFrame) -> DataFrame:
     """pid, cid, confidence, reasons of every pair that scores enough.
 
     proposals: pid, words, ptype, is_paper, parxiv; curated: cid, title_words, body_words, tag_words, ctype, is_paper, carxiv.
-    A pair counts only with the same arXiv number or a title overlap of 0.4, which takes a shared word of the title. So instead of
-    comparing all with all, words of titles are joined with words of proposals (counting shared words), and arXiv numbers with each other;
-    body and tag overlaps are computed only for the pairs that survive. Words are compared by 64-bit hashes, which Spark intersects and
-    joins in generated code.
+    A pair counts only with the same arXiv number or a title overlap of LEAST_TITLE. So instead of comparing all with all, pairs are sought by
+    shared words (`title_pairs`) and by the number (`number_pairs`), by 64-bit hashes of words; what may score enough is then
+    scored on the words themselves.
     """
     hashed = lambda df, *names: df.withColumns({n: F.transform(n, lambda w: F.xxhash64(w)) for n in names})
-    proposals, curated = hashed(proposals, "words"), hashed(curated, "title_words", "body_words", "tag_words")
-    small = curated.select("cid", "title_words", "ctype", "is_paper", "carxiv")
-    tokens = small.select("cid", "is_paper", F.size("title_words").alias("tn"), F.explode("title_words").alias("w"))
-    if curated.count() <= BROADCAST_RECORDS:
-        tokens = F.broadcast(tokens)
-    asked = proposals.select("pid", "is_paper", F.size("words").alias("pn"), F.explode("words").alias("w"))
-    shared = asked.join(tokens, ["w", "is_paper"]).groupBy("pid", "cid").agg(F.count("*").alias("both"), F.first("tn").alias("tn"), F.first("pn").alias("pn"))
-    by_title = shared.filter(F.col("both") / F.greatest(F.lit(1), F.least("tn", "pn")) >= LEAST_TITLE).select("pid", "cid")
-    numbers = curated.filter("carxiv IS NOT NULL").select("cid", "is_paper", arxiv_base(F.col("carxiv")).alias("number"))
-    by_number = proposals.filter("parxiv IS NOT NULL").select("pid", "is_paper", F.col("parxiv").alias("number")).join(numbers, ["number", "is_paper"]).select("pid", "cid")
-    pairs = by_title.unionByName(by_number).distinct()
-    full = pairs.join(proposals, "pid").join(curated.drop("is_paper"), "cid")
+    asked = cut(hashed(spread(proposals), "words").select("pid", "words", "ptype", "is_paper", "parxiv"))
+    known = cut(hashed(curated, "title_words", "body_words", "tag_words"))
+    few = known.count() <= BROADCAST_RECORDS
+    # title pairs are thinned by their hashed overlap before texts are read again
+    small = known.select("cid", "title_words")
+    by_title = title_pairs(asked, known, few).join(asked.select("pid", "words"), "pid").join(F.broadcast(small) if few else small, "cid")
+    by_title = by_title.filter(overlap(F.col("title_words"), F.col("words")) >= LEAST_TITLE).select("pid", "cid")
+    pairs = cut(by_title.unionByName(number_pairs(asked, known, few)).distinct())
+    full = proposals.join(pairs, "pid").join(F.broadcast(curated.drop("is_paper")) if few else curated.drop("is_paper"), "cid")
     t, b, g = (overlap(F.col(f"{k}_words"), F.col("words")) for k in ("title", "body", "tag"))
     full = full.withColumns({"t": t, "b": b, "g": g, "arxiv": F.coalesce(F.col("parxiv") == arxiv_base(F.col("carxiv")), F.lit(False)), "same": F.coalesce(F.col("ptype") == F.col("ctype"), F.lit(False))})
     number = F.when(F.col("arxiv"), F.when(F.col("is_paper"), W_ARXIV_PAPER).otherwise(W_ARXIV)).otherwise(0.0)
@@ -133,14 +170,23 @@ def source_changed(previous: Column, current: Column) -> Column:
     return ~previous.eqNullSafe(current)
 
 
-def report(diff: DataFrame, proposals: DataFrame, found: DataFrame) -> DataFrame:
-    """metric, value rows: differences by class, objects by environment, objects with candidates, candidate pairs."""
+def changed_papers(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """paper, source_changed: whether the files (paper, files: path, sha256 and bytes of each) differ from those of the import before."""
+    both = current.select("paper", F.col("files").alias("_now")).join(previous.select("paper", F.col("files").alias("_old")), "paper", "left")
+    return both.select("paper", source_changed(F.col("_old"), F.col("_now")).alias("source_changed"))
+
+
+def report(diff: DataFrame, proposals: DataFrame, found: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """metric, value rows: differences by class, objects by environment, objects with candidates, candidate pairs; with changed (of
+    changed_papers), the papers whose files changed."""
     row = lambda df, name: df.select(name.alias("metric"), F.col("value").cast("long").alias("value"))
     parts = [
         row(diff.groupBy("class").agg(F.count("*").alias("value")), F.concat(F.lit("diff:"), "class")), row(diff.agg(F.count_if("presentation_changed").alias("value")), F.lit("diff:presentationChanged")),
         row(proposals.groupBy("environment").agg(F.count("*").alias("value")), F.concat(F.lit("environment:"), "environment")), row(proposals.agg(F.count("*").alias("value")), F.lit("objects")),
         row(found.agg(F.countDistinct("pid").alias("value")), F.lit("objectsWithCandidates")), row(found.agg(F.count("*").alias("value")), F.lit("candidatePairs")),
     ]
+    if changed is not None:
+        parts.append(row(changed.agg(F.count_if("source_changed").alias("value")), F.lit("sourceChanged")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

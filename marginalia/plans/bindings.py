@@ -104,7 +104,7 @@ def matching(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from ..functions.text import words
 
     d = table(spark, sf, "documents")
-    props = d.select(F.col("doc_id").alias("pid"), words(F.col("text")).alias("words"), F.col("lang").alias("ptype"), F.lit(False).alias("is_paper"), F.substring("source", 4, 9).alias("parxiv"))
+    props = d.select(F.col("doc_id").alias("pid"), words(F.col("text")).alias("words"), F.col("lang").alias("ptype"), F.lit(False).alias("is_paper"), F.substr("source", F.lit(4)).alias("parxiv"))
     b = table(spark, sf, "benchmark").withColumn("w", F.split("text", " "))
     cur = b.select(
         F.col("item_id").alias("cid"), words(F.array_join(F.slice("w", 1, 8), " ")).alias("title_words"), words(F.col("text")).alias("body_words"),

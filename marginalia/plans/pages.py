@@ -75,6 +75,22 @@ def home(nodes: DataFrame, projects: DataFrame, preview: list[str]) -> tuple[Dat
     return graph.induced(edges, nodes.filter(F.col("id").isin(preview)).select("id")), cards
 
 
+def anchors(proposals: DataFrame, references: DataFrame, citations: DataFrame) -> DataFrame:
+    """paper, source_key, reference_anchors, citation_anchors: what a review page links to, in order.
+
+    A reference (of extract.resolved_references) leads to the proposal that it resolves to, a citation key to its entry in the bibliography;
+    those that lead nowhere have a null anchor.
+    """
+    keys = ["paper", "source_key"]
+    own = proposals.select("paper", F.col("source_key").alias("target_key"), F.lit(True).alias("_known"))
+    to = references.join(own, ["paper", "target_key"], "left").select(*keys, "pos", "label", F.when(F.col("_known"), F.concat(F.lit("#"), T.anchor(F.col("target_key")))).alias("anchor"))
+    listed = lambda rows, name: rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label", "anchor"))), lambda x: F.struct(x["label"].alias("label"), x["anchor"].alias("anchor"))).alias(name))
+    cited = proposals.select(*keys, F.posexplode("citations").alias("pos", "label"))
+    entries = citations.select("paper", F.col("key").alias("label"), F.lit(True).alias("_entry")).distinct()
+    cited = cited.join(entries, ["paper", "label"], "left").select(*keys, "pos", "label", F.when(F.col("_entry"), F.concat(F.lit("#bib-"), T.encode_segment(F.col("label")))).alias("anchor"))
+    return proposals.select(*keys).join(listed(to, "reference_anchors"), keys, "left").join(listed(cited, "citation_anchors"), keys, "left")
+
+
 def review_page(proposals: DataFrame, states: DataFrame, found: DataFrame, diff: DataFrame) -> DataFrame:
     """A row for each proposal: state, difference, ranked candidates and the command that would accept it. Keyed by paper and source_key."""
     keys = ["paper", "source_key"]
@@ -104,10 +120,11 @@ def attestation_pages(attestations: DataFrame, fragments: DataFrame, objects: Da
     return done.join(nodes.select(F.col("id").alias("target"), F.col("title").alias("target_title")), "target", "left")
 
 
-def import_papers(files: DataFrame, curated: DataFrame, ledger: DataFrame, previous: DataFrame | None, commit: str, repository: str, entrypoint: str = "main.tex") -> dict[str, DataFrame]:
+def import_papers(files: DataFrame, curated: DataFrame, ledger: DataFrame, previous: DataFrame | None, commit: str, repository: str, entrypoint: str = "main.tex", before: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole import: proposals, diff, candidates, states, diagnostics, report, of all papers in files.
 
-    curated: records with body; ledger: paper, source_key, state, contentHash; previous: staged proposals with review_state, or None.
+    curated: records with body; ledger: paper, source_key, state, contentHash; previous: staged proposals with review_state, or None;
+    before: paper and files of the import before, by which the report says whose files changed.
     """
     from ..functions.tex import words_column
     from ..operators import extract
@@ -132,5 +149,6 @@ def import_papers(files: DataFrame, curated: DataFrame, ledger: DataFrame, previ
     found = cut(imports.candidates(asked, known, exact))
     keyed = found.select("pid.paper", "pid.source_key", "cid", "confidence", "reasons", "exact", "rank")
     states = imports.review(props, keys, ledger.select(*keys, "state", F.col("contentHash").alias("content_hash")), diff, keyed, told, old)
-    report = imports.report(diff, props.filter("environment <> 'paper'"), found.filter("pid.source_key <> 'paper'"))
+    changed = imports.changed_papers(before, papers) if before is not None else None
+    report = imports.report(diff, props.filter("environment <> 'paper'"), found.filter("pid.source_key <> 'paper'"), changed)
     return {"proposals": props, "papers": papers.withColumn("commit", F.lit(commit)), "diff": diff, "candidates": keyed, "states": states, "diagnostics": told, "report": report, "sections": extract.rows_of(scanned, "section"), "citations": extract.used_citations(extract.rows_of(scanned, "citation"), papers)}

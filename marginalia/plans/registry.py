@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import audit, extract, graph, imports, provenance, search, validate
 from ..sources.files import cut, spread
 from . import bindings as B
-from . import review
+from . import pages, review
 from .bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,7 +349,7 @@ def q_link_audit(spark, sf):
 @query(f"WITH {_LINKS} SELECT page_id, attr, raw, 'missing base path' AS problem FROM f WHERE NOT starts_with(target, '/th')")
 def q_missing_base(spark, sf):
     found = audit.links(table(spark, sf, "pages"), "page_id", "html")
-    return audit.link_errors(found, "page_id", "/th", found.select(F.substring("target", 4, 1000).alias("path"))).filter("problem = 'missing base path'")
+    return audit.link_errors(found, "page_id", "/th", found.select(F.substr("target", F.lit(4)).alias("path"))).filter("problem = 'missing base path'")
 
 
 @query("SELECT count(*) AS pages, count(CASE WHEN contains(url, '/node/') THEN 1 END) AS node_pages, count(CASE WHEN contains(html, 'class=\"katex\"') THEN 1 END) AS math_pages, count(CASE WHEN contains(html, 'katex-error') THEN 1 END) AS render_errors, count(CASE WHEN contains(url, '/node/') THEN 1 END) >= 25 AS enough_nodes, count(CASE WHEN contains(html, 'class=\"katex\"') THEN 1 END) >= 10 AS enough_math FROM pages")
@@ -378,32 +378,45 @@ def q_collapsed_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.collapse(F.col("text")), 256).alias("h"))
 
 
-_KEYS = "k AS (SELECT doc_id, 'unlabeled:' || lang || ':' || sha256(text)[1:16] AS base FROM documents), r AS (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY base) AS n FROM k)"
+_KEYS = """k AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 50 = 0 THEN 'label:n' || (n_chars % 5) ELSE 'unlabeled:' || lang || ':' || sha256(text)[1:16] END AS base FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, base ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY lang, base) AS n FROM k)"""
 
 
-@query(f"WITH {_KEYS} SELECT doc_id, CASE WHEN nth = 1 THEN base ELSE base || ':duplicate:' || doc_id END AS source_key, n > 1 AS blocked, nth FROM r")
+@query(f"WITH {_KEYS} SELECT doc_id, CASE WHEN nth = 1 THEN base ELSE base || ':duplicate:' || source || ':' || doc_id END AS source_key, n > 1 AS blocked FROM r")
 def q_identity_keys(spark, sf):
-    base = F.concat(F.lit("unlabeled:"), "lang", F.lit(":"), F.left(F.sha2("text", 256), F.lit(16)))
-    w = Window.partitionBy("base")
-    k = table(spark, sf, "documents").select("doc_id", base.alias("base")).withColumns({"nth": F.row_number().over(w.orderBy("doc_id")), "n": F.count("*").over(w)})
-    return k.select("doc_id", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit(":duplicate:"), F.col("doc_id").cast("string"))).alias("source_key"), (F.col("n") > 1).alias("blocked"), "nth")
+    """Documents as statements: every fiftieth has a label of five, which some share; the others go by their text."""
+    d = table(spark, sf, "documents")
+    label = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("n"), (F.col("n_chars") % 5).cast("string")))
+    objects = d.select(
+        "doc_id", F.col("lang").alias("paper"), F.col("doc_id").alias("ordinal"), label.alias("latex_label"), F.array_compact(F.array(label)).alias("labels"),
+        F.concat(F.lit("unlabeled:"), "lang", F.lit(":"), F.left(F.sha2("text", 256), F.lit(16))).alias("text_key"), F.col("source").alias("source_file"), F.col("doc_id").alias("start_line"),
+    )
+    labels = objects.filter("latex_label IS NOT NULL").select("paper", F.col("latex_label").alias("label"))
+    return extract.identified(objects, labels).select("doc_id", "source_key", "blocked")
 
 
-@query("WITH l AS (SELECT lang AS paper, n_chars AS label, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT doc_id, lang AS paper, n_chars + 1 AS label FROM documents) SELECT doc_id, CASE WHEN n IS NULL THEN 'Unresolved' WHEN n > 1 THEN 'Ambiguous' ELSE 'resolved' END AS problem FROM r LEFT JOIN l USING (paper, label)")
+@query("WITH l AS (SELECT lang AS paper, n_chars AS label, count(*) AS n, max(doc_id) AS target FROM documents GROUP BY ALL), r AS (SELECT doc_id, lang AS paper, n_chars + 1 AS label FROM documents) "
+       "SELECT doc_id, CASE WHEN n IS NULL THEN 'Unresolved' WHEN n > 1 THEN 'Ambiguous' END AS problem, CASE WHEN n = 1 THEN CAST(target AS VARCHAR) END AS target_key, CASE WHEN n = 1 THEN 'doc' END AS target_kind FROM r LEFT JOIN l USING (paper, label)")
 def q_duplicate_labels(spark, sf):
     """A document's length is its label, and it refers to the next length in its language."""
-    d = table(spark, sf, "documents")
-    counts = extract.label_counts(d.select(F.col("lang").alias("paper"), F.col("n_chars").alias("label")))
-    refs = d.select("doc_id", F.col("lang").alias("paper"), (F.col("n_chars") + 1).alias("label"))
-    return refs.join(counts, ["paper", "label"], "left").select("doc_id", F.when(F.col("n").isNull(), "Unresolved").when(F.col("n") > 1, "Ambiguous").otherwise("resolved").alias("problem"))
+    d = table(spark, sf, "documents").select(F.col("lang").alias("paper"), "doc_id", "n_chars", "source")
+    ref = F.struct((F.col("n_chars") + 1).cast("string").alias("label"), F.lit("ref").alias("command"), F.lit("statement").alias("context"))
+    objects = d.select("paper", F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("source_key"), F.array(ref).alias("references"))
+    labels = d.select("paper", F.col("n_chars").cast("string").alias("label"), F.lit("doc").alias("kind"), F.col("doc_id").alias("object"), F.col("source").alias("file"), F.lit(1).alias("line"))
+    refs = extract.resolved_references(objects, extract.label_catalog(labels, objects))
+    return refs.select(F.col("source_key").cast("long").alias("doc_id"), "problem", "target_key", "target_kind")
 
 
-@query("WITH cited AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 10) SELECT p_partkey AS key, p_partkey IN (SELECT k FROM cited) AS used, false AS missing FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT k, true, true FROM cited WHERE k % 9 = 0 OR k NOT IN (SELECT p_partkey FROM part)")
+@query("WITH cites AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS key FROM lineitem), entries AS (SELECT paper, key FROM cites WHERE key % 9 <> 0 UNION ALL SELECT DISTINCT l_orderkey, -1 FROM lineitem) "
+       "SELECT paper, key, (paper, key) IN (SELECT (paper, key) FROM cites) AS used, false AS missing FROM entries UNION ALL SELECT paper, key, true, true FROM cites WHERE key % 9 = 0")
 def q_unused_and_missing_citations(spark, sf):
-    cited = table(spark, sf, "lineitem").filter("l_quantity < 10").select(F.lit("p").alias("paper"), F.col("l_partkey").alias("key")).distinct()
-    entries = table(spark, sf, "part").filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("key"))
-    used = entries.join(cited.select("key", F.lit(True).alias("u")), "key", "left").select("key", F.coalesce("u", F.lit(False)).alias("used"), F.lit(False).alias("missing"))
-    return used.unionByName(cited.select("key").join(entries, "key", "left_anti").select("key", F.lit(True).alias("used"), F.lit(True).alias("missing")))
+    """Orders are papers that cite the parts of their lines; parts of some numbers have no entry, and each bibliography has one that nobody cites."""
+    cites = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").cast("string").alias("key")).distinct()
+    papers = cites.groupBy("paper").agg(F.collect_list("key").alias("cited_keys"))
+    entries = cites.filter("key % 9 <> 0").unionByName(cites.select("paper", F.lit("-1").alias("key")).distinct())
+    used = extract.used_citations(entries, papers).withColumn("missing", F.lit(False))
+    missing = extract.missing_citations(entries, papers).withColumns({"used": F.lit(True), "missing": F.lit(True)})
+    return used.unionByName(missing).withColumn("key", F.col("key").cast("long"))
 
 
 @query("WITH c AS (SELECT DISTINCT conv_id, turn, role FROM conversations), s AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS section_turn FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)) "
@@ -594,10 +607,51 @@ def q_relate_plan(spark, sf):
     return review.relate_plan(wanted, B.nodes(spark, sf), norm(spark, sf)).select("id", "problem")
 
 
-@query("SELECT event_type AS source_key, count(*) || ' NEW' AS line FROM events GROUP BY event_type")
+@query("SELECT o_orderpriority AS paper, 'ORD-' || o_orderkey AS source_key, rpad(CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'POSSIBLE DUPLICATE' ELSE 'NEW' END, 19, ' ') || ' ORD-' || o_orderkey || "
+       "coalesce((SELECT ' ' || string_agg('PART-' || l_partkey || ' (0.' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ')', ', ' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber < 4), '') AS line FROM orders")
 def q_status_lines(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return e.select(F.col("event_type").alias("source_key"), F.concat_ws(" ", F.col("n").cast("string"), F.lit("NEW")).alias("line"))
+    """Orders are proposals, and the parts of their first lines their candidates."""
+    o = table(spark, sf, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "ACCEPTED").when(F.col("o_orderstatus") == "O", "POSSIBLE DUPLICATE").otherwise("NEW")
+    keys = o.select("o_orderkey", F.col("o_orderpriority").alias("paper"), B.key("ORD", "o_orderkey").alias("source_key"))
+    lines = table(spark, sf, "lineitem").filter("l_linenumber < 4").join(keys, F.col("l_orderkey") == F.col("o_orderkey"))
+    found = lines.select("paper", "source_key", F.struct("l_linenumber", "l_partkey").alias("rank"), B.key("PART", "l_partkey").alias("cid"), (F.col("l_linenumber") / 100).alias("confidence"))
+    return review.status_lines(o.select(F.col("o_orderpriority").alias("paper"), B.key("ORD", "o_orderkey").alias("source_key"), state.alias("review_state")), found)
+
+
+@query("SELECT 'ORD-' || o_orderkey AS source_key, CASE WHEN o_orderkey % 3 = 0 THEN 'A note is required for a rejection.' WHEN o_orderkey % 7 = 0 THEN 'no such proposal' END AS problem, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS content_hash FROM orders")
+def q_reject_plan(spark, sf):
+    """Every third rejection has a blank note, every seventh names no proposal."""
+    o = table(spark, sf, "orders").select(F.lit("p").alias("paper"), B.key("ORD", "o_orderkey").alias("source_key"), "o_orderkey", F.col("o_orderstatus").alias("content_hash"))
+    choice = o.select("paper", "source_key", F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise("no").alias("note"))
+    return review.reject_plan(o.filter("o_orderkey % 7 <> 0"), choice, F.lit("c"), F.lit("t")).select("source_key", "problem", "content_hash")
+
+
+@query("WITH f(field, ok) AS (VALUES ('id', 7), ('title', 5), ('type', 3), ('editorialState', 4), ('date', 6), ('projects', 8), ('arxiv', 9), ('relations', 10), ('timeline', 11), ('provenance', 12)) "
+       "SELECT 'schema' AS rule, CASE WHEN o_orderkey % 7 = 0 THEN 'ord ' ELSE 'ORD-' END || o_orderkey AS id, field AS detail FROM orders, f WHERE o_orderkey % ok = 0")
+def q_schema_rule(spark, sf):
+    """Order records, each field of which is broken for the multiples of a number of its own."""
+    broken = lambda n: F.col("o_orderkey") % n == 0
+    good = {
+        "id": F.concat(F.when(broken(7), "ord ").otherwise("ORD-"), F.col("o_orderkey").cast("string")), "title": F.when(broken(5), "").otherwise("t"), "shortTitle": F.lit("t"), "summary": F.lit("s"), "type": F.when(broken(3), "order").otherwise("theorem"),
+        "claimStanding": F.lit("proved"), "editorialState": F.when(~broken(4), "draft"), "publicationStatus": F.lit("draft"), "date": F.when(broken(6), "1996-02-30").otherwise("1996-02-29"), "projects": F.when(broken(8), F.array().cast("array<string>")).otherwise(F.array(F.lit("P1"))),
+        "arxiv": F.when(broken(9), "1").otherwise("2701.00001"), "relations": F.array(F.struct(F.lit("A-1").alias("target"), F.when(broken(10), "likes").otherwise("uses").alias("type"), F.lit("n").alias("note"))), "verification": F.struct(F.lit("human").alias("method"), F.lit("n").alias("note")),
+        "timeline": F.struct(F.when(broken(11), 5).otherwise(1).alias("stage"), F.lit("n").alias("note")), "provenance": F.when(broken(12), "hearsay").otherwise("background"),
+    }
+    fields = [good.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.NODE.fields]
+    return validate.schema(table(spark, sf, "orders").select(*fields))
+
+
+@query(f"WITH {_EDGES} SELECT 'node' AS kind, 'NATION-3' AS id UNION SELECT 'node', target FROM edges WHERE source = 'NATION-3' UNION SELECT 'node', source FROM edges WHERE target = 'NATION-3' UNION ALL SELECT 'edge', source || ':' || type || ':' || target FROM edges WHERE source = 'NATION-3' OR target = 'NATION-3'")
+def q_highlighted(spark, sf):
+    return graph.highlighted(_edges(spark, sf), "NATION-3")
+
+
+@query("WITH m(p, t) AS (VALUES ('AUTOMOBILE', 0), ('BUILDING', 1), ('HOUSEHOLD', 2), ('MACHINERY', 0)) SELECT c_custkey, coalesce(t, -1) AS tone FROM customer LEFT JOIN m ON p = c_mktsegment")
+def q_group_tones(spark, sf):
+    """Segments are projects; one of them isn't in the registry."""
+    groups = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY"]
+    return table(spark, sf, "customer").select("c_custkey", graph.group_tone(F.col("c_mktsegment"), groups).alias("tone"))
 
 
 # --- papers: a bundle in TeX for each document ------------------------------------------------------------------------------------------
@@ -645,6 +699,17 @@ def q_latex_labels(spark, sf):
     return extract.label_catalog(labels, extract.identified(extract.rows_of(s, "object"), labels))
 
 
+@query(f"WITH {B.PAPERS} SELECT paper, 'label:thm:' || n AS source_key, 'lem:' || n || '=' || CASE WHEN labelled THEN '#proposal-label%3Alem%3A' || n ELSE '' END || '|sec:' || n || '=|gone=' AS reference_anchors, 'K1=#bib-K1|N' || n || '=' AS citation_anchors FROM t "
+       "UNION ALL SELECT paper, lemma, '', '' FROM t UNION ALL SELECT paper, 'paper', '', 'K1=#bib-K1|N' || n || '=' FROM t")
+def q_page_anchors(spark, sf):
+    s = _scanned(spark, sf)
+    labels, props = extract.rows_of(s, "label"), extract.proposals(s)
+    objects = extract.identified(extract.rows_of(s, "object"), labels)
+    rows = pages.anchors(props, extract.resolved_references(objects, extract.label_catalog(labels, objects)), extract.rows_of(s, "citation"))
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x["label"], F.lit("="), F.coalesce(x["anchor"], F.lit("")))), "|"), F.lit("")).alias(c)
+    return rows.select("paper", "source_key", shown("reference_anchors"), shown("citation_anchors"))
+
+
 @query(f"WITH {B.PAPERS} SELECT paper, 'warning' AS severity, NULL AS file, NULL AS line, 'Citation key has no bibliography entry: N' || n AS message FROM t")
 def q_latex_diagnostics(spark, sf):
     return extract.diagnostics(_scanned(spark, sf))

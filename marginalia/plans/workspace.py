@@ -79,7 +79,7 @@ class Workspace:
         """Imports the mirrored papers, all or some, and stages them."""
         files = bundles.read_bundles(self.spark, mirror, papers)
         old = bundles.staged(self.spark, f"{self.root}/imports")
-        done = pages.import_papers(files, self.records(), bundles.read_ledger(self.spark, f"{self.root}/ledger"), old, commit, self.repository)
+        done = pages.import_papers(files, self.records(), bundles.read_ledger(self.spark, f"{self.root}/ledger"), old, commit, self.repository, before=bundles.staged(self.spark, f"{self.root}/imports", "report"))
         staged = done["proposals"].join(done["states"], ["paper", "source_key"]).join(done["candidates"].groupBy("paper", "source_key").agg(F.sort_array(F.collect_list(F.struct("rank", "cid", "confidence", "exact"))).alias("candidates")), ["paper", "source_key"], "left")
         errors = done["diagnostics"].filter("severity = 'error'").select("paper").distinct().withColumn("has_error", F.lit(True))
         staged = staged.join(errors, "paper", "left").withColumn("has_error", F.coalesce("has_error", F.lit(False)))
