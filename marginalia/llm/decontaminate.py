@@ -52,7 +52,7 @@ def marked(text: Column) -> Column:
     """The words of a text with placeholders for numbers and units, those that begin with a capital with CAPITAL before them."""
     c = F.regexp_replace(spaced(text), BEGIN, CAPITAL)
     c = F.regexp_replace(c, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    c = F.regexp_replace(c, rf"(?i){NUMBER}( ?)(?:{UNITS})(?![\p{{L}}{NUMBER}])", f"{NUMBER}$1{UNIT}")
+    c = F.regexp_replace(c, rf"(?i){NUMBER}( ?){CAPITAL}?(?:{UNITS})(?![\p{{L}}{NUMBER}])", f"{NUMBER}$1{UNIT}")
     return words(c, rf"[^\p{{L}}\p{{M}}{NUMBER}-{CAPITAL}{SPACE}]+")
 
 
