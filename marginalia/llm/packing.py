@@ -4,7 +4,9 @@ A task cuts its rows into shards of at most `shard_tokens` tokens, so memory is
 inverted index of its own. The first unused document seeds a window of `seq_len` tokens; the index ranks the unused documents of the
 shard by BM25 against the seed's most telling terms, and they fill the window from the best down. The one that no longer fits is cut; its
 rest seeds the next window. So every window is full but the last of a shard, whose tokens go to sequences of lengths that are powers of two,
-which need no padding. There is no shuffle: a lost executor costs the tasks it ran.
+which need no padding. There is no shuffle: a lost executor costs the tasks it ran. Shards follow the order of a task's rows, so which
+documents are neighbours, and with it the sequences, depends on how the table is laid out in files; that every token lies in exactly one
+sequence doesn't.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import spread, table, tidy
 
 SEQ_LEN, END_ID = 2048, 1
 SHARD_TOKENS, QUERY_TERMS = 4_000_000, 24
@@ -38,9 +40,10 @@ def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Token ids of whole texts. Merges by rank give the tokenizer's own ids several times faster; a text with one of its special strings goes to the tokenizer itself."""
+    """Token ids of whole texts. Merges by rank give the tokenizer's own ids several times faster; a text with one of its special strings goes
+    to the tokenizer itself, as do all with `slow`."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, slow: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -48,7 +51,7 @@ class Encoder:
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         ranks = {k: i for k, i in byte_ranks(self.full.get_vocab()).items() if k.decode("utf-8", "replace") not in self.special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if any(self.fast(x) != self.full.encode(x, add_special_tokens=False).ids for x in PROBES):
+        if slow or any(self.fast(x) != self.full.encode(x, add_special_tokens=False).ids for x in PROBES):
             self.fast = None
 
     def encode(self, text: str) -> np.ndarray:
@@ -156,15 +159,17 @@ def halve(pieces: list[tuple[int, int, int, int, int]], seq: int, left: int) ->
     return done
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, seq_len: int = SEQ_LEN, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, seq_len: int = SEQ_LEN, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, query_terms: int = QUERY_TERMS, with_ids: bool = False, slow: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most seq_len tokens.
 
-    A null text counts as empty and is the end id alone. Rows that repeat an id are packed each for itself. An empty table gives no
-    pieces. Other columns are not read. with_ids adds each piece's token ids as array<int>.
+    A null text counts as empty and is the end id alone. Rows that repeat an id are packed each for itself; a null id stays null. An empty
+    table gives no pieces. Other columns are not read. Of documents that score alike, the earlier one comes first. query_terms: how many of a
+    seed's most telling terms are looked up; the length of the seed is the exact way. with_ids adds each piece's token ids as
+    array<int>. slow: every text goes to the tokenizer itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(tokenizer), np.asarray([end_id], dtype="<u4")
+        enc, end = Encoder(tokenizer, slow), np.asarray([end_id], dtype="<u4")
         base = TaskContext.get().partitionId() << 40
         done = 0
         shard: list[tuple[int | None, np.ndarray, np.ndarray]] = []
@@ -204,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield from flush()
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return spread(rows).mapInArrow(tidy(run), SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

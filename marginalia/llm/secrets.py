@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spread, table
+from .common import spread, table, tidy
 
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -123,7 +123,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(run, SCHEMA)
+    return spread(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def op4_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

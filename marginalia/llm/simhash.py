@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, spread, table, unused
+from .common import cut, parts_for, spread, table, tidy, unused
 from .components import components
 
 SEED, SHINGLE, MAX_DISTANCE = 42, 4, 4
@@ -39,6 +39,8 @@ WHOLE, BUCKET, SHARD_POINTS = 16_384, 1_024, 4_096
 SPLIT_SHARE = 0.8
 #: Entries (a fingerprint in a bucket) that one shard partition holds.
 SHARD_ENTRIES = 60_000
+#: Rows whose entries are dealt out at a time.
+DEAL_ROWS = 2_000
 #: Rows about buckets, texts or copies that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -85,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raw = b"".join(fingerprint(words_of(t.as_py() or ""), shingle) for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def n_blocks(classes: int, radius: int, whole: int = WHOLE, bucket: int = BUCKET) -> int:
@@ -266,7 +268,7 @@ def shard_links(shards: DataFrame, radius: int, shard_entries: int = SHARD_ENTRI
         yield from found()
 
     n_parts = parts_for(shards.count(), shard_entries)
-    return shards.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long")
+    return shards.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(search), "a long, b long")
 
 
 def exact_links(classes: DataFrame, radius: int, *, whole: int = WHOLE, bucket: int = BUCKET, shard_points: int = SHARD_POINTS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -280,7 +282,7 @@ def cross_pairs(points: np.ndarray, parts: np.ndarray, radius: int) -> Iterator[
     """All pairs of points of different parts within the radius."""
     if (parts == parts[0]).all():
         return
-    step = max(1, 2_000_000 // len(points))
+    step = max(1, 500_000 // len(points))
     for at in range(0, len(points), step):
         own = slice(at, at + step)
         i, j = np.nonzero((parts[own, None] != parts[None, at:]) & (distance(points[own, None, :], points[None, at:, :]) <= radius))
@@ -300,35 +302,40 @@ def band_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = b"".join(batch.column(0).to_pylist())
-            rep = batch.column(1).to_numpy(zero_copy_only=False).astype("<i8")
-            root = batch.column(2).to_numpy(zero_copy_only=False).astype("<i8") if every else rep[:0]
-            fp = np.frombuffer(raw, ">u8").astype("<u8").reshape(-1, n_words)
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(rep), -1), axis=1)
-            assert bit.shape[1] == bits
-            # the block's number in the upper 16 bits, its value in the lower 48
-            keys = np.concatenate([(bit[:, b].astype(np.uint64) @ (np.uint64(1) << np.arange(len(b), dtype=np.uint64))) | np.uint64(k << 48) for k, b in enumerate(blocks_of)])
-            row = np.tile(np.arange(len(rep)), len(blocks_of))
-            part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            parts, blobs = [], []
-            for own in np.split(order, cuts):
-                parts.append(int(part[own[0]]))
-                blobs.append(struct.pack("<I", len(own)) + keys[own].tobytes() + rep[row[own]].tobytes() + fp[row[own]].tobytes() + (root[row[own]].tobytes() if every else b""))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
+            for lo in range(0, batch.num_rows, DEAL_ROWS):
+                yield dealt(batch.slice(lo, DEAL_ROWS))
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b"".join(batch.column(0).to_pylist())
+        rep = batch.column(1).to_numpy(zero_copy_only=False).astype("<i8")
+        root = batch.column(2).to_numpy(zero_copy_only=False).astype("<i8") if every else rep[:0]
+        fp = np.frombuffer(raw, ">u8").astype("<u8").reshape(-1, n_words)
+        bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(rep), -1), axis=1)
+        assert bit.shape[1] == bits
+        # the block's number in the upper 16 bits and its value in the lower 48, mixed: the upper half picks the part, the lower is the key in it
+        keys = np.concatenate([(bit[:, b].astype(np.uint64) @ (np.uint64(1) << np.arange(len(b), dtype=np.uint64))) | np.uint64(k << 48) for k, b in enumerate(blocks_of)])
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+        part = ((keys >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+        keys = keys.astype("<u4")
+        row = np.tile(np.arange(len(rep), dtype=np.int32), len(blocks_of))
+        order = np.argsort(part, kind="stable")
+        parts, blobs = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            at = row[own]
+            parts.append(int(part[own[0]]))
+            blobs.append(struct.pack("<I", len(own)) + keys[own].tobytes() + rep[at].tobytes() + fp[at].tobytes() + (root[at].tobytes() if every else b""))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, reps, fps, roots = [], [], [], []
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 n = struct.unpack_from("<I", blob)[0]
-                keys.append(np.frombuffer(blob, "<u8", n, 4))
-                reps.append(np.frombuffer(blob, "<i8", n, 4 + 8 * n))
-                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 16 * n).reshape(n, n_words))
-                roots.append(np.frombuffer(blob, "<i8", n if every else 0, 4 + (16 + 8 * n_words) * n if every else 0))
+                keys.append(np.frombuffer(blob, "<u4", n, 4))
+                reps.append(np.frombuffer(blob, "<i8", n, 4 + 4 * n))
+                fps.append(np.frombuffer(blob, "<u8", n * n_words, 4 + 12 * n).reshape(n, n_words))
+                roots.append(np.frombuffer(blob, "<i8", n if every else 0, 4 + (12 + 8 * n_words) * n if every else 0))
         if not keys:
             return
         key, rep, fp = np.concatenate(keys), np.concatenate(reps), np.concatenate(fps)
@@ -350,8 +357,8 @@ def band_links(classes: DataFrame, n_words: int, radius: int, blocks_of: list[np
             i, j = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(rep[i], pa.int64()), pa.array(rep[j], pa.int64())], ["a", "b"])
 
-    moved = classes.select("fp", "rep", *(["root"] if every else [])).mapInArrow(deal, "part long, blob binary").repartition(n_parts, "part")
-    return moved.mapInArrow(search, "a long, b long")
+    moved = classes.select("fp", "rep", *(["root"] if every else [])).mapInArrow(tidy(deal), "part long, blob binary").repartition(n_parts, "part")
+    return moved.mapInArrow(tidy(search), "a long, b long")
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, **sizes: int) -> DataFrame:
@@ -404,7 +411,7 @@ def near_prints(rows: DataFrame) -> DataFrame:
             reps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([votes(s, NEAR_WORDS) for s in sets], pa.binary()), pa.array(reps, pa.int64())], ["doc_id", "tag", "fp", "rep"])
 
-    return spread(rows).mapInArrow(run, "doc_id long, tag long, fp binary, rep long")
+    return spread(rows).mapInArrow(tidy(run), "doc_id long, tag long, fp binary, rep long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -424,7 +431,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     ends = pairs.select(F.col("a").alias("_end")).unionAll(pairs.select("b")).distinct()
     ends = cut(classes.join(ends, classes["rep"] == ends["_end"], "left_semi").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.tag").alias("_tag")))
     texts = rows.join(bounded(ends), (F.col("doc_id") == F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("rep", "text")
-    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(tidy(run), "node long, shingles array<long>").dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_t"))
     both = F.size(F.array_intersect("_s", "_t"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, spread, table
+from .common import cut, parts_for, spread, table, tidy
 
 WINDOW, ANCHOR = 13, 4
 #: Text in one map batch, in one group of suffixes on average, and in one partition of groups; suffixes that are held and sorted at once.
@@ -406,8 +406,8 @@ def repeated_windows(rows: DataFrame, batch_chars: int = BATCH_CHARS, group_char
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_groups = parts_for(chars, group_chars)
     n_parts = min(n_groups, parts_for(chars, PART_CHARS, PARTS))
-    moved = rows.mapInArrow(scan(n_groups, batch_chars), MOVED).repartition(n_parts, "grp").sortWithinPartitions("grp")
-    found = cut(moved.mapInArrow(trees(group_suffixes), MIXED))
+    moved = rows.mapInArrow(tidy(scan(n_groups, batch_chars)), MOVED).repartition(n_parts, "grp").sortWithinPartitions("grp")
+    found = cut(moved.mapInArrow(tidy(trees(group_suffixes)), MIXED))
     extended = found.filter("key is not null")
     settled = found.filter("key is null").select("doc_id", "tag", "blob")
     if n := extended.count():
@@ -445,7 +445,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"][: len(kinds) + 1])
 
     joined = rows.join(starts, (rows["doc_id"] == starts["_id"]) & (rows["tag"] == starts["_tag"]), "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, removed array<array<long>>" if with_text else ""))
+    return joined.mapInArrow(tidy(cut_out), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, removed array<array<long>>" if with_text else ""))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

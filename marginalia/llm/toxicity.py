@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, spread, table
+from .common import cut, spread, table, tidy
 
 #: The most labelled rows that training takes.
 MAX_LABELLED = 10_000
@@ -92,7 +92,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["mark", "y"])
 
     n_toxic, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
-    counts = rows.select("y", "text").mapInArrow(run, "mark string, y int").groupBy("mark").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
+    counts = rows.select("y", "text").mapInArrow(tidy(run), "mark string, y int").groupBy("mark").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("all") - F.col("toxic") + 0.5) / (n - n_toxic + 1))
     best = counts.filter(F.col("toxic") >= LEAST_DOCS).select("mark", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
     return Lexicon({r["mark"]: r["odds"] for r in best.collect()})
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], ["_id", "part", "y", "x"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    found = sorted(rows.mapInArrow(run, f"_id {kind}, part int, y int, x array<double>").collect())
+    found = sorted(rows.mapInArrow(tidy(run), f"_id {kind}, part int, y int, x array<double>").collect())
     part = np.array([r["part"] if len(found) >= SPLIT_FROM else 0 for r in found], dtype=np.int64)
     return fit(lexicon, np.array([r["x"] for r in found]).reshape(len(found), len(NAMES)), np.array([r["y"] for r in found], dtype=float), part)
 
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = shared.value.score(feature_rows(part.column(1), shared.value.lexicon))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -283,7 +283,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", least: flo
                 s = shared.value.score(feature_rows(part.column(at), shared.value.lexicon))
                 yield part.filter(pa.array(s < least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

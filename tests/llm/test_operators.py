@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.llm import compaction, components, decontaminate, exact_dedup, host_reputation, packing, secrets, simhash, substring_dedup, toxicity, warc
@@ -98,6 +100,19 @@ def test_packing_holds_every_token_once(spark, corpus, tokenizer):
     assert packing.pack(empty(spark), tokenizer).count() == 0
 
 
+def test_fast_ids_are_the_tokenizers(tokenizer):
+    """Over random Unicode, the quick way gives the tokenizer's own ids; with `slow`, it isn't taken."""
+    encoder, slow = packing.Encoder(tokenizer), packing.Encoder(tokenizer, slow=True)
+    assert encoder.fast is not None and slow.fast is None
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.text(" \t\n'aAzéß1²٣你🙂\u0301\u00a0\u2028\x85-_.", max_size=60))
+    def agree(text):
+        assert encoder.encode(text).tolist() == encoder.full.encode(text, add_special_tokens=False).ids == slow.encode(text).tolist()
+
+    agree()
+
+
 def test_packing_puts_neighbours_together():
     terms = [np.array([1, 2, 3, 4]), np.array([9, 8, 7]), np.array([1, 2, 3, 5]), np.array([9, 8, 6])]
     pieces = packing.pack_shard([100, 100, 100, 100], packing.Index(terms), 200, 24)
