@@ -7,8 +7,8 @@ DataFrame functions that they call.
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -53,14 +53,16 @@ class Workspace:
 
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
-        """One writer at a time, over processes, while the workspace is on a local disk."""
-        path = f"{self.root.removeprefix('file://')}/.papers.lock"
-        handle = os.open(path, os.O_CREAT | os.O_EXCL)
-        try:
+        """One writer at a time, over processes; a workspace is edited by hand and on a local disk. The lock goes with its process, even if that crashes."""
+        path = self.root.removeprefix("file://")
+        if ":" in path.split("/", 1)[0]:
+            raise RefusedError(f"{self.root} isn't a local folder; a workspace is written in one")
+        with open(f"{path}/.papers.lock", "w") as handle:
+            try:
+                fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError as error:
+                raise RefusedError("Another process is writing to this workspace.") from error
             yield
-        finally:
-            os.close(handle)
-            os.unlink(path)
 
     def records(self) -> DataFrame:
         if not children(self.spark, f"{self.root}/content"):

@@ -272,3 +272,35 @@ def test_reject_needs_a_note(spark):
     props = spark.createDataFrame([("p", "k", "h")], "paper string, source_key string, content_hash string")
     choice = spark.createDataFrame([("p", "k", " "), ("p", "k", "no"), ("p", "x", "no")], "paper string, source_key string, note string")
     assert [r.problem for r in review.reject_plan(props, choice, F.lit("c"), F.lit("t")).orderBy("source_key", "note").collect()] == ["A note is required for a rejection.", None, "no such proposal"]
+
+
+def test_changed_sources_are_reported(spark):
+    shape = "paper string, files array<struct<path:string,sha256:string,bytes:bigint>>"
+    old = spark.createDataFrame([("a", [("m", "1", 1)]), ("b", [("m", "1", 1)])], shape)
+    new = spark.createDataFrame([("a", [("m", "1", 1)]), ("b", [("m", "2", 1)]), ("c", [("m", "1", 1)])], shape)
+    changed = imports.changed_papers(old, new)
+    assert {r.paper: r.source_changed for r in changed.collect()} == {"a": False, "b": True, "c": True}
+    none = spark.createDataFrame([], "class string, presentation_changed boolean")
+    told = imports.report(none, spark.createDataFrame([], "environment string"), spark.createDataFrame([], "pid string"), changed)
+    assert {r.metric: r.value for r in told.collect()}["sourceChanged"] == 2
+
+
+def test_matching_by_shuffle(spark, monkeypatch):
+    """Beyond what is broadcast, words are dealt out by parts; the matches are the same, one word in every title included."""
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    props = spark.createDataFrame([(i, list(dict.fromkeys(["hot", *word(rng.choice([1, 4, 20]))])), "t", False, str(i % 7) if i % 3 else None) for i in range(60)], "pid long, words array<string>, ptype string, is_paper boolean, parxiv string")
+    known = spark.createDataFrame([(j, list(dict.fromkeys(["hot", *word(5)])), list(dict.fromkeys(word(12))), [f"w{j}"], "t" if j % 2 else "u", False, f"{j % 7}v2") for j in range(30)], "cid long, title_words array<string>, body_words array<string>, tag_words array<string>, ctype string, is_paper boolean, carxiv string")
+    want = {}
+    for p in props.collect():
+        for c in known.collect():
+            share = lambda a: len(set(a) & set(p.words)) / max(1, min(len(a), len(p.words)))
+            t, b, g = share(c.title_words), share(c.body_words), share(c.tag_words)
+            arxiv = p.parxiv == c.carxiv[:-2]
+            score = (0.16 if arxiv else 0.0) + (t * 0.45 + b * 0.22 + g * 0.08) + (0.05 if p.ptype == c.ctype else 0.0)
+            if score >= 0.46 and (arxiv or t >= 0.4):
+                want[p.pid, c.cid] = min(0.94, int(score * 100 + 0.5) / 100)
+    for bound in (20_000, 0):
+        monkeypatch.setattr(imports, "BROADCAST_RECORDS", bound)
+        got = {(r.pid, r.cid): r.confidence for r in imports.fuzzy_matches(props, known).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0101 for k in want) and len(want) > 50

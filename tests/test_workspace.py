@@ -135,3 +135,14 @@ def test_built_pages(spark, tmp_path):
     with pytest.raises(ValueError):
         guarded(str(tmp_path / "dist"), "link")
     assert guarded(str(tmp_path / "dist"), "index.html").endswith("index.html")
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    w = Workspace(spark, f"file://{tmp_path}")
+    with w.lock():
+        with pytest.raises(RefusedError, match="Another process"), w.lock():
+            pass
+    with w.lock():  # free again, though the file is there
+        assert (tmp_path / ".papers.lock").exists()
+    with pytest.raises(RefusedError, match="local"), Workspace(spark, "hdfs://x/y").lock():
+        pass
