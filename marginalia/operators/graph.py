@@ -20,10 +20,12 @@ def relations_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def normalized_relations(relations: DataFrame, depends: DataFrame) -> DataFrame:
-    """Explicit relations first, then dependencies; of those that repeat a target and type, the first. A combined minimum, not a window."""
-    every = relations.select("id", "target", "type", F.lit(0).alias("part"), "pos", "note").unionByName(depends.select("id", "target", F.lit(DEPENDS).alias("type"), F.lit(1).alias("part"), "pos", F.lit(None).cast("string").alias("note")))
-    first = every.groupBy("id", "target", "type").agg(F.min(F.struct("part", "pos", "note")).alias("first"))
-    return first.select("id", "target", "type", "first.note", (F.col("first.part") * F.lit(1 << 32) + F.col("first.pos")).alias("pos"))
+    """Explicit relations first, then dependencies; of those that repeat a target and type, the first. Combined minima, not a window: the
+    place is a number, which is hashed in generated code, and the note an aggregate of its own, which isn't computed where nobody asks for it."""
+    explicit = relations.select("id", "target", "type", F.col("pos").cast("long").alias("pos"), "note")
+    implied = depends.select("id", "target", F.lit(DEPENDS).alias("type"), (F.col("pos") + F.lit(1 << 32)).alias("pos"), F.lit(None).cast("string").alias("note"))
+    every = explicit.unionByName(implied)
+    return every.groupBy("id", "target", "type").agg(F.min_by("note", F.struct("pos", "note")).alias("note"), F.min("pos").alias("pos"))
 
 
 def edge_id(source: Column, type: Column, target: Column) -> Column:
