@@ -21,5 +21,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_host_reputation": host_reputation.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_tiered_compaction": compaction.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }

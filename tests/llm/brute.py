@@ -51,7 +51,12 @@ def holds(text, item, least=d.LEAST):
         return False
     size = min(d.WINDOW, len(t))
     docs = [template(text, True), template(text, False), values(text)]
-    have = [{w: [i for i, x in enumerate(windows(x_, size)) if x == w] for w in set(windows(x_, size))} if len(x_) >= size else {} for x_ in docs]
+    have = []
+    for words in docs:
+        at = defaultdict(list)
+        for i, w in enumerate(windows(words, size) if len(words) >= size else []):
+            at[w].append(i)
+        have.append(at)
     wt, wl, wv = windows(t, size), windows(l, size), windows(v, size)
     counts = [literals(w) >= min(d.LITERALS, size) for w in wt]
     if any(counts):
