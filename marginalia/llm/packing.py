@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import spread, table, tidy
 
 SEQ_LEN, END_ID = 2048, 1
-SHARD_TOKENS, QUERY_TERMS = 4_000_000, 24
+SHARD_TOKENS, QUERY_TERMS = 2_000_000, 24
 K1, B = 1.2, 0.75
 #: Fixed value: the pattern by which byte-level BPE splits a text before it merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,19 +66,25 @@ class Index:
     def __init__(self, terms: list[np.ndarray]):
         n = len(terms)
         length = np.array([len(t) for t in terms], dtype=np.int64)
-        doc = np.repeat(np.arange(n), length)
-        flat = np.concatenate(terms) if n else np.empty(0, np.int64)
         width = max(1, n)
-        key, tf = np.unique(flat * width + doc, return_counts=True)
-        self.doc, term = key % width, key // width
-        self.names, first, df = np.unique(term, return_index=True, return_counts=True)
+        # a sorted number for each occurrence, the term above the document; runs of equal ones are postings
+        key = np.concatenate(terms).astype(np.int64) if n else np.empty(0, np.int64)
+        key *= width
+        key += np.repeat(np.arange(n, dtype=np.int32), length)
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        tf = np.diff(at, append=len(key))
+        key = key[at]
+        self.doc, term = (key % width).astype(np.int32), (key // width).astype(np.int32)
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        df = np.diff(first, append=len(term))
         self.first, self.df = first, df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         self.weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.n = n
         by_doc = np.argsort(self.doc, kind="stable")
-        self.slot = np.repeat(np.arange(len(df)), df)[by_doc]
+        self.slot = np.repeat(np.arange(len(df), dtype=np.int32), df)[by_doc]
         self.by_doc = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.own = self.weight[by_doc]
 
@@ -201,7 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids = np.append(enc.encode(text), end)
-                shard.append((doc, ids, np.fromiter(map(words.__getitem__, text.lower().split()), np.int64)))
+                shard.append((doc, ids, np.fromiter(map(words.__getitem__, text.lower().split()), np.int32)))
                 tokens += len(ids)
                 if tokens >= shard_tokens:
                     yield from flush()
