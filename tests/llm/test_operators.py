@@ -719,7 +719,7 @@ def test_blocks_meet_within_the_radius(m):
 def test_blocks_grow_with_the_table():
     assert [simhash.n_blocks(n, 4) for n in (0, 927, 16_384, 16_385, 7_000_000, 10_000_000, 10**9, 10**10, 10**11)] == [4, 4, 4, 5, 5, 6, 6, 7, 7]
     assert simhash.band_shape(200_000) == simhash.band_shape(10) == (64, 13)
-    agree = 1 - simhash.FIRST_DISTANCE / 256
+    agree = 1 - simhash.MEAN_DISTANCE / 256
     for n in (10**7, 10**9):
         bands, bits = simhash.band_shape(n)
         assert n / 2**bits <= simhash.BAND_CLASSES and (1 - agree**bits) ** bands <= (1 - agree**13) ** 64 * 1.000001
