@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import Rounds
+
 DEPENDS = "depends-on"
 
 
@@ -129,58 +131,19 @@ def closure(edges: DataFrame, source: str = "source", target: str = "target") ->
 
     What is known up to depth h is doubled: pairs exactly h apart go on by all that is known, which gives all pairs up to 2h, as a shortest
     path has a node h steps from its start. So the rounds grow with the logarithm of the depth. Circles are no harm. Each round's pairs,
-    no more than the result has, are cut off from their lineage in the checkpoint folder.
+    no more than the result has, are written to the shared folder.
     """
     pairs = edges.select(F.col(source).alias("id"), F.col(target).alias("ancestor")).filter("id IS NOT NULL AND ancestor IS NOT NULL")
-    found = _cut(pairs.distinct().withColumn("depth", F.lit(1)))
-    depth = 1
-    while True:
-        on = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        far = found.filter(F.col("depth") == depth).join(on, "ancestor").groupBy("id", F.col("next").alias("ancestor")).agg((F.min("more") + depth).alias("depth"))
-        new = _cut(far.join(found, ["id", "ancestor"], "left_anti"))
-        if new.isEmpty():
-            return found
-        found, depth = _cut(found.unionByName(new.select(*found.columns))), 2 * depth
-
-
-def cycle_members(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Nodes that no peeling removes: what is left when nodes that nothing leads to, or that lead nowhere, go until there is none.
-
-    Each round peels once and also takes nodes with one way in and one way out from the chains that they are in, no two neighbours at once, so
-    that a chain's length falls by a constant share: the rounds grow with its logarithm. A node so taken stays just if its two neighbours do.
-    """
-    left = _cut(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
-    n, taken, turn = left.count(), [], 0
-    while n:
-        turn += 1
-        kept = left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        kept = _cut(kept.join(kept.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
-        ways = kept.groupBy(F.col("v").alias("x")).agg(F.count("*").alias("ways"), F.first("u").alias("before"))
-        ways = ways.join(kept.groupBy(F.col("u").alias("x")).agg(F.count("*").alias("out"), F.first("v").alias("after")), "x").filter("ways = 1 AND out = 1 AND before <> x")
-        # of neighbours in a chain, the one whose hash of this round is least
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c))
-        inner = ways.select("x")
-        near = lambda c: ways.join(inner.select(F.col("x").alias(c)), c, "left_semi").filter(rank(c) < rank("x")).select("x")
-        chosen = _cut(ways.join(near("before").unionByName(near("after")).distinct(), "x", "left_anti").select("x", "before", "after"))
-        if not chosen.isEmpty():
-            taken.append(chosen)
-            gone = chosen.select("x")
-            rest = kept.join(gone.withColumnRenamed("x", "u"), "u", "left_anti").join(gone.withColumnRenamed("x", "v"), "v", "left_anti").select("u", "v")
-            kept = _cut(rest.unionByName(chosen.select(F.col("before").alias("u"), F.col("after").alias("v"))).distinct())
-        left, before, n = kept, n, kept.count()
-        if n == before and chosen.isEmpty():
-            break
-    stay = left.select(F.col("u").alias("id")).distinct()
-    for chosen in reversed(taken):
-        own = chosen.join(stay.withColumnRenamed("id", "before"), "before", "left_semi").join(stay.withColumnRenamed("id", "after"), "after", "left_semi")
-        stay = _cut(stay.unionByName(own.select(F.col("x").alias("id"))))
-    return stay
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    from ..sources.files import cut
-
-    return cut(df)
+    with Rounds(edges.sparkSession) as rounds:
+        found = rounds.cut(pairs.distinct().withColumn("depth", F.lit(1)))
+        depth = 1
+        while True:
+            on = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+            far = found.filter(F.col("depth") == depth).join(on, "ancestor").groupBy("id", F.col("next").alias("ancestor")).agg((F.min("more") + depth).alias("depth"))
+            new = rounds.cut(far.join(found, ["id", "ancestor"], "left_anti"))
+            if new.isEmpty():
+                return rounds.keep(found)
+            found, depth = found.unionByName(new.select(*found.columns)), 2 * depth
 
 
 def ring(members: DataFrame, group: str, id: str, groups: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import arxiv_base, overlap, round_half_up
-from ..sources.files import cut, spread
+from ..functions.text import arxiv_base, round_half_up
+from ..sources.files import cut
 
 PRESENTATION = ("title", "printed_number", "section", "subsection", "source_file", "start_line")
 TOP = 5
@@ -49,63 +49,105 @@ def reasons(arxiv: Column, t: Column, b: Column, g: Column, same_type: Column) -
     return F.array_compact(said)
 
 
-def title_pairs(asked: DataFrame, known: DataFrame, few: bool) -> DataFrame:
-    """pid, cid of pairs that may have a title overlap of LEAST_TITLE.
+KINDS = (("title", W_TITLE), ("body", W_BODY), ("tag", W_TAGS))
+#: Of a record's words, the most frequent ones whose weights together stay under this share of what a score must get from words aren't joined.
+#: 1 joins the fewest; below, more is known of a pair before it is verified.
+SHARE = 0.6
 
-    Of a title of n words, so many must be shared that one of the n - need + 1 rarest is; only these are joined with the proposals' words, so
-    that words of many titles make no pairs. A proposal with fewer words than the title is joined on all. Where the titles are too many to
-    broadcast, the words are dealt out by SALTS parts of the proposals too, so that a word in a third of them isn't one task's.
+
+def vocabulary(curated: DataFrame) -> DataFrame:
+    """word, w: a number for each word of the curated records."""
+    every = F.flatten(F.array(*(F.col(f"{k}_words") for k, _ in KINDS)))
+    return cut(curated.select(F.explode(every).alias("word")).distinct().withColumn("w", F.monotonically_increasing_id()))
+
+
+def numbered_words(proposals: DataFrame, words: DataFrame, few: bool) -> DataFrame:
+    """pid, is_paper, ptype, parxiv, pn (all its words), ws (the numbers of those that the records have too): texts are read here and nowhere else."""
+    own = proposals.select("pid", "is_paper", "ptype", "parxiv", F.size("words").alias("pn"), F.explode("words").alias("word"))
+    met = own.join(F.broadcast(words) if few else words, "word")
+    return cut(met.groupBy("pid", "is_paper", "ptype", "parxiv", "pn").agg(F.collect_list("w").alias("ws")))
+
+
+def numbered_records(curated: DataFrame, words: DataFrame) -> DataFrame:
+    """The records, with sorted numbers in place of words."""
+    out = curated.select("cid", "ctype", "is_paper", "carxiv")
+    for k, _ in KINDS:
+        own = curated.select("cid", "is_paper", F.explode(f"{k}_words").alias("word")).join(words, "word").groupBy("cid", "is_paper").agg(F.array_sort(F.collect_list("w")).alias(k))
+        out = out.join(own, ["cid", "is_paper"], "left").withColumn(k, F.coalesce(k, F.array().cast("array<bigint>")))
+    return cut(out)
+
+
+def postings(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """cid, is_paper, ctype, number, w, sizes (of the title, body and tags), largest, `title`, `body`, `tag` (whether the word is in it, as 0 or 1), and
+    for a pair without and with the same number: rare_n, whether the word is joined, and rest_n, how many of each kind aren't.
+
+    Words are ordered by how many proposals have them, the rarest first. A record's last words, whose weights don't make up what a score needs
+    from words, can be left out: a pair that shares none of the others scores too little.
     """
-    tokens = known.select("cid", "is_paper", F.size("title_words").alias("tn"), F.explode("title_words").alias("w"))
-    frequent = tokens.groupBy("w").agg(F.count("*").alias("titles"))
-    rank = F.row_number().over(Window.partitionBy("cid", "is_paper").orderBy("titles", "w"))
-    need = F.ceil(F.col("tn") * LEAST_TITLE - 1e-9)
-    tokens = tokens.join(frequent, "w").withColumn("rare", rank <= F.col("tn") - need + 1).drop("titles")
-    words = asked.select("pid", "is_paper", F.size("words").alias("pn"), F.explode("words").alias("w"))
-    on = ["w", "is_paper"]
-    if few:
-        tokens = F.broadcast(tokens)
-    else:
-        tokens, words, on = tokens.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), words.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")), [*on, "part"]
-    return words.join(tokens, on).filter(F.col("rare") | (F.col("pn") < F.col("tn"))).select("pid", "cid").distinct()
-
-
-def number_pairs(asked: DataFrame, known: DataFrame, few: bool) -> DataFrame:
-    """pid, cid of pairs with the same arXiv number whose shared words can make up the rest of the score, counted by joins on number and word."""
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.size(f"{k}_words").alias("n"), F.col(f"{k}_words").alias("words")) for k in ("title", "body", "tag")))
-    own = known.filter("carxiv IS NOT NULL").select("cid", "is_paper", "ctype", arxiv_base(F.col("carxiv")).alias("number"), F.explode(kinds).alias("k"))
-    own = own.select("cid", "is_paper", "ctype", "number", "k.kind", "k.n", F.explode("k.words").alias("w"))
-    words = asked.filter("parxiv IS NOT NULL").select("pid", "is_paper", "ptype", F.col("parxiv").alias("number"), F.size("words").alias("pn"), F.explode("words").alias("w"))
-    shared = words.join(F.broadcast(own) if few else own, ["number", "is_paper", "w"]).groupBy("pid", "cid", "is_paper", "ptype", "ctype", "pn", "kind", "n").agg(F.count("*").alias("both"))
-    weight = F.when(F.col("kind") == "title", W_TITLE).when(F.col("kind") == "body", W_BODY).otherwise(W_TAGS)
-    sums = shared.groupBy("pid", "cid", "is_paper", "ptype", "ctype").agg(F.sum(weight * F.col("both") / F.greatest(F.lit(1), F.least("n", "pn"))).alias("sum"))
-    whole = F.when(F.col("is_paper"), W_ARXIV_PAPER).otherwise(W_ARXIV) + F.col("sum") + F.when(F.coalesce(F.col("ptype") == F.col("ctype"), F.lit(False)), W_TYPE).otherwise(0.0)
-    enough = sums.filter(whole >= LEAST_SCORE - 1e-9).select("pid", "cid")
-    # papers score enough by the number alone
-    papers = asked.filter("is_paper AND parxiv IS NOT NULL").select("pid", F.col("parxiv").alias("number"))
-    alike = papers.join(known.filter("is_paper AND carxiv IS NOT NULL").select("cid", arxiv_base(F.col("carxiv")).alias("number")), "number").select("pid", "cid")
-    return enough.unionByName(alike)
+    frequent = asked.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    sizes = F.struct(*(F.size(k).alias(k) for k, _ in KINDS))
+    every = known.select("cid", "is_paper", "ctype", arxiv_base(F.col("carxiv")).alias("number"), sizes.alias("sizes"), *(k for k, _ in KINDS), F.explode(F.array_union(F.array_union("title", "body"), "tag")).alias("w"))
+    every = every.withColumns({k: F.array_contains(k, F.col("w")).cast("int") for k, _ in KINDS})
+    weight = sum(F.col(k) * (weight / F.greatest(F.lit(1), F.col(f"sizes.{k}"))) for k, weight in KINDS)
+    every = every.join(frequent, "w").withColumn("weight", weight)  # a word of no proposal joins nothing
+    tail = Window.partitionBy("cid", "is_paper").orderBy(F.desc("df"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("cid", "is_paper")
+    every = every.withColumn("upto", F.sum("weight").over(tail)).withColumn("largest", F.greatest(*(F.col(f"sizes.{k}") for k, _ in KINDS)))
+    for n, given in enumerate((0.0, W_ARXIV)):
+        rare = F.col("upto") >= SHARE * (LEAST_SCORE - W_TYPE - given) - 1e-9
+        every = every.withColumn(f"rare_{n}", rare).withColumn(f"rest_{n}", F.struct(*(F.sum(F.when(~F.col(f"rare_{n}"), F.col(k)).otherwise(0)).over(whole).cast("int").alias(k) for k, _ in KINDS)))
+    return cut(every.drop("weight", "upto", "df"))
+
+
+def met_pairs(asked: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """pid, cid of the pairs that may score enough: a weighted prefix filter.
+
+    Rare words of a record are joined with all proposals; its other words only with proposals that have fewer words than the record's
+    largest set, for which words weigh more. What a pair shares of the joined words, and all that the others could add, must make up
+    the score, and the title's overlap where the numbers differ. With the same number fewer words are needed, and the number is joined too.
+    Where there are too many records to broadcast, words are dealt out by SALTS parts of the proposals, so that a word in a third of
+    them isn't one task's.
+    """
+    of = postings(known, asked)
+    largest = of.agg(F.max("largest")).first()[0] or 0
+    words = asked.select("pid", "is_paper", "ptype", F.col("parxiv").alias("number"), "pn", F.explode("ws").alias("w"))
+    pairs = None
+    for n, keys in enumerate((["w", "is_paper"], ["w", "is_paper", "number"])):
+        own = of.filter("number IS NOT NULL") if n else of.withColumnRenamed("number", "cnumber")
+        left, on = words, keys
+        if not few:
+            own, left, on = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), words.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).cast("int")), [*keys, "part"]
+        side = lambda rows: F.broadcast(rows) if few else rows
+        rare = left.join(side(own.filter(f"rare_{n}")), on)
+        others = left.filter(F.col("pn") < largest).join(side(own.filter(f"NOT rare_{n}")), on).filter("pn < largest")
+        met = rare.unionByName(others.select(*rare.columns))
+        equal = F.lit(True) if n else F.coalesce(F.col("number") == F.col("cnumber"), F.lit(False))
+        met = met.groupBy("pid", "cid").agg(*(F.sum(k).alias(k) for k, _ in KINDS), F.first(F.struct("pn", "sizes", "largest", F.col(f"rest_{n}").alias("rest"), "is_paper", equal.alias("equal"), F.coalesce(F.col("ptype") == F.col("ctype"), F.lit(False)).alias("same"))).alias("of"))
+        most = {k: F.least(F.lit(1.0), (F.col(k) + F.when(F.col("of.pn") < F.col("of.largest"), 0).otherwise(F.col(f"of.rest.{k}"))) / F.greatest(F.lit(1), F.least(F.col(f"of.sizes.{k}"), F.col("of.pn")))) for k, _ in KINDS}
+        score = sum(weight * most[k] for k, weight in KINDS) + F.when(F.col("of.same"), W_TYPE).otherwise(0.0) + F.when(F.col("of.equal"), F.when(F.col("of.is_paper"), W_ARXIV_PAPER).otherwise(W_ARXIV)).otherwise(0.0)
+        met = met.filter((score >= LEAST_SCORE - 1e-9) & (F.col("of.equal") | (most["title"] >= LEAST_TITLE - 1e-9))).select("pid", "cid")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
 
 
 def fuzzy_matches(proposals: DataFrame, curated: DataFrame) -> DataFrame:
     """pid, cid, confidence, reasons of every pair that scores enough.
 
     proposals: pid, words, ptype, is_paper, parxiv; curated: cid, title_words, body_words, tag_words, ctype, is_paper, carxiv.
-    A pair counts only with the same arXiv number or a title overlap of LEAST_TITLE. So instead of comparing all with all, pairs are sought by
-    shared words (`title_pairs`) and by the number (`number_pairs`), by 64-bit hashes of words; what may score enough is then
-    scored on the words themselves.
+    A pair counts only with the same arXiv number or a title overlap of LEAST_TITLE. Words become numbers once; pairs that may score enough
+    are sought by them (`met_pairs`) and scored on the numbers, which stand for the words one to one.
     """
-    hashed = lambda df, *names: df.withColumns({n: F.transform(n, lambda w: F.xxhash64(w)) for n in names})
-    asked = cut(hashed(spread(proposals), "words").select("pid", "words", "ptype", "is_paper", "parxiv"))
-    known = cut(hashed(curated, "title_words", "body_words", "tag_words"))
-    few = known.count() <= BROADCAST_RECORDS
-    # title pairs are thinned by their hashed overlap before texts are read again
-    small = known.select("cid", "title_words")
-    by_title = title_pairs(asked, known, few).join(asked.select("pid", "words"), "pid").join(F.broadcast(small) if few else small, "cid")
-    by_title = by_title.filter(overlap(F.col("title_words"), F.col("words")) >= LEAST_TITLE).select("pid", "cid")
-    pairs = cut(by_title.unionByName(number_pairs(asked, known, few)).distinct())
-    full = proposals.join(pairs, "pid").join(F.broadcast(curated.drop("is_paper")) if few else curated.drop("is_paper"), "cid")
-    t, b, g = (overlap(F.col(f"{k}_words"), F.col("words")) for k in ("title", "body", "tag"))
+    few = curated.count() <= BROADCAST_RECORDS
+    words = vocabulary(curated)
+    asked, known = numbered_words(proposals, words, few), numbered_records(curated, words)
+    # papers score enough by the number alone
+    numbers = known.filter("is_paper AND carxiv IS NOT NULL").select("cid", arxiv_base(F.col("carxiv")).alias("parxiv"))
+    alike = proposals.filter("is_paper AND parxiv IS NOT NULL").select("pid", "parxiv").join(F.broadcast(numbers) if few else numbers, "parxiv").select("pid", "cid")
+    pairs = cut(met_pairs(asked, known, few).unionByName(alike).distinct())
+    small = known.drop("is_paper")
+    left = asked.unionByName(proposals.filter("is_paper AND parxiv IS NOT NULL").select("pid", "is_paper", "ptype", "parxiv", F.size("words").alias("pn"), F.array().cast("array<bigint>").alias("ws")).join(asked.select("pid"), "pid", "left_anti"))
+    full = left.join(pairs, "pid").join(F.broadcast(small) if few else small, "cid")
+    t, b, g = (F.size(F.array_intersect(k, "ws")) / F.greatest(F.lit(1), F.least(F.size(k), F.col("pn"))) for k, _ in KINDS)
     full = full.withColumns({"t": t, "b": b, "g": g, "arxiv": F.coalesce(F.col("parxiv") == arxiv_base(F.col("carxiv")), F.lit(False)), "same": F.coalesce(F.col("ptype") == F.col("ctype"), F.lit(False))})
     number = F.when(F.col("arxiv"), F.when(F.col("is_paper"), W_ARXIV_PAPER).otherwise(W_ARXIV)).otherwise(0.0)
     score = number + (F.col("t") * W_TITLE + F.col("b") * W_BODY + F.col("g") * W_TAGS) + F.when(F.col("same"), W_TYPE).otherwise(0.0)

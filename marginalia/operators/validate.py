@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .graph import cycle_members, dangling
+from .circles import components
+from .graph import dangling
 
 #: Rules in the order in which a check reports them.
 ORDER = ("duplicate-id", "unknown-target", "self-relation", "cycle", "empty-projects", "duplicate-project", "unknown-project", "unknown-anchor", "schema", "claim-standing", "unknown-about")
@@ -36,7 +37,7 @@ def network(ids: DataFrame, relations: DataFrame, cycles: bool = True) -> DataFr
     ]
     if cycles:
         depends = relations.filter("type = 'depends-on'")
-        found.append(rule(cycle_members(depends, "id", "target"), "cycle", F.col("id"), F.lit("in a circle of dependencies")))
+        found.append(rule(components(depends, "id", "target"), "cycle", F.col("id"), F.lit("in a circle of dependencies")))
     return reduce(DataFrame.unionByName, found)
 
 

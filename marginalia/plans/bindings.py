@@ -81,6 +81,21 @@ def chains(spark: SparkSession, sf: str) -> DataFrame:
 CHAINS = "chains AS (SELECT DISTINCT 'C' || conv_id || '-' || turn AS source, 'C' || conv_id || '-' || (turn - 1) AS target FROM conversations WHERE turn > 0)"
 
 
+def circles(spark: SparkSession, sf: str) -> DataFrame:
+    """source, target: of three conversations in a row, the chains of the first and the last are closed into circles, and that of the one
+    between leads from one to the other."""
+    ends = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    name = lambda conv, turn: F.concat(F.lit("C"), conv.cast("string"), F.lit("-"), turn.cast("string"))
+    c = F.col("conv_id")
+    closed = ends.filter("conv_id % 3 <> 1 AND last > 0").select(name(c, F.lit(0)).alias("source"), name(c, F.col("last")).alias("target"))
+    joined = ends.filter("conv_id % 3 <> 0").select(name(c - 1, F.lit(0)).alias("source"), name(c, F.col("last")).alias("target"))
+    return chains(spark, sf).unionByName(closed).unionByName(joined)
+
+
+CIRCLES = f"""{CHAINS}, lasts AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+circ AS (SELECT source, target FROM chains UNION SELECT 'C' || conv_id || '-0', 'C' || conv_id || '-' || last FROM lasts WHERE conv_id % 3 <> 1 AND last > 0 UNION SELECT 'C' || (conv_id - 1) || '-0', 'C' || conv_id || '-' || last FROM lasts WHERE conv_id % 3 <> 0)"""
+
+
 def imports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The previous and the current import of documents as proposals: some rows are new, changed, moved, or removed."""
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -102,8 +117,9 @@ diff AS (SELECT coalesce(c.doc_id, p.doc_id) AS source_key, CASE WHEN p.doc_id I
 def matching(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Proposals (documents) and curated records (benchmark) with their words."""
     from ..functions.text import words
+    from ..sources.files import spread
 
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     props = d.select(F.col("doc_id").alias("pid"), words(F.col("text")).alias("words"), F.col("lang").alias("ptype"), F.lit(False).alias("is_paper"), F.substr("source", F.lit(4)).alias("parxiv"))
     b = table(spark, sf, "benchmark").withColumn("w", F.split("text", " "))
     cur = b.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import tex
 from ..functions import text as T
-from ..operators import audit, extract, graph, imports, provenance, search, validate
+from ..operators import audit, circles, extract, graph, imports, provenance, search, validate
 from ..sources.files import cut, spread
 from . import bindings as B
 from . import pages, review
@@ -164,12 +164,15 @@ def q_self_relations(spark, sf):
     return _with_selves(spark, sf).filter("id = target").select("id", "type")
 
 
-@query(f"WITH {B.NODES}, {B.RELATIONS}, {_SELF}, k AS (SELECT * FROM nodes WHERE {B.KEPT} UNION ALL SELECT * FROM nodes WHERE type = 'region') "
+@query(f"WITH RECURSIVE {B.NODES}, {B.RELATIONS}, {_SELF}, k AS (SELECT * FROM nodes WHERE {B.KEPT} UNION ALL SELECT * FROM nodes WHERE type = 'region'), "
+       "ce AS (SELECT 'NATION-' || n_nationkey AS a, 'REGION-' || n_regionkey AS b FROM nation UNION SELECT 'REGION-' || n_regionkey, 'NATION-' || n_nationkey FROM nation WHERE n_nationkey % 7 = 0), cr AS (SELECT a, b FROM ce UNION SELECT cr.a, ce.b FROM cr JOIN ce ON ce.a = cr.b) "
        "SELECT 'duplicate-id' AS rule, id, count(*) || ' records' AS detail FROM k GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown-target', id, type || ' ' || target FROM rel WHERE target NOT IN (SELECT id FROM k) UNION ALL SELECT 'self-relation', id, 'related-to' FROM selves "
-       "UNION ALL SELECT 'unknown-target', id, 'related-to ' || id FROM selves WHERE id NOT IN (SELECT id FROM k)")
+       "UNION ALL SELECT 'unknown-target', id, 'related-to ' || id FROM selves WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT 'cycle', a, 'in a circle of dependencies' FROM cr WHERE a = b")
 def q_violations(spark, sf):
+    """Some regions depend on a nation of theirs, which closes circles that all customers lead to and none is in."""
     k = kept(spark, sf)
-    return validate.network(k.unionByName(B.nodes(spark, sf).filter("type = 'region'")), _with_selves(spark, sf))
+    back = table(spark, sf, "nation").filter("n_nationkey % 7 = 0").select(B.key("REGION", "n_regionkey").alias("id"), B.key("NATION", "n_nationkey").alias("target"), F.lit("depends-on").alias("type"))
+    return validate.network(k.unionByName(B.nodes(spark, sf).filter("type = 'region'")), _with_selves(spark, sf).unionByName(back))
 
 
 @query(f"WITH {B.RELATIONS} SELECT target AS id, id AS source, type FROM rel")
@@ -232,12 +235,20 @@ def q_thread_depth(spark, sf):
     return graph.closure(B.chains(spark, sf)).groupBy("id").agg(F.count("*").alias("ancestors"), F.max("depth").alias("deepest"))
 
 
-@query("SELECT DISTINCT 'C' || conv_id || '-' || turn AS id FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(turn) > 0))")
+_REACH = f"{B.CIRCLES}, r AS (SELECT source AS a, target AS b FROM circ UNION SELECT r.a, c.target FROM r JOIN circ c ON c.source = r.b), scc AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT id, component FROM scc")
 def q_cycle_members(spark, sf):
-    """The first conversation with an answer is closed into a circle."""
-    ends = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).filter("last > 0").orderBy("conv_id").limit(1)
-    name = lambda t: F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    return graph.cycle_members(B.chains(spark, sf).unionByName(ends.select(name(F.lit(0)).alias("source"), name(F.col("last")).alias("target"))))
+    return circles.components(B.circles(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_REACH}, f AS (SELECT source AS id, min(target) AS next, any_value(a.component) AS component FROM circ JOIN scc a ON a.id = source JOIN scc b ON b.id = target WHERE a.component = b.component GROUP BY source), "
+       "w AS (SELECT component, id AS here, 0 AS k FROM f UNION ALL SELECT w.component, f.next, k + 1 FROM w JOIN f ON f.id = w.here WHERE k < 20), e AS (SELECT component, min(here) AS opens FROM w WHERE k = 20 GROUP BY component), "
+       "p AS (SELECT component, opens, opens AS id, 0 AS pos FROM e UNION ALL SELECT p.component, opens, f.next, pos + 1 FROM p JOIN f ON f.id = p.id WHERE f.next <> opens) SELECT component, pos, id FROM p")
+def q_cycle_witnesses(spark, sf):
+    edges = B.circles(spark, sf)
+    return circles.witnesses(edges, circles.components(edges))
 
 
 @query("SELECT DISTINCT id, member FROM (SELECT 'REGION-' || n_regionkey AS id, 'CUST-' || c_custkey AS member FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'REGION-' || n_regionkey, 'SUPP-' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)")

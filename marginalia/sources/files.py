@@ -28,6 +28,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables that an iteration leaves from round to round in the shared folder, as Parquet. Unlike a checkpoint's, their sizes are known to the
+    planner, which else multiplies guesses join by join. Leaving the context deletes them; what `keep` wrote stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self._written(df, f"{self.path}/{self.n}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self._written(df, f"{shared_dir(self.spark)}/kept-{uuid.uuid4().hex}")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deals rows out to all cores where fewer partitions hold any, as with a table of one row group; larger tables stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
