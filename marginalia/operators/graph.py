@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import Rounds
+from .ranks import ranked
 
 DEPENDS = "depends-on"
 
@@ -149,36 +150,25 @@ def closure(edges: DataFrame, source: str = "source", target: str = "target") ->
 def ring(members: DataFrame, group: str, id: str, groups: list[str] | None = None) -> DataFrame:
     """x, y of each member on its group's ring, the groups three in a row; a node with several groups is placed by its first.
 
-    group: a column, or an array column, whose first element counts. groups: their order; by default they are sorted, and their names,
-    which a view lists one by one, come to the driver.
+    group: a column, or an array column, whose first element counts. groups: their order; by default they are sorted. Members without a group, or
+    with one not among the groups, aren't drawn. Places are found by `ranked`, so a ring of any size is numbered by all tasks.
     """
-    from pyspark.sql import Window
-
     if members.schema[group].dataType.typeName() == "array":
         members = members.withColumn(group, F.get(group, F.lit(0)))
     if groups is None:
-        groups = [r[0] for r in members.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
-    w = Window.partitionBy(group)
-    at = members.withColumns({"i": F.row_number().over(w.orderBy(id)) - 1, "n": F.count("*").over(w)})
-    at = at.withColumn("g", F.array_position(F.array(*map(F.lit, groups)), F.col(group)) - 1).filter("g >= 0") if groups else at.withColumn("g", F.lit(0)).limit(0)
+        known = ranked(members.select(F.col(group).alias("_group")).filter("_group IS NOT NULL").distinct(), [], ["_group"], "g", "gs").drop("gs")
+    else:
+        known = members.sparkSession.createDataFrame([(n, g) for g, n in enumerate(dict.fromkeys(groups))], "_group string, g bigint")
+    at = ranked(members.join(known, F.col(group) == F.col("_group")).drop("_group"), [group], [id], "i", "n")
     angle = F.col("i") / F.col("n") * (2 * F.pi()) - F.pi() / 2
     r = F.greatest(F.lit(200.0), F.least(F.lit(250.0), F.col("n") * 13.0))
     return at.withColumns({"x": 260 + F.pmod("g", F.lit(3)) * 550 + F.cos(angle) * r, "y": 300 + F.floor(F.col("g") / 3) * 570 + F.sin(angle) * r * 0.85}).drop("i", "n", "g")
 
 
-#: Nodes that a compact view draws at most; a ring of more can't be read, and would be numbered in one task.
-MOST_DRAWN = 10_000
-
-
-def compact_ring(members: DataFrame, centre: str, id: str = "id", most: int = MOST_DRAWN) -> DataFrame:
-    """x, y of a neighbourhood: the centre in the middle, the others around it in order. More than `most` members are refused, not cut."""
-    from pyspark.sql import Window
-
-    n = members.filter(F.col(id) != centre).count()
-    if n > most:
-        raise ValueError(f"{centre} has {n} neighbours; a compact view draws {most} at most")
-    rest = members.filter(F.col(id) != centre).withColumn("i", F.row_number().over(Window.orderBy(id)) - 1)
-    angle = F.col("i") / F.lit(max(n, 1)) * (2 * F.pi())
+def compact_ring(members: DataFrame, centre: str, id: str = "id") -> DataFrame:
+    """x, y of a neighbourhood: the centre in the middle, the others around it in order, however many they are."""
+    rest = ranked(members.filter(F.col(id) != centre), [], [id], "i", "n")
+    angle = F.col("i") / F.col("n") * (2 * F.pi())
     around = rest.select(*members.columns, (260 + 215 * F.cos(angle)).alias("x"), (210 + 165 * F.sin(angle)).alias("y"))
     return around.unionByName(members.filter(F.col(id) == centre).withColumns({"x": F.lit(260.0), "y": F.lit(210.0)}))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .trigrams import TrigramIndex
 
 
 def haystack(*columns: str | Column) -> Column:
@@ -40,6 +41,12 @@ def index_filter(nodes: DataFrame, query: str = "", standing: str = "", editoria
     return nodes.filter(facets(claimStanding=standing, editorialState=editorial, projects__member=project, publicationStatus=publication) & matches(query, where))
 
 
+def indexed_filter(nodes: DataFrame, index: TrigramIndex, query: str = "", **wanted: str) -> DataFrame:
+    """What the filters above show, with an index over the same haystack in place of the scan; wanted: as for `facets`."""
+    shown = nodes.filter(facets(**wanted))
+    return shown.join(index.search(query), "id", "left_semi") if query.strip() else shown
+
+
 def view_state(address: str, projects: list[str], nodes: DataFrame | None = None) -> dict[str, str]:
     """What an address asks of a view, as far as it is valid: a project that exists, and a node that does. Anything else in it is ignored."""
     asked = {k: v[0] for k, v in parse_qs(urlsplit(address).query).items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
-from ..operators import graph, imports, provenance, search
+from ..operators import graph, imports, provenance, ranks, search
 from .review import suggested_command
 
 
@@ -23,34 +23,48 @@ def graph_data(nodes: DataFrame, base: str = "/") -> tuple[DataFrame, DataFrame]
     return graph.graph_nodes(nodes, base), graph.all_edges(relations, about, nodes.select("id"))
 
 
-def graph_json(nodes: DataFrame, base: str = "/") -> DataFrame:
-    """One JSON document for each node with its outgoing edges, safe inside a script element."""
+def graph_json(nodes: DataFrame, base: str = "/", per_page: int = ranks.PAGE) -> DataFrame:
+    """id, page, json: JSON documents for each node, safe inside a script element. The first holds the record and its first outgoing edges; a hub has
+    further ones with more edges. `next` in a document names the edge that the following one begins with."""
     n, e = graph_data(nodes, base)
-    own = e.groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.struct("edge_id", "target", "type", "kind", "note"))).alias("edges"))
-    return n.join(own, "id", "left").select("id", T.embed_json(F.struct("id", "title", "shortTitle", "type", "claimStanding", "editorialState", "publicationStatus", "summary", "projects", "tags", "href", "edges")).alias("json"))
+    own = ranks.paged(e.withColumnRenamed("source", "id"), ["id"], ["edge_id"], ["edge_id", "target", "type", "kind", "note"], per_page)
+    of = own.select("id", "page", "entries", F.col("next.edge_id").alias("next"))
+    first = n.join(of.filter("page = 0").drop("page"), "id", "left").withColumnRenamed("entries", "edges")
+    record = F.struct("id", "title", "shortTitle", "type", "claimStanding", "editorialState", "publicationStatus", "summary", "projects", "tags", "href", "edges", "next")
+    more = of.filter("page > 0").select("id", "page", T.embed_json(F.struct("id", F.col("entries").alias("edges"), "next")).alias("json"))
+    return first.select("id", F.lit(0).cast("long").alias("page"), T.embed_json(record).alias("json")).unionByName(more)
 
 
-def _grouped(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-    return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+BUCKETS = ("dependencies", "consequences", "examples", "related")
 
 
-def node_pages(nodes: DataFrame, base: str = "/") -> DataFrame:
-    """A row for each node: its record, address, the four buckets, claims about it, what it contains, and its neighbour count.
-
-    The lists of one node are bounded by its degree; a hub's page is as long as the hub is wide.
-    """
+def node_lists(nodes: DataFrame, per_page: int = ranks.PAGE) -> DataFrame:
+    """id, list, page, pages, size, entries (other, label, title), next: what each node's page lists, in pages. Lists: the four buckets, claims about
+    the node, and what it contains."""
     relations, about = edges_of(nodes)
-    titles = nodes.select(F.col("id").alias("other"), F.col("title").alias("other_title"))
-    lists = graph.buckets(relations).join(titles, "other", "left")
-    page = T.node_url(F.lit(base), F.col("id"))
-    out = nodes.drop("sources").withColumn("href", page).withColumn("standing_label", T.lookup(F.col("claimStanding"), {k: v[0] for k, v in S.STANDINGS.items()})).withColumn("type_label", T.type_label(F.col("type")))
-    for bucket in ("dependencies", "consequences", "examples", "related"):
-        out = out.join(_grouped(lists.filter(F.col("bucket") == bucket), bucket, "other", "label", "other_title"), "id", "left")
-    claims = about.join(nodes.filter("type = 'claim'").select("id", "title"), "id").select(F.col("target").alias("id"), F.col("id").alias("claim"), "title")
+    titles = nodes.select(F.col("id").alias("other"), "title")
     sources = nodes.select("id", F.explode("sources").alias("s")).select("id", F.concat_ws("\n", "s.repository", "s.paperDirectory").alias("source_key"), F.col("s.environment").alias("environment")).distinct()
     held = graph.contained(nodes.filter("type = 'paper'").select("id", F.lit(None).cast("string").alias("source_key")).unionByName(sources.filter("environment = 'paper'").select("id", "source_key")), relations, sources.select("id", "source_key"))
+    claims = about.join(nodes.filter("type = 'claim'").select("id"), "id", "left_semi").select(F.col("target").alias("id"), F.col("id").alias("other"))
+    none = F.lit(None).cast("string").alias("label")
+    rows = graph.buckets(relations).select("id", F.col("bucket").alias("list"), "other", "label").unionByName(claims.select("id", F.lit("claims").alias("list"), "other", none)).unionByName(held.select("id", F.lit("contained").alias("list"), F.col("member").alias("other"), none))
+    return ranks.paged(rows.join(titles, "other", "left"), ["id", "list"], ["other", "label"], ["other", "label", "title"], per_page)
+
+
+def node_pages(nodes: DataFrame, base: str = "/", per_page: int = ranks.PAGE) -> DataFrame:
+    """A row for each node: its record, address, neighbour count, and the first page of each list of `node_lists`, with the lists' sizes; the rest of
+    a hub's lists are rows of their own there."""
+    lists = node_lists(nodes, per_page).filter("page = 0").withColumn("e", F.struct("entries", "size"))
+    of = lambda name: F.max(F.when(F.col("list") == name, F.col("e"))).alias(f"_{name}")
+    first = lists.groupBy("id").agg(*(of(name) for name in (*BUCKETS, "claims", "contained")))
+    shape = {"claims": lambda e: F.struct(e["other"].alias("claim"), e["title"].alias("title")), "contained": lambda e: F.struct(e["other"].alias("member"))}
+    usual = lambda e: F.struct(e["other"].alias("other"), e["label"].alias("label"), e["title"].alias("other_title"))
+    shown = [F.transform(f"_{name}.entries", shape.get(name, usual)).alias(name) for name in (*BUCKETS, "claims", "contained")]
+    sizes = F.struct(*(F.coalesce(f"_{name}.size", F.lit(0)).alias(name) for name in (*BUCKETS, "claims", "contained"))).alias("sizes")
+    relations, about = edges_of(nodes)
+    out = nodes.drop("sources").withColumn("href", T.node_url(F.lit(base), F.col("id"))).withColumn("standing_label", T.lookup(F.col("claimStanding"), {k: v[0] for k, v in S.STANDINGS.items()})).withColumn("type_label", T.type_label(F.col("type")))
     edges = graph.all_edges(relations, about, nodes.select("id"))
-    return out.join(_grouped(claims, "claims", "claim", "title"), "id", "left").join(_grouped(held, "contained", "member"), "id", "left").join(graph.neighbour_counts(edges), "id", "left")
+    return out.join(first.select("id", *shown, sizes), "id", "left").join(graph.neighbour_counts(edges), "id", "left")
 
 
 def index_view(nodes: DataFrame, **filters: str) -> tuple[DataFrame, DataFrame]:

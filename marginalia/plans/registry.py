@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import tex
 from ..functions import text as T
-from ..operators import audit, circles, extract, graph, imports, provenance, search, validate
-from ..sources.files import cut, spread
+from ..operators import audit, circles, extract, graph, imports, provenance, ranks, search, trigrams, validate
+from ..sources.files import cut, shared_dir, spread
 from . import bindings as B
 from . import pages, review
 from .bindings import table
@@ -203,6 +205,23 @@ def q_related(spark, sf):
     return graph.buckets(norm(spark, sf)).filter("bucket = 'related'").drop("bucket")
 
 
+@query(_BUCKETS.rstrip() + ", n AS (SELECT *, row_number() OVER (PARTITION BY id, bucket ORDER BY other, label) - 1 AS place, count(*) OVER (PARTITION BY id, bucket) AS size FROM bk) "
+       "SELECT id, bucket, place // 40 AS page, any_value(size) AS size, count(*) AS n, sha256(string_agg(other || ' ' || label, '|' ORDER BY place)) AS entries, "
+       "(SELECT m.other || ' ' || m.label FROM n m WHERE m.id = n.id AND m.bucket = n.bucket AND m.place = (n.place // 40 + 1) * 40) AS next FROM n GROUP BY ALL")
+def q_hub_pages(spark, sf):
+    """Suppliers and regions are hubs: their lists go over many pages, those of most orders over one."""
+    pages_ = ranks.paged(graph.buckets(norm(spark, sf)), ["id", "bucket"], ["other", "label"], ["other", "label"], 40)
+    line = F.transform("entries", lambda e: F.concat_ws(" ", e["other"], e["label"]))
+    return pages_.select("id", "bucket", "page", "size", F.size("entries").alias("n"), F.sha2(F.array_join(line, "|"), 256).alias("entries"), F.when(F.col("next").isNotNull(), F.concat_ws(" ", "next.other", "next.label")).alias("next"))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS size, row_number() OVER (ORDER BY ts, event_id) - 1 AS overall FROM events")
+def q_event_places(spark, sf):
+    """The place of each event among those of its kind, few of which hold nearly all, and among all."""
+    e = ranks.ranked(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"])
+    return ranks.ranked(e, [], ["ts", "event_id"], "overall", "all").select("event_id", "user_id", "place", "size", "overall")
+
+
 _EDGES = f"{B.NODES}, {B.RELATIONS}, edges AS (SELECT id AS source, target, type FROM rel WHERE target IN (SELECT id FROM nodes) UNION ALL SELECT id, target, 'about' FROM about WHERE target IN (SELECT id FROM nodes))"
 
 
@@ -280,6 +299,18 @@ def q_index_filter(spark, sf):
     return search.index_filter(o, "7", editorial="1-URGENT", publication="1996").select("id")
 
 
+_NEEDLES = ("the", "thinti", "and wh", "st, th", "zzqx", " was the ", "e")
+
+
+@query("SELECT q AS needle, doc_id AS id FROM documents, (VALUES " + ", ".join(f"('{q}')" for q in _NEEDLES) + ") v(q) WHERE contains(lower(text), trim(q))")
+def q_trigram_search(spark, sf):
+    """Whole documents are indexed, and searched for parts of words, parts of sentences, a word that all have, and one that none has."""
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("haystack")))
+    index = trigrams.TrigramIndex.build(docs, f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}")
+    found = [index.search(q).select(F.lit(q).alias("needle"), "id") for q in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 _BUCKET_DIM = (("Urgent", ("1-URGENT", "2-HIGH")), ("Usual", ("3-MEDIUM",)), ("Late", ("4-NOT SPECIFIED", "5-LOW")), ("Unheard of", ("9-NONE",)))
 
 

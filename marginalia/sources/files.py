@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read from there."""
+    path = path or f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """Tables that an iteration leaves from round to round in the shared folder, as Parquet. Unlike a checkpoint's, their sizes are known to the
     planner, which else multiplies guesses join by join. Leaving the context deletes them; what `keep` wrote stays."""
@@ -41,16 +48,12 @@ class Rounds:
     def __exit__(self, *_) -> None:
         remove(self.spark, self.path)
 
-    def _written(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        return self._written(df, f"{self.path}/{self.n}")
+        return written(df, f"{self.path}/{self.n}")
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return self._written(df, f"{shared_dir(self.spark)}/kept-{uuid.uuid4().hex}")
+        return written(df)
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def test_views(spark):
     members = spark.createDataFrame([("n1", ["Q", "P"]), ("n2", ["P"]), ("n3", []), ("n4", ["P", "Q"])], "id string, projects array<string>")
     at = {r.id: (round(r.x), round(r.y)) for r in graph.ring(members, "projects", "id", ["P", "Q"]).collect()}
     assert at == {"n2": (260, 130), "n4": (260, 470), "n1": (810, 130)}  # by the first membership, in the order of the groups
-    with pytest.raises(ValueError, match="2 neighbours"):
-        graph.compact_ring(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "a", most=1)
+    around = {r.id: (r.x, round(r.y)) for r in graph.compact_ring(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "a").collect()}
+    assert around == {"a": (260, 210), "b": (475, 210), "c": (45, 210)}
     nodes = spark.createDataFrame([("a b",)], "id string")
     assert search.view_state("https://x/graph/?project=P&node=a%20b&type=z", ["P"], nodes) == {"project": "P", "node": "a b"}
     assert search.view_state("/?project=Q&node=c", ["P"], nodes) == {} and search.view_state("/?node=c", []) == {"node": "c"}
