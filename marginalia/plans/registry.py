@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import tex
 from ..functions import text as T
-from ..operators import audit, circles, extract, graph, imports, provenance, ranks, search, trigrams, validate
+from ..operators import audit, circles, extract, facets, graph, imports, provenance, ranks, search, trigrams, validate
 from ..sources.files import cut, shared_dir, spread
 from . import bindings as B
 from . import pages, review
@@ -321,6 +321,39 @@ def q_facet_counts(spark, sf):
     return search.bucket_counts(o, o.filter(search.facets(claimStanding="F")), "editorialState", _BUCKET_DIM)
 
 
+_CHOSEN = {"claimStanding": ["F", "P"], "editorialState": ["1-URGENT", "2-HIGH"], "publicationStatus": ["1995", "1996", "1997"]}
+_FACET_SQL = {"claimStanding": "standing", "editorialState": "editorial", "publicationStatus": "publication", "segment": "segment"}
+_IN = {f: f"{_FACET_SQL[f]} IN ({', '.join(repr(v) for v in vs)})" for f, vs in _CHOSEN.items()}
+
+
+def _facet_sql(f: str) -> str:
+    others = " AND ".join(c for g, c in _IN.items() if g != f)
+    return f"SELECT '{f}' AS facet, {_FACET_SQL[f]} AS value, count(*) AS total, count(CASE WHEN {others} AND contains(lower(id), '1') THEN 1 END) AS n, {_IN.get(f, 'false')} AS chosen FROM m GROUP BY {_FACET_SQL[f]}"
+
+
+def _faceted(spark, sf):
+    segment = table(spark, sf, "customer").select(B.key("P", "c_custkey").alias("project"), F.col("c_mktsegment").alias("segment"))
+    o = B.orders(spark, sf)
+    rows = o.withColumn("project", F.get("projects", 0)).join(segment, "project", "left").select("id", *_FACET_SQL)
+    return facets.FacetIndex.build(rows, list(_FACET_SQL)), o.filter(F.lower("id").contains("1")).select("id")
+
+
+_FACETED = f"WITH {B.ORDERS}, m AS (SELECT ords.*, c_mktsegment AS segment FROM ords LEFT JOIN customer ON project = 'P-' || c_custkey)"
+
+
+@query(_FACETED + " " + " UNION ALL ".join(_facet_sql(f) for f in _FACET_SQL))
+def q_facet_choices(spark, sf):
+    """Several values chosen in three facets, within a search: what each value of every facet would show."""
+    index, found = _faceted(spark, sf)
+    return index.counts(_CHOSEN, found)
+
+
+@query(_FACETED + f" SELECT id FROM m WHERE {' AND '.join(_IN.values())} AND contains(lower(id), '1')")
+def q_facet_members(spark, sf):
+    index, found = _faceted(spark, sf)
+    return index.ids(_CHOSEN, found)
+
+
 @query(f"WITH {B.ORDERS} SELECT standing, editorial, publication, count(*) AS n FROM ords GROUP BY CUBE (standing, editorial, publication)")
 def q_status_cube(spark, sf):
     o = B.orders(spark, sf).select(F.col("claimStanding").alias("standing"), F.col("editorialState").alias("editorial"), F.col("publicationStatus").alias("publication"))
