@@ -525,13 +525,17 @@ def q_selection_lines(spark, sf):
 
 
 def _fragments(spark, sf):
-    """Labelled documents pin the first 40 characters of the previous import's text, and the next 20 as context."""
-    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").filter("length(text) > 60")
+    """Labelled documents pin the whole of the previous import's text: its first two thirds as the assertion, the rest as context. A selection has
+    a character at least, so a text needs two."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").filter("length(text) > 1")
     none = F.lit(None).cast("string")
-    pin = lambda a, n, *more: F.struct(F.col("source").alias("file"), F.lit(1).alias("startLine"), (F.lit(0) + T.line_count(F.substring("text", a, n))).cast("int").alias("endLine"), F.substring("text", a, n).alias("selectedText"), F.sha2(F.substring("text", a, n), 256).alias("contentHash"), *more)
+    k = F.floor(F.length("text") * 2 / 3).cast("int")
+    d = d.withColumns({"head": F.substr("text", F.lit(1), k), "tail": F.substr("text", k + 1)})
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    pin = lambda c, before, *more: F.struct(F.col("source").alias("file"), (1 + before).cast("int").alias("startLine"), (before + T.line_count(F.col(c))).cast("int").alias("endLine"), F.col(c).alias("selectedText"), F.sha2(c, 256).alias("contentHash"), *more)
     return d.select(
         B.key("FRAG", "doc_id").alias("id"), F.lit("source-fragment").alias("kind"), "doc_id", "toxic", "quality", F.struct(F.lit("o/r").alias("repository"), F.lit("main").alias("branch"), F.lit("c").alias("commit"), F.col("source").alias("file"), F.lit("p").alias("paperDirectory")).alias("source"),
-        F.struct(F.col("doc_id").cast("string").alias("latexLabel"), F.col("lang").alias("environment"), none.alias("printedNumber")).alias("container"), F.array(pin(1, 40)).alias("assertionSelections"), F.array(pin(41, 20, F.lit("scope").alias("role"))).alias("contextSelections"),
+        F.struct(F.col("doc_id").cast("string").alias("latexLabel"), F.col("lang").alias("environment"), none.alias("printedNumber")).alias("container"), F.array(pin("head", F.lit(0))).alias("assertionSelections"), F.array(pin("tail", lines(F.col("head")), F.lit("scope").alias("role"))).alias("contextSelections"),
         F.struct(F.col("doc_id").cast("string").alias("sourceKey"), F.col("lang").alias("title"), none.alias("paperTitle"), none.alias("section"), F.lit("s").alias("statementScope")).alias("context"),
     )
 
@@ -548,10 +552,10 @@ def _objects(spark, sf):
 
 
 _FRESH = r"""
-d AS (SELECT l.doc_id, toxic, quality, source, text, CASE WHEN doc_id % 7 = 0 THEN substr(text, 2) WHEN doc_id % 11 = 0 THEN substr(text, 1, 49) || substr(text, 51) ELSE text END AS now FROM labels l JOIN documents USING (doc_id) WHERE length(text) > 60),
-nl AS (SELECT *, strpos(now, substr(text, 1, 40)) AS a, strpos(now, substr(text, 41, 20)) AS c FROM d),
+d AS (SELECT l.doc_id, toxic, quality, source, text, CASE WHEN doc_id % 7 = 0 THEN substr(text, 2) WHEN doc_id % 11 = 0 THEN substr(text, 1, 49) || substr(text, 51) ELSE text END AS now, length(text) * 2 // 3 AS k FROM labels l JOIN documents USING (doc_id) WHERE length(text) > 1),
+nl AS (SELECT *, strpos(now, substr(text, 1, k)) AS a, strpos(now, substr(text, k + 1)) AS c, len(string_split(substr(text, 1, k), chr(10))) - 1 AS pinned FROM d),
 x AS (SELECT *, CASE WHEN a > 0 THEN len(string_split(substr(now, 1, a - 1), chr(10))) - 1 END AS al, CASE WHEN c > 0 THEN len(string_split(substr(now, 1, c - 1), chr(10))) - 1 END AS cl FROM nl),
-f AS (SELECT doc_id, toxic, quality, doc_id % 10 = 0 AS missing, a = 0 AS asserted, c = 0 AS context, doc_id % 5 = 0 OR coalesce(al, 0) <> 0 OR coalesce(cl, 0) <> 0 AS moved FROM x),
+f AS (SELECT doc_id, toxic, quality, doc_id % 10 = 0 AS missing, a = 0 AS asserted, c = 0 AS context, doc_id % 5 = 0 OR coalesce(al, 0) <> 0 OR coalesce(cl, pinned) <> pinned AS moved FROM x),
 s AS (SELECT *, CASE WHEN missing THEN 'source-missing' WHEN asserted THEN 'assertion-changed' WHEN context THEN 'context-changed' WHEN moved THEN 'locator-changed' ELSE 'current' END AS state, CASE WHEN missing OR moved THEN 'changed' ELSE 'current' END AS ls, CASE WHEN missing OR asserted THEN 'changed' ELSE 'current' END AS ast, CASE WHEN missing OR context THEN 'changed' ELSE 'current' END AS cs FROM f)"""
 
 

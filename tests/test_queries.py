@@ -16,9 +16,8 @@ def test_against_sql(spark, sf, con, name):
     same(registry.QUERIES[name](spark, sf), con, registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_gives_rows(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+def test_all_have_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
