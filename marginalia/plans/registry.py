@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import tex
 from ..functions import text as T
-from ..operators import audit, circles, extract, facets, graph, imports, provenance, ranks, search, trigrams, validate
+from ..operators import audit, circles, extract, facets, graph, imports, provenance, ranks, search, snapshots, trigrams, validate
 from ..sources.files import cut, shared_dir, spread
 from . import bindings as B
 from . import pages, review
@@ -86,6 +86,22 @@ def q_presentation_changed(spark, sf):
     return imports.compare(*B.imports(spark, sf), ["source_key"]).filter("presentation_changed").select("source_key")
 
 
+def _snapshots(spark, sf):
+    folder = f"{shared_dir(spark)}/imports-{uuid.uuid4().hex}"
+    old, new = B.imports(spark, sf)
+    return [snapshots.Snapshot.write(rows, f"{folder}/{name}", ["source_key"]) for name, rows in (("old", old), ("new", new))]
+
+
+@query(f"WITH {B.IMPORTS} SELECT source_key, class, presentation_changed FROM diff WHERE class <> 'unchanged' OR presentation_changed")
+def q_snapshot_changes(spark, sf):
+    return snapshots.changes(*_snapshots(spark, sf), ["source_key"])
+
+
+@query(f"WITH {B.IMPORTS} SELECT class, count(*) AS n FROM diff GROUP BY class")
+def q_snapshot_tally(spark, sf):
+    return snapshots.tally(*_snapshots(spark, sf), ["source_key"])
+
+
 @query(f"WITH {B.IMPORTS}, {B.MATCHING} SELECT 'diff:' || class AS metric, count(*) AS value FROM diff GROUP BY class UNION ALL SELECT 'diff:presentationChanged', count(*) FROM diff WHERE presentation_changed UNION ALL SELECT 'environment:doc', count(*) FROM cur "
        "UNION ALL SELECT 'objects', count(*) FROM cur UNION ALL SELECT 'objectsWithCandidates', count(DISTINCT pid) FROM k WHERE rank <= 5 UNION ALL SELECT 'candidatePairs', count(*) FROM k WHERE rank <= 5")
 def q_import_report(spark, sf):
