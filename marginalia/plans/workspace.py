@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import fcntl
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -21,7 +22,7 @@ from .. import schemas as S
 from ..functions.tex import relevant_macros
 from ..operators import validate
 from ..sources import bundles, curated
-from ..sources.files import atomic_write, children, read_json, read_text
+from ..sources.files import atomic_write, children, read_json, read_text, remove, write_json
 from . import pages, review
 
 META = "paper string, title string, authors array<string>, abstract string, arxiv string, macros map<string,string>, files array<struct<path:string,sha256:string,bytes:bigint>>, commit string, retrieved string"
@@ -62,6 +63,7 @@ class Workspace:
                 fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
             except OSError as error:
                 raise RefusedError("Another process is writing to this workspace.") from error
+            self.recover()
             yield
 
     def records(self) -> DataFrame:
@@ -150,8 +152,8 @@ class Workspace:
         clean = {k: node[k] for k in S.NODE.names}
         self.check(review.replaced(records.select(*S.NODE.names), self.spark.createDataFrame([clean], S.NODE)))
         if write:
-            self.put(file, before, after)
-            bundles.write_decision(self.spark, f"{self.root}/ledger", paper, p["source_key"], {"state": "ACCEPTED", "contentHash": p["content_hash"], "nodeId": plan.node_id, "commit": m["commit"], "reviewedAt": at, "note": review.ACCEPT_NOTE})
+            decision = {"state": "ACCEPTED", "contentHash": p["content_hash"], "nodeId": plan.node_id, "commit": m["commit"], "reviewedAt": at, "note": review.ACCEPT_NOTE}
+            self.put_both(file, before, after, paper, p["source_key"], decision)
         return Change(file, plan.node_id, before, after, write)
 
     def source_of(self, p: dict, m: dict, at: str) -> dict:
@@ -177,10 +179,46 @@ class Workspace:
 
     def put(self, file: str, before: str, after: str) -> None:
         """Writes a record unless someone has changed it since it was read."""
+        self._unchanged(file, before)
+        atomic_write(self.spark, file, after)
+
+    def _unchanged(self, file: str, before: str) -> None:
         now = read_text(self.spark, file)
         if (now or "") != before:
             raise RefusedError("Curated file changed while the change was prepared; retry." if before else f"Refusing to overwrite {file}")
-        atomic_write(self.spark, file, after)
+
+    def put_both(self, file: str, before: str, after: str, paper: str, source_key: str, decision: dict) -> None:
+        """Writes a record and the decision about it, both or, to whoever opens the workspace next, as if both.
+
+        What is to be written is written down first, whole; then come the record and the decision, and the note goes. A process that dies between
+        leaves the note, and `recover` does what is left of it.
+        """
+        self._unchanged(file, before)
+        note = f"{self.root}/pending/{uuid.uuid4().hex}"
+        write_json(self.spark, f"{note}/intent.json", {"file": file, "before": before, "after": after, "paper": paper, "sourceKey": source_key, "decision": decision})
+        self._settle(note)
+
+    def _settle(self, note: str) -> bool:
+        """Does what a note says and removes it; every step may have been done before. A record that someone has changed since it was read, without
+        the accepted source, is left alone, and the decision isn't written."""
+        text = read_text(self.spark, f"{note}/intent.json")
+        if text is None:  # the process died before it had written down anything
+            remove(self.spark, note)
+            return False
+        i = json.loads(text)
+        now = read_text(self.spark, i["file"]) or ""
+        if now == i["before"]:
+            atomic_write(self.spark, i["file"], i["after"])
+            now = i["after"]
+        accepted = now == i["after"] or f'"acceptedAt": "{i["decision"]["reviewedAt"]}"' in now
+        if accepted:
+            bundles.write_decision(self.spark, f"{self.root}/ledger", i["paper"], i["sourceKey"], i["decision"])
+        remove(self.spark, note)
+        return accepted
+
+    def recover(self) -> dict[str, bool]:
+        """Settles what processes that died have left: whether each acceptance was completed (or else dropped), by note."""
+        return {name: self._settle(f"{self.root}/pending/{name}") for name in children(self.spark, f"{self.root}/pending")}
 
     def reject(self, paper: str, key: str, note: str, write: bool = False) -> dict:
         """The decision, also when nothing is written."""

@@ -137,6 +137,45 @@ def test_built_pages(spark, tmp_path):
     assert guarded(str(tmp_path / "dist"), "index.html").endswith("index.html")
 
 
+def test_acceptance_is_both_or_neither(workspace, tmp_path, monkeypatch):
+    """A process that dies before or after the record leaves a note; whoever opens the workspace next does the rest."""
+    from marginalia.plans import workspace as module
+    from marginalia.sources import bundles
+
+    w = workspace
+    w.import_papers(f"file://{tmp_path}/mirror", "c" * 40)
+    record, notes = tmp_path / "content/nodes/a-1.md", tmp_path / "pending"
+    before = record.read_text()
+    decided = lambda: {r.source_key: r.nodeId for r in bundles.read_ledger(w.spark, f"{w.root}/ledger").collect()}
+
+    def dies(*_):
+        raise OSError("the process died")
+
+    for name, owner in (("write_decision", bundles), ("atomic_write", module)):
+        record.write_text(before)
+        ledger = tmp_path / "ledger/2701.00001/review.json"
+        if ledger.exists():
+            ledger.unlink()
+        with monkeypatch.context() as m:
+            m.setattr(owner, name, dies)
+            with pytest.raises(OSError, match="died"):
+                w.accept("2701.00001", "lem:flat", match="A-1", write=True)
+        assert (record.read_text() == before) == (name == "atomic_write") and decided() == {} and len(list(notes.iterdir())) == 1
+        with Workspace(w.spark, w.root).lock():
+            assert decided() == {"label:lem:flat": "A-1"} and '"sourceKey": "label:lem:flat"' in record.read_text() and list(notes.iterdir()) == []
+    # the record was edited by hand before the rest could be done: without the source it is left alone, with it the decision follows
+    for edit, done in ((before + "By hand.\n", False), (None, True)):
+        record.write_text(before)
+        (tmp_path / "ledger/2701.00001/review.json").unlink(missing_ok=True)
+        with monkeypatch.context() as m:
+            m.setattr(bundles, "write_decision", dies)
+            with pytest.raises(OSError, match="died"):
+                w.accept("2701.00001", "lem:flat", match="A-1", write=True)
+        record.write_text(edit or record.read_text() + "By hand.\n")
+        text = record.read_text()
+        assert list(w.recover().values()) == [done] and record.read_text() == text and bool(decided()) == done and w.recover() == {}
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     w = Workspace(spark, f"file://{tmp_path}")
     with w.lock():
