@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas as S
-from ..functions.bundle import MAX_CHARS, expand_inputs, safe_segment
-from .files import atomic_write, children, exists, read_json, read_text, write_json
+from ..functions.bundle import MAX_CHARS, MAX_DEPTH, MAX_FILES, page_of, safe_segment
+from . import fetch
+from .files import children, exists, read_json, read_text, write_json, written
 
 REPORT = "metric string, value long"
 
@@ -116,22 +117,15 @@ def write_decision(spark: SparkSession, root: str, paper: str, source_key: str,
 class Online:
     """A repository of papers behind two requests, the commit of a branch and the folders of a commit, and one for each file.
 
-    transport: address to (status, headers, body); the network is its business, as are time limits. What was read of a commit is kept below
-    `cache`, by commit and path, and never asked for again; `offline`, nothing is asked for at all.
+    transport: address to (status, headers, body), such as fetch.Http; it goes to the executors, which fetch files. What was read of a commit is
+    kept below `cache`, by commit and path, and never asked for again; `offline`, nothing is asked for at all.
     """
 
-    def __init__(self, spark: SparkSession, transport: Callable[[str], tuple[int, dict[str, str], bytes]], cache: str, branch: str = "main", offline: bool = False):
-        self.spark, self.transport, self.cache, self.branch, self.offline = spark, transport, cache.rstrip("/"), branch, offline
+    def __init__(self, spark: SparkSession, transport: fetch.Transport | None, cache: str, branch: str = "main", offline: bool = False, seconds: float = fetch.SECONDS, pause: float = fetch.PAUSE):
+        self.spark, self.transport, self.cache, self.branch, self.offline, self.seconds, self.pause = spark, transport, cache.rstrip("/"), branch, offline, seconds, pause
 
     def request(self, address: str, most: int = MAX_CHARS) -> bytes:
-        """The body of an address. Refused: any status but 2xx, and bodies over the cap, by what the header says or by what comes."""
-        status, headers, body = self.transport(address)
-        if not 200 <= status < 300:
-            raise OSError(f"{address} answered {status}")
-        told = {k.lower(): v for k, v in headers.items()}.get("content-length", "0")
-        if len(body) > most or told.isdigit() and int(told) > most:
-            raise ValueError(f"{address} exceeds {most} bytes")
-        return body
+        return fetch.asked(self.transport, address, most, self.seconds)
 
     def catalog(self) -> tuple[str, list[str]]:
         """The commit that the branch stands for, and the paper folders in it; offline, those that were kept last for the branch."""
@@ -149,40 +143,48 @@ class Online:
             write_json(self.spark, kept, found)
         return found["commit"], found["directories"]
 
-    def file(self, commit: str, path: str) -> str:
-        """The text of a file at a commit: from what is kept, else by a request, after which it is kept."""
-        kept = f"{self.cache}/files/{commit}/{path}"
-        text = read_text(self.spark, kept)
-        if text is None:
-            if self.offline:
-                raise FileNotFoundError(f"{path} at {commit} is not kept for offline use")
-            text = self.request(f"raw/{commit}/{path}").decode("utf-8")
-            atomic_write(self.spark, kept, text)
-        return text
+    def bundles(self, papers: list[str] | None = None, entrypoint: str = "main.tex") -> tuple[DataFrame, DataFrame]:
+        """Of all papers of the catalog, or some, the files that each one's entrypoint leads to (paper, commit, path, text, sha256, bytes), and the
+        files that couldn't be had (paper, path, problem, attempts).
 
-    def bundle(self, paper: str, entrypoint: str = "main.tex") -> DataFrame:
-        """paper, commit, path, text, sha256, bytes of the files that a paper's entrypoint leads to, by path. The paper must be in the catalog."""
+        Files are fetched a level of inputs at a time, of all papers together; the executors fetch, and say what a file names in turn.
+        """
         commit, directories = self.catalog()
-        if paper not in directories:
-            raise ValueError(f"{paper} is not among the papers at {commit}")
-        texts = Reached(lambda path: self.file(commit, f"{safe_segment(paper)}/{path}"))
-        expand_inputs(texts, entrypoint)
-        rows = [(paper, commit, path, text, hashlib.sha256(text.encode()).hexdigest(), len(text.encode())) for path, text in sorted(texts.items())]
-        write_json(self.spark, f"{self.cache}/bundles/{commit}/{paper}.json", {"commit": commit, "paper": paper, "files": [{"path": r[2], "sha256": r[4], "bytes": r[5]} for r in rows]})
-        return self.spark.createDataFrame(rows, "paper string, commit string, path string, text string, sha256 string, bytes long")
-
-
-class Reached(dict):
-    """Files by path, fetched when they are first looked for; what can't be had isn't in it."""
-
-    def __init__(self, fetch: Callable[[str], str]):
-        super().__init__()
-        self.fetch, self.missing = fetch, set()
-
-    def __contains__(self, path: object) -> bool:
-        if not super().__contains__(path) and path not in self.missing:
-            try:
-                self[path] = self.fetch(str(path))
-            except (OSError, ValueError):
-                self.missing.add(path)
-        return super().__contains__(path)
+        for paper in papers or ():
+            if paper not in directories:
+                raise ValueError(f"{paper} is not among the papers at {commit}")
+        plan = fetch.Plan(commit, self.cache, None if self.offline else self.transport, self.seconds, pause=self.pause)
+        wanted, seen, rows = [(safe_segment(p), entrypoint) for p in (directories if papers is None else papers)], set(), None
+        for _ in range(MAX_DEPTH + 2):
+            if not wanted:
+                break
+            seen.update(wanted)
+            level = written(fetch.fetched(self.spark, plan, wanted))
+            rows = level if rows is None else rows.unionByName(level)
+            named = level.filter("text IS NOT NULL AND path LIKE '%.tex'").select("paper", "path", "text").mapInArrow(named_files, "paper string, path string").distinct()
+            count = Counter(p for p, _ in seen)
+            wanted = [(r["paper"], r["path"]) for r in named.sort("paper", "path").collect() if (r["paper"], r["path"]) not in seen]  # names of files, as a listing
+            wanted = [x for x in wanted if count[x[0]] < MAX_FILES]
+        rows = rows if rows is not None else self.spark.createDataFrame([], fetch.SCHEMA)
+        files = rows.filter("text IS NOT NULL").select("paper", F.lit(commit).alias("commit"), "path", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+        return files, rows.filter("problem IS NOT NULL").select("paper", "path", "problem", "attempts")
+
+    def bundle(self, paper: str, entrypoint: str = "main.tex") -> DataFrame:
+        """paper, commit, path, text, sha256, bytes of one paper. A file that the repository doesn't have is left out, for the import to report; any
+        other failure is an error, and no list of an incomplete bundle is kept."""
+        files, failed = self.bundles([paper], entrypoint)
+        bad = failed.filter(F.col("problem") != fetch.MISSING).sort("path").first()
+        if bad:
+            raise fetch.FetchError(f"{paper}/{bad['path']}: {bad['problem']}", again=True)
+        files = files.sort("path")
+        listed = [r.asDict() for r in files.select("path", "sha256", "bytes", "commit").collect()]
+        commit = listed[0]["commit"] if listed else self.catalog()[0]
+        write_json(self.spark, f"{self.cache}/bundles/{commit}/{paper}.json", {"commit": commit, "paper": paper, "files": [{k: r[k] for k in ("path", "sha256", "bytes")} for r in listed]})
+        return files
+
+
+def named_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """paper, path of the files that TeX files name."""
+    for batch in batches:
+        out = [(paper, name) for paper, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for c in page_of(path, text).calls for name in (*filter(None, [c.loads]), *c.cites)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["paper", "path"])

@@ -215,40 +215,6 @@ def test_atomic_write_replaces_in_one_step(spark, tmp_path):
     assert [p.name for p in (tmp_path / "deep").iterdir()] == ["a.json"]
 
 
-def test_online_bundles(spark, tmp_path):
-    """Requests are counted: what a commit holds is asked for once; nothing is asked for offline; caps and refusals."""
-    commit, asked = "a" * 40, []
-    pages = {"commits/main": {"sha": commit}, f"contents/?ref={commit}": [{"type": "dir", "name": "p1"}, {"type": "file", "name": "x"}]}
-    texts = {"main.tex": "\\input{parts/a}\\bibliography{refs}", "parts/a.tex": "A", "refs.bib": "@book{k, title={T}}", "unused.tex": "no"}
-
-    def transport(address):
-        asked.append(address)
-        if address in pages:
-            return 200, {}, json.dumps(pages[address]).encode()
-        name = address.removeprefix(f"raw/{commit}/p1/")
-        return (200, {"Content-Length": "99999999"}, b"x") if name == "big.tex" else (200, {}, texts[name].encode()) if name in texts else (404, {}, b"")
-
-    cache = f"file://{tmp_path}/cache"
-    online = bundles.Online(spark, transport, cache)
-    rows = online.bundle("p1").collect()
-    assert [(r.path, r.text) for r in rows] == [(k, texts[k]) for k in ("main.tex", "parts/a.tex", "refs.bib")] and len(asked) == 5
-    assert all(r.commit == commit and r.bytes == len(r.text) and r.sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
-    online.bundle("p1")
-    assert len(asked) == 7  # the branch and the listing again, no file
-    offline = bundles.Online(spark, None, cache, offline=True)
-    assert offline.bundle("p1").count() == 3
-    with pytest.raises(ValueError, match="not among"):
-        online.bundle("p2")
-    with pytest.raises(FileNotFoundError):
-        bundles.Online(spark, None, f"file://{tmp_path}/none", offline=True).catalog()
-    with pytest.raises(ValueError, match="exceeds"):
-        online.request(f"raw/{commit}/p1/big.tex")
-    with pytest.raises(OSError, match="404"):
-        online.request("nothing")
-    texts["main.tex"] = "\\input{gone}"
-    assert [r.path for r in bundles.Online(spark, transport, f"file://{tmp_path}/other").bundle("p1").collect()] == ["main.tex"]
-
-
 def test_reject_needs_a_note(spark):
     props = spark.createDataFrame([("p", "k", "h")], "paper string, source_key string, content_hash string")
     choice = spark.createDataFrame([("p", "k", " "), ("p", "k", "no"), ("p", "x", "no")], "paper string, source_key string, note string")
