@@ -7,12 +7,18 @@ and not (the "sl" field of the WARC standard's annex on gzip).
 
 Reading: partitions are byte ranges of the files that begin at records. Predicates on warc_type, target_uri, record_id and payload_digest
 are pushed down and decided on a record's headers alone: these are inflated first, and the rest of a record that they drop, or of every
-record under the option `payload=false`, is skipped by its length, neither inflated nor, where it is long, read. Members without a length,
-as other writers make them, are inflated to find their end. The option `verify=true` recomputes the digest of each payload that is read.
+record under the option `payload=false`, is skipped by its length, neither inflated nor, where it is long, read. Members without a length
+are inflated to find their end. The option `verify=true` recomputes the digest of each payload that is read.
+
+Archives that others wrote (files `.warc` and `.warc.gz` below the path, or the path itself) are read too, a file to a partition, as one stream
+of records, whatever their gzip members hold; what isn't wanted of them is inflated, but not kept. A record that isn't HTTP (warcinfo, metadata,
+DNS) has its whole block as payload. payload_length is what the HTTP headers say, else the payload's length. A path without any archive, and a
+file that isn't one, are errors.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -39,6 +45,8 @@ FILE_BYTES, SPLIT_BYTES = 256 << 20, 16 << 20
 PIECE = 4096
 LEAST_REVISIT = 100
 MANIFEST = "_manifest-"
+#: Names of archives, and of those that the writer gives its own, which count only if a manifest lists them.
+FOREIGN, OWN = re.compile(r"\.warc(\.gz)?$", re.I), re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 #: Head of a member: ten fixed bytes, length of the extra field, its name and size, and the two lengths.
 HEAD = struct.Struct("<10sH2sHII")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -148,6 +156,7 @@ class Range(InputPartition):
     file: str
     lo: int
     hi: int
+    own: bool = True  # written here, a member for each record
 
 
 def heads(raw: bytes) -> tuple[dict[str, str], int]:
@@ -157,6 +166,19 @@ def heads(raw: bytes) -> tuple[dict[str, str], int]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
 
 
+def http(head: dict[str, str]) -> bool:
+    return head.get("content-type", "").lower().startswith("application/http")
+
+
+def proves(digest: str, payload: bytes) -> bool:
+    """Whether a digest fits a payload: SHA-256 in hexadecimal, or SHA-1 in base 32, as many archives have it. Others aren't looked at."""
+    if re.fullmatch("[0-9a-f]{64}", digest):
+        return hashlib.sha256(payload).hexdigest() == digest
+    if digest.lower().startswith("sha1:") and len(digest) == 37:
+        return base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest[5:].upper()
+    return True
+
+
 class Source:
     """A range of a file, read in blocks; what is skipped beyond the block at hand isn't read."""
 
@@ -177,6 +199,39 @@ class Source:
         self.at += len(got)
         return got
 
+    def skip(self, n: int) -> None:
+        self.at = min(self.end, self.at + n)
+
+
+class Inflated:
+    """What gzip members one after another hold, as one stream; at most a little more than what is asked for is in memory."""
+
+    def __init__(self, source: Source):
+        self.source, self.z, self.held = source, None, bytearray()
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if self.z is None or self.z.eof:
+                data = (self.z.unused_data if self.z else b"") or self.source.take(1 << 16)
+                if not data.strip(b"\0"):  # padding at the end of a file
+                    break
+                self.z = zlib.decompressobj(31)
+            else:
+                data = self.z.unconsumed_tail or self.source.take(1 << 16)
+                if not data:
+                    raise ValueError("a file ends within a gzip member")
+            self.held += self.z.decompress(data, 1 << 20)
+        return bytes(self.held[:n])
+
+    def take(self, n: int) -> bytes:
+        got = self.peek(n)
+        del self.held[: len(got)]
+        return got
+
+    def skip(self, n: int) -> None:
+        while n and (got := len(self.take(min(n, 1 << 20)))):
+            n -= got
+
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -195,14 +250,25 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """One for each stretch of a file between two marks; the manifests are all that is read."""
-        files = [f for m in manifests(self.path).values() for f in m["files"]]
-        return [Range(name, lo, hi) for name, size, marks in files for lo, hi in zip(marks, [*marks[1:], size], strict=True)] or [Range("", 0, 0)]
+        """One for each stretch between two marks of the files in the manifests, and one for each archive that others wrote; a listing and the
+        manifests are all that is read. A path without any archive is an error."""
+        fs, root = opened(self.path)
+        here = fs.get_file_info(root)
+        if here.type == pafs.FileType.File:
+            return [Range("", 0, here.size, own=False)]
+        known = manifests(self.path)
+        files = [f for m in known.values() for f in m["files"]]
+        parts = [Range(name, lo, hi) for name, size, marks in files for lo, hi in zip(marks, [*marks[1:], size], strict=True)]
+        listed = fs.get_file_info(pafs.FileSelector(root, recursive=True)) if here.type == pafs.FileType.Directory else []
+        theirs = sorted((i.path[len(root) :].lstrip("/"), i.size) for i in listed if i.type == pafs.FileType.File and FOREIGN.search(i.path) and not OWN.fullmatch(i.base_name))
+        if not known and not theirs:
+            raise FileNotFoundError(f"no archive at {self.path}")
+        return parts + [Range(name, 0, size, own=False) for name, size in theirs] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for row in self.records(partition) if partition.file else ():
+        for row in self.records(partition) if partition.hi else ():
             rows.append(row)
             size += len(row[6] or b"")
             if len(rows) >= 2000 or size >= 8 << 20:
@@ -219,11 +285,37 @@ class WarcReader(DataSourceReader):
 
     def records(self, part: Range) -> Iterator[tuple]:
         fs, root = opened(self.path)
-        with fs.open_input_file(f"{root}/{part.file}") as f:
+        with fs.open_input_file(f"{root}/{part.file}" if part.file else root) as f:
             source = Source(f, part.lo, part.hi)
-            while source.at < source.end:
+            if not part.own:
+                yield from self.stream(Inflated(source) if source.peek(2) == b"\x1f\x8b" else source)
+            while part.own and source.at < source.end:
                 yield from self.record(source)
 
+    def stream(self, source: Source | Inflated) -> Iterator[tuple]:
+        """The records of an archive that others wrote, compressed or not, in members of any number of records: headers first, then the block, or
+        past it."""
+        while True:
+            while source.peek(2) == b"\r\n":
+                source.skip(2)
+            n = PIECE
+            while (raw := source.peek(n)) and b"\r\n\r\n" not in raw:
+                if len(raw) < n or n >= 1 << 20:
+                    raise ValueError("not a WARC record")
+                n *= 2
+            if not raw:
+                return
+            head, body = heads(raw)
+            size = int(head["content-length"])
+            source.skip(body)
+            if not self.fits(head):
+                source.skip(size)
+            elif self.payload or self.verify:
+                yield self.row(head, source.take(size), 0)
+            else:
+                yield self.row(head, source.peek(min(size, 1 << 16)), 0)
+                source.skip(size)
+
     def record(self, source: Source) -> Iterator[tuple]:
         """The record that begins here, if it fits; moves to the next one."""
         first = source.peek(HEAD.size)
@@ -242,7 +334,7 @@ class WarcReader(DataSourceReader):
                     if length and not self.fits(head):
                         source.at = begin + length
                         return
-                if length and head and not (self.payload or self.verify) and b"\r\n\r\n" in raw[body:]:
+                if length and head and not (self.payload or self.verify) and (not http(head) or b"\r\n\r\n" in raw[body:]):
                     source.at = begin + length
                     yield self.row(head, bytes(raw), body)
                     return
@@ -259,16 +351,18 @@ class WarcReader(DataSourceReader):
         return {"record_id": head.get("warc-record-id", "").strip("<>"), "warc_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha256:")}
 
     def row(self, head: dict[str, str], raw: bytes, body: int) -> tuple:
-        own = self.meta(head)
-        http_end = raw.index(b"\r\n\r\n", body) + 4
-        length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", raw[body:http_end])
-        payload = None
+        own, size = self.meta(head), int(head["content-length"])
+        # HTTP headers come before the payload; a block of another kind is the payload
+        blank = raw.find(b"\r\n\r\n", body)
+        begin = body if not http(head) else body + size if blank < 0 else blank + 4
+        told = re.search(rb"(?i)\r\ncontent-length: *(\d+)", raw[body:begin]) if http(head) else None
+        length, payload = int(told[1]) if told else max(0, body + size - begin), None
         if own["warc_type"] != "revisit" and (self.payload or self.verify):
-            payload = raw[http_end : body + int(head["content-length"])]
-            if self.verify and hashlib.sha256(payload).hexdigest() != own["payload_digest"]:
+            payload = bytes(raw[begin : body + size])
+            if self.verify and not proves(own["payload_digest"], payload):
                 raise ValueError(f"digest of {own['record_id']} doesn't fit its payload")
         refers = head.get("warc-refers-to")
-        return (own["record_id"], own["warc_type"], own["target_uri"], own["payload_digest"], int(length[1]) if length else None, refers.strip("<>") if refers else None, payload if self.payload else None)
+        return (own["record_id"], own["warc_type"], own["target_uri"], own["payload_digest"], length, refers.strip("<>") if refers else None, payload if self.payload else None)
 
 
 class WarcDataSource(DataSource):

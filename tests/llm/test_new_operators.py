@@ -1,5 +1,7 @@
 """Vector codes, the Merkle manifest and token files against plain versions, with odd rows everywhere."""
 
+import base64
+import gzip
 import hashlib
 import math
 import random
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import connect, same
 
-from marginalia.llm import merkle, token_files, vector_codes
+from marginalia.llm import merkle, token_files, vector_codes, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, leaf string, s long, bucket long, path string"
 ODD = ["", " \t\n", "one", "é ü 日本語 \U0001f642 naïve", "it's  two   spaces\r\n", "<|endoftext|> and <|startoftext|>x", "A B C", "word " * 3000]
@@ -289,3 +291,57 @@ def test_against_sql(spark, module):
     sf = "/root/testdata/sf0.01"
     query = {vector_codes: vector_codes.op11_vector_codes, merkle: merkle.op12_merkle_manifest}[module]
     assert same(query(spark, sf), connect(sf), module.ORACLE_SQL) > 0
+
+
+# archives that others wrote
+
+
+def foreign_records():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    page = b"<html>" + b"x" * 200_000 + b"\r\n\r\n</html>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    rows = [
+        ("warcinfo", "application/warc-fields", None, b"software: other\r\nformat: WARC File Format 1.0\r\n\r\n", None), ("request", "application/http; msgtype=request", "http://a/", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", None), ("response", "application/http; msgtype=response", "http://a/", http + page, sha1),
+        ("metadata", "text/plain", "http://a/", b"", None), ("response", "text/dns", "dns:a", b"20200101\r\na. 1 IN A 1.2.3.4", None), ("response", "application/http", "http://b/", b"broken", None), ("resource", "image/png", "http://c/", bytes(range(256)) * 300, None),
+    ]
+    out, wanted = [], []
+    for k, (kind, mime, uri, block, digest) in enumerate(rows):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{k}>", *([f"WARC-Target-URI: {uri}"] if uri else []), *([f"WARC-Payload-Digest: {digest}"] if digest else []), f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
+        out.append("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+        payload = {1: b"", 2: page, 5: b""}.get(k, block)
+        wanted.append((f"urn:uuid:{k}", kind, uri, len(payload), payload))
+    return out, wanted
+
+
+def test_foreign_archives(spark, tmp_path):
+    records, wanted = foreign_records()
+    forms = {"each": b"".join(map(gzip.compress, records)), "one": gzip.compress(b"".join(records)), "two": gzip.compress(b"".join(records[:3])) + gzip.compress(b"".join(records[3:])) + b"\0" * 512}
+    for name, data in forms.items():
+        (tmp_path / name / "deep").mkdir(parents=True)
+        (tmp_path / name / "deep/x.warc.gz").write_bytes(data)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/x.WARC").write_bytes(b"".join(records))
+    for name in (*forms, "plain", "plain/x.WARC"):
+        path = f"file://{tmp_path}/{name}"
+        got = [(r.record_id, r.warc_type, r.target_uri, r.payload_length, bytes(r.payload)) for r in warc.read(spark, path, verify="true").collect()]
+        assert got == wanted, name
+        assert [(r.record_id, r.payload_length, r.payload) for r in warc.read(spark, path, payload="false").collect()] == [(w[0], w[3], None) for w in wanted]
+        assert [r.record_id for r in warc.read(spark, path).filter("warc_type = 'resource'").collect()] == ["urn:uuid:6"]
+
+
+def test_foreign_beside_own(spark, tmp_path):
+    """Foreign archives are read beside ours; of our own names, only what a manifest lists; no archive is an error."""
+    records, wanted = foreign_records()
+    path = f"file://{tmp_path}/x"
+    pages = spark.createDataFrame([(1, "http://a", "<a>"), (2, None, None)], "page_id long, url string, html string")
+    warc.write(warc.records_of(pages), path)
+    (tmp_path / "x/theirs.warc").write_bytes(b"".join(records))
+    (tmp_path / f"x/part-{'a' * 32}.warc.gz").write_bytes(gzip.compress(records[0]))  # a failed attempt's
+    assert {r.record_id for r in warc.read(spark, path).collect()} == {w[0] for w in wanted} | {"urn:x-page:1", "urn:x-page:2"}
+    for bad in ("none", "empty"):
+        (tmp_path / "empty").mkdir(exist_ok=True)
+        with pytest.raises(Exception, match="no archive at"):
+            warc.read(spark, f"file://{tmp_path}/{bad}").collect()
+    (tmp_path / "empty/x.warc").write_bytes(b"this is no archive")
+    with pytest.raises(Exception, match="not a WARC record"):
+        warc.read(spark, f"file://{tmp_path}/empty").collect()
