@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import connect, same
 
-from marginalia.llm import merkle, token_files, vector_codes, warc
+from marginalia.llm import host_reputation, merkle, token_files, vector_codes, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, leaf string, s long, bucket long, path string"
 ODD = ["", " \t\n", "one", "é ü 日本語 \U0001f642 naïve", "it's  two   spaces\r\n", "<|endoftext|> and <|startoftext|>x", "A B C", "word " * 3000]
@@ -345,3 +345,21 @@ def test_foreign_beside_own(spark, tmp_path):
     (tmp_path / "empty/x.warc").write_bytes(b"this is no archive")
     with pytest.raises(Exception, match="not a WARC record"):
         warc.read(spark, f"file://{tmp_path}/empty").collect()
+
+
+def test_reputation_decides(spark, tmp_path):
+    """Hosts on both sides of the bound, in numbers like a table's, against the SQL: bad ones, good ones, and ones with few labels that follow their domain."""
+    rng, pages, labels = random.Random(6), [], []
+    for host, n, rate, told in (("a.bad.test", 300, 0.6, 0.7), ("b.bad.test", 40, 0.5, 0.3), ("new.bad.test", 20, 0.0, 0.0), ("a.good.test", 400, 0.03, 0.5), ("b.good.test", 60, 0.0, 0.1), ("edge.test", 200, 0.17, 0.9), ("small.other", 3, 1.0, 1.0)):
+        for _ in range(n):
+            i = len(pages)
+            pages.append((i, f"https://{host}/p/{i}", "<p>"))
+            if rng.random() < told:
+                labels.append((i, int(rng.random() >= rate), 0))
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).toPandas().to_parquet(tmp_path / "pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).toPandas().to_parquet(tmp_path / "labels.parquet")
+    judged = host_reputation.op5_host_reputation(spark, str(tmp_path))
+    assert same(judged, connect(str(tmp_path)), host_reputation.ORACLE_SQL) == len(pages)
+    verdicts = {r.host: (r.verdict, r.sure) for r in judged.collect()}
+    assert {h for h, (v, _) in verdicts.items() if v == "block"} >= {"a.bad.test", "b.bad.test"} and {h for h, (v, _) in verdicts.items() if v == "allow"} >= {"a.good.test", "b.good.test", "edge.test"}
+    assert 0.05 < verdicts["edge.test"][1] < 0.95 and verdicts["new.bad.test"][1] > verdicts["b.good.test"][1]
