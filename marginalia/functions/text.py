@@ -135,6 +135,11 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), lambda k, _: k == c)), 0)
 
 
+def short_commit(c: Column) -> Column:
+    """A commit as lists show it."""
+    return F.left(c, F.lit(12))
+
+
 def long_date(c: Column) -> Column:
     return F.date_format(c, "d MMMM yyyy")
 

@@ -92,6 +92,15 @@ def missing_citations(citations: DataFrame, papers: DataFrame) -> DataFrame:
     return papers.select("paper", F.explode("cited_keys").alias("key")).filter("key <> '*'").distinct().join(citations.select("paper", "key"), ["paper", "key"], "left_anti")
 
 
+def section_counters(rows: DataFrame, within: str, order: list[str], opens: Column, at: str) -> DataFrame:
+    """rows with section (how many have been opened so far in their text), section_<at> (where the last one was), and number, which counts what
+    doesn't open a section and begins anew with each. The rows of one text are counted in order, in one task."""
+    so_far = Window.partitionBy(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"section": F.sum(F.when(opens, 1).otherwise(0)).over(so_far), f"section_{at}": F.last(F.when(opens, F.col(at)), ignorenulls=True).over(so_far)})
+    since = Window.partitionBy(within, "section").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("number", F.concat(F.col("section").cast("string"), F.lit("."), F.sum(F.when(opens, 0).otherwise(1)).over(since).cast("string")))
+
+
 def duplicate_citations(citations: DataFrame) -> DataFrame:
     return citations.groupBy("paper", "key").agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -121,6 +121,21 @@ def highlighted(edges: DataFrame, centre: str) -> DataFrame:
     return around.select(F.lit("node").alias("kind"), "id").unionByName(own.select(F.lit("edge").alias("kind"), "id"))
 
 
+def claims_about(about: DataFrame, claims: DataFrame) -> DataFrame:
+    """id, claim and the other columns of claims (id, ...): for each node the claims that say they are about it."""
+    known = claims.withColumnRenamed("id", "claim")
+    return about.select(F.col("id").alias("claim"), F.col("target").alias("id")).join(known, "claim").select("id", *known.columns)
+
+
+def member_titles(members: DataFrame, registry: DataFrame, sign: str = " · ") -> DataFrame:
+    """id, titles: the titles of what each node is a member of, in the order in which it lists them; unknown keys are left out.
+
+    members: id, pos, key, of which a node has a few; registry: key, title.
+    """
+    named = members.join(registry.select("key", "title"), "key")
+    return named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), sign).alias("titles"))
+
+
 def group_tone(first_group: Column, groups: list[str], tones: int = 3) -> Column:
     """The tone of a node by its first group's place among the groups, over and over; -1 without a known group."""
     at = F.array_position(F.array(*map(F.lit, groups)), first_group) - 1 if groups else F.lit(-1)

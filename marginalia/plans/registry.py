@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -297,7 +297,8 @@ def q_contained_objects(spark, sf):
 @query("SELECT 'DOC-' || d.doc_id AS id, 'CLAIM-' || l.doc_id AS claim, toxic FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT 'LANG-' || d.lang, 'CLAIM-' || l.doc_id, toxic FROM labels l JOIN documents d USING (doc_id)")
 def q_about_claims(spark, sf):
     claims = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    return claims.select(F.explode(F.array(B.key("DOC", "doc_id"), F.concat(F.lit("LANG-"), "lang"))).alias("id"), B.key("CLAIM", "doc_id").alias("claim"), "toxic")
+    about_ = claims.select(B.key("CLAIM", "doc_id").alias("id"), F.explode(F.array(B.key("DOC", "doc_id"), F.concat(F.lit("LANG-"), "lang"))).alias("target"))
+    return graph.claims_about(about_, claims.select(B.key("CLAIM", "doc_id").alias("id"), "toxic"))
 
 
 # --- search, facets, views ------------------------------------------------------------------------------------------------------------
@@ -514,11 +515,8 @@ def q_unused_and_missing_citations(spark, sf):
        "SELECT conv_id, turn, role, section, section_turn, section || '.' || sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, section ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS number FROM s")
 def q_section_counters(spark, sf):
     """Users' turns open sections; the others are counted within theirs."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("role") == "user"
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role").distinct().withColumns({"section": F.sum(F.when(opens, 1).otherwise(0)).over(w), "section_turn": F.last(F.when(opens, F.col("turn")), ignorenulls=True).over(w)})
-    within = Window.partitionBy("conv_id", "section").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("number", F.concat(F.col("section").cast("string"), F.lit("."), F.sum(F.when(opens, 0).otherwise(1)).over(within).cast("string")))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role").distinct()
+    return extract.section_counters(c, "conv_id", ["turn", "role"], F.col("role") == "user", "turn")
 
 
 _SPANS = "s AS (SELECT l_orderkey AS k, l_linenumber * 10 + l_partkey % 17 AS first, l_linenumber * 10 + l_partkey % 17 + l_suppkey % 9 AS last FROM lineitem)"
@@ -629,9 +627,8 @@ def q_project_membership(spark, sf):
 
 @query("SELECT 'ORD-' || o_orderkey AS id, (SELECT string_agg(s_name, ' · ' ORDER BY pos) FROM (SELECT s_name, l_linenumber * 1000000 + l_suppkey AS pos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey)) AS titles FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def q_project_titles(spark, sf):
-    member = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("pos"))
-    named = member.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    return named.groupBy(B.key("ORD", "l_orderkey").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s_name"))), lambda x: x["s_name"]), " · ").alias("titles"))
+    member = table(spark, sf, "lineitem").select(B.key("ORD", "l_orderkey").alias("id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_suppkey").alias("key"))
+    return graph.member_titles(member, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title")))
 
 
 @query("SELECT 'P-' || s_suppkey AS id, 'unknown-anchor' AS rule, 'CUST-' || (s_suppkey * 20) AS detail FROM supplier WHERE 'CUST-' || (s_suppkey * 20) NOT IN (SELECT 'CUST-' || c_custkey FROM customer)")
@@ -668,10 +665,10 @@ def q_bibliography_lines(spark, sf):
     return s.select("s_suppkey", T.bibliography_line(T.bib_authors(F.col("author"), F.col("none")), F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, "2020"), F.lit("J")).alias("line"), T.title_or(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")), F.lit("lemma"), F.col("none"), F.col("k"), F.lit("x")).alias("title"))
 
 
-@query("SELECT c_custkey, 'ACCEPTED' AS state, 'C' || c_nationkey AS commit12 FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'REJECTED', 'new' FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT c_custkey, 'ACCEPTED' AS state, left(sha256(CAST(c_nationkey AS VARCHAR)), 12) AS commit12 FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'REJECTED', 'new' FROM customer WHERE c_custkey % 3 = 0")
 def q_network_replace(spark, sf):
     """A third of the ledger is replaced by new decisions."""
-    old = table(spark, sf, "customer").select("c_custkey", F.lit("ACCEPTED").alias("state"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("commit12"))
+    old = table(spark, sf, "customer").select("c_custkey", F.lit("ACCEPTED").alias("state"), T.short_commit(F.sha2(F.col("c_nationkey").cast("string"), 256)).alias("commit12"))
     return review.replaced(old, old.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("REJECTED").alias("state"), F.lit("new").alias("commit12")), "c_custkey")
 
 
