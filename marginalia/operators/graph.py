@@ -86,7 +86,17 @@ def touching(edges: DataFrame, centre: str | None = None) -> DataFrame:
 
 
 def neighbour_counts(edges: DataFrame) -> DataFrame:
-    return touching(edges).groupBy("id").agg(F.countDistinct("other").alias("neighbours"))
+    """id, neighbours; edges: source, target, in which repeats count once."""
+    ends = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+    pairs = edges.select(F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("e")).select("e.*").distinct()
+    return pairs.groupBy("id").agg(F.count("*").alias("neighbours"))
+
+
+def links(relations: DataFrame, depends: DataFrame, about: DataFrame, ids: DataFrame) -> DataFrame:
+    """source, target of everything that leads to a node, as often as it is said: for what only asks which nodes are joined, which normalising
+    the relations first doesn't change."""
+    every = relations.select(F.col("id").alias("source"), "target").unionByName(depends.select(F.col("id").alias("source"), "target")).unionByName(about.select(F.col("id").alias("source"), "target"))
+    return every.join(ids.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
 
 
 def neighbourhood(edges: DataFrame, centre: str) -> DataFrame:

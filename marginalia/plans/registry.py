@@ -252,7 +252,7 @@ def q_local_neighborhood(spark, sf):
 
 @query(f"WITH {_EDGES} SELECT id, count(DISTINCT other) AS neighbours FROM (SELECT source AS id, target AS other FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY id")
 def q_neighbor_counts(spark, sf):
-    return graph.neighbour_counts(_edges(spark, sf))
+    return graph.neighbour_counts(graph.links(B.relations(spark, sf), B.depends(spark, sf), B.about(spark, sf), B.nodes(spark, sf)))
 
 
 @query(f"WITH {_EDGES} SELECT source AS id, target AS other, type, 'out' AS direction FROM edges WHERE source = 'NATION-3' UNION ALL SELECT target, source, type, 'in' FROM edges WHERE target = 'NATION-3'")
