@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -67,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage now: files of shuffles and checkpoints that nothing refers to any more go then, and else only when
+    it happens to. For loops whose rounds each leave some."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run: Callable) -> Callable:
     """A function over Arrow batches that gives free memory back when it is done, as workers go on to serve other tasks."""
 

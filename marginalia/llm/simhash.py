@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for, spread, table, tidy, unused
+from .common import cut, parts_for, release, spread, table, tidy, unused
 from .components import components
 
 SEED, SHINGLE, MAX_DISTANCE = 42, 4, 4
@@ -456,6 +456,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = found if links is None else links.unionAll(found)
         roots = components(links)
         named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("rep", "fp", "least", F.coalesce("root", "rep").alias("root")))
+        del found, roots
+        release(docs.sparkSession)
     named = named.select("rep", F.col("least.doc_id").alias("least"), "root")
     least = named.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
     named = named.join(least, named["root"] == least["_root"]).select(F.col("rep").alias("_rep"), "component_id")
