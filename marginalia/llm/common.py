@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,7 +55,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # a local session's own
+        found = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
