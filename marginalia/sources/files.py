@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # a local session's own
+        found = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

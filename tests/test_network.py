@@ -1,7 +1,6 @@
 """Relations, validation, import states, provenance, review plans and sources on small cases."""
 
 import hashlib
-import json
 import random
 
 import pytest
@@ -251,3 +250,15 @@ def test_matching_by_shuffle(spark, monkeypatch):
         monkeypatch.setattr(imports, "BROADCAST_RECORDS", bound)
         got = {(r.pid, r.cid): r.confidence for r in imports.fuzzy_matches(props, known).collect()}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.0101 for k in want) and len(want) > 50
+
+
+def test_frequent_words_make_no_pairs(spark):
+    """Words of nearly all titles and texts are met last, so that pairs are made of what tells records apart, and few that don't score."""
+    rng = random.Random(8)
+    hot = ["alpha", "beta", "gamma"]
+    props = spark.createDataFrame([(i, [*hot, *{f"p{rng.randrange(3000)}" for _ in range(40)}, *(f"r{i % 50}a r{i % 50}b r{i % 50}c r{i % 50}d".split() if i % 3 else [])], "t", False, None) for i in range(600)], "pid long, words array<string>, ptype string, is_paper boolean, parxiv string")
+    known = spark.createDataFrame([(j, [*hot, *f"r{j}a r{j}b r{j}c r{j}d".split()], [*hot, *f"r{j}a r{j}b r{j}c r{j}d r{j}e".split()], [f"tag{j}"], "t", False, None) for j in range(50)], "cid long, title_words array<string>, body_words array<string>, tag_words array<string>, ctype string, is_paper boolean, carxiv string")
+    words = imports.vocabulary(known)
+    pairs = imports.met_pairs(imports.numbered_words(props, words, True), imports.numbered_records(known, words), True).count()
+    found = imports.fuzzy_matches(props, known).collect()
+    assert {(r.pid, r.cid) for r in found} == {(i, i % 50) for i in range(600) if i % 3} and pairs < 3 * len(found) < 600 * 50 / 10
