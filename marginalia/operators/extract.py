@@ -106,13 +106,17 @@ def duplicate_citations(citations: DataFrame) -> DataFrame:
 
 
 def content_hashes(objects: DataFrame, citations: DataFrame) -> DataFrame:
-    """Objects with content_hash: the fingerprint and the entries that the object cites, in the bibliography's order."""
+    """Objects with content_hash: SHA-256 of the JSON of the fingerprint and of the entries that the object cites (`*`: all), in the bibliography's
+    order, each as its key and fields, in the order in which they stand there."""
     named = objects.select("paper", "source_key", F.explode("citations").alias("key"))
-    entries = citations.select("paper", "key", "pos", F.to_json(F.struct("key", F.array_sort(F.map_entries("fields")).alias("fields"))).alias("entry"))
+    key = F.regexp_replace(F.to_json(F.array("key")), r"\]\z", "")
+    entry = F.concat(key, F.lit(","), F.coalesce(F.to_json("fields"), F.lit("{}")), F.lit("]"))
+    entries = citations.select("paper", "key", "pos", entry.alias("entry"))
     by_key = named.filter("key <> '*'").distinct().join(entries, ["paper", "key"])
     by_all = named.filter("key = '*'").select("paper", "source_key").distinct().join(entries, "paper").select(*by_key.columns)
     cited = by_key.unionByName(by_all).distinct().groupBy("paper", "source_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("_cited"))
-    return objects.join(cited, ["paper", "source_key"], "left").withColumn("content_hash", F.sha2(F.concat_ws("\n", "fingerprint", F.array_join(F.coalesce("_cited", F.array().cast("array<string>")), "\n")), 256)).drop("_cited")
+    whole = F.concat(F.lit('["'), "fingerprint", F.lit('",['), F.array_join(F.coalesce("_cited", F.array().cast("array<string>")), ","), F.lit("]]"))
+    return objects.join(cited, ["paper", "source_key"], "left").withColumn("content_hash", F.sha2(whole, 256)).drop("_cited")
 
 
 def diagnostics(scanned: DataFrame) -> DataFrame:
