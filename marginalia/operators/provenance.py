@@ -129,8 +129,9 @@ def violations(nodes: DataFrame, fragments: DataFrame, attestations: DataFrame)
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, first, last: ranges of lines that overlap or adjoin, made one. The running maximum of ends shows where a gap is."""
-    w = Window.partitionBy(*keys).orderBy("first", "last")
+    """keys, first, last: ranges of lines that overlap or adjoin, made one. The running maximum of ends shows where a gap is. Ranges that lack an end
+    come last."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("first"), F.asc_nulls_last("last"))
     reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0)).over(w)
     return spans.withColumn("_reach", reach).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_island")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from oracle import connect, same
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -262,3 +263,26 @@ def test_frequent_words_make_no_pairs(spark):
     pairs = imports.met_pairs(imports.numbered_words(props, words, True), imports.numbered_records(known, words), True).count()
     found = imports.fuzzy_matches(props, known).collect()
     assert {(r.pid, r.cid) for r in found} == {(i, i % 50) for i in range(600) if i % 3} and pairs < 3 * len(found) < 600 * 50 / 10
+
+
+def test_spans_without_an_end(spark, tmp_path):
+    """Ranges that lack an end come last, as in the SQL; each range but once, so that its order leaves no ties."""
+    rows = [(1, 1, 3, 5), (1, 4, 2, 7), (1, 2, None, 4), (2, 1, None, None), (3, 2, 5, None), (3, 3, 5, 8), (4, 1, 16, 1), (4, 7, 0, 0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").toPandas().astype("Int64").to_parquet(tmp_path / "lineitem.parquet")
+    from marginalia.plans import registry
+
+    assert same(registry.QUERIES["q_span_merge"](spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLES["q_span_merge"]) == 7
+
+
+def test_repeated_spans_are_one(spark):
+    rows = [(1, 45, 49), (1, 74, 79), (1, 74, 79), (1, 74, 79)]
+    merged = provenance.merge_spans(spark.createDataFrame(rows, "k long, first long, last long"), ["k"])
+    assert sorted(map(tuple, merged.collect())) == [(1, 45, 49), (1, 74, 79)]
+
+
+def test_page_numbers_of_any_length(spark, tmp_path):
+    from marginalia.plans import registry
+
+    pages = [(i, f"https://h/{i}") for i in (-20_000, -9_999, 0, 89_998, 89_999, 90_000, 123_456, 10**12)]
+    spark.createDataFrame([*pages, (None, "x")], "page_id long, url string").toPandas().astype({"page_id": "Int64"}).to_parquet(tmp_path / "pages.parquet")
+    assert same(registry.QUERIES["q_urls_and_arxiv"](spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLES["q_urls_and_arxiv"]) == 9
