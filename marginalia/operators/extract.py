@@ -107,11 +107,12 @@ def duplicate_citations(citations: DataFrame) -> DataFrame:
 
 def content_hashes(objects: DataFrame, citations: DataFrame) -> DataFrame:
     """Objects with content_hash: SHA-256 of the JSON of the fingerprint and of the entries that the object cites (`*`: all), in the bibliography's
-    order, each as its key and fields, in the order in which they stand there."""
+    order, each as its key and fields, in the order in which they stand there. Entries are never broadcast: files that look small to the planner hold
+    many of them."""
     named = objects.select("paper", "source_key", F.explode("citations").alias("key"))
     key = F.regexp_replace(F.to_json(F.array("key")), r"\]\z", "")
     entry = F.concat(key, F.lit(","), F.coalesce(F.to_json("fields"), F.lit("{}")), F.lit("]"))
-    entries = citations.select("paper", "key", "pos", entry.alias("entry"))
+    entries = citations.select("paper", "key", "pos", entry.alias("entry")).hint("merge")
     by_key = named.filter("key <> '*'").distinct().join(entries, ["paper", "key"])
     by_all = named.filter("key = '*'").select("paper", "source_key").distinct().join(entries, "paper").select(*by_key.columns)
     cited = by_key.unionByName(by_all).distinct().groupBy("paper", "source_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("_cited"))

@@ -286,3 +286,11 @@ def test_page_numbers_of_any_length(spark, tmp_path):
     pages = [(i, f"https://h/{i}") for i in (-20_000, -9_999, 0, 89_998, 89_999, 90_000, 123_456, 10**12)]
     spark.createDataFrame([*pages, (None, "x")], "page_id long, url string").toPandas().astype({"page_id": "Int64"}).to_parquet(tmp_path / "pages.parquet")
     assert same(registry.QUERIES["q_urls_and_arxiv"](spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLES["q_urls_and_arxiv"]) == 9
+
+
+def test_entries_of_a_bibliography_are_not_broadcast(spark):
+    objects = spark.createDataFrame([("p", "a", "f", ["K"]), ("p", "b", "g", ["*"])], "paper string, source_key string, fingerprint string, citations array<string>")
+    entries = spark.createDataFrame([("p", "K", 0, {"t": "x"})], "paper string, key string, pos int, fields map<string,string>")
+    hashed = extract.content_hashes(objects, entries)
+    assert "BroadcastHashJoin" not in hashed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source_key, r.content_hash) for r in hashed.collect()) == [(k, hashlib.sha256(f'["{f}",[["K",{{"t":"x"}}]]]'.encode()).hexdigest()) for k, f in (("a", "f"), ("b", "g"))]
