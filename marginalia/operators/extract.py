@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bundle as B
+from ..sources.files import shared_dir
 
 _SPANS = "array<struct<file:string,startLine:int,endLine:int>>"
 #: Schemas of the rows that the pass gives, by tag.
@@ -23,19 +28,36 @@ TAGS = {
 }
 
 
-def scan_papers(files: DataFrame, entrypoint: str = "main.tex", root: str = "papers") -> DataFrame:
-    """paper, tag, pos, payload (JSON) of every paper in files (paper, path, text). The only step in Python: one group for each paper.
+def scan_papers(files: DataFrame, entrypoint: str = "main.tex", root: str = "papers", tags: Iterable[str] = tuple(TAGS)) -> DataFrame:
+    """paper, tag, pos, payload (JSON) of every paper in files (paper, path, text), and of the tags alone that are asked for. The only step in
+    Python: papers are sorted together and pass by one after the other, so a task holds a batch of files and one paper.
 
     A paper's files are bounded by the limits of a bundle; files without a paper or path don't count, a null text is empty.
     """
+    wanted = tuple(tags)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = {p: t or "" for p, t in sorted(zip(pdf["path"], pdf["text"], strict=True))}
-        rows = B.scan_bundle(texts, entrypoint, key[0], root)
-        return pd.DataFrame([(key[0], tag, i, json.dumps(r, ensure_ascii=False)) for tag, rs in rows.items() for i, r in enumerate(rs)], columns=["paper", "tag", "pos", "payload"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for paper, group in groupby(every, key=itemgetter(0)):
+            texts = {path: text or "" for path, text in sorted((r[1], r[2] or "") for r in group)}
+            found = B.scan_bundle(texts, entrypoint, paper, root)
+            yield from ((paper, tag, i, json.dumps(r, ensure_ascii=False)) for tag in wanted for i, r in enumerate(found[tag]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = rows(batches)
+        while some := list(islice(out, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["paper", "tag", "pos", "payload"])
 
     named = files.filter("paper IS NOT NULL AND path IS NOT NULL").select("paper", "path", "text")
-    return named.groupBy("paper").applyInPandas(one, "paper string, tag string, pos int, payload string")
+    return named.repartition("paper").sortWithinPartitions("paper", "path").mapInArrow(scan, "paper string, tag string, pos int, payload string")
+
+
+def kept(scanned: DataFrame) -> DataFrame:
+    """What the pass gave, written once, in folders by tag, of which each reader reads its own."""
+    path = f"{shared_dir(scanned.sparkSession)}/papers-{uuid.uuid4().hex}"
+    scanned.write.partitionBy("tag").parquet(path)
+    # JSON takes many times its file's size in memory, so the planner must not broadcast by that
+    return scanned.sparkSession.read.schema("paper string, pos int, payload string, tag string").parquet(path).hint("merge")
 
 
 def rows_of(scanned: DataFrame, tag: str) -> DataFrame:

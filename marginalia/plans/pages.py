@@ -144,7 +144,7 @@ def import_papers(files: DataFrame, curated: DataFrame, ledger: DataFrame, previ
     from ..operators import extract
     from ..sources.files import cut
 
-    scanned = cut(extract.scan_papers(files, entrypoint))
+    scanned = extract.kept(extract.scan_papers(files, entrypoint))
     props = cut(extract.proposals(scanned))
     told = extract.diagnostics(scanned)
     papers = extract.rows_of(scanned, "paper")

@@ -294,3 +294,11 @@ def test_entries_of_a_bibliography_are_not_broadcast(spark):
     hashed = extract.content_hashes(objects, entries)
     assert "BroadcastHashJoin" not in hashed._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.source_key, r.content_hash) for r in hashed.collect()) == [(k, hashlib.sha256(f'["{f}",[["K",{{"t":"x"}}]]]'.encode()).hexdigest()) for k, f in (("a", "f"), ("b", "g"))]
+
+
+def test_scan_gives_the_tags_asked_for(spark):
+    files_ = fixtures.bundles(spark)
+    every, some = extract.scan_papers(files_), extract.kept(extract.scan_papers(files_, tags=("label", "object")))
+    assert {r.tag for r in some.collect()} == {"label", "object"}
+    wanted = every.filter("tag IN ('label', 'object')").select(*some.columns)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, wanted.collect()))
