@@ -302,3 +302,31 @@ def test_scan_gives_the_tags_asked_for(spark):
     assert {r.tag for r in some.collect()} == {"label", "object"}
     wanted = every.filter("tag IN ('label', 'object')").select(*some.columns)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def _below(plan: str, upper: str, lower: str) -> bool:
+    """Whether some line with `lower` stands below one with `upper`."""
+    lines = plan.splitlines()
+    at = [i for i, line in enumerate(lines) if upper in line]
+    return bool(at) and any(lower in line for line in lines[at[0] + 1 :])
+
+
+def test_relations_are_shuffled_before_they_are_combined(spark):
+    rows = [("a", "b", "uses", "second", 3), ("a", "b", "uses", "first", 1), ("a", "gone", "uses", None, 0), ("c", "a", "uses", None, 0)]
+    relations, depends = spark.createDataFrame(rows, "id string, target string, type string, note string, pos int"), spark.createDataFrame([("a", "b", 0)], "id string, target string, pos int")
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
+    normal = graph.normalized_relations(relations, depends)
+    assert not _below(normal._jdf.queryExecution().executedPlan().toString(), "Exchange", "HashAggregate")
+    about = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "gone")], "id string, target string")
+    early, late = graph.edges_of_all(graph.every_relation(relations, depends), about, ids), graph.all_edges(normal, about, ids)
+    wanted = sorted(map(tuple, late.fillna("-").collect()))
+    assert sorted(map(tuple, early.fillna("-").collect())) == wanted and len(wanted) == 5
+    assert ("a:uses:b", "a", "b", "uses", "semantic", "first") in wanted
+
+
+def test_edges_at_one_node_are_chosen_before_they_are_combined(spark):
+    relations = spark.createDataFrame([("a", "b", "uses", "n", 0), ("c", "d", "uses", "n", 0), ("b", "a", "uses", "n", 0)], "id string, target string, type string, note string, pos int")
+    edges = graph.normalized_relations(relations, spark.createDataFrame([], "id string, target string, pos int")).withColumnRenamed("id", "source").select("source", "target", "type")
+    at = graph.touching(edges, "a")
+    assert sorted(map(tuple, at.collect())) == [("a", "b", "uses", "in"), ("a", "b", "uses", "out")]
+    assert _below(at._jdf.queryExecution().optimizedPlan().toString(), "Aggregate", "= a)")
