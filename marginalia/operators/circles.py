@@ -106,9 +106,11 @@ def components(edges: DataFrame, source: str = "source", target: str = "target")
 
     A node with an edge to itself is in a circle. Repeated edges and edges with a null end change nothing; an acyclic graph gives no rows.
     """
-    left = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct()
-    found, taken = left.limit(0).select(F.col("u").alias("id"), F.col("v").alias("component")), []
+    rows = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    found, taken = rows.limit(0).select(F.col("u").alias("id"), F.col("v").alias("component")), []
     with Rounds(edges.sparkSession) as rounds:
+        # most of a graph is in no circle, and goes before repeats are looked for
+        left = _trimmed(rounds.cut(rows)).repartition("u", "v").distinct()
         while True:
             left, more = reduced(left, rounds)
             taken += more

@@ -24,20 +24,28 @@ def rule(df: DataFrame, name: str, id: Column, detail: Column) -> DataFrame:
 
 
 def duplicate_ids(ids: DataFrame) -> DataFrame:
-    n = ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    # few repeat, so they are shuffled as they are
+    n = ids.select("id").repartition("id").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     return rule(n, "duplicate-id", F.col("id"), F.concat(F.col("n").cast("string"), F.lit(" records")))
 
 
-def network(ids: DataFrame, relations: DataFrame, cycles: bool = True) -> DataFrame:
-    """Duplicate ids, unknown targets, self relations and dependency cycles. relations: normalised."""
-    unknown = dangling(relations, ids)
+def network(ids: DataFrame, relations: DataFrame, cycles: bool = True, every: DataFrame | None = None) -> DataFrame:
+    """Duplicate ids, unknown targets, self relations and dependency cycles. relations: normalised; every: further ones that aren't yet, as of
+    graph.every_relation. What a rule finds among these is normalised, and not all of them."""
+
+    def found_by(rule_of) -> DataFrame:
+        own = rule_of(relations).select("id", "target", "type")
+        return own if every is None else own.unionByName(rule_of(every).select("id", "target", "type").repartition("id", "target", "type").distinct())
+
+    unknown = found_by(lambda r: dangling(r, ids))
     found = [
         duplicate_ids(ids), rule(unknown, "unknown-target", F.col("id"), F.concat_ws(" ", "type", "target")),
-        rule(relations.filter("id = target"), "self-relation", F.col("id"), F.col("type")),
+        rule(found_by(lambda r: r.filter("id = target")), "self-relation", F.col("id"), F.col("type")),
     ]
     if cycles:
-        depends = relations.filter("type = 'depends-on'")
-        found.append(rule(components(depends, "id", "target"), "cycle", F.col("id"), F.lit("in a circle of dependencies")))
+        depends = lambda r: r.filter("type = 'depends-on'").select("id", "target")
+        own = depends(relations) if every is None else depends(relations).unionByName(depends(every))
+        found.append(rule(components(own, "id", "target"), "cycle", F.col("id"), F.lit("in a circle of dependencies")))
     return reduce(DataFrame.unionByName, found)
 
 

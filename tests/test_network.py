@@ -330,3 +330,21 @@ def test_edges_at_one_node_are_chosen_before_they_are_combined(spark):
     at = graph.touching(edges, "a")
     assert sorted(map(tuple, at.collect())) == [("a", "b", "uses", "in"), ("a", "b", "uses", "out")]
     assert _below(at._jdf.queryExecution().optimizedPlan().toString(), "Aggregate", "= a)")
+
+
+def test_rules_over_relations_not_normalised(spark):
+    """The same rows as of normalised ones, with no exchange of all relations to normalise them."""
+    rel = [("A-1", "X-1", "uses", None, 0), ("A-1", "X-1", "uses", "again", 1), ("A-1", "A-1", "uses", None, 2), ("A-1", "A-1", "uses", None, 3), ("B-1", None, "uses", None, 0), ("B-1", "C-1", "depends-on", None, 1)]
+    dep = [("B-1", "C-1", 0), ("C-1", "B-1", 0), ("D-1", "B-1", 0), ("E-1", "E-1", 0)]
+    r, d = spark.createDataFrame(rel, "id string, target string, type string, note string, pos int"), spark.createDataFrame(dep, "id string, target string, pos int")
+    ids = spark.createDataFrame([(i,) for i in ("A-1", "B-1", "C-1", "D-1", "E-1", "E-1")], "id string")
+    own = spark.createDataFrame([("D-1", "D-1", "related-to")] * 2, "id string, target string, type string")
+    got = validate.network(ids, own, every=graph.every_relation(r, d))
+    want = validate.network(ids, own.unionByName(graph.normalized_relations(r, d).select("id", "target", "type")))
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert sum(x.rule == "self-relation" and x.id == "D-1" for x in got.collect()) == 2 and {x.id for x in got.filter("rule = 'cycle'").collect()} == {"B-1", "C-1", "E-1"}
+    unknown = validate.network(ids, own, cycles=False, every=graph.every_relation(r, d)).filter("rule = 'unknown-target'")
+    plan = unknown._jdf.queryExecution().optimizedPlan().toString()
+    # put together above the joins only
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.rindex("LeftAnti") :]
