@@ -47,3 +47,27 @@ def test_paged(spark):
         assert page.entries[0].other == got["hub", page.page - 1].next.other
     assert seen == [(f"{i:03}", i) for i in range(95)]
     assert got["exact", 0].next is None and [e.w for e in got["exact", 0].entries] == [1, 2] and got[None, 0].entries[0].other == "n"
+
+
+def test_short_and_long_lists(spark):
+    """Lists that one task orders and lists that many rank give the same pages; repeats count once where that is asked for."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["hub", "hub", "b", "c", None]), rng.choice([None, *"pqrstuvw"]), rng.choice([None, 1, 2, 3])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "id string, other string, w int").repartition(5)
+    shape = lambda p: sorted(((r.id, r.page, r.pages, r.size, [tuple(e) for e in r.entries], tuple(r.next) if r.next else None) for r in p.collect()), key=str)
+    for once in (False, True):
+        want = []
+        for g in {r[0] for r in rows}:
+            mine = sorted((set(rows) if once else rows), key=lambda r: [(v is not None, v if v is not None else 0) for v in r[1:]])
+            mine = [r[1:] for r in mine if r[0] == g]
+            want += [(g, i // 3, -(-len(mine) // 3), len(mine), mine[i : i + 3], mine[i + 3] if i + 3 < len(mine) else None) for i in range(0, len(mine), 3)]
+        for long in (1, 60, 10**9):
+            assert shape(ranks.paged(df, ["id"], ["other", "w"], ["other", "w"], 3, once=once, long=long)) == sorted(want, key=str), (once, long)
+    assert ranks.paged(df.limit(0), ["id"], ["other"], ["other", "w"], 3).collect() == []
+
+
+def test_short_lists_are_shuffled_once(spark):
+    df = spark.range(1000).select((F.col("id") % 50).cast("string").alias("id"), F.col("id").cast("string").alias("other"))
+    pages = ranks.paged(df, ["id"], ["other"], ["other"], 4, once=True)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
