@@ -8,6 +8,10 @@ the row groups that can hold them), intersects them block by block, and looks in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +21,46 @@ from .ranks import ranked
 RAREST = 4
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text: a pattern that takes no room is found at every place, and looks at the three characters from there."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+#: Trigrams that a task holds before it gives out postings.
+HELD = 1 << 21
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The distinct trigrams of a text in UTF-8, as numbers of three times 21 bits, ascending."""
+    c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return c[:0]
+    keys = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]]
+
+
+def _postings(held: list[np.ndarray], ns: list[int], block: int) -> pa.RecordBatch:
+    """gram, block, ns: a row for each trigram and block of what is held."""
+    keys, n = np.concatenate(held), np.repeat(np.array(ns, np.int64), [len(h) for h in held])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (n[1:] // block != n[:-1] // block)])
+    shown = np.stack([keys[new] >> 42, keys[new] >> 21 & 0x1FFFFF, keys[new] & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(keys)], pa.int32()), pa.array(n))
+    return pa.RecordBatch.from_arrays([pa.array([shown[i : i + 3] for i in range(0, len(shown), 3)], pa.string()), pa.array(n[new] // block), lists], ["gram", "block", "ns"])
+
+
+def posted(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (n, text as bytes), of which a task gives out several for a trigram and block if it can't hold them."""
+    held, ns, size = [], [], 0
+    for batch in batches:
+        for n, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = grams(text.as_py())
+            if len(found):
+                held.append(found)
+                ns.append(n)
+                size += len(found)
+            if size >= HELD:
+                yield _postings(held, ns, block)
+                held, ns, size = [], [], 0
+    if held:
+        yield _postings(held, ns, block)
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
@@ -59,8 +100,8 @@ class TrigramIndex:
         shape = spark.range(1).select(F.lit(None).cast(at.schema["id"].dataType).alias("id"), F.lit(buckets).alias("buckets"), F.lit(part).alias("part"))
         shape.write.parquet(f"{path}/shape")
         texts.repartitionByRange("n").sortWithinPartitions("n").write.partitionBy("part").parquet(f"{path}/texts")
-        found = cls(spark, path).texts.select("n", F.explode(grams(F.col("text"))).alias("gram"))
-        held = found.groupBy("gram", F.floor(F.col("n") / block).alias("block")).agg(F.sort_array(F.collect_list("n")).alias("ns"))
+        found = cls(spark, path).texts.select("n", F.col("text").cast("binary").alias("text")).mapInArrow(lambda batches: posted(batches, block), "gram string, block bigint, ns array<bigint>")
+        held = found.groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("ns"))).alias("ns"))
         order = ["bucket", "gram", "block"]
         held = held.withColumn("bucket", bucket_of(F.col("gram"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
         held.write.partitionBy("bucket").parquet(f"{path}/postings")

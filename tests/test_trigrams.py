@@ -45,3 +45,16 @@ def test_reads_in_proportion(spark, tmp_path):
     assert read(index.texts.filter("part = 7").select("text"), "numFiles") < read(index.texts.select("text"), "numFiles") // 4
     assert [r.id for r in index.search("A QUUX").collect()] == [777]
     assert index.search("alpha b").count() == df.filter(F.col("haystack").contains("alpha b")).count()
+
+
+def test_postings_of_a_task():
+    """Trigrams of a task are put together before they leave it, block by block, as a plain loop finds them."""
+    from marginalia.operators import trigrams
+
+    texts = ["abcabc", "", "ab", "xabc\U0001f642日本", "b\x00\x00\x00c", "\U0010ffff" * 4, "abc"]
+    batch = lambda lo, hi: trigrams.pa.RecordBatch.from_arrays([trigrams.pa.array(range(lo, hi), trigrams.pa.int64()), trigrams.pa.array([t.encode() for t in texts[lo:hi]], trigrams.pa.binary())], ["n", "text"])
+    out = [r for b in trigrams.posted(iter([batch(0, 3), batch(3, 7)]), 4) for r in b.to_pylist()]
+    want = {(t[i : i + 3], n // 4): [] for n, t in enumerate(texts) for i in range(len(t) - 2)}
+    for g, k in want:
+        want[g, k] = [n for n, t in enumerate(texts) if g in t and n // 4 == k]
+    assert {(r["gram"], r["block"]): r["ns"] for r in out} == want and len(out) == len(want)
