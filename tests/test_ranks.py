@@ -71,3 +71,33 @@ def test_short_lists_are_shuffled_once(spark):
     pages = ranks.paged(df, ["id"], ["other"], ["other"], 4, once=True)
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+
+
+def test_what_rows_give_is_not_shuffled(spark, sf, monkeypatch):
+    """Columns that the rows' own give are made after the shuffle, short lists and long ones alike; and the more rows, the more tasks order them."""
+    df = spark.range(900).select((F.col("id") % 7 * (F.col("id") % 3)).alias("key"), (F.col("id") * 7 % 60).alias("other_key")).repartition(5)
+    shown = {"id": F.concat(F.lit("N-"), "key"), "other": F.concat(F.lit("O-"), "other_key")}
+    shape = lambda p: sorted((r.id, r.page, r.size, [e.other for e in r.entries], r.next) for r in p.collect())
+    want = shape(ranks.paged(df.withColumns(shown), ["id"], ["other"], ["other"], 4, once=True))
+    for long in (1, 40, 10**9):
+        assert shape(ranks.paged(df, ["id"], ["other"], ["other"], 4, once=True, long=long, shown=shown, near=["key"])) == want
+    monkeypatch.setattr(ranks, "TASK_ROWS", 20)
+    pages = ranks.paged(df, ["id"], ["other"], ["other"], 4, once=True, long=2000, shown=shown, near=["key"])
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1 and "hashpartitioning(key" in plan and pages.rdd.getNumPartitions() >= 30 and shape(pages) == want
+
+
+def test_hub_pages_shuffle_numbers(spark, sf):
+    from marginalia.plans import registry
+
+    plan = registry.QUERIES["q_hub_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(moved) == 1 and "hashpartitioning(key" in moved[0]
+
+
+def test_ends_are_the_buckets(spark, sf):
+    from marginalia.operators import graph
+    from marginalia.plans import bindings as B
+
+    rows = lambda df: sorted(map(tuple, df.select("id", "bucket", "other", "label").collect()))
+    assert rows(B.ends(spark, sf).withColumns(B.listed())) == rows(graph.buckets(graph.every_relation(B.relations(spark, sf), B.depends(spark, sf))))
