@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spread, table, tidy
+from .common import give_back, spread, table, tidy
 
 SEQ_LEN, END_ID = 2048, 1
 SHARD_TOKENS, QUERY_TERMS = 2_000_000, 24
@@ -41,51 +41,80 @@ def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
 
 class Encoder:
     """Token ids of whole texts. Merges by rank give the tokenizer's own ids several times faster; a text with one of its special strings goes
-    to the tokenizer itself, as do all with `slow`."""
+    to the tokenizer itself, as do all with `slow`. The tokenizer is some 30 MB, so it is held only from the first text on that needs it."""
 
     def __init__(self, tokenizer: str, slow: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        ranks = {k: i for k, i in byte_ranks(self.full.get_vocab()).items() if k.decode("utf-8", "replace") not in self.special}
+        full = Tokenizer.from_file(tokenizer)
+        self.path, self.full = tokenizer, None
+        self.special = [t.content for t in full.get_added_tokens_decoder().values()]
+        ranks = {k: i for k, i in byte_ranks(full.get_vocab()).items() if k.decode("utf-8", "replace") not in self.special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        if slow or any(self.fast(x) != self.full.encode(x, add_special_tokens=False).ids for x in PROBES):
-            self.fast = None
+        if slow or any(self.fast(x) != full.encode(x, add_special_tokens=False).ids for x in PROBES):
+            self.fast, self.full = None, full
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(x in text for x in self.special):
+            if self.full is None:
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.path)
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.fast(text), dtype="<u4")
 
 
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours begin."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 class Index:
-    """BM25 postings of one shard: for each term, the documents that hold it and what it adds to their score."""
+    """BM25 postings of one shard: for each term, the documents that hold it and what it adds to their score. Arrays as long as the shard are few
+    at a time, as several tasks build one at once."""
 
     def __init__(self, terms: list[np.ndarray]):
         n = len(terms)
         length = np.array([len(t) for t in terms], dtype=np.int64)
         width = max(1, n)
         # a sorted number for each occurrence, the term above the document; runs of equal ones are postings
-        key = np.concatenate(terms).astype(np.int64) if n else np.empty(0, np.int64)
+        key = np.concatenate(terms, dtype=np.int64) if n else np.empty(0, np.int64)
         key *= width
-        key += np.repeat(np.arange(n, dtype=np.int32), length)
+        at = 0
+        for doc, size in enumerate(length.tolist()):
+            key[at : at + size] += doc
+            at += size
         key.sort()
-        at = np.flatnonzero(np.diff(key, prepend=-1))
-        tf = np.diff(at, append=len(key))
+        at = starts(key)
+        tf = np.diff(at, append=len(key)).astype(np.int32)
         key = key[at]
-        self.doc, term = (key % width).astype(np.int32), (key // width).astype(np.int32)
-        first = np.flatnonzero(np.diff(term, prepend=-1))
+        del at
+        self.doc = (key % width).astype(np.int32)
+        key //= width
+        term = key.astype(np.int32)
+        del key
+        first = starts(term)
         df = np.diff(first, append=len(term))
+        del term
         self.first, self.df = first, df
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
-        self.weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        weight = np.repeat(idf, df)
+        weight *= tf
+        weight *= K1 + 1
+        below = norm[self.doc]
+        below += tf
+        weight /= below
+        del below, tf
+        self.weight = weight.astype(np.float32)
+        del weight
         self.n = n
         by_doc = np.argsort(self.doc, kind="stable")
         self.slot = np.repeat(np.arange(len(df), dtype=np.int32), df)[by_doc]
-        self.by_doc = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        self.by_doc = np.append(0, np.cumsum(np.bincount(self.doc, minlength=n)))
         self.own = self.weight[by_doc]
 
     def neighbours(self, seed: int, unused: np.ndarray, terms: int) -> np.ndarray:
@@ -176,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = Encoder(tokenizer, slow), np.asarray([end_id], dtype="<u4")
+        give_back()
         base = TaskContext.get().partitionId() << 40
         done = 0
         shard: list[tuple[int | None, np.ndarray, np.ndarray]] = []
@@ -202,6 +232,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             shard.clear()
             words.clear()
             tokens = 0
+            del pieces
+            give_back()
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -211,6 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 tokens += len(ids)
                 if tokens >= shard_tokens:
                     yield from flush()
+            del batch  # or it would stay until the next one is read
         if shard:
             yield from flush()
 

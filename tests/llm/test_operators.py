@@ -936,3 +936,25 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.flag(docs(spark, [(1, ITEM), (2, "no")]), items).filter("contaminated").collect()] == [1]
+
+
+def test_packing_holds_little():
+    """What a worker holds while it packs: a few arrays as long as its shard, and the tokenizer only where a text needs it."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    rng = np.random.default_rng(1)
+    terms = [(rng.zipf(1.3, size=rng.integers(0, 2000)) % 150_000).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    index = packing.Index(terms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 19 * sum(map(len, terms))  # 24 bytes a word before
+    for d in (0, 1, 299):
+        got = dict(zip(index.slot[index.by_doc[d] : index.by_doc[d + 1]].tolist(), index.own[index.by_doc[d] : index.by_doc[d + 1]].tolist(), strict=True))
+        assert len(got) == len(set(terms[d].tolist()))
+    enc, slow = (packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), x) for x in (False, True))
+    assert enc.encode("Hello, world").tolist() == slow.encode("Hello, world").tolist() and enc.full is None
+    text = f"a {enc.special[0]} b"
+    assert enc.encode(text).tolist() == slow.encode(text).tolist() and enc.full is not None
